@@ -47,17 +47,26 @@ EXPENSE_DEFAULTS = {f: 0.0 for f in EXPENSE_FEATURES}
 DISCIPLINE_DEFAULTS = {f: 0.0 for f in DISCIPLINE_FEATURES}
 LEDGER_DEFAULTS = INCOME_DEFAULTS | EXPENSE_DEFAULTS | DISCIPLINE_DEFAULTS
 
-_CR = F.col("txn_type") == "credit"
-_DR = F.col("txn_type") == "debit"
-_AMT = F.col("amount").cast("double")
+
+
+def _cr():
+    return F.col("txn_type") == "credit"
+
+
+def _dr():
+    return F.col("txn_type") == "debit"
+
+
+def _amt():
+    return F.col("amount").cast("double")
 
 
 def applicant_stats(ledger: DataFrame) -> DataFrame:
     """Per-applicant statistics needed before the row-level pass."""
     return ledger.groupBy(KEY).agg(
-        F.min(F.when(_CR, F.col("ts"))).alias("_cr_first_ts"),
-        F.avg(F.when(_DR, _AMT)).alias("_dr_mean"),
-        F.stddev_samp(F.when(_DR, _AMT)).alias("_dr_sd"))
+        F.min(F.when(_cr(), F.col("ts"))).alias("_cr_first_ts"),
+        F.avg(F.when(_dr(), _amt())).alias("_dr_mean"),
+        F.stddev_samp(F.when(_dr(), _amt())).alias("_dr_sd"))
 
 
 def raw_aggregates(ledger: DataFrame) -> DataFrame:
@@ -67,32 +76,32 @@ def raw_aggregates(ledger: DataFrame) -> DataFrame:
     day = whole_days("_cr_first_ts", "ts")
     ess5 = isin_or_false("source", K.ESSENTIAL5)
     ess6 = isin_or_false("source", K.ESSENTIAL6)
-    bill2 = _DR & isin_or_false("source", K.BILLS2)
-    bill3 = _DR & isin_or_false("source", K.BILLS3)
-    emi = _DR & F.coalesce(F.col("source") == K.EMI_SOURCE, F.lit(False))
+    bill2 = _dr() & isin_or_false("source", K.BILLS2)
+    bill3 = _dr() & isin_or_false("source", K.BILLS3)
+    emi = _dr() & F.coalesce(F.col("source") == K.EMI_SOURCE, F.lit(False))
     card = rlike_ci("message", K.CARD_PATTERN)
-    spike = _DR & (_AMT > F.col("_dr_mean") + F.lit(2.0) * F.col("_dr_sd"))
+    spike = _dr() & (_amt() > F.col("_dr_mean") + F.lit(2.0) * F.col("_dr_sd"))
     return rows.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n_all"),
         # income inputs
-        F.count_if(_CR).alias("n_cr"),
-        F.sum(F.when(_CR, F.col("amount"))).alias("sum_cr"),
-        F.min(F.when(_CR, F.col("ts"))).alias("cr_t0"),
-        F.max(F.when(_CR, F.col("ts"))).alias("cr_t1"),
-        F.stddev_samp(F.when(_CR, _AMT)).alias("cr_sd"),
-        F.count_distinct(F.when(_CR, F.col("source"))).alias("cr_sources"),
-        F.regr_slope(F.when(_CR, _AMT), F.when(_CR, day.cast("double"))).alias("cr_slope"),
-        F.max(F.when(_CR, _AMT)).alias("cr_max"),
-        F.min(F.when(_CR, _AMT)).alias("cr_min"),
-        F.percentile(F.when(_CR, _AMT), [0.25, 0.75]).alias("cr_q"),
+        F.count_if(_cr()).alias("n_cr"),
+        F.sum(F.when(_cr(), F.col("amount"))).alias("sum_cr"),
+        F.min(F.when(_cr(), F.col("ts"))).alias("cr_t0"),
+        F.max(F.when(_cr(), F.col("ts"))).alias("cr_t1"),
+        F.stddev_samp(F.when(_cr(), _amt())).alias("cr_sd"),
+        F.count_distinct(F.when(_cr(), F.col("source"))).alias("cr_sources"),
+        F.regr_slope(F.when(_cr(), _amt()), F.when(_cr(), day.cast("double"))).alias("cr_slope"),
+        F.max(F.when(_cr(), _amt())).alias("cr_max"),
+        F.min(F.when(_cr(), _amt())).alias("cr_min"),
+        F.percentile(F.when(_cr(), _amt()), [0.25, 0.75]).alias("cr_q"),
         # expense inputs
-        F.count_if(_DR).alias("n_dr"),
-        F.sum(F.when(_DR, F.col("amount"))).alias("sum_dr"),
-        F.min(F.when(_DR, F.col("ts"))).alias("dr_t0"),
-        F.max(F.when(_DR, F.col("ts"))).alias("dr_t1"),
-        F.stddev_samp(F.when(_DR, _AMT)).alias("dr_sd"),
-        F.sum(F.when(_DR & ess5, F.col("amount"))).alias("sum_ess5"),
-        F.sum(F.when(_DR & ~ess6, F.col("amount"))).alias("sum_discr"),
+        F.count_if(_dr()).alias("n_dr"),
+        F.sum(F.when(_dr(), F.col("amount"))).alias("sum_dr"),
+        F.min(F.when(_dr(), F.col("ts"))).alias("dr_t0"),
+        F.max(F.when(_dr(), F.col("ts"))).alias("dr_t1"),
+        F.stddev_samp(F.when(_dr(), _amt())).alias("dr_sd"),
+        F.sum(F.when(_dr() & ess5, F.col("amount"))).alias("sum_ess5"),
+        F.sum(F.when(_dr() & ~ess6, F.col("amount"))).alias("sum_discr"),
         F.count_if(bill2).alias("n_bill2"),
         F.min(F.when(bill2, F.col("ts"))).alias("bill2_t0"),
         F.max(F.when(bill2, F.col("ts"))).alias("bill2_t1"),
@@ -105,8 +114,8 @@ def raw_aggregates(ledger: DataFrame) -> DataFrame:
         F.min(F.when(bill3, F.col("ts"))).alias("bill3_t0"),
         F.max(F.when(bill3, F.col("ts"))).alias("bill3_t1"),
         F.count_if(rlike_ci("message", K.FAILED_PATTERN)).alias("n_failed"),
-        F.count_if(card & _DR).alias("n_card_dr"),
-        F.count_if(card & _CR).alias("n_card_cr"))
+        F.count_if(card & _dr()).alias("n_card_dr"),
+        F.count_if(card & _cr()).alias("n_card_cr"))
 
 
 def _cv_score(n, mean, sd, fn):

@@ -30,3 +30,28 @@ def feature_matrix(applicants: DataFrame, ledger: DataFrame, keep=()) -> DataFra
         F.col(KEY), *[F.col(k) for k in keep],
         *[F.coalesce(F.col(f), F.lit(LEDGER_DEFAULTS[f])).alias(f) for f in LEDGER_FEATURES],
         *[F.col(f) for f in ATTRIBUTE_FEATURES])
+
+
+# FP4: feature groups with their category weights (location weighs 0).
+FEATURE_GROUPS = {
+    "income": LEDGER_FEATURES[:9],
+    "expense": LEDGER_FEATURES[9:18],
+    "discipline": LEDGER_FEATURES[18:],
+    "social": ATTRIBUTE_FEATURES[:8],
+    "behavioral": ATTRIBUTE_FEATURES[8:14],
+    "location": ATTRIBUTE_FEATURES[14:],
+}
+
+
+def feature_groups(spark):
+    """FP4 as a 45-row DataFrame ``(feature, feature_group, group_weight, importance)``.
+
+    ``importance`` spreads the group weight evenly over its features; it is
+    the importance table used by the linear contributions (R9) when no model
+    is given.  The table is bounded by the feature count, so joins broadcast it.
+    """
+    from ..functions.constants import GROUP_WEIGHTS
+    rows = [(f, g, GROUP_WEIGHTS[g], GROUP_WEIGHTS[g] / len(fs))
+            for g, fs in FEATURE_GROUPS.items() for f in fs]
+    return spark.createDataFrame(rows, "feature string, feature_group string, group_weight double, "
+                                       "importance double")

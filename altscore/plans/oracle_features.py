@@ -193,3 +193,23 @@ LOCATION = {
 def attribute_sql(features: dict) -> str:
     return (cte("applicants") + "SELECT applicant_id, " +
             ", ".join(f"{v} AS {k}" for k, v in features.items()) + " FROM applicants")
+
+
+def feature_matrix_body() -> str:
+    ledger_cols = INCOME_COLS + EXPENSE_COLS + DISCIPLINE_COLS
+    defaults = {c: "0.0" for c in ledger_cols} | {"income_quartile_ratio": "1.0"}
+    attr = {**SOCIAL, **BEHAVIOR, **LOCATION}
+    sel = ["a.applicant_id"]
+    sel += [f"coalesce(lf.{c}, {defaults[c]})::DOUBLE AS {c}" for c in ledger_cols]
+    sel += [f"{v} AS {k}" for k, v in attr.items()]
+    return ("SELECT " + ",\n ".join(sel) +
+            "\nFROM applicants a LEFT JOIN lf ON a.applicant_id = lf.applicant_id")
+
+
+FEATURE_NAMES = INCOME_COLS + EXPENSE_COLS + DISCIPLINE_COLS + list(SOCIAL) + list(BEHAVIOR) + list(LOCATION)
+
+
+def fm_with(extra: list[tuple[str, str]] | None = None, ledger_view: str = "ledger") -> str:
+    """WITH prefix defining ``fm`` (applicant_id + 45 features) and ``extra`` CTEs."""
+    ctes = [("lf", ledger_features_body(ledger_view)), ("fm", feature_matrix_body())]
+    return cte(ledger_view, "applicants", extra=ctes + list(extra or []))

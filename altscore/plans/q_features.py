@@ -7,7 +7,6 @@ from ..operators import ledger_features as L
 from ..sources import views as V
 from . import oracle_features as O
 from .features import FEATURE_NAMES, feature_matrix
-from .oracle_views import cte
 from .registry import register
 
 
@@ -49,19 +48,7 @@ def feat_location(spark, sf_dir):
     return A.location_features(V.applicants(spark, sf_dir))
 
 
-def _feature_matrix_sql() -> str:
-    ledger_cols = O.INCOME_COLS + O.EXPENSE_COLS + O.DISCIPLINE_COLS
-    defaults = {c: "0.0" for c in ledger_cols} | {"income_quartile_ratio": "1.0"}
-    attr = {**O.SOCIAL, **O.BEHAVIOR, **O.LOCATION}
-    sel = ["a.applicant_id"]
-    sel += [f"coalesce(lf.{c}, {defaults[c]})::DOUBLE AS {c}" for c in ledger_cols]
-    sel += [f"{v} AS {k}" for k, v in attr.items()]
-    return (cte("ledger", "applicants", extra=[("lf", O.ledger_features_body("ledger"))]) +
-            "SELECT " + ",\n ".join(sel) +
-            "\nFROM applicants a LEFT JOIN lf ON a.applicant_id = lf.applicant_id")
-
-
-FEATURE_MATRIX_SQL = _feature_matrix_sql()
+FEATURE_MATRIX_SQL = O.fm_with() + "SELECT * FROM fm"
 
 
 @register("feature_matrix", FEATURE_MATRIX_SQL)
