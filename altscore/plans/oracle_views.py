@@ -86,8 +86,31 @@ SELECT prediction_id AS id, ((prediction_id * 7) % 100) / 100.0::DOUBLE AS y_tru
 FROM predictions""",
 }
 
+
+def _application_base_sql() -> str:
+    from ..functions.rules import TRANSACTION_RULES
+    ok = " AND ".join(f"coalesce({r}, false)" for r in TRANSACTION_RULES.values())
+    return f"""orders o JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN applicants a ON o.o_custkey = a.applicant_id
+LEFT JOIN (SELECT applicant_id AS t_id, count(*) AS n_txns, count(*) FILTER (WHERE NOT ({ok})) AS n_bad
+           FROM ledger GROUP BY applicant_id) t ON o.o_custkey = t.t_id"""
+
+
+def _app_views():
+    from ..sources.views import API_REQUEST_EXPRS, LOAN_APPLICATION_EXPRS
+    fix = lambda e: e.replace("AS STRING)", "AS VARCHAR)")
+    VIEWS["loan_applications"] = ("SELECT " + ",\n  ".join(fix(e) for e in LOAN_APPLICATION_EXPRS) +
+                                  "\nFROM " + _application_base_sql())
+    VIEWS["api_requests"] = ("SELECT " + ",\n  ".join(fix(e) for e in API_REQUEST_EXPRS) +
+                             "\nFROM " + _application_base_sql())
+
+
+_app_views()
+
 # Views that read other views (must come after their inputs in a WITH list).
-DEPENDS = {"eval_pairs": ["predictions"]}
+DEPENDS = {"eval_pairs": ["predictions"],
+           "loan_applications": ["ledger", "applicants"],
+           "api_requests": ["ledger", "applicants"]}
 
 
 def cte(*names: str, extra: list[tuple[str, str]] | None = None) -> str:

@@ -149,3 +149,71 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y_true, y_pred) evaluation pairs from the predictions view."""
     return predictions(spark, sf_dir).selectExpr(
         "prediction_id AS id", "((prediction_id * 7) % 100) / 100.0D AS y_true", "score AS y_pred")
+
+
+# Pipeline-dialect application fields over orders (o), customer (c),
+# applicants (a) and per-applicant ledger counts (t).  Written in SQL that
+# Spark and ANSI engines read alike; a few values fall outside the schema
+# limits on purpose, so that every validation rule has failures to find.
+LOAN_APPLICATION_EXPRS = [
+    "o_orderkey AS application_id",
+    "o_custkey AS user_id",
+    "CAST(18 + (o_custkey * 7) % 70 AS INT) AS age",
+    "CASE o_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' ELSE 'unspecified' END AS gender",
+    """CASE o_custkey % 6 WHEN 0 THEN 'farmer' WHEN 1 THEN 'shopkeeper' WHEN 2 THEN 'daily_wage'
+         WHEN 3 THEN 'self_employed' WHEN 4 THEN 'salaried' ELSE 'student' END AS occupation""",
+    "CAST(c_acctbal AS DECIMAL(18,2)) AS monthly_income",
+    "CAST(o_totalprice AS DECIMAL(18,2)) AS loan_amount_requested",
+    "o_orderpriority AS loan_purpose",
+    "coalesce(n_txns, 0) AS n_transactions",
+    "coalesce(n_bad, 0) AS n_bad_transactions",
+    "CAST(NULL AS DOUBLE) AS profitability_score",
+    "total_contacts", "family_contacts", "business_contacts", "government_contacts",
+    "avg_communication_frequency",
+    "((o_custkey * 23) % 18101) / CAST(100 AS DOUBLE) - 90 AS latitude",
+    "((o_custkey * 31) % 36001) / CAST(100 AS DOUBLE) - 180 AS longitude",
+    """CASE o_custkey % 4 WHEN 0 THEN 'rural' WHEN 1 THEN 'semi_urban' WHEN 2 THEN 'urban'
+         ELSE 'metro' END AS location_type""",
+    "((o_custkey * 13) % 105) / CAST(100 AS DOUBLE) AS stability_score",
+    "average_distance_from_home AS distance_from_financial_center",
+    "CAST((o_custkey * 3) % 33 AS INT) AS travel_frequency",
+    "gambling_app_usage", "frequent_location_changes", "night_transaction_ratio",
+    "financial_app_usage_score",
+]
+
+API_REQUEST_EXPRS = [
+    "o_orderkey AS application_id",
+    "CAST(o_custkey AS STRING) AS user_id",
+    "o_totalprice AS loan_amount",
+    "o_orderpriority AS loan_purpose",
+    "coalesce(n_txns, 0) AS n_transactions",
+    "((o_custkey * 3) % 120) / CAST(100 AS DOUBLE) AS contact_diversity_score",
+    "CAST(o_custkey % 27 AS DOUBLE) AS app_usage_hours_per_day",
+    "((o_custkey * 7) % 110) / CAST(100 AS DOUBLE) AS literacy_score",
+]
+
+
+def _application_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.rules import TRANSACTION_RULES
+    led = ledger(spark, sf_dir)
+    ok = None
+    for sql in TRANSACTION_RULES.values():
+        p = F.coalesce(F.expr(sql), F.lit(False))
+        ok = p if ok is None else (ok & p)
+    t = led.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("n_txns"), F.count_if(~ok).alias("n_bad"))
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    a = applicants(spark, sf_dir)
+    return (o.join(c, o["o_custkey"] == c["c_custkey"])
+            .join(a, o["o_custkey"] == a["applicant_id"])
+            .join(t.withColumnRenamed("applicant_id", "t_id"), o["o_custkey"] == F.col("t_id"), "left"))
+
+
+def loan_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pipeline-dialect application per order (flat; transactions as counts)."""
+    return _application_base(spark, sf_dir).selectExpr(*LOAN_APPLICATION_EXPRS)
+
+
+def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One API-dialect request per order."""
+    return _application_base(spark, sf_dir).selectExpr(*API_REQUEST_EXPRS)
