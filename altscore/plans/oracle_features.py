@@ -209,7 +209,9 @@ def feature_matrix_body() -> str:
 FEATURE_NAMES = INCOME_COLS + EXPENSE_COLS + DISCIPLINE_COLS + list(SOCIAL) + list(BEHAVIOR) + list(LOCATION)
 
 
-def fm_with(extra: list[tuple[str, str]] | None = None, ledger_view: str = "ledger") -> str:
-    """WITH prefix defining ``fm`` (applicant_id + 45 features) and ``extra`` CTEs."""
+def fm_with(extra: list[tuple[str, str]] | None = None, ledger_view: str = "ledger",
+            views: tuple = ()) -> str:
+    """WITH prefix defining ``fm`` (applicant_id + 45 features), the named
+    ``views`` and the ``extra`` CTEs."""
     ctes = [("lf", ledger_features_body(ledger_view)), ("fm", feature_matrix_body())]
-    return cte(ledger_view, "applicants", extra=ctes + list(extra or []))
+    return cte(ledger_view, "applicants", *views, extra=ctes + list(extra or []))
