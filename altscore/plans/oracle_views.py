@@ -79,7 +79,10 @@ FROM events""",
 SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS client, ts, 'POST' AS method,
        concat('/api/v1/', event_type) AS endpoint, value AS latency_ms,
        CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
-       k % 3 = 0 AS cache_hit, k / 100.0::DOUBLE AS score
+       k % 3 = 0 AS cache_hit, k / 100.0::DOUBLE AS score,
+       CASE WHEN k % 4 = 0 THEN concat(' 10.0.0.', CAST(user_id AS STRING), ' , 172.16.0.1') END AS x_forwarded_for,
+       CASE WHEN k % 4 = 1 THEN concat('192.168.1.', CAST(user_id AS STRING)) END AS x_real_ip,
+       CASE WHEN k % 4 = 2 THEN concat('host-', CAST(user_id AS STRING)) END AS client_host
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
     "eval_pairs": """
 SELECT prediction_id AS id, ((prediction_id * 7) % 100) / 100.0::DOUBLE AS y_true, score AS y_pred

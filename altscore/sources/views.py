@@ -133,6 +133,14 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "props AS event_data", "ts AS created_at")
 
 
+# Proxy headers made up per request (FIXTURES: the request log has no headers).
+REQUEST_HEADER_EXPRS = [
+    "CASE WHEN k % 4 = 0 THEN concat(' 10.0.0.', CAST(user_id AS STRING), ' , 172.16.0.1') END AS x_forwarded_for",
+    "CASE WHEN k % 4 = 1 THEN concat('192.168.1.', CAST(user_id AS STRING)) END AS x_real_ip",
+    "CASE WHEN k % 4 = 2 THEN concat('host-', CAST(user_id AS STRING)) END AS client_host",
+]
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     return (ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
@@ -142,7 +150,8 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "value AS latency_ms",
                 "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status",
                 "k % 3 = 0 AS cache_hit",
-                "k / 100.0D AS score"))
+                "k / 100.0D AS score",
+                *REQUEST_HEADER_EXPRS))
 
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
