@@ -28,12 +28,20 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
         F.sum(F.when(dr, F.col("amount"))).alias("sum_dr"))
 
 
+SCORE_INPUTS = ["total_contacts", "financial_app_usage_score", "gambling_app_usage",
+                "frequent_location_changes", "night_transaction_ratio"]
+TOTALS = ["n_cr", "sum_cr", "sum_dr"]
+
+
 def subscores(ledger: DataFrame, applicants: DataFrame) -> DataFrame:
     """R2: the five 0-100 sub-scores of the profitability rule."""
-    t = ledger_totals(ledger)
-    a = applicants.select(KEY, "total_contacts", "financial_app_usage_score", "gambling_app_usage",
-                          "frequent_location_changes", "night_transaction_ratio")
-    j = a.join(t, KEY, "left")
+    a = applicants.select(KEY, *SCORE_INPUTS)
+    return subscores_from_totals(a.join(ledger_totals(ledger), KEY, "left"))
+
+
+def subscores_from_totals(j: DataFrame, keep=()) -> DataFrame:
+    """R2 from a frame holding the score inputs and the ledger totals
+    (``n_cr``, ``sum_cr``, ``sum_dr``; NULL when the applicant has no ledger)."""
     n_cr = F.coalesce(F.col("n_cr"), F.lit(0))
     sum_cr = F.coalesce(F.col("sum_cr"), F.lit(0)).cast("double")
     sum_dr = F.coalesce(F.col("sum_dr"), F.lit(0)).cast("double")
@@ -44,7 +52,7 @@ def subscores(ledger: DataFrame, applicants: DataFrame) -> DataFrame:
         F.when(F.col("frequent_location_changes") > 10, F.lit(-30)).otherwise(F.lit(0)),
         F.when(F.col("night_transaction_ratio") > 0.3, F.lit(-30)).otherwise(F.lit(0))]))
     return j.select(
-        KEY,
+        KEY, *keep,
         (F.when(n_cr > 10, F.lit(1.0)).otherwise(n_cr / 10.0) * 100).alias("income_score"),
         (F.greatest(F.lit(0.0), 1.0 - ratio) * 100).alias("expense_score"),
         F.least(F.lit(100.0), F.col("total_contacts") / 500 * 100).alias("social_score"),

@@ -21,13 +21,15 @@ FEATURE_NAMES = LEDGER_FEATURES + ATTRIBUTE_FEATURES
 ID_COLUMNS = ["applicant_id", "user_id"]
 
 
-def feature_matrix(applicants: DataFrame, ledger: DataFrame, keep=()) -> DataFrame:
-    """One row per applicant: ``applicant_id``, ``keep`` columns, 45 features."""
-    lf = ledger_features(ledger)
+def feature_matrix(applicants: DataFrame, ledger: DataFrame, keep=(), keep_raw=()) -> DataFrame:
+    """One row per applicant: ``applicant_id``, ``keep`` applicant columns,
+    ``keep_raw`` ledger aggregates (e.g. ``n_cr``, ``sum_cr``, ``sum_dr``; NULL
+    without ledger rows) and the 45 features."""
+    lf = ledger_features(ledger, keep_raw)
     attrs = attribute_features(applicants, keep=keep)
     joined = attrs.join(lf, KEY, "left")
     return joined.select(
-        F.col(KEY), *[F.col(k) for k in keep],
+        F.col(KEY), *[F.col(k) for k in keep], *[F.col(r) for r in keep_raw],
         *[F.coalesce(F.col(f), F.lit(LEDGER_DEFAULTS[f])).alias(f) for f in LEDGER_FEATURES],
         *[F.col(f) for f in ATTRIBUTE_FEATURES])
 

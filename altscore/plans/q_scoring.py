@@ -63,12 +63,13 @@ FROM fm JOIN sc ON fm.applicant_id = sc.applicant_id"""
 def scored_applicants(spark, sf_dir):
     """Feature matrix -> rule score in 0-1 units -> decision + confidence."""
     ledger, apps = V.ledger(spark, sf_dir), V.applicants(spark, sf_dir)
-    fm = feature_matrix(apps, ledger)
-    sc = S.profitability_score(ledger, apps).select("applicant_id", "profitability_score")
+    # One ledger aggregation feeds both the features and the rule score.
+    fm = feature_matrix(apps, ledger, keep=S.SCORE_INPUTS, keep_raw=S.TOTALS)
+    fm = fm.withColumn("_c", S.confidence(FEATURE_NAMES))
+    sc = S.weighted(S.subscores_from_totals(fm, keep=["_c"]))
     score = S.clip_score(F.col("profitability_score") / 100.0)
-    return fm.join(sc, "applicant_id").select(
-        "applicant_id", score.alias("score"), S.decide(score).alias("decision"),
-        S.confidence(FEATURE_NAMES).alias("confidence"))
+    return sc.select("applicant_id", score.alias("score"), S.decide(score).alias("decision"),
+                     F.col("_c").alias("confidence"))
 
 
 register("score_decisions", DECISION_SQL)(scored_applicants)
