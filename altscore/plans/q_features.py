@@ -55,3 +55,11 @@ FEATURE_MATRIX_SQL = O.fm_with() + "SELECT * FROM fm"
 def q_feature_matrix(spark, sf_dir):
     fm = feature_matrix(V.applicants(spark, sf_dir), V.ledger(spark, sf_dir))
     return fm.select("applicant_id", *FEATURE_NAMES)
+
+
+@register("features_nested", O.ledger_features_sql("ledger", O.INCOME_COLS + O.EXPENSE_COLS + O.DISCIPLINE_COLS))
+def q_features_nested(spark, sf_dir):
+    """FP5: the 24 transaction features from nested per-application lists
+    (higher-order functions, no shuffle after nesting); must equal FP1."""
+    from ..operators.nested import features_nested_or_flat
+    return features_nested_or_flat(V.ledger(spark, sf_dir))

@@ -1,0 +1,187 @@
+"""Synthetic applications, seeded by the customer table.
+
+One application per customer key.  Randomness is a deterministic integer
+hash of ``(key, salt)``, written in SQL that Spark and ANSI engines evaluate
+identically, so the output does not depend on partitioning, task order or
+retries (a re-executed task regenerates the same rows).  Money is produced in
+integer cents.  Transactions come from ``explode(sequence(...))`` — a narrow,
+per-row expansion bounded by the generator's own limits (<= 100 per
+application).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from .tables import load
+
+BASE_DATE = "2023-07-05 00:00:00"   # fixed: 180 days before 2024-01-01 (no wall clock)
+NUM_MONTHS = 6
+M = 2147483647
+
+
+def U(key: str, salt: int) -> str:
+    """Uniform [0, 1) from an integer key and a salt (SQL text, both engines)."""
+    a = f"(({key}) % 1000003)"
+    h = f"(({a} * 48271 + {salt * 69621 + 12345}) % {M})"
+    return f"((({h} * 48271) % {M}) / CAST({M} AS DOUBLE))"
+
+
+def pick(key: str, salt: int, values: list[str]) -> str:
+    idx = f"CAST(floor({U(key, salt)} * {len(values)}) AS INT)"
+    return "CASE " + idx + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def uniform(key: str, salt: int, lo: float, hi: float) -> str:
+    return f"({lo} + {U(key, salt)} * ({hi} - {lo}))"
+
+
+def randint(key: str, salt: int, lo: int, hi: int) -> str:
+    return f"CAST({lo} + floor({U(key, salt)} * {hi - lo + 1}) AS INT)"
+
+
+def round2(x: str) -> str:
+    return f"(floor(({x}) * 100 + 0.5) / CAST(100 AS DOUBLE))"
+
+
+# FIXED VALUES: generator vocabularies and ranges.
+GENDERS = ["male", "female", "other"]
+OCCUPATIONS = ["farmer", "shopkeeper", "daily_wage", "self_employed", "salaried"]
+INCOME_RANGES = {"farmer": (8000, 25000), "shopkeeper": (15000, 40000), "daily_wage": (6000, 15000),
+                 "self_employed": (20000, 60000), "salaried": (25000, 80000)}
+PURPOSES = ["Agricultural equipment", "Business expansion", "Medical emergency", "Education", "Home renovation"]
+TIERS = ["strong", "medium", "weak"]
+AREAS = ["rural", "semi_urban", "urban"]
+RISKS = ["low", "medium", "high"]
+BASE_CITIES = [(28.6139, 77.2090), (19.0760, 72.8777), (13.0827, 80.2707), (22.5726, 88.3639),
+               (12.9716, 77.5946)]
+
+
+def _income(c: str) -> str:
+    occ = f"CAST(floor({U(c, 3)} * 5) AS INT)"
+    parts = " ".join(f"WHEN {i} THEN {lo} + floor({U(c, 4)} * {hi - lo + 1})"
+                     for i, (lo, hi) in enumerate(INCOME_RANGES.values()))
+    return f"CAST(CASE {occ} {parts} END AS BIGINT)"
+
+
+def application_exprs(c: str = "c_custkey") -> list[str]:
+    """S13 application fields (without transactions or labels)."""
+    return [
+        f"{c} AS application_id",
+        f"concat('user_', CAST({c} AS STRING)) AS user_id",
+        f"{randint(c, 1, 25, 60)} AS age",
+        f"{pick(c, 2, GENDERS)} AS gender",
+        f"{pick(c, 3, OCCUPATIONS)} AS occupation",
+        f"{_income(c)} AS monthly_income",
+        f"{_income(c)} * {randint(c, 5, 1, 12)} AS loan_amount_requested",
+        f"{pick(c, 6, PURPOSES)} AS loan_purpose",
+    ]
+
+
+def attribute_exprs(c: str = "c_custkey") -> list[str]:
+    """S10-S12 in the pipeline dialect."""
+    tier = f"CAST(floor({U(c, 20)} * 3) AS INT)"
+    area = f"CAST(floor({U(c, 30)} * 3) AS INT)"
+    risk = f"CAST(floor({U(c, 40)} * 3) AS INT)"
+
+    def by(sel, cases):
+        return f"CASE {sel} " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(cases)) + " END"
+    city = f"CAST(floor({U(c, 31)} * 5) AS INT)"
+    lat = by(city, [str(a) for a, _ in BASE_CITIES])
+    lon = by(city, [str(b) for _, b in BASE_CITIES])
+    return [
+        f"{c} AS application_id",
+        # contacts (strong / medium / weak)
+        f"{by(tier, [randint(c, 21, 200, 500), randint(c, 21, 100, 200), randint(c, 21, 50, 100)])} AS total_contacts",
+        f"{by(tier, [randint(c, 22, 20, 50), randint(c, 22, 10, 25), randint(c, 22, 5, 15)])} AS family_contacts",
+        f"{by(tier, [randint(c, 23, 30, 80), randint(c, 23, 15, 40), randint(c, 23, 5, 20)])} AS business_contacts",
+        f"{by(tier, [randint(c, 24, 2, 10), randint(c, 24, 0, 5), randint(c, 24, 0, 2)])} AS government_contacts",
+        f"{round2(by(tier, [uniform(c, 25, 30, 80), uniform(c, 25, 15, 35), uniform(c, 25, 5, 20)]))}"
+        " AS avg_communication_frequency",
+        # location (rural / semi-urban / urban around five base cities)
+        f"floor(({lat} + {U(c, 32)} - 0.5) * 1000000 + 0.5) / CAST(1000000 AS DOUBLE) AS latitude",
+        f"floor(({lon} + {U(c, 33)} - 0.5) * 1000000 + 0.5) / CAST(1000000 AS DOUBLE) AS longitude",
+        f"{pick(c, 30, AREAS)} AS location_type",
+        f"{round2(by(area, [uniform(c, 34, 0.7, 1.0), uniform(c, 34, 0.5, 0.8), uniform(c, 34, 0.3, 0.6)]))}"
+        " AS stability_score",
+        f"{round2(by(area, [uniform(c, 35, 50, 200), uniform(c, 35, 20, 80), uniform(c, 35, 0, 30)]))}"
+        " AS distance_from_financial_center",
+        f"{by(area, [randint(c, 36, 0, 5), randint(c, 36, 3, 10), randint(c, 36, 8, 20)])} AS travel_frequency",
+        # behaviour (low / medium / high risk)
+        f"{by(risk, ['false', f'{U(c, 41)} < 0.5', 'true'])} AS gambling_app_usage",
+        f"{by(risk, [randint(c, 42, 0, 3), randint(c, 42, 3, 10), randint(c, 42, 10, 30)])} AS frequent_location_changes",
+        f"{round2(by(risk, [uniform(c, 43, 0.0, 0.1), uniform(c, 43, 0.1, 0.3), uniform(c, 43, 0.3, 0.6)]))}"
+        " AS night_transaction_ratio",
+        f"floor({by(risk, [uniform(c, 44, 6, 10), uniform(c, 44, 4, 7), uniform(c, 44, 1, 5)])} * 10 + 0.5)"
+        " / CAST(10 AS DOUBLE) AS financial_app_usage_score",
+    ]
+
+
+def _money_text(cents: str) -> str:
+    """'1234.05' from integer cents, identically in every engine."""
+    return (f"concat(CAST(CAST(floor(({cents}) / 100) AS BIGINT) AS STRING), '.', "
+            f"lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))")
+
+
+def transaction_exprs(c: str = "c_custkey", i: str = "i", kind: str = "credit") -> list[str]:
+    """One credit or debit ``i`` of application ``c`` (before the 100 cap)."""
+    k = f"({c} * 1000 + {i})"
+    inc = _income(c)
+    if kind == "credit":
+        cents = f"CAST(floor({inc} * 100 * {uniform(k, 12, 0.2, 0.4)}) AS BIGINT)"
+        src = pick(k, 13, K.INCOME_SOURCES)
+        day = randint(k, 11, 0, 30 * NUM_MONTHS)
+        msg = f"concat('Credited Rs.', {_money_text(cents)}, ' to A/c from ', {src})"
+        cat = "'income'"
+    else:
+        n_dr = randint(c, 14, 20, 60)
+        total = f"({inc} * {uniform(c, 15, 0.6, 0.9)} * {NUM_MONTHS})"
+        cents = f"CAST(floor({total} / {n_dr} * {uniform(k, 16, 0.5, 1.5)} * 100) AS BIGINT)"
+        src = pick(k, 17, K.EXPENSE_SOURCES)
+        day = randint(k, 18, 0, 30 * NUM_MONTHS)
+        msg = f"concat('Debited Rs.', {_money_text(cents)}, ' for ', {src})"
+        cat = "'expense'"
+    return [f"{c} AS applicant_id", f"{i} AS seq", f"'{kind}' AS txn_type",
+            f"CAST(CAST({cents} AS DOUBLE) / 100 AS DECIMAL(18,2)) AS amount_raw", f"{src} AS source",
+            f"{msg} AS message", f"{cat} AS category", f"{day} AS day_offset"]
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer", ["c_custkey"])
+
+
+def gen_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeds(spark, sf_dir).selectExpr(*application_exprs())
+
+
+def gen_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeds(spark, sf_dir).selectExpr(*attribute_exprs())
+
+
+def gen_transactions(spark: SparkSession, sf_dir: str, cap: int = 100) -> DataFrame:
+    """Generated ledger: credits and debits, sorted by time, first ``cap`` kept."""
+    from pyspark.sql import Window
+    seeds = _seeds(spark, sf_dir)
+    n_cr, n_dr = randint("c_custkey", 10, 15, 40), randint("c_custkey", 14, 20, 60)
+    cr = seeds.selectExpr("c_custkey", f"explode(sequence(1, {n_cr})) AS i").selectExpr(
+        *transaction_exprs(kind="credit"))
+    dr = seeds.selectExpr("c_custkey", f"explode(sequence(1, {n_dr})) AS i").selectExpr(
+        *transaction_exprs(kind="debit"))
+    t = cr.unionByName(dr).withColumn(
+        "ts", F.expr(f"TIMESTAMP '{BASE_DATE}' + make_dt_interval(day_offset)"))
+    # at most 100 rows per application by construction (40 credits + 60 debits)
+    w = Window.partitionBy("applicant_id").orderBy("ts", "txn_type", "seq")
+    t = t.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    return t.select("applicant_id", "ts", "txn_type", F.col("amount_raw").cast("decimal(18,2)").alias("amount"),
+                    "source", "message", "category")
+
+
+def gen_applicants_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated attributes in the extractor dialect (for features / scores)."""
+    a = gen_attributes(spark, sf_dir)
+    return a.select(F.col("application_id").alias("applicant_id"), "total_contacts", "family_contacts",
+                    "business_contacts", "government_contacts", "avg_communication_frequency",
+                    "gambling_app_usage", "frequent_location_changes", "night_transaction_ratio",
+                    "financial_app_usage_score")
