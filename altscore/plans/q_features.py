@@ -7,6 +7,7 @@ from ..operators import ledger_features as L
 from ..sources import views as V
 from . import oracle_features as O
 from .features import FEATURE_NAMES, feature_matrix
+from .oracle_views import cte as _cte
 from .registry import register
 
 
@@ -63,3 +64,45 @@ def q_features_nested(spark, sf_dir):
     (higher-order functions, no shuffle after nesting); must equal FP1."""
     from ..operators.nested import features_nested_or_flat
     return features_nested_or_flat(V.ledger(spark, sf_dir))
+
+
+def _canonical_sql(src: str, select: str) -> str:
+    attr = {**O.SOCIAL, **O.BEHAVIOR, **O.LOCATION}
+    return (f"WITH applicants AS (SELECT {select} FROM ({src}))\n"
+            "SELECT applicant_id, " + ", ".join(f"{v} AS {k}" for k, v in attr.items()) + " FROM applicants")
+
+
+_LOC_DEFAULTS = ("0 AS unique_locations_count, 0.0::DOUBLE AS average_distance_from_home, "
+                 "NULL::DOUBLE AS max_distance_from_home")
+
+
+def _pipeline_sql():
+    from .q_sources import GEN_ATTR_SQL
+    return _canonical_sql(GEN_ATTR_SQL, "application_id AS applicant_id, total_contacts, family_contacts, "
+                          "business_contacts, government_contacts, avg_communication_frequency, "
+                          f"{_LOC_DEFAULTS}, 'Unknown' AS area_type, gambling_app_usage, "
+                          "frequent_location_changes, night_transaction_ratio, financial_app_usage_score")
+
+
+@register("adapt_pipeline_schema", _pipeline_sql())
+def q_adapt_pipeline_schema(spark, sf_dir):
+    """Generated pipeline-dialect records -> canonical -> 21 attribute features."""
+    from ..sources import generate as G
+    from ..sources.schemas import adapt_pipeline
+    return A.attribute_features(adapt_pipeline(G.gen_attributes(spark, sf_dir)))
+
+
+_API_SQL = _canonical_sql(
+    _cte("applicants")[len("WITH applicants AS ("):].rsplit(")", 1)[0],
+    "applicant_id, total_contacts, family_contacts, business_contacts, government_contacts, "
+    f"0.0::DOUBLE AS avg_communication_frequency, {_LOC_DEFAULTS}, lower(area_type) AS area_type, "
+    "false AS gambling_app_usage, 0 AS frequent_location_changes, 0.0::DOUBLE AS night_transaction_ratio, "
+    "0.0::DOUBLE AS financial_app_usage_score")
+
+
+@register("adapt_api_schema", _API_SQL)
+def q_adapt_api_schema(spark, sf_dir):
+    """API-dialect requests -> canonical -> 21 attribute features (fields
+    the features do not know take their defaults, as in the reference)."""
+    from ..sources.schemas import adapt_api
+    return A.attribute_features(adapt_api(V.api_applications(spark, sf_dir), key="applicant_id"))

@@ -226,3 +226,28 @@ def loan_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One API-dialect request per order."""
     return _application_base(spark, sf_dir).selectExpr(*API_REQUEST_EXPRS)
+
+
+def api_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API-dialect request records (nested structs) built from the applicants:
+    contact / location / behaviour blocks under the API's own field names."""
+    a = applicants(spark, sf_dir)
+    return a.select(
+        "applicant_id",
+        F.struct(F.col("total_contacts"), F.col("family_contacts"), F.col("business_contacts"),
+                 F.col("government_contacts"),
+                 (F.col("avg_communication_frequency") * 3).alias("avg_call_duration"),
+                 (F.col("family_contacts") / F.greatest(F.col("total_contacts"), F.lit(1))).alias(
+                     "contact_diversity_score")).alias("contact_metadata"),
+        F.struct(F.col("unique_locations_count").alias("unique_locations"),
+                 F.create_map(F.lit("lat"), F.lit(28.7041), F.lit("lon"), F.lit(77.1025)).alias("home_location"),
+                 F.coalesce("max_distance_from_home", F.col("average_distance_from_home") * 2).alias(
+                     "travel_radius_km"),
+                 F.lower("area_type").alias("area_type"),
+                 (F.lit(1.0) - F.col("night_transaction_ratio")).alias("location_stability_score")
+                 ).alias("location_pattern"),
+        F.struct((F.col("financial_app_usage_score") / 2).alias("app_usage_hours_per_day"),
+                 F.col("night_transaction_ratio").alias("night_activity_ratio"),
+                 F.col("gambling_app_usage").cast("int").alias("gambling_indicators"),
+                 (F.col("financial_app_usage_score") > 5).alias("financial_app_usage"),
+                 (F.col("financial_app_usage_score") / 10).alias("literacy_score")).alias("behavioral_data"))
