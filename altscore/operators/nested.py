@@ -113,16 +113,17 @@ RAW_COLUMNS = ["n_all", "n_cr", "sum_cr", "cr_t0", "cr_t1", "cr_sd", "cr_sources
                "bill3_t0", "bill3_t1", "n_failed", "n_card_dr", "n_card_cr"]
 
 
-def nested_raw_aggregates(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:
+def nested_raw_aggregates(apps: DataFrame, col: str = "sms_transactions", keep=()) -> DataFrame:
     """Raw aggregates per application row (narrow projections, no shuffle).
 
     Four stacked projections so that every per-list scalar is computed once
     and the lambdas only read columns: the work is linear in the list size.
     """
-    d = apps.selectExpr(*_stage1(col)).selectExpr(*_stage2())
+    keep = list(keep)
+    d = apps.selectExpr(*_stage1(col), *keep).selectExpr(*_stage2(), *keep)
     d = d.selectExpr("*", *[f"{e} AS {k}" for k, e in _stage3().items()])
     d = d.selectExpr("*", *_stage4())
-    return d.select(KEY, *RAW_COLUMNS)
+    return d.select(KEY, *keep, *RAW_COLUMNS)
 
 
 def nested_ledger_features(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:
@@ -160,3 +161,28 @@ def features_nested_or_flat(ledger: DataFrame, limit: int = NESTED_LIMIT) -> Dat
     the rest — whole results, no application dropped or truncated."""
     nested, rest = nest_ledger(ledger, limit)
     return nested_ledger_features(nested).unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
+
+
+def nested_feature_matrix(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:
+    """All 45 features (plus the score inputs and ledger totals) for
+    self-contained records; an empty list gives the per-group defaults."""
+    from .attribute_features import attribute_features
+    from .ledger_features import LEDGER_DEFAULTS
+    from .scoring import TOTALS
+    attrs = [c for c in apps.columns if c not in (KEY, col)]
+    raw = nested_raw_aggregates(apps, col, keep=attrs)
+    lf = features_from_aggregates(raw, keep_raw=attrs + TOTALS + ["n_all"])
+    empty = F.col("n_all") == 0
+    fixed = lf.select(KEY, *attrs, *TOTALS, *[
+        F.when(empty, F.lit(LEDGER_DEFAULTS[f])).otherwise(F.col(f)).alias(f) for f in LEDGER_FEATURES])
+    return attribute_features(fixed, keep=attrs + TOTALS + LEDGER_FEATURES)
+
+
+def score_records(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:
+    """T1 / M5 record path: features -> rule score (0-1) -> decision + confidence."""
+    from ..plans.features import FEATURE_NAMES
+    from .scoring import clip_score, confidence, decide, subscores_from_totals, weighted
+    fm = nested_feature_matrix(apps, col).withColumn("_c", confidence(FEATURE_NAMES))
+    sc = weighted(subscores_from_totals(fm, keep=["_c"]))
+    score = clip_score(F.col("profitability_score") / 100.0)
+    return sc.select(KEY, score.alias("score"), decide(score).alias("decision"), F.col("_c").alias("confidence"))
