@@ -262,3 +262,40 @@ FROM shap_long""")
 def q_waterfall_rows(spark, sf_dir):
     """X6."""
     return X.waterfall(_shap(spark, sf_dir)).withColumn("step", F.col("step").cast("bigint"))
+
+
+# ---------------------------------------------------------------- X1-X3 on the GBT
+def _tree_explain(spark, sf_dir, top_n=None, with_raw=False):
+    from ..operators import treeshap as TS
+    model = trained_model(spark, sf_dir)
+    trees = TS.extract_trees(model.stages[-1])
+    tf = training_frame(spark, sf_dir)
+    if with_raw:
+        tf = model.transform(tf.select("applicant_id", *FEATURE_NAMES)).drop("features")
+    return TS.explain(tf, FEATURE_NAMES, trees, "applicant_id", top_n=top_n,
+                      raw_col="raw_prediction" if with_raw else None)
+
+
+@register("explain_model_rows")
+def q_explain_model_rows(spark, sf_dir):
+    """TreeSHAP of the GBT, top-10 features per applicant with the
+    prediction (= base + sum of SHAP) and its decision."""
+    r = _tree_explain(spark, sf_dir, top_n=10)
+    return r.withColumn("decision", S.decide(S.clip_score(F.col("prediction"))))
+
+
+@register("explain_model_batch")
+def q_explain_model_batch(spark, sf_dir):
+    """Full SHAP matrix rows with the additivity error against the
+    model's own raw prediction (rows-only; tests assert it is ~0)."""
+    return _tree_explain(spark, sf_dir, with_raw=True)
+
+
+@register("global_importance_model")
+def q_global_importance_model(spark, sf_dir):
+    """X3 on the GBT: mean |SHAP| per feature, top 20 (partial aggregation)."""
+    m = _tree_explain(spark, sf_dir)
+    long_df = m.select(F.posexplode("shap_values").alias("j", "shap"))
+    names = F.element_at(F.array(*[F.lit(f) for f in FEATURE_NAMES]), F.col("j") + 1)
+    return (long_df.groupBy(names.alias("feature")).agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
+            .orderBy(F.col("mean_abs_shap").desc(), F.col("feature")).limit(20))

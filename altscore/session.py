@@ -35,7 +35,7 @@ def build_session(master: str | None = None, app_name: str = "altscore",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in SQL_CONFS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
