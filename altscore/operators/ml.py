@@ -21,6 +21,8 @@ from ..functions import constants as K
 from ..session import checkpoint_dir, scratch_path
 from .scoring import clip_score, confidence, decide
 
+ROWS_PER_PARTITION = 100_000
+
 
 def split_flag(key: str, train_pct: int = 80, salt: int = 11) -> F.Column:
     """M1: deterministic, partition-independent split: ``(key*37 + salt) % 100 < train_pct``."""
@@ -42,7 +44,12 @@ def fit(train: DataFrame, features: list[str], label: str = "label", max_iter: i
         **overrides) -> PipelineModel:
     checkpoint_dir(train.sparkSession)
     data = train.select(*features, F.col(label).cast("double").alias("label")).checkpoint(eager=True)
-    return gbt_pipeline(features, "label", max_iter, **overrides).fit(data)
+    # Boosting runs several jobs per tree level over this input: size the
+    # partitions (~ROWS_PER_PARTITION rows each, never more than exist now)
+    # so small inputs do not pay per-task overhead on every level.
+    n = data.count()
+    parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
+    return gbt_pipeline(features, "label", max_iter, **overrides).fit(data.coalesce(parts))
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], keep=()) -> DataFrame:
@@ -79,8 +86,8 @@ def save_model(model: PipelineModel, path: str, features: list[str], metadata: d
             "metadata": metadata or {}}
     # Written through Spark so that it lands on the shared storage of the model.
     from pyspark.sql import SparkSession
-    SparkSession.getActiveSession().createDataFrame([(json.dumps(side),)], "sidecar string").coalesce(1).write.mode("overwrite").text(
-        path.rstrip("/") + "_sidecar")
+    side_df = SparkSession.getActiveSession().createDataFrame([(json.dumps(side),)], "sidecar string")
+    side_df.coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_sidecar")
     return path
 
 
