@@ -32,10 +32,14 @@ NESTED_APPLICATION = T.StructType(
     + [T.StructField("sms_transactions", T.ArrayType(TXN))])
 
 # Canonical attribute defaults when a field is absent from a dialect.
-LOCATION_DEFAULTS = {"unique_locations_count": F.lit(0), "average_distance_from_home": F.lit(0.0),
-                     "max_distance_from_home": F.lit(None).cast("double"), "area_type": F.lit("Unknown")}
-BEHAVIOR_DEFAULTS = {"gambling_app_usage": F.lit(False), "frequent_location_changes": F.lit(0),
-                     "night_transaction_ratio": F.lit(0.0), "financial_app_usage_score": F.lit(0.0)}
+LOCATION_DEFAULTS = {"unique_locations_count": 0, "average_distance_from_home": 0.0,
+                     "max_distance_from_home": None, "area_type": "Unknown"}
+BEHAVIOR_DEFAULTS = {"gambling_app_usage": False, "frequent_location_changes": 0,
+                     "night_transaction_ratio": 0.0, "financial_app_usage_score": 0.0}
+
+
+def _lits(defaults: dict) -> dict:
+    return {k: (F.lit(v) if v is not None else F.lit(None).cast("double")) for k, v in defaults.items()}
 
 
 def adapt_pipeline(df: DataFrame, key: str = "application_id") -> DataFrame:
@@ -45,7 +49,7 @@ def adapt_pipeline(df: DataFrame, key: str = "application_id") -> DataFrame:
     take their defaults."""
     return df.select(F.col(key).alias("applicant_id"), "total_contacts", "family_contacts",
                      "business_contacts", "government_contacts", "avg_communication_frequency",
-                     *[v.alias(k) for k, v in LOCATION_DEFAULTS.items()],
+                     *[v.alias(k) for k, v in _lits(LOCATION_DEFAULTS).items()],
                      "gambling_app_usage", "frequent_location_changes", "night_transaction_ratio",
                      "financial_app_usage_score")
 
@@ -56,7 +60,7 @@ def adapt_api(df: DataFrame, key: str = "application_id") -> DataFrame:
     everything else takes the feature defaults (communication frequency 0,
     behaviour defaults, radius 2 x average)."""
     c, loc = F.col("contact_metadata"), F.col("location_pattern")
-    defaults = dict(LOCATION_DEFAULTS)
+    defaults = _lits(LOCATION_DEFAULTS)
     defaults["area_type"] = loc["area_type"]
     return df.select(F.col(key).alias("applicant_id"),
                      c["total_contacts"].alias("total_contacts"), c["family_contacts"].alias("family_contacts"),
@@ -64,7 +68,7 @@ def adapt_api(df: DataFrame, key: str = "application_id") -> DataFrame:
                      c["government_contacts"].alias("government_contacts"),
                      F.lit(0.0).alias("avg_communication_frequency"),
                      *[v.alias(k) for k, v in defaults.items()],
-                     *[v.alias(k) for k, v in BEHAVIOR_DEFAULTS.items()])
+                     *[v.alias(k) for k, v in _lits(BEHAVIOR_DEFAULTS).items()])
 
 
 def api_transactions(df: DataFrame, key: str = "application_id") -> DataFrame:
