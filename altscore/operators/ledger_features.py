@@ -61,18 +61,26 @@ def _amt():
     return F.col("amount").cast("double")
 
 
+# Above this many credits an applicant's quartiles leave ``percentile`` (whose
+# buffer holds one applicant's distinct amounts in one task) for the keyed
+# distributed quantile, which spreads a hot applicant over many tasks.
+HEAVY_KEY_ROWS = 1_000_000
+
+
 def applicant_stats(ledger: DataFrame) -> DataFrame:
     """Per-applicant statistics needed before the row-level pass."""
     return ledger.groupBy(KEY).agg(
+        F.count_if(_cr()).alias("_n_cr"),
         F.min(F.when(_cr(), F.col("ts"))).alias("_cr_first_ts"),
         F.avg(F.when(_dr(), _amt())).alias("_dr_mean"),
         F.stddev_samp(F.when(_dr(), _amt())).alias("_dr_sd"))
 
 
-def raw_aggregates(ledger: DataFrame) -> DataFrame:
+def raw_aggregates(ledger: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
     """One row per applicant with every raw input of the 24 features."""
     stats = applicant_stats(ledger)
     rows = ledger.join(stats, KEY)
+    light = F.col("_n_cr") <= heavy_rows
     day = whole_days("_cr_first_ts", "ts")
     ess5 = isin_or_false("source", K.ESSENTIAL5)
     ess6 = isin_or_false("source", K.ESSENTIAL6)
@@ -81,7 +89,7 @@ def raw_aggregates(ledger: DataFrame) -> DataFrame:
     emi = _dr() & F.coalesce(F.col("source") == K.EMI_SOURCE, F.lit(False))
     card = rlike_ci("message", K.CARD_PATTERN)
     spike = _dr() & (_amt() > F.col("_dr_mean") + F.lit(2.0) * F.col("_dr_sd"))
-    return rows.groupBy(KEY).agg(
+    agg = rows.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n_all"),
         # income inputs
         F.count_if(_cr()).alias("n_cr"),
@@ -95,7 +103,7 @@ def raw_aggregates(ledger: DataFrame) -> DataFrame:
         F.regr_slope(F.when(_cr(), _amt()), F.when(_cr(), day.cast("double"))).alias("cr_slope"),
         F.max(F.when(_cr(), _amt())).alias("cr_max"),
         F.min(F.when(_cr(), _amt())).alias("cr_min"),
-        F.percentile(F.when(_cr(), _amt()), [0.25, 0.75]).alias("cr_q"),
+        F.percentile(F.when(_cr() & light, _amt()), [0.25, 0.75]).alias("cr_q"),
         # expense inputs
         F.count_if(_dr()).alias("n_dr"),
         F.sum(F.when(_dr(), F.col("amount"))).alias("sum_dr"),
@@ -118,6 +126,11 @@ def raw_aggregates(ledger: DataFrame) -> DataFrame:
         F.count_if(rlike_ci("message", K.FAILED_PATTERN)).alias("n_failed"),
         F.count_if(card & _dr()).alias("n_card_dr"),
         F.count_if(card & _cr()).alias("n_card_cr"))
+    # Heavy applicants (normally none): exact quartiles, distributed per key.
+    from .ordered import keyed_exact_quantiles
+    heavy = keyed_exact_quantiles(rows.filter(_cr() & ~light), KEY, "amount", [0.25, 0.75], ["_hq1", "_hq3"])
+    return (agg.join(heavy, KEY, "left")
+            .withColumn("cr_q", F.coalesce("cr_q", F.array("_hq1", "_hq3"))).drop("_hq1", "_hq3"))
 
 
 def _cv_score(n, mean, sd, fn):

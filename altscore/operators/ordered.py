@@ -75,3 +75,47 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
         a = at(k)
         cols.append((a + (at(k1) - a) * F.lit(frac) if frac else a).alias(name))
     return cum.agg(*cols)
+
+
+def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float], names: list[str],
+                          num_partitions: int | None = None) -> DataFrame:
+    """Per-key linear-interpolated quantiles without holding a key in one task.
+
+    Distinct ``(key, value)`` pairs with counts (partial aggregation) are
+    range-partitioned on ``(key, value)``, so one key's values may span many
+    partitions.  Running counts inside each (partition, key), plus offsets of
+    the same key's earlier partitions (a table with one row per partition and
+    key, i.e. at most #keys + #partitions rows), give every value's rank
+    range; one more aggregate picks the values at the ranks each probability
+    needs.  Returns ``(key, names...)``.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = df.select(key, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    counts = v.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"))
+    d = counts.repartitionByRange(n, key, "v").withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_loc", F.sum("c").over(w))
+    tot = d.groupBy("_pid", key).agg(F.sum("c").alias("_tot"))
+    wk = Window.partitionBy(key).orderBy("_pid")
+    offs = tot.select("_pid", key,
+                      F.coalesce(F.sum("_tot").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                 F.lit(0)).alias("_off"),
+                      F.sum("_tot").over(Window.partitionBy(key)).alias("_n"))
+    r = d.join(offs, ["_pid", key]).select(key, "v", "c", (F.col("_loc") + F.col("_off")).alias("cum"), "_n")
+    r = r.withColumn("lo_rank", F.col("cum") - F.col("c"))
+    aggs = []
+    for p, name in zip(probs, names):
+        h = (F.col("_n") - 1) * F.lit(p)
+        k = F.floor(h)
+        k1 = F.least(k + 1, F.col("_n") - 1)
+        frac = h - k
+
+        def hit(rank):
+            return (F.col("lo_rank") <= rank) & (F.col("cum") > rank)
+        aggs += [F.max(F.when(hit(k), F.col("v"))).alias(f"_a_{name}"),
+                 F.max(F.when(hit(k1), F.col("v"))).alias(f"_b_{name}"),
+                 F.max(frac).alias(f"_f_{name}")]
+    g = r.groupBy(key).agg(*aggs)
+    return g.select(key, *[(F.col(f"_a_{nm}") + (F.col(f"_b_{nm}") - F.col(f"_a_{nm}")) * F.col(f"_f_{nm}"))
+                           .alias(nm) for nm in names])

@@ -44,3 +44,18 @@ def test_one_class_is_total(spark):
     assert EV.roc_auc(df).collect()[0][0] == 0.0
     c = EV.classification_metrics(df).collect()[0]
     assert c["precision"] == 0.0 and c["recall"] == 0.0
+
+
+def test_keyed_quantiles_match_numpy_including_a_hot_key(spark):
+    from altscore.operators.ordered import keyed_exact_quantiles
+    rng = np.random.default_rng(5)
+    rows = [(0, float(np.round(v, 2))) for v in rng.normal(size=3000)]          # hot key
+    for k in range(1, 40):
+        rows += [(k, float(np.round(v, 1))) for v in rng.normal(size=int(rng.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "k long, x double")
+    got = {r["k"]: r for r in keyed_exact_quantiles(df, "k", "x", [0.25, 0.75], ["q1", "q3"],
+                                                    num_partitions=9).collect()}
+    for k in range(40):
+        xs = np.array([x for kk, x in rows if kk == k])
+        assert got[k]["q1"] == pytest.approx(float(np.percentile(xs, 25)), abs=1e-12)
+        assert got[k]["q3"] == pytest.approx(float(np.percentile(xs, 75)), abs=1e-12)
