@@ -55,10 +55,20 @@ def null_counts(df: DataFrame, columns=None) -> DataFrame:
     return agg.unpivot([], cols, "column_name", "n_null")
 
 
+TRUNCATION_MARKER = "... (additional errors truncated)"
+
+
 def violation_sample(validated: DataFrame, key: str, n: int = 100) -> DataFrame:
-    """The first ``n`` invalid records by key (a top-k, not a full sort)."""
-    return (validated.filter(~F.col("is_valid")).orderBy(key).limit(n)
-            .select(key, "message"))
+    """The first ``n`` error messages by key (a top-k, not a full sort),
+    ``Row <key>: <violations>``, plus the truncation marker row once ``n``
+    errors exist (counts stay full-pass: see ``quality_metrics``)."""
+    bad = validated.filter(~F.col("is_valid"))
+    top = bad.orderBy(key).limit(n).select(
+        key, F.concat(F.lit("Row "), F.col(key).cast("string"), F.lit(": "), F.col("message")).alias("message"))
+    key_type = validated.schema[key].dataType
+    marker = (bad.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+              .select(F.lit(None).cast(key_type).alias(key), F.lit(TRUNCATION_MARKER).alias("message")))
+    return top.unionByName(marker)
 
 
 def clean_invalid(df: DataFrame, rules: dict[str, str]) -> DataFrame:

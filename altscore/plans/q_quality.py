@@ -79,7 +79,10 @@ def q_quality_metrics(spark, sf_dir):
 
 
 SAMPLE_SQL = cte("loan_applications", extra=[_VALIDATED_CTE]) + """
-SELECT application_id, message FROM va WHERE NOT is_valid ORDER BY application_id LIMIT 100"""
+SELECT * FROM (SELECT application_id, concat('Row ', CAST(application_id AS VARCHAR), ': ', message) AS message
+               FROM va WHERE NOT is_valid ORDER BY application_id LIMIT 100)
+UNION ALL
+SELECT NULL, '... (additional errors truncated)' WHERE (SELECT count(*) FROM va WHERE NOT is_valid) >= 100"""
 
 
 @register("violation_sample", SAMPLE_SQL)
