@@ -119,3 +119,23 @@ def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float],
     g = r.groupBy(key).agg(*aggs)
     return g.select(key, *[(F.col(f"_a_{nm}") + (F.col(f"_b_{nm}") - F.col(f"_a_{nm}")) * F.col(f"_f_{nm}"))
                            .alias(nm) for nm in names])
+
+
+def keyed_cumsum(df: DataFrame, key: str, order_cols: list[str], value: str, out: str = "cum",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` per ``key`` in ``order_cols`` order,
+    without a per-key window: rows are range-partitioned on (key, order), so a
+    hot key spans many tasks; each task sums its slice, and the slices of the
+    same key in earlier partitions are added from a (partition, key) totals
+    table.  The final join is on (partition, key), which spreads a hot key
+    over its partitions.  ``order_cols`` should make rows unique per key."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, key, *order_cols).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_loc", F.sum(value).over(w))
+    tot = d.groupBy("_pid", key).agg(F.sum(value).alias("_tot"))
+    offs = tot.select("_pid", key, F.coalesce(F.sum("_tot").over(
+        Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (d.join(offs, ["_pid", key]).withColumn(out, F.col("_loc") + F.col("_off"))
+            .drop("_pid", "_loc", "_off"))

@@ -71,10 +71,28 @@ def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
 
 def sliding_request_count(requests: DataFrame, window_s: int = K.RATE_LIMIT_WINDOW_S) -> DataFrame:
     """Raw requests of the client in the trailing window before this one
-    (cutoff exclusive): a range window over epoch microseconds."""
+    (cutoff exclusive; requests at the same instant count, as in a RANGE frame).
+
+    n_recent = C(<= t) - C(<= t - W) - 1, with C the client's running count of
+    requests.  Both counts come from one keyed running sum over the client's
+    distinct instants plus one probe row per request at t - W (ordered after
+    a real instant at the same time), so a hot client is spread over many
+    tasks instead of one window partition.
+    """
+    from .ordered import keyed_cumsum
+    w_us = window_s * 1_000_000
     t = F.unix_micros("ts")
-    w = Window.partitionBy("client").orderBy(t).rangeBetween(-(window_s * 1_000_000 - 1), 0)
-    return requests.select("request_id", "client", (F.count(F.lit(1)).over(w) - 1).alias("n_recent"))
+    base = requests.select("request_id", "client", t.alias("t"))
+    inst = base.groupBy("client", "t").agg(F.count(F.lit(1)).alias("c")).withColumn("probe", F.lit(0))
+    probes = base.select("client", (F.col("t") - w_us).alias("t"), F.lit(0).cast("long").alias("c"),
+                         F.lit(1).alias("probe"), "request_id")
+    u = inst.withColumn("request_id", F.lit(None).cast("long")).unionByName(probes)
+    cum = keyed_cumsum(u, "client", ["t", "probe", "request_id"], "c", "cum")
+    upto_t = cum.filter(F.col("probe") == 0).select("client", "t", F.col("cum").alias("c_t"))
+    before = cum.filter(F.col("probe") == 1).select("request_id", F.col("cum").alias("c_before"))
+    out = (base.join(upto_t, ["client", "t"]).join(before, "request_id")
+           .select("request_id", "client", (F.col("c_t") - F.col("c_before") - 1).alias("n_recent")))
+    return out
 
 
 def client_key() -> F.Column:
