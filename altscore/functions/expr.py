@@ -83,3 +83,29 @@ def rnd(c, n: int) -> Column:
     """
     scale = float(10 ** n)
     return F.bround(col(c) * F.lit(scale), 0) / F.lit(scale)
+
+
+# ---- Spark SQL text builders ------------------------------------------------
+# Wide projections are written as SQL expression strings: one JVM call per
+# output column instead of one per operator node, which keeps plan building
+# cheap for the 45-feature plans.  Decimal-looking literals carry the ``D``
+# suffix so they are doubles (a bare ``2.5`` is a DECIMAL in Spark SQL).
+
+def sql_rnd(x: str, n: int) -> str:
+    """SQL twin of :func:`rnd`."""
+    s = f"{float(10 ** n)!r}D"
+    return f"(bround(({x}) * {s}, 0) / {s})"
+
+
+def sql_months(t0: str, t1: str) -> str:
+    """Span in 30-day months of whole days between two timestamps, at least 1."""
+    return f"greatest(1.0D, CAST(timestampdiff(DAY, {t0}, {t1}) AS DOUBLE) / 30.0D)"
+
+
+def sql_in(col_: str, values) -> str:
+    """``col IN (...)`` with NULL as not in."""
+    return f"coalesce({col_} IN (" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "), false)"
+
+
+def sql_d(x: float) -> str:
+    return f"{float(x)!r}D"

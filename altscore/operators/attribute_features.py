@@ -8,9 +8,8 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.expr import add_all, bands, rnd
+from ..functions.expr import sql_rnd
 
 KEY = "applicant_id"
 
@@ -37,79 +36,75 @@ ATTRIBUTE_DEFAULTS = {
 }
 
 
-def _attr(name):
-    return F.coalesce(F.col(name), F.lit(ATTRIBUTE_DEFAULTS[name]))
+def _attr(name: str) -> str:
+    d = ATTRIBUTE_DEFAULTS[name]
+    lit = (f"'{d}'" if isinstance(d, str) else ("false" if d is False else
+           (f"{d!r}D" if isinstance(d, float) else str(d))))
+    return f"coalesce({name}, {lit})"
 
 
 def social_columns() -> dict:
     t = _attr("total_contacts")
     fam, bus, gov = _attr("family_contacts"), _attr("business_contacts"), _attr("government_contacts")
-    other = F.greatest(F.lit(0), t - fam - bus - gov)
+    other = f"greatest(0, {t} - {fam} - {bus} - {gov})"
 
     def term(part):
-        p = part / t
-        return F.when(part > 0, p * F.log(p + F.lit(1e-10))).otherwise(F.lit(0.0))
-
-    entropy = -add_all([term(fam), term(bus), term(gov), term(other)])
-    strength = (F.when(t >= 500, F.lit(100.0))
-                .when(t >= 200, 60.0 + (t - 200) / 300 * 40)
-                .when(t >= 100, 30.0 + (t - 100) / 100 * 30)
-                .otherwise(t / 100 * 30))
+        p = f"({part} / {t})"
+        return f"(CASE WHEN {part} > 0 THEN {p} * ln({p} + 1.0E-10D) ELSE 0.0D END)"
+
+    entropy = f"(-(((({term(fam)} + {term(bus)}) + {term(gov)}) + {term(other)})))"
     return {
         "social_total_contacts": t,
-        "social_network_strength": strength,
+        "social_network_strength": f"""CASE WHEN {t} >= 500 THEN 100.0D
+            WHEN {t} >= 200 THEN 60.0D + ({t} - 200) / 300 * 40
+            WHEN {t} >= 100 THEN 30.0D + ({t} - 100) / 100 * 30 ELSE {t} / 100 * 30 END""",
         "social_family_size": fam,
         "social_business_size": bus,
         "social_government_connections": gov,
         "social_communication_frequency": _attr("avg_communication_frequency"),
-        "social_network_diversity": F.when(t == 0, F.lit(0.0))
-                                     .otherwise(rnd(entropy / F.lit(math.log(4)), 4)),
-        "social_business_ratio": F.when(t == 0, F.lit(0.0)).otherwise(rnd(bus / t, 4)),
+        "social_network_diversity": f"CASE WHEN {t} = 0 THEN 0.0D "
+                                    f"ELSE {sql_rnd(f'{entropy} / {math.log(4)!r}D', 4)} END",
+        "social_business_ratio": f"CASE WHEN {t} = 0 THEN 0.0D ELSE {sql_rnd(f'{bus} / {t}', 4)} END",
     }
 
 
 def behavior_columns() -> dict:
-    gamb = _attr("gambling_app_usage")
-    ch = _attr("frequent_location_changes")
-    night = _attr("night_transaction_ratio")
-    lit_ = _attr("financial_app_usage_score")
-    risk = add_all([
-        F.when(gamb, F.lit(40)).otherwise(F.lit(0)),
-        F.when(ch > 10, F.lit(30)).when(ch > 5, F.lit(15)).otherwise(F.lit(0)),
-        F.when(night > 0.3, F.lit(30)).when(night > 0.2, F.lit(20)).when(night > 0.1, F.lit(10))
-         .otherwise(F.lit(0)),
-        F.when(lit_ < 3, F.lit(20)).when(lit_ < 5, F.lit(10)).otherwise(F.lit(0))])
+    gamb, ch = _attr("gambling_app_usage"), _attr("frequent_location_changes")
+    night, lit_ = _attr("night_transaction_ratio"), _attr("financial_app_usage_score")
+    risk = (f"((((CASE WHEN {gamb} THEN 40 ELSE 0 END)"
+            f" + (CASE WHEN {ch} > 10 THEN 30 WHEN {ch} > 5 THEN 15 ELSE 0 END))"
+            f" + (CASE WHEN {night} > 0.3D THEN 30 WHEN {night} > 0.2D THEN 20 WHEN {night} > 0.1D THEN 10"
+            f" ELSE 0 END))"
+            f" + (CASE WHEN {lit_} < 3 THEN 20 WHEN {lit_} < 5 THEN 10 ELSE 0 END))")
     return {
-        "behavioral_gambling_flag": F.when(gamb, F.lit(1)).otherwise(F.lit(0)),
+        "behavioral_gambling_flag": f"CASE WHEN {gamb} THEN 1 ELSE 0 END",
         "behavioral_location_changes": ch,
-        "behavioral_location_stability": bands(ch, [(lambda v: v >= 20, 0.0), (lambda v: v >= 10, 0.3),
-                                                    (lambda v: v >= 5, 0.6)], 1.0),
+        "behavioral_location_stability": f"CASE WHEN {ch} >= 20 THEN 0.0D WHEN {ch} >= 10 THEN 0.3D "
+                                         f"WHEN {ch} >= 5 THEN 0.6D ELSE 1.0D END",
         "behavioral_night_transaction_ratio": night,
         "behavioral_financial_literacy": lit_,
-        "behavioral_risk_score": F.least(F.lit(100.0), risk.cast("double")),
+        "behavioral_risk_score": f"least(100.0D, CAST({risk} AS DOUBLE))",
     }
 
 
 def location_columns() -> dict:
-    u = _attr("unique_locations_count")
-    avg = _attr("average_distance_from_home")
-    radius = F.coalesce(F.col("max_distance_from_home"), avg * 2)
+    u, avg = _attr("unique_locations_count"), _attr("average_distance_from_home")
+    radius = f"coalesce(max_distance_from_home, {avg} * 2)"
     return {
         "location_unique_count": u,
-        "location_stability_score": bands(u, [(lambda v: v <= 5, 100.0), (lambda v: v <= 10, 70.0),
-                                              (lambda v: v <= 20, 40.0), (lambda v: v <= 50, 20.0)], 0.0),
-        "location_avg_distance_from_home": rnd(avg, 2),
-        "location_travel_radius": rnd(radius, 2),
-        "location_area_type_urban": F.when(_attr("area_type") == "Urban", F.lit(1)).otherwise(F.lit(0)),
-        "location_mobility_score": rnd(F.least(F.lit(100.0), u / 50 * 50)
-                                           + F.least(F.lit(100.0), radius / 500 * 50), 2),
-        "location_diversity_score": F.when(u == 0, F.lit(0.0)).otherwise(
-            rnd(F.least(F.lit(100.0), F.sqrt(u) * F.log(radius + 1) * 5), 2)),
+        "location_stability_score": f"CASE WHEN {u} <= 5 THEN 100.0D WHEN {u} <= 10 THEN 70.0D "
+                                    f"WHEN {u} <= 20 THEN 40.0D WHEN {u} <= 50 THEN 20.0D ELSE 0.0D END",
+        "location_avg_distance_from_home": sql_rnd(avg, 2),
+        "location_travel_radius": sql_rnd(radius, 2),
+        "location_area_type_urban": f"CASE WHEN {_attr('area_type')} = 'Urban' THEN 1 ELSE 0 END",
+        "location_mobility_score": sql_rnd(f"least(100.0D, {u} / 50 * 50) + least(100.0D, {radius} / 500 * 50)", 2),
+        "location_diversity_score": f"CASE WHEN {u} = 0 THEN 0.0D ELSE "
+                                    f"{sql_rnd(f'least(100.0D, sqrt({u}) * ln({radius} + 1) * 5)', 2)} END",
     }
 
 
 def _project(applicants: DataFrame, cols: dict) -> DataFrame:
-    return applicants.select(F.col(KEY), *[v.cast("double").alias(k) for k, v in cols.items()])
+    return applicants.selectExpr(KEY, *[f"CAST({v} AS DOUBLE) AS {k}" for k, v in cols.items()])
 
 
 def social_features(applicants: DataFrame) -> DataFrame:
@@ -126,5 +121,4 @@ def location_features(applicants: DataFrame) -> DataFrame:
 
 def attribute_features(applicants: DataFrame, keep=()) -> DataFrame:
     cols = social_columns() | behavior_columns() | location_columns()
-    return applicants.select(F.col(KEY), *[F.col(k) for k in keep],
-                             *[v.cast("double").alias(k) for k, v in cols.items()])
+    return applicants.selectExpr(KEY, *keep, *[f"CAST({v} AS DOUBLE) AS {k}" for k, v in cols.items()])

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import (bands, isin_or_false, months_between_days, rlike_ci, safe_div,
-                              rnd, whole_days)
+from ..functions.expr import sql_d, sql_in, sql_months, sql_rnd
 
 KEY = "applicant_id"
 
@@ -49,170 +48,157 @@ LEDGER_DEFAULTS = INCOME_DEFAULTS | EXPENSE_DEFAULTS | DISCIPLINE_DEFAULTS
 
 
 
-def _cr():
-    return F.col("txn_type") == "credit"
-
-
-def _dr():
-    return F.col("txn_type") == "debit"
-
-
-def _amt():
-    return F.col("amount").cast("double")
-
-
 # Above this many credits an applicant's quartiles leave ``percentile`` (whose
 # buffer holds one applicant's distinct amounts in one task) for the keyed
 # distributed quantile, which spreads a hot applicant over many tasks.
 HEAVY_KEY_ROWS = 1_000_000
 
 
+CR = "txn_type = 'credit'"
+DR = "txn_type = 'debit'"
+AMT = "CAST(amount AS DOUBLE)"
+
+
 def applicant_stats(ledger: DataFrame) -> DataFrame:
     """Per-applicant statistics needed before the row-level pass."""
-    return ledger.groupBy(KEY).agg(
-        F.count_if(_cr()).alias("_n_cr"),
-        F.min(F.when(_cr(), F.col("ts"))).alias("_cr_first_ts"),
-        F.avg(F.when(_dr(), _amt())).alias("_dr_mean"),
-        F.stddev_samp(F.when(_dr(), _amt())).alias("_dr_sd"))
+    return ledger.groupBy(KEY).agg(*[F.expr(e) for e in (
+        f"count_if({CR}) AS _n_cr",
+        f"min(CASE WHEN {CR} THEN ts END) AS _cr_first_ts",
+        f"avg(CASE WHEN {DR} THEN {AMT} END) AS _dr_mean",
+        f"stddev_samp(CASE WHEN {DR} THEN {AMT} END) AS _dr_sd")])
+
+
+def _raw_aggregate_exprs(heavy_rows: int) -> list[str]:
+    ess5, ess6 = sql_in("source", K.ESSENTIAL5), sql_in("source", K.ESSENTIAL6)
+    bill2 = f"{DR} AND {sql_in('source', K.BILLS2)}"
+    bill3 = f"{DR} AND {sql_in('source', K.BILLS3)}"
+    emi = f"{DR} AND coalesce(source = '{K.EMI_SOURCE}', false)"
+    card = f"coalesce(message RLIKE '(?i){K.CARD_PATTERN}', false)"
+    day = "CAST(timestampdiff(DAY, _cr_first_ts, ts) AS DOUBLE)"
+
+    def when(cond, val):
+        return f"CASE WHEN {cond} THEN {val} END"
+    return [
+        "count(1) AS n_all",
+        # income inputs
+        f"count_if({CR}) AS n_cr",
+        f"sum({when(CR, 'amount')}) AS sum_cr",
+        f"min({when(CR, 'ts')}) AS cr_t0", f"max({when(CR, 'ts')}) AS cr_t1",
+        f"stddev_samp({when(CR, AMT)}) AS cr_sd",
+        # distinct sources: a set bounded by the source vocabulary; avoids the
+        # distinct-aggregate rewrite (four aggregation operators)
+        f"size(collect_set({when(CR, 'source')})) AS cr_sources",
+        f"regr_slope({when(CR, AMT)}, {when(CR, day)}) AS cr_slope",
+        f"max({when(CR, AMT)}) AS cr_max", f"min({when(CR, AMT)}) AS cr_min",
+        f"percentile({when(f'{CR} AND _n_cr <= {int(heavy_rows)}', AMT)}, array(0.25D, 0.75D)) AS cr_q",
+        # expense inputs
+        f"count_if({DR}) AS n_dr",
+        f"sum({when(DR, 'amount')}) AS sum_dr",
+        f"min({when(DR, 'ts')}) AS dr_t0", f"max({when(DR, 'ts')}) AS dr_t1",
+        f"stddev_samp({when(DR, AMT)}) AS dr_sd",
+        f"sum({when(f'{DR} AND {ess5}', 'amount')}) AS sum_ess5",
+        f"sum({when(f'{DR} AND NOT {ess6}', 'amount')}) AS sum_discr",
+        f"count_if({bill2}) AS n_bill2",
+        f"min({when(bill2, 'ts')}) AS bill2_t0", f"max({when(bill2, 'ts')}) AS bill2_t1",
+        f"count_if({DR} AND {AMT} > _dr_mean + 2.0D * _dr_sd) AS n_spike",
+        # discipline inputs
+        f"count_if({emi}) AS n_emi",
+        f"min({when(emi, 'ts')}) AS emi_t0", f"max({when(emi, 'ts')}) AS emi_t1",
+        f"count_if({bill3}) AS n_bill3",
+        f"min({when(bill3, 'ts')}) AS bill3_t0", f"max({when(bill3, 'ts')}) AS bill3_t1",
+        f"count_if(coalesce(message RLIKE '(?i){K.FAILED_PATTERN}', false)) AS n_failed",
+        f"count_if({card} AND {DR}) AS n_card_dr",
+        f"count_if({card} AND {CR}) AS n_card_cr",
+    ]
 
 
 def raw_aggregates(ledger: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
     """One row per applicant with every raw input of the 24 features."""
     stats = applicant_stats(ledger)
     rows = ledger.join(stats, KEY)
-    light = F.col("_n_cr") <= heavy_rows
-    day = whole_days("_cr_first_ts", "ts")
-    ess5 = isin_or_false("source", K.ESSENTIAL5)
-    ess6 = isin_or_false("source", K.ESSENTIAL6)
-    bill2 = _dr() & isin_or_false("source", K.BILLS2)
-    bill3 = _dr() & isin_or_false("source", K.BILLS3)
-    emi = _dr() & F.coalesce(F.col("source") == K.EMI_SOURCE, F.lit(False))
-    card = rlike_ci("message", K.CARD_PATTERN)
-    spike = _dr() & (_amt() > F.col("_dr_mean") + F.lit(2.0) * F.col("_dr_sd"))
-    agg = rows.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_all"),
-        # income inputs
-        F.count_if(_cr()).alias("n_cr"),
-        F.sum(F.when(_cr(), F.col("amount"))).alias("sum_cr"),
-        F.min(F.when(_cr(), F.col("ts"))).alias("cr_t0"),
-        F.max(F.when(_cr(), F.col("ts"))).alias("cr_t1"),
-        F.stddev_samp(F.when(_cr(), _amt())).alias("cr_sd"),
-        # distinct sources: a set bounded by the source vocabulary; avoids the
-        # distinct-aggregate rewrite (four aggregation operators)
-        F.size(F.collect_set(F.when(_cr(), F.col("source")))).alias("cr_sources"),
-        F.regr_slope(F.when(_cr(), _amt()), F.when(_cr(), day.cast("double"))).alias("cr_slope"),
-        F.max(F.when(_cr(), _amt())).alias("cr_max"),
-        F.min(F.when(_cr(), _amt())).alias("cr_min"),
-        F.percentile(F.when(_cr() & light, _amt()), [0.25, 0.75]).alias("cr_q"),
-        # expense inputs
-        F.count_if(_dr()).alias("n_dr"),
-        F.sum(F.when(_dr(), F.col("amount"))).alias("sum_dr"),
-        F.min(F.when(_dr(), F.col("ts"))).alias("dr_t0"),
-        F.max(F.when(_dr(), F.col("ts"))).alias("dr_t1"),
-        F.stddev_samp(F.when(_dr(), _amt())).alias("dr_sd"),
-        F.sum(F.when(_dr() & ess5, F.col("amount"))).alias("sum_ess5"),
-        F.sum(F.when(_dr() & ~ess6, F.col("amount"))).alias("sum_discr"),
-        F.count_if(bill2).alias("n_bill2"),
-        F.min(F.when(bill2, F.col("ts"))).alias("bill2_t0"),
-        F.max(F.when(bill2, F.col("ts"))).alias("bill2_t1"),
-        F.count_if(spike).alias("n_spike"),
-        # discipline inputs
-        F.count_if(emi).alias("n_emi"),
-        F.min(F.when(emi, F.col("ts"))).alias("emi_t0"),
-        F.max(F.when(emi, F.col("ts"))).alias("emi_t1"),
-        F.count_if(bill3).alias("n_bill3"),
-        F.min(F.when(bill3, F.col("ts"))).alias("bill3_t0"),
-        F.max(F.when(bill3, F.col("ts"))).alias("bill3_t1"),
-        F.count_if(rlike_ci("message", K.FAILED_PATTERN)).alias("n_failed"),
-        F.count_if(card & _dr()).alias("n_card_dr"),
-        F.count_if(card & _cr()).alias("n_card_cr"))
+    agg = rows.groupBy(KEY).agg(*[F.expr(e) for e in _raw_aggregate_exprs(heavy_rows)])
     # Heavy applicants (normally none): exact quartiles, distributed per key.
     from .ordered import keyed_exact_quantiles
-    heavy = keyed_exact_quantiles(rows.filter(_cr() & ~light), KEY, "amount", [0.25, 0.75], ["_hq1", "_hq3"])
+    heavy = keyed_exact_quantiles(rows.filter(F.expr(f"{CR} AND _n_cr > {int(heavy_rows)}")), KEY, "amount",
+                                  [0.25, 0.75], ["_hq1", "_hq3"])
     return (agg.join(heavy, KEY, "left")
             .withColumn("cr_q", F.coalesce("cr_q", F.array("_hq1", "_hq3"))).drop("_hq1", "_hq3"))
 
 
-def _cv_score(n, mean, sd, fn):
-    """Shared guard of the coefficient-of-variation scores: n<2 or mean=0 -> 0."""
-    return (F.when((F.col(n) < 2) | (mean == 0), F.lit(0.0))
-            .otherwise(rnd(fn(F.col(sd) / mean), 4)))
+def _bands(x: str, cases: list[tuple[str, float]], otherwise: float) -> str:
+    """Ordered CASE: ``cases`` are (predicate on ``x`` with ``{x}``, result); first match wins."""
+    return ("CASE " + " ".join(f"WHEN {pred.format(x=x)} THEN {sql_d(v)}" for pred, v in cases)
+            + f" ELSE {sql_d(otherwise)} END")
 
 
-def features_from_aggregates(agg: DataFrame, keep_raw=()) -> DataFrame:
-    """Project the raw aggregates into the 24 features (plus ``applicant_id``
-    and any ``keep_raw`` aggregate columns)."""
-    c = F.col
-    sum_cr, sum_dr = c("sum_cr").cast("double"), c("sum_dr").cast("double")
-    mean_cr = sum_cr / c("n_cr")
-    mean_dr = sum_dr / c("n_dr")
-    m_cr = months_between_days(whole_days("cr_t0", "cr_t1"))
-    m_dr = months_between_days(whole_days("dr_t0", "dr_t1"))
-    has_cr, has_dr = c("n_cr") > 0, c("n_dr") > 0
+def feature_exprs() -> dict[str, str]:
+    """The 24 features as SQL over the raw aggregate columns (group defaults included)."""
+    sum_cr, sum_dr = "CAST(sum_cr AS DOUBLE)", "CAST(sum_dr AS DOUBLE)"
+    mean_cr, mean_dr = f"({sum_cr} / n_cr)", f"({sum_dr} / n_dr)"
+    m_cr, m_dr = sql_months("cr_t0", "cr_t1"), sql_months("dr_t0", "dr_t1")
+
+    def cv(n, mean, sd, fn):
+        return f"CASE WHEN {n} < 2 OR {mean} = 0 THEN 0.0D ELSE {sql_rnd(fn(f'({sd} / {mean})'), 4)} END"
+
+    def safe_ratio(num, den):
+        return f"CASE WHEN {den} IS NULL OR {den} = 0 THEN 0.0D ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END"
 
     income = {
-        "income_monthly_avg": rnd(sum_cr / m_cr, 2),
-        "income_consistency_score": _cv_score("n_cr", mean_cr, "cr_sd",
-                                              lambda cv: F.greatest(F.lit(0.0), 1.0 - cv)),
-        "income_source_diversity": c("cr_sources").cast("double"),
-        "income_transaction_frequency": rnd(c("n_cr") / m_cr, 2),
-        "income_growth_trend": F.when(c("n_cr") < 2, F.lit(0.0))
-                                .otherwise(rnd(F.coalesce(c("cr_slope"), F.lit(0.0)), 4)),
-        "income_regularity": _cv_score("n_cr", mean_cr, "cr_sd", lambda cv: 1.0 / (1.0 + cv)),
-        "income_max_transaction": c("cr_max"),
-        "income_min_transaction": c("cr_min"),
-        "income_quartile_ratio": F.when((c("n_cr") < 4) | (c("cr_q")[0] == 0), F.lit(1.0))
-                                  .otherwise(rnd(c("cr_q")[1] / c("cr_q")[0], 4)),
+        "income_monthly_avg": sql_rnd(f"{sum_cr} / {m_cr}", 2),
+        "income_consistency_score": cv("n_cr", mean_cr, "cr_sd", lambda x: f"greatest(0.0D, 1.0D - {x})"),
+        "income_source_diversity": "CAST(cr_sources AS DOUBLE)",
+        "income_transaction_frequency": sql_rnd(f"n_cr / {m_cr}", 2),
+        "income_growth_trend": f"CASE WHEN n_cr < 2 THEN 0.0D ELSE {sql_rnd('coalesce(cr_slope, 0.0D)', 4)} END",
+        "income_regularity": cv("n_cr", mean_cr, "cr_sd", lambda x: f"1.0D / (1.0D + {x})"),
+        "income_max_transaction": "cr_max",
+        "income_min_transaction": "cr_min",
+        "income_quartile_ratio": f"CASE WHEN n_cr < 4 OR cr_q[0] = 0 THEN 1.0D "
+                                 f"ELSE {sql_rnd('cr_q[1] / cr_q[0]', 4)} END",
     }
-    income = {k: F.when(has_cr, v).otherwise(F.lit(INCOME_DEFAULTS[k])) for k, v in income.items()}
-
-    bills_m = months_between_days(whole_days("bill2_t0", "bill2_t1"))
+    income = {k: f"CASE WHEN n_cr > 0 THEN {v} ELSE {sql_d(INCOME_DEFAULTS[k])} END" for k, v in income.items()}
+    bills_m = sql_months("bill2_t0", "bill2_t1")
     expense = {
-        "expense_monthly_avg": rnd(sum_dr / m_dr, 2),
-        "expense_to_income_ratio": F.when(~has_cr, F.lit(0.0)).when(sum_cr == 0, F.lit(1.0))
-                                    .otherwise(rnd(sum_dr / sum_cr, 4)),
-        "essential_expense_ratio": rnd(safe_div(F.coalesce(c("sum_ess5"), F.lit(0)), c("sum_dr")), 4),
-        "expense_consistency": _cv_score("n_dr", mean_dr, "dr_sd",
-                                         lambda cv: F.greatest(F.lit(0.0), 1.0 - cv)),
-        "bill_payment_regularity": F.when(c("n_bill2") == 0, F.lit(0.0)).otherwise(
-            rnd(F.least(F.lit(1.0), (c("n_bill2") / bills_m) / 2.5), 4)),
-        "savings_potential": F.when(~has_cr, F.lit(0.0))
-                              .otherwise(rnd((c("sum_cr") - c("sum_dr")).cast("double"), 2)),
-        "expense_spike_count": F.when(c("n_dr") < 2, F.lit(0.0)).otherwise(c("n_spike").cast("double")),
-        "discretionary_spending_ratio": rnd(
-            safe_div(F.coalesce(c("sum_discr"), F.lit(0)), c("sum_dr")), 4),
-        "expense_volatility": F.when(c("n_dr") < 2, F.lit(0.0)).otherwise(rnd(c("dr_sd"), 2)),
+        "expense_monthly_avg": sql_rnd(f"{sum_dr} / {m_dr}", 2),
+        "expense_to_income_ratio": f"CASE WHEN NOT n_cr > 0 THEN 0.0D WHEN {sum_cr} = 0 THEN 1.0D "
+                                   f"ELSE {sql_rnd(f'{sum_dr} / {sum_cr}', 4)} END",
+        "essential_expense_ratio": sql_rnd(safe_ratio("coalesce(sum_ess5, 0)", "sum_dr"), 4),
+        "expense_consistency": cv("n_dr", mean_dr, "dr_sd", lambda x: f"greatest(0.0D, 1.0D - {x})"),
+        "bill_payment_regularity": f"CASE WHEN n_bill2 = 0 THEN 0.0D "
+                                   f"ELSE {sql_rnd(f'least(1.0D, (n_bill2 / {bills_m}) / 2.5D)', 4)} END",
+        "savings_potential": f"CASE WHEN NOT n_cr > 0 THEN 0.0D "
+                             f"ELSE {sql_rnd('CAST(sum_cr - sum_dr AS DOUBLE)', 2)} END",
+        "expense_spike_count": "CASE WHEN n_dr < 2 THEN 0.0D ELSE CAST(n_spike AS DOUBLE) END",
+        "discretionary_spending_ratio": sql_rnd(safe_ratio("coalesce(sum_discr, 0)", "sum_dr"), 4),
+        "expense_volatility": f"CASE WHEN n_dr < 2 THEN 0.0D ELSE {sql_rnd('dr_sd', 2)} END",
     }
-    expense = {k: F.when(has_dr, v).otherwise(F.lit(EXPENSE_DEFAULTS[k])) for k, v in expense.items()}
-
-    emi_f = c("n_emi") / months_between_days(whole_days("emi_t0", "emi_t1"))
-    emi = F.when(c("n_emi") == 0, F.lit(0.5)).otherwise(bands(emi_f, [
-        (lambda f: (f >= 0.9) & (f <= 1.1), 1.0),
-        (lambda f: (f >= 0.7) & (f <= 1.3), 0.7),
-        (lambda f: f > 1.3, 0.5)], 0.3))
-    bill_f = c("n_bill3") / months_between_days(whole_days("bill3_t0", "bill3_t1"))
-    bills = F.when(c("n_bill3") == 0, F.lit(0.0)).otherwise(bands(bill_f, [
-        (lambda f: f >= 2.0, 1.0), (lambda f: f >= 1.0, 0.6)], 0.3))
-    failed = rnd(c("n_failed") / c("n_all"), 4)
-    rate = F.when(sum_cr > 0, (sum_cr - F.coalesce(sum_dr, F.lit(0.0))) / sum_cr).otherwise(F.lit(0.0))
-    savings = F.when(~has_cr, F.lit(0.0)).otherwise(bands(rate, [
-        (lambda r: r >= 0.3, 1.0), (lambda r: r >= 0.2, 0.8), (lambda r: r >= 0.1, 0.6),
-        (lambda r: r >= 0.0, 0.4)], 0.0))
-    card_ratio = c("n_card_dr") / c("n_card_cr")
-    credit_usage = (F.when((c("n_card_dr") + c("n_card_cr") == 0) | (c("n_card_cr") == 0), F.lit(0.5))
-                    .otherwise(bands(card_ratio, [(lambda r: r >= 1.0, 1.0), (lambda r: r >= 0.7, 0.7)], 0.4)))
-    overall = rnd(F.greatest(F.lit(0.0), emi * 30 + bills * 25 + savings * 30 - failed * 15), 2)
+    expense = {k: f"CASE WHEN n_dr > 0 THEN {v} ELSE {sql_d(EXPENSE_DEFAULTS[k])} END" for k, v in expense.items()}
+
+    emi_f = f"(n_emi / {sql_months('emi_t0', 'emi_t1')})"
+    emi = (f"CASE WHEN n_emi = 0 THEN 0.5D ELSE " + _bands(emi_f, [
+        ("{x} >= 0.9D AND {x} <= 1.1D", 1.0), ("{x} >= 0.7D AND {x} <= 1.3D", 0.7), ("{x} > 1.3D", 0.5)], 0.3)
+        + " END")
+    bill_f = f"(n_bill3 / {sql_months('bill3_t0', 'bill3_t1')})"
+    bills = (f"CASE WHEN n_bill3 = 0 THEN 0.0D ELSE "
+             + _bands(bill_f, [("{x} >= 2.0D", 1.0), ("{x} >= 1.0D", 0.6)], 0.3) + " END")
+    failed = sql_rnd("n_failed / n_all", 4)
+    rate = f"(CASE WHEN {sum_cr} > 0 THEN ({sum_cr} - coalesce({sum_dr}, 0.0D)) / {sum_cr} ELSE 0.0D END)"
+    savings = ("CASE WHEN NOT n_cr > 0 THEN 0.0D ELSE " + _bands(rate, [
+        ("{x} >= 0.3D", 1.0), ("{x} >= 0.2D", 0.8), ("{x} >= 0.1D", 0.6), ("{x} >= 0.0D", 0.4)], 0.0) + " END")
+    usage = ("CASE WHEN n_card_cr = 0 THEN 0.5D ELSE "
+             + _bands("(n_card_dr / n_card_cr)", [("{x} >= 1.0D", 1.0), ("{x} >= 0.7D", 0.7)], 0.4) + " END")
+    overall = sql_rnd(f"greatest(0.0D, ({emi}) * 30 + ({bills}) * 25 + ({savings}) * 30 - ({failed}) * 15)", 2)
     discipline = {
-        "discipline_emi_regularity": emi,
-        "discipline_bill_timeliness": bills,
-        "discipline_failed_transaction_ratio": failed,
-        "discipline_savings_behavior": savings,
-        "discipline_credit_usage_score": credit_usage,
-        "discipline_overall_score": overall,
+        "discipline_emi_regularity": emi, "discipline_bill_timeliness": bills,
+        "discipline_failed_transaction_ratio": failed, "discipline_savings_behavior": savings,
+        "discipline_credit_usage_score": usage, "discipline_overall_score": overall,
     }
-    cols = income | expense | discipline
-    return agg.select(F.col(KEY), *[F.col(r) for r in keep_raw],
-                      *[v.cast("double").alias(k) for k, v in cols.items()])
+    return income | expense | discipline
+
+
+def features_from_aggregates(agg: DataFrame, keep_raw=()) -> DataFrame:
+    """Project the raw aggregates into the 24 features (plus ``applicant_id``
+    and any ``keep_raw`` aggregate columns)."""
+    return agg.selectExpr(KEY, *keep_raw, *[f"CAST({v} AS DOUBLE) AS {k}" for k, v in feature_exprs().items()])
 
 
 def ledger_features(ledger: DataFrame, keep_raw=()) -> DataFrame:

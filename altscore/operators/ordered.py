@@ -89,21 +89,11 @@ def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float],
     range; one more aggregate picks the values at the ranks each probability
     needs.  Returns ``(key, names...)``.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = df.select(key, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counts = v.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"))
-    d = counts.repartitionByRange(n, key, "v").withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_loc", F.sum("c").over(w))
-    tot = d.groupBy("_pid", key).agg(F.sum("c").alias("_tot"))
-    wk = Window.partitionBy(key).orderBy("_pid")
-    offs = tot.select("_pid", key,
-                      F.coalesce(F.sum("_tot").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                 F.lit(0)).alias("_off"),
-                      F.sum("_tot").over(Window.partitionBy(key)).alias("_n"))
-    r = d.join(offs, ["_pid", key]).select(key, "v", "c", (F.col("_loc") + F.col("_off")).alias("cum"), "_n")
-    r = r.withColumn("lo_rank", F.col("cum") - F.col("c"))
+    cum = keyed_cumsum(counts, key, ["v"], "c", "cum", num_partitions)
+    n_per_key = counts.groupBy(key).agg(F.sum("c").alias("_n"))
+    r = cum.join(n_per_key, key).select(key, "v", "c", "cum", "_n", (F.col("cum") - F.col("c")).alias("lo_rank"))
     aggs = []
     for p, name in zip(probs, names):
         h = (F.col("_n") - 1) * F.lit(p)

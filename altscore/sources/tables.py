@@ -32,9 +32,29 @@ def normalise_timestamps(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
+# Base relations per (session, path).  Resolving a Parquet relation lists the
+# files and reads footers (~0.3 s each time); plans load the same table many
+# times, and the driver tables are immutable inputs, so the resolved relation
+# is reused.  ``clear_cache()`` forgets them (e.g. after new files land).
+_BASE: dict = {}
+
+
+def clear_cache() -> None:
+    _BASE.clear()
+
+
+def _base(spark: SparkSession, path: str) -> DataFrame:
+    k = (id(spark), path)
+    df = _BASE.get(k)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _BASE[k] = df
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
     """Read one driver table, optionally pruned to ``columns``."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    df = _base(spark, table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
     return normalise_timestamps(df)
