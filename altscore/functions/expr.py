@@ -12,20 +12,10 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def whole_days(start, end) -> Column:
-    """Elapsed whole 24-hour days between two timestamps (0 for 23h59m)."""
-    return F.timestamp_diff("DAY", col(start), col(end))
 
 
-def months_between_days(days) -> Column:
-    """Span in 30-day months, at least 1.0."""
-    return F.greatest(F.lit(1.0), col(days).cast("double") / F.lit(30.0))
 
 
-def safe_div(num, den, default=0.0) -> Column:
-    """``num / den`` as double; ``default`` when the denominator is 0 or null."""
-    n, d = col(num).cast("double"), col(den).cast("double")
-    return F.when(d.isNull() | (d == 0), F.lit(default)).otherwise(n / d)
 
 
 def isin_or_false(c, values) -> Column:
@@ -38,30 +28,12 @@ def rlike_ci(c, pattern: str) -> Column:
     return F.coalesce(col(c).rlike("(?i)" + pattern), F.lit(False))
 
 
-def bands(value, cases, otherwise) -> Column:
-    """Ordered ``when`` chain: ``cases`` is a list of (predicate builder, result).
-
-    ``predicate builder`` is a callable taking the value column.  First match
-    wins, exactly like an ``if/elif`` ladder.
-    """
-    v = col(value)
-    expr = None
-    for pred, result in cases:
-        expr = (F.when(pred(v), F.lit(result)) if expr is None
-                else expr.when(pred(v), F.lit(result)))
-    return expr.otherwise(F.lit(otherwise)) if expr is not None else F.lit(otherwise)
 
 
 def clip(c, lo, hi) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
 
 
-def count_if(pred) -> Column:
-    return F.count_if(pred)
-
-
-def sum_if(pred, value) -> Column:
-    return F.sum(F.when(pred, value))
 
 
 def add_all(cols) -> Column:
