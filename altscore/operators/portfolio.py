@@ -98,12 +98,25 @@ def purge_cascade(users: DataFrame, apps: DataFrame, preds: DataFrame, audit: Da
     return {"users": users2, "applications": apps2, "predictions": preds2, "audit_logs": audit2}
 
 
-def period_rollup(preds: DataFrame, apps: DataFrame, requests: DataFrame, period_type: str) -> DataFrame:
-    """Q19: one ``model_metrics`` row per period."""
-    unit, length = PERIOD_UNITS[period_type]
+def _period_keys(ts_col: str, types) -> F.Column:
+    """One (period_type, period_start) struct per requested granularity."""
+    return F.explode(F.array(*[F.struct(F.lit(t).alias("period_type"),
+                                        F.date_trunc(PERIOD_UNITS[t][0], ts_col).alias("period_start"))
+                               for t in types])).alias("pk")
+
+
+def period_rollups(preds: DataFrame, apps: DataFrame, requests: DataFrame,
+                   types=("hourly", "daily", "weekly")) -> DataFrame:
+    """Q19: one ``model_metrics`` row per period for every granularity.
+
+    All granularities share one pass: each row is expanded to its period
+    keys, so one aggregate, one keyed quantile (exact p95 / p99 per period,
+    a busy period spread over many tasks) and one join serve all of them.
+    """
+    from .ordered import keyed_exact_quantiles
     p = preds.join(apps.select("application_id", "loan_amount"), "application_id", "left")
-    p = p.withColumn("period_start", F.date_trunc(unit, "prediction_timestamp"))
-    m = p.groupBy("period_start").agg(
+    p = p.select("*", _period_keys("prediction_timestamp", types))
+    m = p.groupBy("pk").agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.count_if(F.col("decision") == "approve").alias("total_approvals"),
         F.count_if(F.col("decision") == "reject").alias("total_rejections"),
@@ -113,16 +126,17 @@ def period_rollup(preds: DataFrame, apps: DataFrame, requests: DataFrame, period
         # money summed as exact decimals: order-independent on any cluster
         F.sum(F.col("loan_amount").cast("decimal(18,2)")).cast("double").alias("total_loan_amount"),
         F.count("loan_amount").alias("_n_loans"))
-    # Exact p95 / p99 per period without holding a busy period in one task.
-    from .ordered import keyed_exact_quantiles
-    q = keyed_exact_quantiles(p, "period_start", "latency_ms", [0.95, 0.99], ["p95_latency_ms", "p99_latency_ms"])
-    r = requests.withColumn("period_start", F.date_trunc(unit, "ts")).groupBy("period_start").agg(
+    q = keyed_exact_quantiles(p, "pk", "latency_ms", [0.95, 0.99], ["p95_latency_ms", "p99_latency_ms"])
+    r = requests.select("status", _period_keys("ts", types)).groupBy("pk").agg(
         F.count(F.lit(1)).alias("_requests"), F.count_if(F.col("status") >= 500).alias("total_errors"))
-    j = m.join(q, "period_start", "left").join(r, "period_start", "left")
+    j = m.join(q, "pk", "left").join(r, "pk", "left")
+    length = F.when(F.col("pk.period_type") == "hourly", F.expr("INTERVAL 1 HOUR")) \
+              .when(F.col("pk.period_type") == "daily", F.expr("INTERVAL 1 DAY")) \
+              .otherwise(F.expr("INTERVAL 7 DAYS"))
     return j.select(
-        to_ntz("period_start").alias("period_start"),
-        to_ntz(F.col("period_start") + F.expr(f"INTERVAL {length}")).alias("period_end"),
-        F.lit(period_type).alias("period_type"),
+        to_ntz("pk.period_start").alias("period_start"),
+        to_ntz(F.col("pk.period_start") + length).alias("period_end"),
+        F.col("pk.period_type").alias("period_type"),
         "total_predictions", "total_approvals", "total_rejections",
         rnd(F.col("total_approvals") / F.col("total_predictions"), 6).alias("approval_rate"),
         *[rnd(F.col(c), 6).alias(c) for c in ("avg_profitability_score", "avg_confidence", "avg_latency_ms",
@@ -133,6 +147,11 @@ def period_rollup(preds: DataFrame, apps: DataFrame, requests: DataFrame, period
         rnd(F.col("total_loan_amount") / F.col("_n_loans"), 6).alias("avg_loan_amount"))
 
 
+def period_rollup(preds: DataFrame, apps: DataFrame, requests: DataFrame, period_type: str) -> DataFrame:
+    """Q19 for one granularity."""
+    return period_rollups(preds, apps, requests, (period_type,))
+
+
 def cache_rollup(requests: DataFrame, minutes: int = 60) -> DataFrame:
     """Q20: requests, hits, misses and hit rate (%) per ``minutes`` window."""
     w = F.window("ts", f"{minutes} minutes")

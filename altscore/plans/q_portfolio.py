@@ -125,11 +125,7 @@ ROLLUP_SQL = cte("predictions", "applications", "request_log") + "\nUNION ALL\n"
 
 def _rollups(spark, sf_dir, types=("hourly", "daily", "weekly")):
     preds, apps, reqs = V.predictions(spark, sf_dir), V.applications(spark, sf_dir), V.request_log(spark, sf_dir)
-    out = None
-    for t in types:
-        r = PF.period_rollup(preds, apps, reqs, t)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return PF.period_rollups(preds, apps, reqs, types)
 
 
 @register("period_rollup", ROLLUP_SQL)
