@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import rules as RU
-from ..functions.expr import to_ntz
+from ..functions.expr import rnd, to_ntz
 from ..operators import nested as N
 from ..operators import portfolio as PF
 from ..operators import quality as Q
@@ -74,7 +74,8 @@ def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("score").alias("avg_profitability_score"), F.avg("latency_ms").alias("avg_latency_ms"))
     out = agg.select(to_ntz("w.start").alias("period_start"), to_ntz("w.end").alias("period_end"),
                      F.lit("hourly").alias("period_type"), "total_predictions", "total_approvals",
-                     "avg_profitability_score", "avg_latency_ms")
+                     rnd(F.col("avg_profitability_score"), 6).alias("avg_profitability_score"),
+                     rnd(F.col("avg_latency_ms"), 6).alias("avg_latency_ms"))
     run_to_files(out, base + "/out", base + "/chk")
     return spark.read.parquet(base + "/out")
 
