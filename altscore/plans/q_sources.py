@@ -100,13 +100,19 @@ def q_sink_csv(spark, sf_dir):
     return _roundtrip(spark, V.applicants(spark, sf_dir), "csv")
 
 
-@register("sink_json")
+def _json_oracle():
+    from .q_evaluate import P, _reg_sql
+    return cte(P) + _reg_sql(P)
+
+
+@register("sink_json", _json_oracle())
 def q_sink_json(spark, sf_dir):
-    """Nested result rows to JSON lines and back (rows-only)."""
+    """A nested result row ({"regression": {...}}) to JSON lines and back;
+    flattened after the read it must equal the regression metrics exactly."""
     from ..operators import evaluate as EV
     p = V.eval_pairs(spark, sf_dir)
     res = EV.regression_metrics(p).select(F.struct("*").alias("regression"))
-    return _roundtrip(spark, res, "json")
+    return _roundtrip(spark, res, "json").select("regression.*")
 
 
 @register("json_columns", """
@@ -121,15 +127,22 @@ def q_json_columns(spark, sf_dir):
         "event_id", F.col("p.k").alias("k"), "event_data")
 
 
-@register("detect_input_kind")
+def _ledger_oracle():
+    from . import oracle_features as O
+    return O.ledger_features_sql("ledger", O.INCOME_COLS + O.EXPENSE_COLS + O.DISCIPLINE_COLS)
+
+
+@register("detect_input_kind", _ledger_oracle())
 def q_detect_input_kind(spark, sf_dir):
-    """S3: branch on the schema: nested applications -> features computed
-    from the nested list; a feature table passes through."""
-    from ..operators.nested import nested_applications, nested_ledger_features
-    nested = nested_applications(spark, sf_dir)
-    if IO.detect_input_kind(nested) == "applications":
-        return nested_ledger_features(nested)
-    return nested
+    """S3: branch on the schema: raw applications (a nested transaction list)
+    get their features extracted; a feature table passes through."""
+    from ..operators.ledger_features import KEY, LEDGER_FEATURES, ledger_features
+    from ..operators.nested import nest_ledger, nested_ledger_features
+    nested, rest = nest_ledger(V.ledger(spark, sf_dir))
+    if IO.detect_input_kind(nested) != "applications":
+        return nested
+    # over-limit applications take the flat plan: whole results
+    return nested_ledger_features(nested).unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
 
 
 TABLE_COUNTS_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log") + """
