@@ -34,7 +34,7 @@ def training_frame(spark, sf_dir):
 
 def trained_model(spark, sf_dir):
     """M2 (memoised per session and input): GBT fitted on the train split."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         tf = training_frame(spark, sf_dir)
         _MODELS[key] = ML.fit(tf.filter(F.col("split") == "train"), FEATURE_NAMES, "label", max_iter=N_TREES)
@@ -52,7 +52,7 @@ def q_train_test_split(spark, sf_dir):
 @register("gbt_fit")
 def q_gbt_fit(spark, sf_dir):
     """M2 + M11: fit 20 trees on the train split; model summary row."""
-    _MODELS.pop((id(spark), sf_dir), None)
+    _MODELS.pop((spark.sparkContext.applicationId, sf_dir), None)
     model = trained_model(spark, sf_dir)
     return ML.model_info(spark, model, FEATURE_NAMES, {"label": "profitability_score/100", "split": "80/20"})
 

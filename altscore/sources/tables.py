@@ -44,7 +44,7 @@ def clear_cache() -> None:
 
 
 def _base(spark: SparkSession, path: str) -> DataFrame:
-    k = (id(spark), path)
+    k = (spark.sparkContext.applicationId, path)
     df = _BASE.get(k)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
