@@ -81,3 +81,27 @@ def q_filter_last_hours(spark, sf_dir):
     """Rows of the last 24 hours before the newest timestamp."""
     return PF.last_hours(V.predictions(spark, sf_dir), "prediction_timestamp", 24).select(
         "prediction_id", "score", "decision")
+
+
+_CATS = ["gender", "occupation", "location_type"]
+
+
+def _cat_sql():
+    extra = [(f"idx_{c}", f"""SELECT v, (dense_rank() OVER (ORDER BY n DESC, v) - 1)::DOUBLE AS idx
+  FROM (SELECT coalesce(CAST({c} AS VARCHAR), 'missing') AS v, count(*) AS n FROM loan_applications GROUP BY 1)""")
+             for c in _CATS]
+    joins = " ".join(f"JOIN idx_{c} ON coalesce(CAST(a.{c} AS VARCHAR), 'missing') = idx_{c}.v" for c in _CATS)
+    sel = ", ".join(f"coalesce(CAST(a.{c} AS VARCHAR), 'missing') AS {c}, idx_{c}.idx AS {c}_index" for c in _CATS)
+    return cte("loan_applications", extra=extra) + f"SELECT a.application_id, {sel} FROM loan_applications a {joins}"
+
+
+@register("category_to_string", _cat_sql())
+def q_category_to_string(spark, sf_dir):
+    """Categorical columns as strings (NULL -> 'missing') and their Spark
+    ML ``StringIndexer`` codes (most frequent label first, ties by label)."""
+    from pyspark.ml.feature import StringIndexer
+    a = V.loan_applications(spark, sf_dir).select(
+        "application_id", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in _CATS])
+    idx = StringIndexer(inputCols=_CATS, outputCols=[f"{c}_index" for c in _CATS],
+                        stringOrderType="frequencyDesc").fit(a)
+    return idx.transform(a).select("application_id", *[x for c in _CATS for x in (c, f"{c}_index")])
