@@ -212,9 +212,21 @@ def q_compare_models(spark, sf_dir):
     return EV.compare_models(long_df, COMPARE_METRICS)
 
 
-@register("evaluation_report")
+def _report_sql() -> str:
+    return cte(P, extra=[("reg", _reg_sql(P)), ("cls", _cls_sql(P)), ("bus", _bus_sql(P))]) + r"""
+SELECT concat_ws(chr(10), 'MODEL EVALUATION REPORT',
+                 'RMSE: ' || format('{:,.4f}', reg.rmse), 'MAE: ' || format('{:,.4f}', reg.mae),
+                 'R2: ' || format('{:,.4f}', reg.r2), 'Precision: ' || format('{:,.4f}', cls.precision),
+                 'Recall: ' || format('{:,.4f}', cls.recall), 'F1: ' || format('{:,.4f}', cls.f1),
+                 'Approval rate: ' || format('{:,.4f}', bus.approval_rate),
+                 'Net profit (INR): ' || format('{:,.2f}', bus.estimated_net_profit_inr)) AS report
+FROM reg, cls, bus"""
+
+
+@register("evaluation_report", _report_sql())
 def q_evaluation_report(spark, sf_dir):
-    """EV8: text report (rows-only check)."""
+    """EV8: one-row text report of the regression, classification and business metrics."""
     p = _pairs(spark, sf_dir)
     return EV.evaluation_report(EV.regression_metrics(p), EV.classification_metrics(p),
                                 EV.business_metrics(p))
+
