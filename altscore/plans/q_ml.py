@@ -95,9 +95,10 @@ def q_train_pipeline(spark, sf_dir):
     return EV.regression_metrics(pred)
 
 
-@register("model_io")
+@register("model_io", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch FROM customer")
 def q_model_io(spark, sf_dir):
-    """Save (versioned + sidecar), load, and compare predictions."""
+    """Save (versioned + sidecar), load, and compare predictions: every
+    applicant scored, no prediction changed by the round trip."""
     model = trained_model(spark, sf_dir)
     path = ML.model_path(spark, f"gbt_{abs(hash(sf_dir)) % 10**8}")
     ML.save_model(model, path, FEATURE_NAMES, {"n_trees": N_TREES})
