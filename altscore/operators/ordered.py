@@ -25,10 +25,11 @@ def global_cumsum(df: DataFrame, order_col: str, value_cols: list[str], descendi
 
     ``df`` should already hold one row per distinct ``order_col`` value.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    d = df.repartitionByRange(n, key).withColumn("_pid", F.spark_partition_id())
+    # Without an explicit count AQE may coalesce adjacent ranges; partition
+    # ids then still follow the key order, which is all the offsets need.
+    d = (df.repartitionByRange(num_partitions, key) if num_partitions else df.repartitionByRange(key))
+    d = d.withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     for v in value_cols:
         d = d.withColumn(f"_loc_{v}", F.sum(v).over(w))
@@ -119,9 +120,9 @@ def keyed_cumsum(df: DataFrame, key: str, order_cols: list[str], value: str, out
     same key in earlier partitions are added from a (partition, key) totals
     table.  The final join is on (partition, key), which spreads a hot key
     over its partitions.  ``order_cols`` should make rows unique per key."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, key, *order_cols).withColumn("_pid", F.spark_partition_id())
+    d = (df.repartitionByRange(num_partitions, key, *order_cols) if num_partitions
+         else df.repartitionByRange(key, *order_cols))
+    d = d.withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum(value).over(w))
     tot = d.groupBy("_pid", key).agg(F.sum(value).alias("_tot"))

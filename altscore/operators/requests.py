@@ -60,10 +60,9 @@ def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
     """W1 + W2: accept a request iff fewer than ``limit`` *accepted* requests
     of the same client lie in the last ``window_s`` seconds (rejected ones are
     not recorded); remaining quota and retry-after per request."""
-    spark = requests.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us"))
-    r = r.repartition(n, "client").sortWithinPartitions("client", "ts_us", "request_id")
+    r = r.repartition(num_partitions, "client") if num_partitions else r.repartition("client")
+    r = r.sortWithinPartitions("client", "ts_us", "request_id")
     out = r.mapInPandas(_limiter(limit, window_s * 1_000_000), RATE_LIMIT_SCHEMA)
     return out.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"),
                       "accepted", "remaining", "retry_after")
