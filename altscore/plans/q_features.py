@@ -7,7 +7,7 @@ from ..operators import ledger_features as L
 from ..sources import views as V
 from . import oracle_features as O
 from .features import FEATURE_NAMES, feature_matrix
-from .oracle_views import cte as _cte
+from .oracle_views import VIEWS
 from .registry import register
 
 
@@ -93,7 +93,7 @@ def q_adapt_pipeline_schema(spark, sf_dir):
 
 
 _API_SQL = _canonical_sql(
-    _cte("applicants")[len("WITH applicants AS ("):].rsplit(")", 1)[0],
+    VIEWS["applicants"],
     "applicant_id, total_contacts, family_contacts, business_contacts, government_contacts, "
     f"0.0::DOUBLE AS avg_communication_frequency, {_LOC_DEFAULTS}, lower(area_type) AS area_type, "
     "false AS gambling_app_usage, 0 AS frequent_location_changes, 0.0::DOUBLE AS night_transaction_ratio, "
