@@ -132,21 +132,24 @@ def nested_ledger_features(apps: DataFrame, col: str = "sms_transactions") -> Da
     return features_from_aggregates(nested_raw_aggregates(apps.filter(F.size(col) > 0), col))
 
 
-def nest_ledger(ledger: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame, DataFrame]:
+def nest_ledger(ledger: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame, DataFrame | None]:
     """Split the ledger into nested applications (<= ``limit`` transactions,
-    one row each) and the flat rows of larger applications.
+    one row each) and the flat rows of larger applications (``None`` when
+    there are none).
 
-    The per-applicant counts are a partial aggregation; only applicants under
-    the limit are collected into a list, so no list grows beyond ``limit``.
+    Per-applicant counts come first (a one-column partial aggregation); a
+    list is only ever collected for applicants within the limit.  When no
+    applicant exceeds it (the normal case) the ledger is nested directly.
     """
     counts = ledger.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    txn = F.struct(*[F.col(c) for c in TXN_FIELDS])
+    if counts.filter(F.col("_n") > limit).limit(1).count() == 0:
+        return ledger.groupBy(KEY).agg(F.collect_list(txn).alias("sms_transactions")), None
     small = counts.filter(F.col("_n") <= limit).select(KEY)
     big = counts.filter(F.col("_n") > limit).select(KEY)
-    txn = F.struct(*[F.col(c) for c in TXN_FIELDS])
     nested = (ledger.join(small, KEY, "left_semi").groupBy(KEY)
               .agg(F.collect_list(txn).alias("sms_transactions")))
-    rest = ledger.join(big, KEY, "left_semi")
-    return nested, rest
+    return nested, ledger.join(big, KEY, "left_semi")
 
 
 def nested_applications(spark: SparkSession, sf_dir: str, limit: int = NESTED_LIMIT) -> DataFrame:
@@ -160,7 +163,10 @@ def features_nested_or_flat(ledger: DataFrame, limit: int = NESTED_LIMIT) -> Dat
     """All applicants: nested plan for lists within the limit, flat plan for
     the rest — whole results, no application dropped or truncated."""
     nested, rest = nest_ledger(ledger, limit)
-    return nested_ledger_features(nested).unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
+    out = nested_ledger_features(nested)
+    if rest is None:
+        return out
+    return out.unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
 
 
 def nested_feature_matrix(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:

@@ -141,8 +141,11 @@ def q_detect_input_kind(spark, sf_dir):
     nested, rest = nest_ledger(V.ledger(spark, sf_dir))
     if IO.detect_input_kind(nested) != "applications":
         return nested
+    out = nested_ledger_features(nested)
+    if rest is None:
+        return out
     # over-limit applications take the flat plan: whole results
-    return nested_ledger_features(nested).unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
+    return out.unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
 
 
 TABLE_COUNTS_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log") + """
