@@ -84,8 +84,8 @@ def _pipeline_sql():
                           "frequent_location_changes, night_transaction_ratio, financial_app_usage_score")
 
 
-@register("adapt_pipeline_schema", _pipeline_sql())
-def q_adapt_pipeline_schema(spark, sf_dir):
+@register("adapt_batch_schema", _pipeline_sql())
+def q_adapt_batch_schema(spark, sf_dir):
     """Generated pipeline-dialect records -> canonical -> 21 attribute features."""
     from ..sources import generate as G
     from ..sources.schemas import adapt_pipeline

@@ -84,8 +84,8 @@ def q_model_info(spark, sf_dir):
     return ML.model_info(spark, trained_model(spark, sf_dir), FEATURE_NAMES)
 
 
-@register("train_pipeline")
-def q_train_pipeline(spark, sf_dir):
+@register("train_evaluate")
+def q_train_evaluate(spark, sf_dir):
     """Features -> split -> fit -> evaluate on the test split (metrics row)."""
     tf = training_frame(spark, sf_dir)
     model = trained_model(spark, sf_dir)
