@@ -87,7 +87,7 @@ def _raw_aggregate_exprs(heavy_rows: int) -> list[str]:
         f"stddev_samp({when(CR, AMT)}) AS cr_sd",
         # distinct sources: a set bounded by the source vocabulary; avoids the
         # distinct-aggregate rewrite (four aggregation operators)
-        f"size(collect_set({when(CR, 'source')})) AS cr_sources",
+        f"size(collect_set({when(f'{CR} AND _n_cr <= {int(heavy_rows)}', 'source')})) AS cr_sources",
         f"regr_slope({when(CR, AMT)}, {when(CR, day)}) AS cr_slope",
         f"max({when(CR, AMT)}) AS cr_max", f"min({when(CR, AMT)}) AS cr_min",
         f"percentile({when(f'{CR} AND _n_cr <= {int(heavy_rows)}', AMT)}, array(0.25D, 0.75D)) AS cr_q",
@@ -117,12 +117,17 @@ def raw_aggregates(ledger: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) -> DataF
     stats = applicant_stats(ledger)
     rows = ledger.join(stats, KEY)
     agg = rows.groupBy(KEY).agg(*[F.expr(e) for e in _raw_aggregate_exprs(heavy_rows)])
-    # Heavy applicants (normally none): exact quartiles, distributed per key.
+    # Heavy applicants (normally none): exact quartiles distributed per key,
+    # and distinct sources as a two-level count (pairs spread by source).
     from .ordered import keyed_exact_quantiles
-    heavy = keyed_exact_quantiles(rows.filter(F.expr(f"{CR} AND _n_cr > {int(heavy_rows)}")), KEY, "amount",
-                                  [0.25, 0.75], ["_hq1", "_hq3"])
-    return (agg.join(heavy, KEY, "left")
-            .withColumn("cr_q", F.coalesce("cr_q", F.array("_hq1", "_hq3"))).drop("_hq1", "_hq3"))
+    heavy_cr = rows.filter(F.expr(f"{CR} AND _n_cr > {int(heavy_rows)}"))
+    heavy = keyed_exact_quantiles(heavy_cr, KEY, "amount", [0.25, 0.75], ["_hq1", "_hq3"])
+    hsrc = (heavy_cr.filter(F.col("source").isNotNull()).select(KEY, "source").distinct()
+            .groupBy(KEY).agg(F.count(F.lit(1)).alias("_hsrc")))
+    return (agg.join(heavy, KEY, "left").join(hsrc, KEY, "left")
+            .withColumn("cr_q", F.coalesce("cr_q", F.array("_hq1", "_hq3")))
+            .withColumn("cr_sources", F.coalesce(F.col("_hsrc").cast("int"), F.col("cr_sources")))
+            .drop("_hq1", "_hq3", "_hsrc"))
 
 
 def _bands(x: str, cases: list[tuple[str, float]], otherwise: float) -> str:
