@@ -300,3 +300,12 @@ def q_global_importance_model(spark, sf_dir):
     names = F.element_at(F.array(*[F.lit(f) for f in FEATURE_NAMES]), F.col("j") + 1)
     return (long_df.groupBy(names.alias("feature")).agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
             .orderBy(F.col("mean_abs_shap").desc(), F.col("feature")).limit(20))
+
+
+@register("model_contributions")
+def q_model_contributions(spark, sf_dir):
+    """R9 with the model's own importances: value x importance per feature,
+    top 10 per applicant by |contribution| (importances: 45 rows, broadcast)."""
+    imp = ML.feature_importance(spark, trained_model(spark, sf_dir), FEATURE_NAMES)
+    long_df = S.feature_long(training_frame(spark, sf_dir), FEATURE_NAMES)
+    return S.top_contributions(long_df, imp, top_n=10).withColumn("rank", F.col("rank").cast("bigint"))
