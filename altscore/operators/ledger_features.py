@@ -119,8 +119,12 @@ def raw_aggregates(ledger: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) -> DataF
     agg = rows.groupBy(KEY).agg(*[F.expr(e) for e in _raw_aggregate_exprs(heavy_rows)])
     # Heavy applicants (normally none): exact quartiles distributed per key,
     # and distinct sources as a two-level count (pairs spread by source).
+    # Their keys number at most rows / heavy_rows, a proven bound, so they are
+    # broadcast into a semi join with the ledger; with no heavy applicant the
+    # branch is empty and never re-reads the shuffled ledger.
     from .ordered import keyed_exact_quantiles
-    heavy_cr = rows.filter(F.expr(f"{CR} AND _n_cr > {int(heavy_rows)}"))
+    heavy_keys = stats.filter(F.col("_n_cr") > heavy_rows).select(KEY)
+    heavy_cr = ledger.join(F.broadcast(heavy_keys), KEY, "left_semi").filter(F.expr(CR))
     heavy = keyed_exact_quantiles(heavy_cr, KEY, "amount", [0.25, 0.75], ["_hq1", "_hq3"])
     hsrc = (heavy_cr.filter(F.col("source").isNotNull()).select(KEY, "source").distinct()
             .groupBy(KEY).agg(F.count(F.lit(1)).alias("_hsrc")))
