@@ -125,9 +125,9 @@ def confidence(features: list[str]) -> F.Column:
 
 
 def _nonzero_share(features: list[str]) -> F.Column:
-    nonzero = add_all([F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.lit(1)).otherwise(F.lit(0))
-                       for c in features])
-    return nonzero / float(len(features))
+    # one SQL expression (one JVM call) instead of a 45-term Column tree
+    terms = " + ".join(f"(CASE WHEN coalesce({c}, 0.0D) != 0 THEN 1 ELSE 0 END)" for c in features)
+    return F.expr(f"({terms}) / {float(len(features))!r}D")
 
 
 def confidence_population(fm: DataFrame, features: list[str]) -> DataFrame:
