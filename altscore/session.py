@@ -48,7 +48,15 @@ def build_session(master: str | None = None, app_name: str = "altscore",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL confs to an existing session (idempotent)."""
+    """Apply the SQL confs to an existing session (idempotent).
+
+    Python workers must be able to import this package wherever the driver
+    was started; on a cluster the package is installed or shipped as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     for k, v in SQL_CONFS.items():
         spark.conf.set(k, v)
     return spark
