@@ -46,3 +46,23 @@ def md5_uniform(key: Column) -> Column:
     """A uniform number in (0, 1) from the first 52 bits of the key's MD5."""
     hex13 = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13)
     return (F.conv(hex13, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 52))
+
+
+def id_hash(doc_id: Column) -> Column:
+    """crc32 of the id as text (null: of the empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column | None = None) -> DataFrame:
+    """text and label of at most ``rows`` labelled documents.
+
+    The sample is the ``rows`` ids with the smallest hash among those for which
+    ``usable`` (a condition on doc_id) holds; all of them if there are fewer.
+    The bound makes the sample's ids safe to broadcast.
+    """
+    own = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    if usable is not None:
+        own = own.where(usable)
+    own = own.groupBy("doc_id").agg(F.min("label").alias("label"))
+    own = own.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
