@@ -17,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -45,10 +46,12 @@ IDENTITY_TERMS = (
 )
 
 
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
 def terms(text: str | None) -> set[str]:
     """Terms of one whole text: words, and stems marked by a final ``*``."""
-    import regex
-    words = set(regex.findall(r"\p{L}+", (text or "").lower()))
+    words = set(_WORDS(text.lower())) if text else set()
     return words | {w[:STEM] + "*" for w in words if len(w) >= STEM}
 
 
