@@ -1,19 +1,31 @@
 """Token ids of whole texts by the tokenizers library, piece by piece.
 
 Texts are cut at single spaces and line ends, where these tokenizers always
-cut as well, and the library encodes each *distinct* piece once.  A text in
-which a cut could change the result (runs of white space, special strings,
-white space at an end) is given to the library whole.
+cut as well.  Each *distinct* piece is split by the tokenizer's own pattern
+and its words go through the library's BPE model once; a text is then the
+concatenation of what its pieces gave.  A text in which a cut could change the
+result (runs of white space, special strings, white space at an end) is given
+to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from itertools import chain
 
 import numpy as np
 
-PIECES = 400_000          # pieces kept by one worker, about 60 MB
+PIECES = 800_000          # pieces kept by one worker, about 160 MB
+WORDS = 400_000           # words kept by one worker, about 70 MB
+
+# Fixed value: the split pattern of byte-level tokenizers that name none.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# separators that Python's \s has and Unicode's White_Space has not
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+FIRST = "\udfff"          # marks a text's first piece; no text holds half a surrogate pair
 
 _ENCODERS: dict = {}
 
@@ -24,56 +36,90 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def load_tokenizer(name: str):
+def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(name if os.path.sep in name else tokenizer_path(name))
+    return Tokenizer.from_file(path)
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable symbol that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, name: str):
-        self.tok = load_tokenizer(name)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        # byte-level vocabularies keep the space before a word in its token
-        self.spaced = self.tok.normalizer is None
+        import regex
+        path = name if os.path.sep in name else tokenizer_path(name)
+        self.tok = load_tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        own = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
+        self.split = regex.compile(own[0] if own else BYTE_LEVEL).findall
+        self.unsafe = re.compile("|".join(map(re.escape, [t["content"] for t in spec["added_tokens"]] + list(ODD)))).search
+        self.model = self.tok.model
+        self.normalize = self.tok.normalizer.normalize_str if self.tok.normalizer else None
+        self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
         self.cache: dict = {}
+        self.words: dict = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _unsafe(self, piece: str) -> bool:
-        if any(s in piece for s in self.special):
-            return True
-        if not self.spaced:
-            return False
-        body = piece[1:] if piece[:1] in ("\n", " ") else piece
-        return not body or body[0].isspace() or body[-1].isspace()
-
     def _pieces(self, text: str) -> list:
-        if not self.spaced:
+        """Keys of the pieces.  Where spaces count, a key stands for a space
+        and itself, unless it starts with a line end or FIRST."""
+        if self.normalize:
             return text.replace("\n", " ").split(" ")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        # keys as the library sees them: " word", "\nword"; the first as it is
-        return [first, *[p if p[:1] == "\n" else " " + p for p in rest]]
-
-    def _learn(self, new: list) -> None:
-        good = [p for p in new if not self._unsafe(p)]
-        for p in set(new).difference(good):
-            self.cache[p] = None
-        for p, e in zip(good, self.tok.encode_batch_fast(good, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = FIRST + pieces[0]
+        return pieces
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word[1:].isalpha():        # byte-level symbols of letters are the letters
+            symbols = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        return ids
+
+    def _learn(self, new) -> None:
+        cache, words, split, unsafe = self.cache, self.words, self.split, self.unsafe
+        if len(words) > WORDS:
+            words.clear()
+        for p in new:
+            if unsafe(p):
+                cache[p] = None
+                continue
+            if self.normalize:
+                body = text = self.normalize(p)
+            elif p[:1] == FIRST:
+                body = text = p[1:]
+            elif p[:1] == "\n":
+                body, text = p[1:], p
+            else:
+                body, text = p, " " + p
+            if not self.normalize and (not body or body[0].isspace() or body[-1].isspace()):
+                cache[p] = None
+            elif body.isalpha() and text[0] != "\n":     # letters are one word, as the pattern has it
+                cache[p] = words.get(text) or self._word(text)
+            elif body[-1:] in (".", ",") and body[:-1].isalpha() and text[0] != "\n":
+                cache[p] = (words.get(text[:-1]) or self._word(text[:-1])) + (words.get(text[-1]) or self._word(text[-1]))
+            else:
+                cache[p] = b"".join([words.get(w) or self._word(w) for w in split(text)])
 
     def encode(self, texts: list) -> list:
         """The ids of each text (null: none) as bytes."""
-        if len(self.cache) > PIECES:
-            self.cache.clear()
         cache = self.cache
+        if len(cache) > PIECES:
+            cache.clear()
         cut = [self._pieces(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(cache)
-        if new:
-            self._learn(list(new))
+        self._learn(set(chain.from_iterable(cut)).difference(cache))
         out = []
         for t, pieces in zip(texts, cut):
             try:
