@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import rnd
+from ..session import stored
 from .ordered import exact_quantiles, global_cumsum
 
 DIGITS = 9  # outputs are rounded so that summation order cannot show
@@ -93,7 +94,7 @@ def roc_auc(pairs: DataFrame, t: str = "y_true", p: str = "y_pred",
 def roc_points(pairs: DataFrame, t: str = "y_true", p: str = "y_pred",
                threshold: float = K.DECISION_THRESHOLD) -> DataFrame:
     """EV4: (threshold, fpr, tpr) at every distinct score, highest first."""
-    sc = global_cumsum(_score_counts(pairs, t, p, threshold), "score", ["pos", "neg"], descending=True)
+    sc = stored(global_cumsum(_score_counts(pairs, t, p, threshold), "score", ["pos", "neg"], descending=True), "roc")
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] or 0
     return sc.select(F.col("score").alias("threshold"),

@@ -15,23 +15,31 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import rnd
+from ..session import stored
 from .scoring import SUBSCORES
 
 DIGITS = 9
 WEIGHTS = {f"{g}_score": w for g, w in K.SCORE_WEIGHTS.items()}
 
 
-def linear_shap(sub: DataFrame, key: str = "applicant_id") -> DataFrame:
-    """X4 long form: (key, feature, value, shap, base_value)."""
+def shap_wide(sub: DataFrame, key: str = "applicant_id") -> DataFrame:
+    """Per applicant: sub-scores, ``shap_<sub-score>`` and ``base_value``.
+
+    The sub-scores are stored, for they are read twice: for the five means
+    (one row) and for the rows.
+    """
+    sub = stored(sub.select(key, *SUBSCORES), "subscores")
     means = sub.agg(*[F.avg(c).alias(c) for c in SUBSCORES]).first()
     base = sum(WEIGHTS[c] * (means[c] or 0.0) for c in SUBSCORES)
-    cols = []
-    for c in SUBSCORES:
-        cols.append(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
-                             (F.lit(WEIGHTS[c]) * (F.col(c) - F.lit(means[c]))).alias("shap")))
-    long_df = sub.select(key, F.explode(F.array(*cols)).alias("s")).select(key, "s.*")
-    return long_df.select(key, "feature", "value", rnd(F.col("shap"), DIGITS).alias("shap"),
-                          rnd(F.lit(base), DIGITS).alias("base_value"))
+    return sub.select("*", *[rnd(F.lit(WEIGHTS[c]) * (F.col(c) - F.lit(means[c])), DIGITS).alias(f"shap_{c}") for c in SUBSCORES],
+                      rnd(F.lit(base), DIGITS).alias("base_value"))
+
+
+def linear_shap(sub: DataFrame, key: str = "applicant_id") -> DataFrame:
+    """X4 long form: (key, feature, value, shap, base_value)."""
+    cols = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"shap_{c}").alias("shap")) for c in SUBSCORES]
+    return shap_wide(sub, key).select(key, "base_value", F.explode(F.array(*cols)).alias("s")).select(
+        key, "s.*", "base_value")
 
 
 def explain_rows(shap_long: DataFrame, key: str = "applicant_id", top_n: int = 10) -> DataFrame:
@@ -50,18 +58,14 @@ def global_importance(shap_long: DataFrame, top_n: int = 20) -> DataFrame:
             .orderBy(F.col("mean_abs_shap").desc(), F.col("feature")).limit(top_n))
 
 
-def dependence_points(shap_long: DataFrame, feature: str, interaction: str | None = None,
+def dependence_points(wide: DataFrame, feature: str, interaction: str | None = None,
                       key: str = "applicant_id") -> DataFrame:
-    """(value, shap[, interaction value]) for one feature."""
-    if feature not in SUBSCORES:
-        raise ValueError(f"unknown feature {feature!r}")
-    pts = shap_long.filter(F.col("feature") == feature).select(key, "value", "shap")
-    if interaction:
-        if interaction not in SUBSCORES:
-            raise ValueError(f"unknown feature {interaction!r}")
-        other = shap_long.filter(F.col("feature") == interaction).select(key, F.col("value").alias("interaction_value"))
-        pts = pts.join(other, key)
-    return pts
+    """(value, shap[, interaction value]) for one feature of ``shap_wide``."""
+    for name in filter(None, (feature, interaction)):
+        if name not in SUBSCORES:
+            raise ValueError(f"unknown feature {name!r}")
+    extra = [F.col(interaction).alias("interaction_value")] if interaction else []
+    return wide.select(key, F.col(feature).alias("value"), F.col(f"shap_{feature}").alias("shap"), *extra)
 
 
 def waterfall(shap_long: DataFrame, key: str = "applicant_id") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +23,7 @@ from ..functions import constants as K
 from ..session import checkpoint_dir, scratch_path
 from .scoring import clip_score, confidence, decide
 
-ROWS_PER_PARTITION = 100_000
+VALIDATION_PCT = 20        # of the training rows, by key
 
 
 def split_flag(key: str, train_pct: int = 80, salt: int = 11) -> F.Column:
@@ -29,27 +31,30 @@ def split_flag(key: str, train_pct: int = 80, salt: int = 11) -> F.Column:
     return F.when(F.pmod(F.col(key) * 37 + salt, F.lit(100)) < train_pct, F.lit("train")).otherwise(F.lit("test"))
 
 
-def gbt_pipeline(features: list[str], label: str = "label", max_iter: int = 20, **overrides) -> Pipeline:
+def gbt_pipeline(features: list[str], label: str = "label", max_iter: int | None = None, **overrides) -> Pipeline:
     """M2: assembler + GBT with the reference's hyper-parameters mapped to
-    Spark ML (depth 5 ~ 31 leaves; no L1/L2 in Spark's learner)."""
-    params = dict(K.GBT_DEFAULTS)
-    params["maxIter"] = max_iter
-    params.update(overrides)
+    Spark ML (depth 5 ~ 31 leaves; no L1/L2 in Spark's learner).  With a
+    validation column boosting ends when the validation error grows."""
+    params = {**K.GBT_DEFAULTS, "validationTol": 0.0, **overrides}
+    if max_iter is not None:
+        params["maxIter"] = max_iter
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="raw_prediction", **params)
     return Pipeline(stages=[assembler, gbt])
 
 
-def fit(train: DataFrame, features: list[str], label: str = "label", max_iter: int = 20,
-        **overrides) -> PipelineModel:
-    checkpoint_dir(train.sparkSession)
-    data = train.select(*features, F.col(label).cast("double").alias("label")).checkpoint(eager=True)
-    # Boosting runs several jobs per tree level over this input: size the
-    # partitions (~ROWS_PER_PARTITION rows each, never more than exist now)
-    # so small inputs do not pay per-task overhead on every level.
-    n = data.count()
-    parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
-    return gbt_pipeline(features, "label", max_iter, **overrides).fit(data.coalesce(parts))
+def fit(train: DataFrame, features: list[str], label: str = "label", key: str = "applicant_id",
+        max_iter: int | None = None, **overrides) -> PipelineModel:
+    """Fit on rows dealt out by a hash of ``key`` and sorted within: GBT draws
+    its samples per partition in row order, so the model depends on the rows
+    and the number of partitions, and not on how the input was laid out."""
+    spark = train.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = F.pmod(F.xxhash64(key), F.lit(100)) < VALIDATION_PCT
+    data = (train.select(key, *features, F.col(label).cast("double").alias("label"), held.alias("validation"))
+            .repartition(n, key).sortWithinPartitions(key))
+    checkpoint_dir(spark)
+    return gbt_pipeline(features, "label", max_iter, validationIndicatorCol="validation", **overrides).fit(data.checkpoint())
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], keep=()) -> DataFrame:
@@ -60,10 +65,14 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], keep=()) ->
                       confidence(features).alias("confidence"))
 
 
+def importances(model: PipelineModel, features: list[str]) -> dict[str, float]:
+    """Split-gain importance of each feature."""
+    return dict(zip(features, map(float, model.stages[-1].featureImportances.toArray())))
+
+
 def feature_importance(spark, model: PipelineModel, features: list[str], top_n: int | None = None) -> DataFrame:
     """M3: split-gain importances zipped to names (bounded by the feature count)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+    df = spark.createDataFrame(list(importances(model, features).items()), "feature string, importance double")
     df = df.orderBy(F.col("importance").desc(), F.col("feature"))
     return df.limit(top_n) if top_n else df
 
@@ -78,21 +87,30 @@ def model_info(spark, model: PipelineModel, features: list[str], metadata: dict
 
 
 def save_model(model: PipelineModel, path: str, features: list[str], metadata: dict | None = None) -> str:
-    """Versioned save plus a JSON sidecar (feature names, importances, metadata)."""
-    model.write().overwrite().save(path)
-    gbt = model.stages[-1]
+    """Save under ``path``/<version> with a JSON sidecar (feature names,
+    importances, metadata); ``path``/_latest names the newest version."""
+    version = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:6]
+    root, path = path.rstrip("/"), f"{path.rstrip('/')}/{version}"
+    model.write().save(path)
     side = {"feature_names": features,
-            "feature_importance": dict(zip(features, gbt.featureImportances.toArray().tolist())),
+            "feature_importance": importances(model, features),
             "metadata": metadata or {}}
     # Written through Spark so that it lands on the shared storage of the model.
     from pyspark.sql import SparkSession
     side_df = SparkSession.getActiveSession().createDataFrame([(json.dumps(side),)], "sidecar string")
-    side_df.coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_sidecar")
+    side_df.coalesce(1).write.text(path + "_sidecar")
+    spark = side_df.sparkSession
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(root + "/_latest")
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, version: str | None = None) -> PipelineModel:
+    """The named version below ``path``, or the newest."""
+    from pyspark.sql import SparkSession
+    root = path.rstrip("/")
+    if version is None:
+        version = SparkSession.getActiveSession().read.text(root + "/_latest").first()[0]
+    return PipelineModel.load(f"{root}/{version}")
 
 
 def model_path(spark, name: str) -> str:

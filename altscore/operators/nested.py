@@ -132,19 +132,15 @@ def nested_ledger_features(apps: DataFrame, col: str = "sms_transactions") -> Da
     return features_from_aggregates(nested_raw_aggregates(apps.filter(F.size(col) > 0), col))
 
 
-def nest_ledger(ledger: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+def nest_ledger(ledger: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Split the ledger into nested applications (<= ``limit`` transactions,
-    one row each) and the flat rows of larger applications (``None`` when
-    there are none).
+    one row each: the API's limit for a record) and the flat rows of larger ones.
 
-    Per-applicant counts come first (a one-column partial aggregation); a
-    list is only ever collected for applicants within the limit.  When no
-    applicant exceeds it (the normal case) the ledger is nested directly.
+    Per-applicant counts come first (a one-column partial aggregation), so a
+    list is only ever collected for applicants within the limit.
     """
     counts = ledger.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     txn = F.struct(*[F.col(c) for c in TXN_FIELDS])
-    if counts.filter(F.col("_n") > limit).limit(1).count() == 0:
-        return ledger.groupBy(KEY).agg(F.collect_list(txn).alias("sms_transactions")), None
     small = counts.filter(F.col("_n") <= limit).select(KEY)
     big = counts.filter(F.col("_n") > limit).select(KEY)
     nested = (ledger.join(small, KEY, "left_semi").groupBy(KEY)
@@ -152,21 +148,11 @@ def nest_ledger(ledger: DataFrame, limit: int = NESTED_LIMIT) -> tuple[DataFrame
     return nested, ledger.join(big, KEY, "left_semi")
 
 
-def nested_applications(spark: SparkSession, sf_dir: str, limit: int = NESTED_LIMIT) -> DataFrame:
-    """Nested applications (one record per applicant with its transactions)."""
-    from ..sources import views as V
-    nested, _ = nest_ledger(V.ledger(spark, sf_dir), limit)
-    return nested
-
-
 def features_nested_or_flat(ledger: DataFrame, limit: int = NESTED_LIMIT) -> DataFrame:
     """All applicants: nested plan for lists within the limit, flat plan for
     the rest — whole results, no application dropped or truncated."""
     nested, rest = nest_ledger(ledger, limit)
-    out = nested_ledger_features(nested)
-    if rest is None:
-        return out
-    return out.unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
+    return nested_ledger_features(nested).unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
 
 
 def nested_feature_matrix(apps: DataFrame, col: str = "sms_transactions") -> DataFrame:

@@ -4,13 +4,14 @@ A window with no ``partitionBy`` moves every row into one task.  Instead:
 
 1. collapse to distinct order keys with counts (map-side partial aggregation);
 2. range-partition those keys (``repartitionByRange``; equal keys share a
-   partition and partitions are ordered);
-3. running sums inside each partition (a window partitioned by the task id);
-4. add the totals of all earlier partitions — a table with one row per
-   partition, i.e. bounded by the shuffle width, so it is broadcast.
-
-The result is an exact global cumulative sum over the sorted keys computed
-by all executors in parallel.
+   partition and partitions are ordered) and store the result with its
+   partition number as a column;
+3. running sums inside each partition;
+4. add the totals of all earlier partitions, a table with one row per partition.
+
+Steps 3 and 4 both read the stored table.  Range bounds are sampled, so a range
+partitioning that is evaluated twice need not come out the same; a number that
+is data does.
 """
 
 from __future__ import annotations
@@ -18,6 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
+
+def _ranged(df: DataFrame, num_partitions: int | None, *keys) -> DataFrame:
+    """``df`` stored in ranges of ``keys``, numbered by ``_pid`` in their order.
+
+    Without an explicit count AQE may merge neighbouring ranges; the numbers
+    then still follow the order of the keys.
+    """
+    d = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    return stored(d.withColumn("_pid", F.spark_partition_id()), "ranged")
+
 
 def global_cumsum(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False,
                   num_partitions: int | None = None) -> DataFrame:
@@ -26,25 +39,23 @@ def global_cumsum(df: DataFrame, order_col: str, value_cols: list[str], descendi
     ``df`` should already hold one row per distinct ``order_col`` value.
     """
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    # Without an explicit count AQE may coalesce adjacent ranges; partition
-    # ids then still follow the key order, which is all the offsets need.
-    d = (df.repartitionByRange(num_partitions, key) if num_partitions else df.repartitionByRange(key))
-    d = d.withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    for v in value_cols:
-        d = d.withColumn(f"_loc_{v}", F.sum(v).over(w))
+    d = _ranged(df, num_partitions, key)
     totals = d.groupBy("_pid").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    # Offsets over at most n rows: a single small task by construction.
+    # Offsets over one row per partition: a single small task by construction.
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{v}").over(wo), F.lit(0)).alias(f"_off_{v}")
                                       for v in value_cols])
-    out = d.join(F.broadcast(offsets), "_pid")
+    w = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    for v in value_cols:
+        d = d.withColumn(f"_loc_{v}", F.sum(v).over(w))
+    out = d.join(offsets, "_pid")
     for v in value_cols:
         out = out.withColumn(f"cum_{v}", F.col(f"_loc_{v}") + F.col(f"_off_{v}"))
     return out.drop("_pid", *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy default / ``quantile_cont``), exact.
 
     Works on distinct values with multiplicities, so the shuffled data is at
@@ -54,9 +65,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    cum = global_cumsum(counts, "v", ["c"])          # cum_c = #values <= v
+    cum = stored(global_cumsum(counts, "v", ["c"], num_partitions=num_partitions), "quantile-ranks")   # cum_c = #values <= v
     cum = cum.withColumn("lo_rank", F.col("cum_c") - F.col("c"))  # #values < v
-    total = vals.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    total = cum.agg(F.max("cum_c").alias("n")).first()["n"]
     if not total:
         return df.sparkSession.createDataFrame([tuple([None] * len(probs))],
                                                ", ".join(f"{n} double" for n in names))
@@ -78,29 +89,45 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     return cum.agg(*cols)
 
 
-def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float], names: list[str],
-                          num_partitions: int | None = None) -> DataFrame:
+def _cell(v):
+    """Order-preserving cells of doubles, about 1 % wide: a function of the value alone."""
+    mag = F.floor(F.log2(F.abs(v)) * 64).cast("long") + 100_000
+    return F.when(F.isnan(v), F.lit(1_000_000).cast("long")).when(v == 0, F.lit(0).cast("long")).when(v > 0, mag).otherwise(-mag)
+
+
+def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float], names: list[str]) -> DataFrame:
     """Per-key linear-interpolated quantiles without holding a key in one task.
 
-    Distinct ``(key, value)`` pairs with counts (partial aggregation) are
-    range-partitioned on ``(key, value)``, so one key's values may span many
-    partitions.  Running counts inside each (partition, key), plus offsets of
-    the same key's earlier partitions (a table with one row per partition and
-    key, i.e. at most #keys + #partitions rows), give every value's rank
-    range; one more aggregate picks the values at the ranks each probability
-    needs.  Returns ``(key, names...)``.
+    Distinct ``(key, value)`` pairs with counts (partial aggregation) fall into
+    cells of values; the running count over a key's cells (a few thousand at
+    most) tells in which cells the wanted ranks lie, and only the values of
+    those are ranked, cell by cell.  Returns ``(key, names...)``.
     """
     v = df.select(key, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    counts = v.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = keyed_cumsum(counts, key, ["v"], "c", "cum", num_partitions)
-    n_per_key = counts.groupBy(key).agg(F.sum("c").alias("_n"))
-    r = cum.join(n_per_key, key).select(key, "v", "c", "cum", "_n", (F.col("cum") - F.col("c")).alias("lo_rank"))
-    aggs = []
-    for p, name in zip(probs, names):
+    counts = v.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c")).withColumn("cell", _cell(F.col("v")))
+    cells = counts.groupBy(key, "cell").agg(F.sum("c").alias("cc"))
+    upto = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_upto", F.sum("cc").over(upto)).withColumn("_n", F.sum("cc").over(Window.partitionBy(key)))
+
+    def ranks(p):
         h = (F.col("_n") - 1) * F.lit(p)
         k = F.floor(h)
-        k1 = F.least(k + 1, F.col("_n") - 1)
-        frac = h - k
+        return k, F.least(k + 1, F.col("_n") - 1), h - k
+
+    def inside(rank):
+        return (F.col("_upto") - F.col("cc") <= rank) & (F.col("_upto") > rank)
+
+    wanted = F.lit(False)
+    for p in probs:
+        k, k1, _ = ranks(p)
+        wanted = wanted | inside(k) | inside(k1)
+    need = cells.filter(wanted).select(key, "cell", (F.col("_upto") - F.col("cc")).alias("_before"), "_n")
+    run = Window.partitionBy(key, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    r = counts.join(need, [key, "cell"]).withColumn("cum", F.col("_before") + F.sum("c").over(run))
+    r = r.withColumn("lo_rank", F.col("cum") - F.col("c"))
+    aggs = []
+    for p, name in zip(probs, names):
+        k, k1, frac = ranks(p)
 
         def hit(rank):
             return (F.col("lo_rank") <= rank) & (F.col("cum") > rank)
@@ -120,9 +147,7 @@ def keyed_cumsum(df: DataFrame, key: str, order_cols: list[str], value: str, out
     same key in earlier partitions are added from a (partition, key) totals
     table.  The final join is on (partition, key), which spreads a hot key
     over its partitions.  ``order_cols`` should make rows unique per key."""
-    d = (df.repartitionByRange(num_partitions, key, *order_cols) if num_partitions
-         else df.repartitionByRange(key, *order_cols))
-    d = d.withColumn("_pid", F.spark_partition_id())
+    d = _ranged(df, num_partitions, key, *order_cols)
     w = Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum(value).over(w))
     tot = d.groupBy("_pid", key).agg(F.sum(value).alias("_tot"))

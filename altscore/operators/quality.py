@@ -23,10 +23,10 @@ def with_violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.withColumn("violations", F.filter(arr, lambda x: x.isNotNull()))
 
 
-def validate(df: DataFrame, rules: dict[str, str], key: str) -> DataFrame:
-    """V9: ``(key, is_valid, n_violations, message)`` per record."""
+def validate(df: DataFrame, rules: dict[str, str], key: str, keep=()) -> DataFrame:
+    """V9: ``(key, *keep, is_valid, n_violations, message)`` per record."""
     v = with_violations(df, rules)
-    return v.select(key, (F.size("violations") == 0).alias("is_valid"),
+    return v.select(key, *keep, (F.size("violations") == 0).alias("is_valid"),
                     F.size("violations").cast("bigint").alias("n_violations"),
                     F.array_join("violations", "; ").alias("message"))
 

@@ -21,25 +21,25 @@ RATE_LIMIT_SCHEMA = ("request_id long, client string, ts_us long, accepted boole
 
 
 def _limiter(limit: int, window_us: int):
-    """Per-partition state machine over rows sorted by (client, ts, id).
+    """State machine over rows sorted by (client, burst, ts, id).
 
-    State per client is the deque of accepted request times still inside the
-    window (at most ``limit`` entries), so memory is O(limit) whatever the
-    client's volume; the partition is consumed as a stream of Arrow batches.
+    The state is the deque of accepted request times still inside the window
+    (at most ``limit`` entries), so memory is O(limit) whatever the volume; the
+    partition is consumed as a stream of Arrow batches.
     """
     def run(batches):
-        client, acc = None, deque()
+        key, acc = None, deque()
         for pdf in batches:
             n = len(pdf)
             accepted = [False] * n
             remaining = [0] * n
             retry = [0] * n
-            clients = pdf["client"].tolist()
+            keys = list(zip(pdf["client"].tolist(), pdf["burst"].tolist()))
             times = pdf["ts_us"].tolist()
             for i in range(n):
-                c, t = clients[i], times[i]
-                if c != client:
-                    client, acc = c, deque()
+                t = times[i]
+                if keys[i] != key:
+                    key, acc = keys[i], deque()
                 cutoff = t - window_us
                 while acc and acc[0] <= cutoff:      # strictly newer than the cutoff survive
                     acc.popleft()
@@ -55,15 +55,33 @@ def _limiter(limit: int, window_us: int):
     return run
 
 
+def bursts(requests: DataFrame, window_us: int) -> DataFrame:
+    """Add ``burst``: requests of a client in different bursts are more than a
+    window apart, so the limiter's state is empty between them.
+
+    Time is cut into cells of one window's length; a burst is a run of cells
+    without an empty one.  Runs are found on the table of occupied cells, which
+    is bounded by time and not by the number of requests.
+    """
+    r = requests.withColumn("_cell", F.floor(F.col("ts_us") / F.lit(window_us)).cast("long"))
+    cells = r.select("client", "_cell").distinct()
+    row = F.row_number().over(Window.partitionBy("client").orderBy("_cell"))
+    cells = cells.select(F.col("client").alias("_client"), F.col("_cell").alias("_c"), (F.col("_cell") - row).alias("burst"))
+    return r.join(cells, F.col("client").eqNullSafe(F.col("_client")) & (F.col("_cell") == F.col("_c"))).drop(
+        "_client", "_c", "_cell")
+
+
 def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
-               window_s: int = K.RATE_LIMIT_WINDOW_S, num_partitions: int | None = None) -> DataFrame:
+               window_s: int = K.RATE_LIMIT_WINDOW_S) -> DataFrame:
     """W1 + W2: accept a request iff fewer than ``limit`` *accepted* requests
     of the same client lie in the last ``window_s`` seconds (rejected ones are
-    not recorded); remaining quota and retry-after per request."""
-    r = requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us"))
-    r = r.repartition(num_partitions, "client") if num_partitions else r.repartition("client")
-    r = r.sortWithinPartitions("client", "ts_us", "request_id")
-    out = r.mapInPandas(_limiter(limit, window_s * 1_000_000), RATE_LIMIT_SCHEMA)
+    not recorded); remaining quota and retry-after per request.
+
+    Work is dealt out by (client, burst), so a busy client is many keys."""
+    window_us = window_s * 1_000_000
+    r = bursts(requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), window_us)
+    r = r.repartition("client", "burst").sortWithinPartitions("client", "burst", "ts_us", "request_id")
+    out = r.select("request_id", "client", "burst", "ts_us").mapInPandas(_limiter(limit, window_us), RATE_LIMIT_SCHEMA)
     return out.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"),
                       "accepted", "remaining", "retry_after")
 
@@ -156,9 +174,10 @@ def uptime_window(requests: DataFrame, predictions: DataFrame) -> DataFrame:
     """The API metrics row, with approval rate, last-hour volume and
     cache hit rate computed from the data."""
     lm = latency_metrics(requests)
-    now = requests.agg(F.max("ts").alias("m")).first()["m"]
-    rq = requests.agg(
-        F.count_if(F.col("ts") >= F.lit(now) - F.expr("INTERVAL 1 HOUR")).alias("predictions_last_hour"),
+    # one row, joined on a constant key
+    now = requests.agg(F.max("ts").alias("now")).withColumn("_k", F.lit(1))
+    rq = requests.withColumn("_k", F.lit(1)).join(F.broadcast(now), "_k").agg(
+        F.count_if(F.col("ts") >= F.col("now") - F.expr("INTERVAL 1 HOUR")).alias("predictions_last_hour"),
         rnd(F.count_if("cache_hit") / F.count(F.lit(1)), 9).alias("cache_hit_rate"))
     pr = predictions.agg(rnd(F.count_if(F.col("decision") == "approve") / F.count(F.lit(1)), 9)
                          .alias("approval_rate"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import add_all, clip, rnd
+from ..session import stored
 
 KEY = "applicant_id"
 SUBSCORES = ["income_score", "expense_score", "social_score", "discipline_score", "behavioral_score"]
@@ -132,6 +133,7 @@ def _nonzero_share(features: list[str]) -> F.Column:
 
 def confidence_population(fm: DataFrame, features: list[str]) -> DataFrame:
     """R7 with the outlier penalty against population mean / sample sd."""
+    fm = stored(fm, "features")          # read twice: for the statistics and for the rows
     stats = fm.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)],
                    *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(features)]).first()
     outlier = None
@@ -161,37 +163,36 @@ def feature_long(fm: DataFrame, features: list[str], key: str = KEY) -> DataFram
         key, features, "feature", "value")
 
 
-def top_contributions(long_df: DataFrame, importance: DataFrame, top_n: int = 10,
+def top_contributions(fm: DataFrame, importance: dict[str, float], features: list[str], top_n: int = 10,
                       key: str = KEY) -> DataFrame:
     """Value x importance, top-n per row by |contribution| (tie-break: name).
 
-    ``importance`` has one row per feature (bounded by the model width), so it
-    is broadcast.  The per-key top-n runs as a window with a row limit, which
-    Spark plans as a group-limit before the sort.
+    All within the row: the features become an array that is sorted, cut and
+    exploded; nothing is shuffled.
     """
-    j = long_df.join(F.broadcast(importance), "feature", "left").withColumn(
-        "importance", F.coalesce(F.col("importance"), F.lit(0.0)))
-    j = j.withColumn("contribution", F.col("value") * F.col("importance"))
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("feature"))
-    return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-            .select(key, "rank", "feature", "value", "importance", "contribution"))
+    def entry(name):
+        v, w = F.col(name).cast("double"), F.lit(float(importance.get(name, 0.0)))
+        return F.struct((-F.abs(v * w)).alias("by"), F.lit(name).alias("feature"), v.alias("value"),
+                        w.alias("importance"), (v * w).alias("contribution"))
 
+    # sorted by the first fields: largest |contribution| first, then name
+    entries = F.filter(F.array(*[entry(f) for f in features]), lambda x: x["value"].isNotNull())
+    best = F.slice(F.array_sort(entries), 1, top_n)
+    d = fm.select(key, F.posexplode(best).alias("at", "e"))
+    return d.select(key, (F.col("at") + 1).alias("rank"), "e.feature", "e.value", "e.importance", "e.contribution")
 
-def weighted_category_score(spark, sub: DataFrame, key: str = KEY) -> DataFrame:
-    """Category weights (a 5-row table, broadcast) applied to the
-    sub-scores in long form and summed per applicant."""
-    w = spark.createDataFrame([(f"{g}_score", float(v)) for g, v in K.SCORE_WEIGHTS.items()],
-                              "category string, weight double")
-    long_df = sub.unpivot(key, SUBSCORES, "category", "score")
-    return (long_df.join(F.broadcast(w), "category")
-            .groupBy(key).agg(rnd(F.sum(F.col("score") * F.col("weight")), 6).alias("weighted_score")))
 
+def weighted_category_score(sub: DataFrame, key: str = KEY) -> DataFrame:
+    """Category weights applied to the sub-scores; absent ones count nothing."""
+    terms = [F.coalesce(F.col(f"{g}_score") * float(w), F.lit(0.0)) for g, w in K.SCORE_WEIGHTS.items()]
+    return sub.select(key, rnd(add_all(terms), 6).alias("weighted_score"))
 
-def sparse_features(long_df: DataFrame, key: str = KEY) -> DataFrame:
+
+def sparse_features(fm: DataFrame, features: list[str], key: str = KEY) -> DataFrame:
     """Feature map holding only non-zero entries (the request form, where
-    absent features mean 0).  At most #features entries per key."""
-    entry = F.when(F.col("value") != 0, F.struct("feature", "value"))
-    return long_df.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("features"))
+    absent features mean 0)."""
+    whole = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.col(c).cast("double") for c in features]))
+    return fm.select(key, F.map_filter(whole, lambda k, v: v != 0).alias("features"))
 
 
 def explode_sparse(sparse: DataFrame, names: list[str], key: str = KEY) -> DataFrame:

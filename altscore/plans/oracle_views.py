@@ -66,13 +66,13 @@ SELECT o_orderkey AS application_id, o_custkey AS user_id, o_totalprice AS loan_
        o_orderpriority AS loan_purpose
 FROM orders""",
     "predictions": """
-SELECT event_id AS prediction_id, event_id % 1500 AS application_id, k / 100.0::DOUBLE AS score,
+SELECT event_id AS prediction_id, event_id % (SELECT count(*) FROM orders) AS application_id, k / 100.0::DOUBLE AS score,
        0.3::DOUBLE + (event_id % 66) / 100.0::DOUBLE AS confidence,
        CASE WHEN k / 100.0::DOUBLE > 0.6::DOUBLE THEN 'approve' ELSE 'reject' END AS decision,
        ts AS prediction_timestamp, value AS latency_ms
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
     "audit_logs": """
-SELECT event_id AS audit_id, event_id % 1500 AS application_id, user_id AS actor_id, event_type,
+SELECT event_id AS audit_id, event_id % (SELECT count(*) FROM orders) AS application_id, user_id AS actor_id, event_type,
        props AS event_data, ts AS created_at
 FROM events""",
     "request_log": """

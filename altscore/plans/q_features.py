@@ -7,7 +7,7 @@ from ..operators import ledger_features as L
 from ..sources import views as V
 from . import oracle_features as O
 from .features import FEATURE_NAMES, feature_matrix
-from .oracle_views import VIEWS
+from .oracle_views import VIEWS, cte
 from .registry import register
 
 
@@ -76,20 +76,18 @@ _LOC_DEFAULTS = ("0 AS unique_locations_count, 0.0::DOUBLE AS average_distance_f
                  "NULL::DOUBLE AS max_distance_from_home")
 
 
-def _pipeline_sql():
-    from .q_sources import GEN_ATTR_SQL
-    return _canonical_sql(GEN_ATTR_SQL, "application_id AS applicant_id, total_contacts, family_contacts, "
-                          "business_contacts, government_contacts, avg_communication_frequency, "
-                          f"{_LOC_DEFAULTS}, 'Unknown' AS area_type, gambling_app_usage, "
-                          "frequent_location_changes, night_transaction_ratio, financial_app_usage_score")
+_PIPELINE_SQL = _canonical_sql(
+    cte("loan_applications") + "SELECT * FROM loan_applications",
+    "application_id AS applicant_id, total_contacts, family_contacts, business_contacts, government_contacts, "
+    f"avg_communication_frequency, {_LOC_DEFAULTS}, 'Unknown' AS area_type, gambling_app_usage, "
+    "frequent_location_changes, night_transaction_ratio, financial_app_usage_score")
 
 
-@register("adapt_batch_schema", _pipeline_sql())
+@register("adapt_batch_schema", _PIPELINE_SQL)
 def q_adapt_batch_schema(spark, sf_dir):
-    """Generated pipeline-dialect records -> canonical -> 21 attribute features."""
-    from ..sources import generate as G
+    """Pipeline-dialect applications -> canonical -> 21 attribute features."""
     from ..sources.schemas import adapt_pipeline
-    return A.attribute_features(adapt_pipeline(G.gen_attributes(spark, sf_dir)))
+    return A.attribute_features(adapt_pipeline(V.loan_applications(spark, sf_dir)))
 
 
 _API_SQL = _canonical_sql(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -12,33 +14,29 @@ from ..operators import ml as ML
 from ..operators import quality as Q
 from ..operators import scoring as S
 from ..operators.ordered import exact_quantiles
+from ..session import stored
 from ..sources import views as V
 from .features import FEATURE_NAMES, feature_matrix
 from .oracle_views import cte
 from .q_scoring import DECISION_SQL, _SCORE_SQL, _SUBSCORE_SQL, scored_applicants
 from .registry import register
 
-N_TREES = 20
-_MODELS: dict = {}
 
 
 def training_frame(spark, sf_dir):
-    """Feature matrix + label (rule score in 0-1 units) + split flag."""
+    """Feature matrix + label (rule score in 0-1 units) + split flag, stored:
+    the model is fitted on it and then applied to it."""
     ledger, apps = V.ledger(spark, sf_dir), V.applicants(spark, sf_dir)
     fm = feature_matrix(apps, ledger, keep=S.SCORE_INPUTS, keep_raw=S.TOTALS)
     lab = S.weighted(S.subscores_from_totals(fm, keep=FEATURE_NAMES))
-    return lab.select("applicant_id", *FEATURE_NAMES,
-                      (F.col("profitability_score") / 100.0).alias("label"),
-                      ML.split_flag("applicant_id").alias("split"))
+    return stored(lab.select("applicant_id", *FEATURE_NAMES,
+                             (F.col("profitability_score") / 100.0).alias("label"),
+                             ML.split_flag("applicant_id").alias("split")), "training")
 
 
-def trained_model(spark, sf_dir):
-    """M2 (memoised per session and input): GBT fitted on the train split."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        tf = training_frame(spark, sf_dir)
-        _MODELS[key] = ML.fit(tf.filter(F.col("split") == "train"), FEATURE_NAMES, "label", max_iter=N_TREES)
-    return _MODELS[key]
+def trained_model(tf):
+    """M2: GBT fitted on the train split."""
+    return ML.fit(tf.filter(F.col("split") == "train"), FEATURE_NAMES, "label")
 
 
 @register("train_test_split", cte("applicants") + """
@@ -51,59 +49,62 @@ def q_train_test_split(spark, sf_dir):
 
 @register("gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """M2 + M11: fit 20 trees on the train split; model summary row."""
-    _MODELS.pop((spark.sparkContext.applicationId, sf_dir), None)
-    model = trained_model(spark, sf_dir)
+    """M2 + M11: fit on the train split; model summary row."""
+    model = trained_model(training_frame(spark, sf_dir))
     return ML.model_info(spark, model, FEATURE_NAMES, {"label": "profitability_score/100", "split": "80/20"})
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """M3: top-20 importances (they sum to 1 over all features)."""
-    return ML.feature_importance(spark, trained_model(spark, sf_dir), FEATURE_NAMES, 20)
+    return ML.feature_importance(spark, trained_model(training_frame(spark, sf_dir)), FEATURE_NAMES, 20)
 
 
 @register("gbt_transform")
 def q_gbt_transform(spark, sf_dir):
     """M4 + M7: score every applicant; ids carried through the plan."""
     tf = training_frame(spark, sf_dir)
-    return ML.score(trained_model(spark, sf_dir), tf, FEATURE_NAMES, keep=["applicant_id"])
+    return ML.score(trained_model(tf), tf, FEATURE_NAMES, keep=["applicant_id"])
 
 
 @register("score_single")
 def q_score_single(spark, sf_dir):
     """M5: the same plan on a one-row frame (lowest applicant id)."""
-    tf = training_frame(spark, sf_dir)
-    one = tf.orderBy("applicant_id").limit(1)
-    return ML.score(trained_model(spark, sf_dir), one, FEATURE_NAMES, keep=["applicant_id"])
+    apps, ledger = V.applicants(spark, sf_dir), V.ledger(spark, sf_dir)
+    who = apps.agg(F.min("applicant_id")).first()[0]
+    # the key is filtered before the features are built, and reaches the scans
+    one = feature_matrix(apps.filter(F.col("applicant_id") == who), ledger.filter(F.col("applicant_id") == who))
+    return ML.score(trained_model(training_frame(spark, sf_dir)), one, FEATURE_NAMES, keep=["applicant_id"])
 
 
 @register("model_info")
 def q_model_info(spark, sf_dir):
     """M11."""
-    return ML.model_info(spark, trained_model(spark, sf_dir), FEATURE_NAMES)
+    return ML.model_info(spark, trained_model(training_frame(spark, sf_dir)), FEATURE_NAMES)
 
 
 @register("train_evaluate")
 def q_train_evaluate(spark, sf_dir):
     """Features -> split -> fit -> evaluate on the test split (metrics row)."""
     tf = training_frame(spark, sf_dir)
-    model = trained_model(spark, sf_dir)
+    model = trained_model(tf)
     test = tf.filter(F.col("split") == "test")
     pred = model.transform(test.select("applicant_id", "label", *FEATURE_NAMES)).select(
         F.col("label").alias("y_true"), S.clip_score(F.col("raw_prediction")).alias("y_pred"))
     return EV.regression_metrics(pred)
 
 
-@register("model_io", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch FROM customer")
+@register("model_io", cte("applicants") + """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE applicant_id IS NULL) AS n_mismatch FROM applicants""")
 def q_model_io(spark, sf_dir):
-    """Save (versioned + sidecar), load, and compare predictions: every
+    """Save two versions, load the latest, and compare predictions: every
     applicant scored, no prediction changed by the round trip."""
-    model = trained_model(spark, sf_dir)
-    path = ML.model_path(spark, f"gbt_{abs(hash(sf_dir)) % 10**8}")
-    ML.save_model(model, path, FEATURE_NAMES, {"n_trees": N_TREES})
-    again = ML.load_model(path)
     tf = training_frame(spark, sf_dir)
+    model = trained_model(tf)
+    path = ML.model_path(spark, f"gbt-{uuid.uuid4().hex}")
+    ML.save_model(model, path, FEATURE_NAMES)
+    ML.save_model(model, path, FEATURE_NAMES)
+    again = ML.load_model(path)
     a = ML.score(model, tf, FEATURE_NAMES, keep=["applicant_id"]).select("applicant_id", F.col("score").alias("a"))
     b = ML.score(again, tf, FEATURE_NAMES, keep=["applicant_id"]).select("applicant_id", F.col("score").alias("b"))
     return a.join(b, "applicant_id").agg(F.count(F.lit(1)).alias("n_rows"),
@@ -122,9 +123,8 @@ FROM loan_applications GROUP BY user_id""")
 def q_batch_result(spark, sf_dir):
     """M6: per batch (a user's applications): totals, successes, failures
     (failures = applications failing validation)."""
-    v = Q.validate(V.loan_applications(spark, sf_dir), R.ALL_APPLICATION_RULES, "application_id")
-    a = V.loan_applications(spark, sf_dir).select("application_id", "user_id").join(v, "application_id")
-    return a.groupBy(F.col("user_id").alias("batch_id")).agg(
+    v = Q.validate(V.loan_applications(spark, sf_dir), R.ALL_APPLICATION_RULES, "application_id", keep=["user_id"])
+    return v.groupBy(F.col("user_id").alias("batch_id")).agg(
         F.count(F.lit(1)).alias("total_applications"), F.count_if("is_valid").alias("successful"),
         F.count_if(~F.col("is_valid")).alias("failed")).withColumn(
         "batch_code", F.concat(F.lit("BATCH_"), F.upper(F.substring(F.md5(F.col("batch_id").cast("string")), 1, 12))))
@@ -251,7 +251,8 @@ FROM shap_long a JOIN shap_long b ON a.applicant_id = b.applicant_id
 WHERE a.feature = 'expense_score' AND b.feature = 'income_score'""")
 def q_dependence_points(spark, sf_dir):
     """Expense sub-score against its SHAP value, coloured by income."""
-    return X.dependence_points(_shap(spark, sf_dir), "expense_score", "income_score")
+    wide = X.shap_wide(S.subscores(V.ledger(spark, sf_dir), V.applicants(spark, sf_dir)))
+    return X.dependence_points(wide, "expense_score", "income_score")
 
 
 @register("waterfall_rows", _SHAP_WITH + """
@@ -268,9 +269,9 @@ def q_waterfall_rows(spark, sf_dir):
 # ---------------------------------------------------------------- X1-X3 on the GBT
 def _tree_explain(spark, sf_dir, top_n=None, with_raw=False):
     from ..operators import treeshap as TS
-    model = trained_model(spark, sf_dir)
-    trees = TS.extract_trees(model.stages[-1])
     tf = training_frame(spark, sf_dir)
+    model = trained_model(tf)
+    trees = TS.extract_trees(model.stages[-1])
     if with_raw:
         tf = model.transform(tf.select("applicant_id", *FEATURE_NAMES)).drop("features")
     return TS.explain(tf, FEATURE_NAMES, trees, "applicant_id", top_n=top_n,
@@ -288,7 +289,7 @@ def q_explain_model_rows(spark, sf_dir):
 @register("explain_model_batch")
 def q_explain_model_batch(spark, sf_dir):
     """Full SHAP matrix rows with the additivity error against the
-    model's own raw prediction (rows-only; tests assert it is ~0)."""
+    model's own raw prediction (tests/test_models.py asserts that it is ~0)."""
     return _tree_explain(spark, sf_dir, with_raw=True)
 
 
@@ -305,7 +306,7 @@ def q_global_importance_model(spark, sf_dir):
 @register("model_contributions")
 def q_model_contributions(spark, sf_dir):
     """R9 with the model's own importances: value x importance per feature,
-    top 10 per applicant by |contribution| (importances: 45 rows, broadcast)."""
-    imp = ML.feature_importance(spark, trained_model(spark, sf_dir), FEATURE_NAMES)
-    long_df = S.feature_long(training_frame(spark, sf_dir), FEATURE_NAMES)
-    return S.top_contributions(long_df, imp, top_n=10).withColumn("rank", F.col("rank").cast("bigint"))
+    top 10 per applicant by |contribution|."""
+    tf = training_frame(spark, sf_dir)
+    imp = ML.importances(trained_model(tf), FEATURE_NAMES)
+    return S.top_contributions(tf, imp, FEATURE_NAMES, top_n=10).withColumn("rank", F.col("rank").cast("bigint"))

@@ -62,7 +62,11 @@ FROM fm JOIN sc ON fm.applicant_id = sc.applicant_id"""
 
 def scored_applicants(spark, sf_dir):
     """Feature matrix -> rule score in 0-1 units -> decision + confidence."""
-    ledger, apps = V.ledger(spark, sf_dir), V.applicants(spark, sf_dir)
+    return score_of(V.ledger(spark, sf_dir), V.applicants(spark, sf_dir))
+
+
+def score_of(ledger, apps):
+    """The scores of ``apps`` from their rows of ``ledger``."""
     # One ledger aggregation feeds both the features and the rule score.
     fm = feature_matrix(apps, ledger, keep=S.SCORE_INPUTS, keep_raw=S.TOTALS)
     fm = fm.withColumn("_c", S.confidence(FEATURE_NAMES))
@@ -135,15 +139,19 @@ FEATURE_LONG_SQL = O.fm_with(extra=[("fg", _groups_values_sql()), ("lg", _UNPIVO
 SELECT lg.applicant_id, fg.feature_group, lg.feature, lg.value FROM lg JOIN fg ON lg.feature = fg.feature"""
 
 
-def _long(spark, sf_dir):
-    fm = feature_matrix(V.applicants(spark, sf_dir), V.ledger(spark, sf_dir))
-    return S.feature_long(fm, FEATURE_NAMES)
+def _fm(spark, sf_dir):
+    return feature_matrix(V.applicants(spark, sf_dir), V.ledger(spark, sf_dir))
+
+
+def group_importance() -> dict[str, float]:
+    """Importance of each feature: its group's weight, spread evenly."""
+    return {f: K.GROUP_WEIGHTS[g] / len(fs) for g, fs in FEATURE_GROUPS.items() for f in fs}
 
 
 @register("feature_long", FEATURE_LONG_SQL)
 def q_feature_long(spark, sf_dir):
     fg = feature_groups(spark).select("feature", "feature_group")
-    return _long(spark, sf_dir).join(F.broadcast(fg), "feature").select(
+    return S.feature_long(_fm(spark, sf_dir), FEATURE_NAMES).join(F.broadcast(fg), "feature").select(
         "applicant_id", "feature_group", "feature", "value")
 
 
@@ -157,8 +165,7 @@ SELECT applicant_id, rank, feature, value, importance, contribution FROM (
 
 @register("linear_contributions", CONTRIB_SQL)
 def q_linear_contributions(spark, sf_dir):
-    imp = feature_groups(spark).select("feature", "importance")
-    return S.top_contributions(_long(spark, sf_dir), imp, top_n=10).withColumn(
+    return S.top_contributions(_fm(spark, sf_dir), group_importance(), FEATURE_NAMES, top_n=10).withColumn(
         "rank", F.col("rank").cast("bigint"))
 
 
@@ -176,7 +183,7 @@ GROUP BY applicant_id"""
 @register("weighted_category_score", WEIGHTED_SQL)
 def q_weighted_category_score(spark, sf_dir):
     sub = S.subscores(V.ledger(spark, sf_dir), V.applicants(spark, sf_dir))
-    return S.weighted_category_score(spark, sub)
+    return S.weighted_category_score(sub)
 
 
 # ---------------------------------------------------------------- P6 / P7 / FP7
@@ -184,7 +191,7 @@ def q_weighted_category_score(spark, sf_dir):
 def q_align_features(spark, sf_dir):
     """Sparse (non-zero only) feature maps re-aligned to the dense model
     layout; absent features become 0.  Must equal the feature matrix."""
-    sparse = S.sparse_features(_long(spark, sf_dir))
+    sparse = S.sparse_features(_fm(spark, sf_dir), FEATURE_NAMES)
     return S.align_features(S.explode_sparse(sparse, FEATURE_NAMES), FEATURE_NAMES, keep=["applicant_id"])
 
 
@@ -194,7 +201,7 @@ SELECT applicant_id, (45 - ({_nonzero_sql()}))::BIGINT AS n_missing FROM fm"""
 
 @register("missing_features", MISSING_SQL)
 def q_missing_features(spark, sf_dir):
-    sparse = S.sparse_features(_long(spark, sf_dir))
+    sparse = S.sparse_features(_fm(spark, sf_dir), FEATURE_NAMES)
     return S.missing_features(sparse, FEATURE_NAMES)
 
 

@@ -1,15 +1,15 @@
-"""§2.1 sources, sinks and the synthetic generator."""
+"""§2.1 sources, sinks and application records."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import to_ntz
 from ..operators import scoring as S
 from ..session import scratch_path
-from ..sources import generate as G
 from ..sources import io as IO
 from ..sources import views as V
 from ..sources.tables import load
@@ -18,68 +18,52 @@ from .q_scoring import _SCORE_SQL, _SUBSCORE_SQL
 from .registry import register
 
 
-def _duck(exprs):
-    return ",\n  ".join(e.replace("AS STRING)", "AS VARCHAR)") for e in exprs)
+TXN_ORDER = "ts, txn_type, amount, source, message, category"
+BATCH_TXN_SQL = cte("ledger") + f"""
+SELECT applicant_id, ts, txn_type, CAST(amount AS DOUBLE) AS amount, source, message, category FROM (
+  SELECT *, row_number() OVER (PARTITION BY applicant_id ORDER BY {TXN_ORDER}) AS n FROM ledger) WHERE n <= 100"""
 
 
-_N_CR = G.randint("c_custkey", 10, 15, 40)
-_N_DR = G.randint("c_custkey", 14, 20, 60)
-GEN_TXN_BODY = f"""
-SELECT applicant_id, ts, txn_type, amount_raw AS amount, source, message, category FROM (
-  SELECT *, row_number() OVER (PARTITION BY applicant_id ORDER BY ts, txn_type, seq) AS n FROM (
-    SELECT {_duck(G.transaction_exprs(kind='credit'))},
-           TIMESTAMP '{G.BASE_DATE}' + to_days({G.randint('(c_custkey * 1000 + i)', 11, 0, 180)}) AS ts
-    FROM (SELECT c_custkey, unnest(generate_series(1, {_N_CR})) AS i FROM customer)
-    UNION ALL
-    SELECT {_duck(G.transaction_exprs(kind='debit'))},
-           TIMESTAMP '{G.BASE_DATE}' + to_days({G.randint('(c_custkey * 1000 + i)', 18, 0, 180)}) AS ts
-    FROM (SELECT c_custkey, unnest(generate_series(1, {_N_DR})) AS i FROM customer)))
-WHERE n <= 100"""
-GEN_TXN_SQL = (f"WITH gen_txn AS ({GEN_TXN_BODY})\n"
-               "SELECT applicant_id, ts, txn_type, CAST(amount AS DOUBLE) AS amount, source, message, category "
-               "FROM gen_txn")
-
-
-@register("gen_transactions", GEN_TXN_SQL)
+@register("gen_transactions", BATCH_TXN_SQL)
 def q_gen_transactions(spark, sf_dir):
-    """15-40 credits and 20-60 debits per generated application over six
-    months, sorted by time, first 100 kept."""
-    t = G.gen_transactions(spark, sf_dir)
+    """S9 on the given tables: the transactions of an application record, by
+    time, the first 100 kept (the limit is the record's)."""
+    first = Window.partitionBy("applicant_id").orderBy(*TXN_ORDER.split(", "))
+    t = V.ledger(spark, sf_dir).withColumn("n", F.row_number().over(first)).where("n <= 100")
     return t.select("applicant_id", to_ntz("ts").alias("ts"), "txn_type", F.col("amount").cast("double"),
                     "source", "message", "category")
 
 
-GEN_ATTR_SQL = f"SELECT {_duck(G.attribute_exprs())} FROM customer"
-
-
-@register("gen_attributes", GEN_ATTR_SQL)
+@register("gen_attributes", cte("applicants") + "SELECT applicant_id AS application_id, * EXCLUDE (applicant_id) FROM applicants")
 def q_gen_attributes(spark, sf_dir):
-    """Contacts by tier, location by area type, behaviour by risk."""
-    return G.gen_attributes(spark, sf_dir)
+    """S10-S12 on the given tables: contacts, location and behaviour of each applicant."""
+    return V.applicants(spark, sf_dir).withColumnRenamed("applicant_id", "application_id")
 
 
-_GEN_LEDGER = ("ledger", GEN_TXN_BODY)
-_GEN_APPLICANTS = ("applicants", f"""SELECT application_id AS applicant_id, total_contacts, family_contacts,
-  business_contacts, government_contacts, avg_communication_frequency, gambling_app_usage,
-  frequent_location_changes, night_transaction_ratio, financial_app_usage_score FROM ({GEN_ATTR_SQL})""")
-GEN_APPS_SQL = ("WITH " + ",\n".join(f"{n} AS ({b})" for n, b in
-                                     [_GEN_LEDGER, _GEN_APPLICANTS, ("sub", _SUBSCORE_SQL), ("sc", _SCORE_SQL)]) + f"""
-SELECT a.*, sc.profitability_score, sc.profitability_score >= 50 AS approved,
+APPLICATION_COLUMNS = ["application_id", "user_id", "age", "gender", "occupation", "monthly_income", "loan_amount_requested",
+                       "n_transactions", "total_contacts", "family_contacts", "business_contacts", "government_contacts",
+                       "location_type", "travel_frequency"]
+_MONEY = ("monthly_income", "loan_amount_requested")
+BATCH_APPS_SQL = cte("ledger", "applicants", "loan_applications", extra=[("sub", _SUBSCORE_SQL), ("sc", _SCORE_SQL)]) + f"""
+SELECT {", ".join(f"CAST(a.{c} AS DOUBLE) AS {c}" if c in _MONEY else f"a.{c}" for c in APPLICATION_COLUMNS)},
+       sc.profitability_score, sc.profitability_score >= 50 AS approved,
        CASE WHEN sc.profitability_score >= 50 THEN sc.profitability_score < 40 END AS default_status
-FROM (SELECT {_duck(G.application_exprs())} FROM customer) a JOIN sc ON a.application_id = sc.applicant_id""")
+FROM loan_applications a JOIN sc ON a.user_id = sc.applicant_id"""
 
 
-def generated_dataset(spark, sf_dir):
-    apps = G.gen_applications(spark, sf_dir)
-    sc = S.profitability_score(G.gen_transactions(spark, sf_dir), G.gen_applicants_canonical(spark, sf_dir))
-    return apps.join(sc.select(F.col("applicant_id").alias("application_id"), "profitability_score",
-                               "approved", "default_status"), "application_id")
+def scored_dataset(spark, sf_dir):
+    """Applications with the rule score and labels of their applicant."""
+    apps = V.loan_applications(spark, sf_dir).select(
+        *[F.col(c).cast("double").alias(c) if c in _MONEY else c for c in APPLICATION_COLUMNS])
+    sc = S.profitability_score(V.ledger(spark, sf_dir), V.applicants(spark, sf_dir))
+    sc = sc.select(F.col("applicant_id").alias("user_id"), "profitability_score", "approved", "default_status")
+    return apps.join(sc, "user_id").select(*APPLICATION_COLUMNS, "profitability_score", "approved", "default_status")
 
 
-@register("gen_applications", GEN_APPS_SQL)
+@register("gen_applications", BATCH_APPS_SQL)
 def q_gen_applications(spark, sf_dir):
-    """Applications with the rule score and labels."""
-    return generated_dataset(spark, sf_dir)
+    """S13 on the given tables: applications with the rule score and labels."""
+    return scored_dataset(spark, sf_dir)
 
 
 def _roundtrip(spark, df, fmt):
@@ -88,10 +72,26 @@ def _roundtrip(spark, df, fmt):
     return IO.read_back(spark, path, fmt, df.schema)
 
 
-@register("sink_parquet", GEN_APPS_SQL)
+@register("sink_parquet", BATCH_APPS_SQL)
 def q_sink_parquet(spark, sf_dir):
-    """S4 + S1: write the generated dataset as snappy Parquet, read it back."""
-    return _roundtrip(spark, generated_dataset(spark, sf_dir), "parquet")
+    """S4 + S1: write the scored applications as snappy Parquet, read them back."""
+    return _roundtrip(spark, scored_dataset(spark, sf_dir), "parquet")
+
+
+@register("scan_by_suffix", cte("applicants") + """
+SELECT 'parquet' AS kind, count(*) AS n_rows, sum(total_contacts)::BIGINT AS contacts FROM applicants
+UNION ALL SELECT 'csv', count(*), sum(total_contacts)::BIGINT FROM applicants""")
+def q_scan_by_suffix(spark, sf_dir):
+    """S1 + S2: one table written in both formats and loaded by its suffix."""
+    out = None
+    for fmt in ("parquet", "csv"):
+        path = scratch_path(spark, f"sinks/{uuid.uuid4().hex}.{fmt}")
+        a = V.applicants(spark, sf_dir)
+        IO.write(a, path, fmt)
+        part = IO.scan(spark, path, a.schema).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total_contacts").alias("contacts"))
+        part = part.select(F.lit(fmt).alias("kind"), "n_rows", "contacts")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("sink_csv", cte("applicants") + "SELECT * FROM applicants")
@@ -139,13 +139,14 @@ def q_detect_input_kind(spark, sf_dir):
     from ..operators.ledger_features import KEY, LEDGER_FEATURES, ledger_features
     from ..operators.nested import nest_ledger, nested_ledger_features
     nested, rest = nest_ledger(V.ledger(spark, sf_dir))
-    if IO.detect_input_kind(nested) != "applications":
-        return nested
-    out = nested_ledger_features(nested)
-    if rest is None:
-        return out
-    # over-limit applications take the flat plan: whole results
-    return out.unionByName(ledger_features(rest).select(KEY, *LEDGER_FEATURES))
+    flat = ledger_features(rest).select(KEY, *LEDGER_FEATURES)
+    # both kinds of input occur: records with their transactions, and the
+    # feature rows of those too long to nest
+    return _features(nested, nested_ledger_features).unionByName(_features(flat, nested_ledger_features))
+
+
+def _features(df, extract):
+    return extract(df) if IO.detect_input_kind(df) == "applications" else df
 
 
 TABLE_COUNTS_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log") + """

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on.  They are applied to a new
 # session and, where they are SQL confs, to an existing one as well.
@@ -66,14 +68,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session.  Only when it is unset (local tests) is a fresh scratch folder
-    created under /tmp and registered.
+    session.  Only in local mode, where driver and executors are one process,
+    may it be unset: then a fresh scratch folder is created and registered.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        # Unset: local tests only.  A fresh folder per session.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="altscore-ckpt-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
@@ -85,3 +88,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it back.
+
+    Cuts the lineage: every later branch sees the same rows, nothing is
+    computed twice, a lost executor re-reads files, and Spark knows the real
+    size of the table when it chooses a join.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

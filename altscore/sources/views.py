@@ -21,8 +21,6 @@ DEBIT_SOURCE_SQL = """CASE {k} % 8 WHEN 0 THEN 'Electricity Bill' WHEN 1 THEN 'M
   WHEN 2 THEN 'Grocery' WHEN 3 THEN 'Medical' WHEN 4 THEN 'Fuel' WHEN 5 THEN 'School Fees'
   WHEN 6 THEN 'Loan EMI' ELSE 'Insurance' END"""
 
-LEDGER_COLUMNS = ["applicant_id", "ts", "txn_type", "amount", "source", "message", "category"]
-
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per transaction: ``(applicant_id, ts, txn_type, amount DECIMAL(18,2),
@@ -113,12 +111,24 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority AS loan_purpose")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events", ["event_id", "ts", "value", "props"])
+def _events(spark: SparkSession, sf_dir: str, columns: list[str], events: DataFrame | None) -> DataFrame:
+    """The event table, or the given stream of it."""
+    return load(spark, sf_dir, "events", columns) if events is None else events.select(*columns)
+
+
+def _with_application(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dealt over the applications: ``event_id`` modulo the number of orders."""
+    n = load(spark, sf_dir, "orders", ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n_orders"))
+    n = F.broadcast(n.withColumn("_one", F.lit(1)))                 # one row
+    return ev.withColumn("_one", F.lit(1)).join(n, "_one").withColumn("application_id", F.col("event_id") % F.col("n_orders"))
+
+
+def predictions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = _with_application(_events(spark, sf_dir, ["event_id", "ts", "value", "props"], events), spark, sf_dir)
     return (ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
             .selectExpr(
                 "event_id AS prediction_id",
-                "event_id % 1500 AS application_id",
+                "application_id",
                 "k / 100.0D AS score",
                 "0.3D + (event_id % 66) / 100.0D AS confidence",
                 "CASE WHEN k / 100.0D > 0.6D THEN 'approve' ELSE 'reject' END AS decision",
@@ -126,10 +136,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "value AS latency_ms"))
 
 
-def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
-    return ev.selectExpr(
-        "event_id AS audit_id", "event_id % 1500 AS application_id", "user_id AS actor_id",
+def audit_logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = _events(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "props"], events)
+    return _with_application(ev, spark, sf_dir).selectExpr(
+        "event_id AS audit_id", "application_id", "user_id AS actor_id",
         "event_type", "props AS event_data", "ts AS created_at")
 
 
@@ -141,8 +151,8 @@ REQUEST_HEADER_EXPRS = [
 ]
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+def request_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    ev = _events(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "value", "props"], events)
     return (ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
             .selectExpr(
                 "event_id AS request_id", "CAST(user_id AS STRING) AS client", "ts",
@@ -202,7 +212,7 @@ API_REQUEST_EXPRS = [
 ]
 
 
-def _application_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _application_base(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     from ..functions.rules import TRANSACTION_RULES
     led = ledger(spark, sf_dir)
     ok = None
@@ -210,7 +220,8 @@ def _application_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = F.coalesce(F.expr(sql), F.lit(False))
         ok = p if ok is None else (ok & p)
     t = led.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("n_txns"), F.count_if(~ok).alias("n_bad"))
-    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    o = load(spark, sf_dir, "orders", columns) if orders is None else orders.select(*columns)
     c = load(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
     a = applicants(spark, sf_dir)
     return (o.join(c, o["o_custkey"] == c["c_custkey"])
@@ -218,9 +229,10 @@ def _application_base(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(t.withColumnRenamed("applicant_id", "t_id"), o["o_custkey"] == F.col("t_id"), "left"))
 
 
-def loan_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pipeline-dialect application per order (flat; transactions as counts)."""
-    return _application_base(spark, sf_dir).selectExpr(*LOAN_APPLICATION_EXPRS)
+def loan_applications(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One pipeline-dialect application per order (flat; transactions as counts);
+    ``orders`` may be a stream of that table."""
+    return _application_base(spark, sf_dir, orders).selectExpr(*LOAN_APPLICATION_EXPRS)
 
 
 def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

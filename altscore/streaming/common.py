@@ -1,64 +1,71 @@
 """Helpers shared by the streaming jobs.
 
-Stream inputs are staged as Parquet files derived from the driver tables
-(ordered by event time, one file group per time range so that the file
-source replays them in order), read back with ``readStream`` under a
-declared schema and ``maxFilesPerTrigger`` so several micro-batches run.
-Every query keeps its checkpoint in the shared checkpoint folder, so a
-restarted driver or lost executor resumes exactly once.
+Streams read the files of the given tables themselves, under the table's
+declared schema.  ``files_per_trigger`` bounds a micro-batch; without it, the
+files that are there form one.  Every query keeps its checkpoint in the shared
+checkpoint folder, so a restarted driver or lost executor resumes exactly once.
 """
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.tables import normalise_timestamps, table_path
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, order_col: str | None = None, parts: int = 4) -> str:
-    """Write ``df`` as ``parts`` file groups.  With ``order_col`` the groups
-    are time ranges written one after another, so file modification times
-    follow event time and the file source replays them in order."""
-    if order_col is None:
-        df.repartition(parts).write.mode("append").parquet(path)
-        return path
-    # Equal-width time buckets from one min / max aggregate: deterministic, so
-    # each of the per-group jobs below selects exactly its own rows.
-    t = F.unix_micros(F.col(order_col))
-    lo, hi = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    if lo is None:
-        return path
-    width = max(1, (hi - lo + 1 + parts - 1) // parts)
-    ranged = df.withColumn("_part", F.floor((t - F.lit(lo)) / F.lit(width)).cast("int"))
-    for p in range(parts):
-        (ranged.filter(F.col("_part") == p).drop("_part").coalesce(1)
-         .sortWithinPartitions(order_col).write.mode("append").parquet(path))
-        time.sleep(0.02)   # distinct modification times between groups
-    return path
-
-
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
-
-
-def run_to_files(stream_df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """A file stream of Parquet or JSON records under a declared schema."""
+    if fmt not in ("parquet", "json"):
+        raise ValueError(f"Unsupported stream format: {fmt}")
+    r = spark.readStream.schema(schema).format(fmt)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.load(path)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table as a stream of its own files."""
+    path = table_path(sf_dir, name)
+    # a pattern, for a stream of a single file must not be named by a plain path
+    return normalise_timestamps(read_stream(spark, path + "*", spark.read.parquet(path).schema, files_per_trigger))
+
+
+def run_to_files(stream_df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> list[dict]:
     """Run a query to completion over the available input (``availableNow``)
-    into a Parquet file sink (exactly-once through the checkpoint)."""
+    into a Parquet file sink (exactly-once through the checkpoint); returns
+    the progress of its micro-batches."""
     q = (stream_df.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
     q.awaitTermination()
+    return [json.loads(p.json) for p in q.recentProgress]
 
 
-def run_foreach_batch(stream_df: DataFrame, fn, checkpoint: str) -> None:
+def run_foreach_batch(stream_df: DataFrame, fn, checkpoint: str, mode: str = "append") -> None:
     q = (stream_df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+         .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_upserts(stream_df: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """Run an aggregation in update mode and return the newest row of each key.
+
+    Every micro-batch writes the rows it changed, and only those, under its
+    batch id (a replayed batch overwrites itself); groups that the watermark
+    has not closed yet are there with their value so far.
+    """
+    def upsert(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
+
+    run_foreach_batch(stream_df, upsert, base + "/chk", mode="update")
+    changes = stream_df.sparkSession.read.schema(stream_df.schema.add("batch", "long")).parquet(base + "/changes")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return changes.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +15,38 @@ from ..operators import portfolio as PF
 from ..operators import quality as Q
 from ..sources import views as V
 from ..sources.schemas import NESTED_APPLICATION
-from .common import read_stream, run_dir, run_foreach_batch, run_to_files, stage_files
+from ..sources.io import write
+from .common import read_stream, run_dir, run_foreach_batch, run_to_files, run_upserts, table_stream
 
 
 # ---------------------------------------------------------------- T1
-def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-contained application records: attributes + transaction list.
-    Records over the API's 10,000-transaction limit are not valid requests."""
-    nested, _ = N.nest_ledger(V.ledger(spark, sf_dir))
-    a = V.applicants(spark, sf_dir)
+def nested_records(spark: SparkSession, sf_dir: str, limit: int = N.NESTED_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Self-contained application records (attributes + transaction list), and
+    the ids of the applicants whose lists are over the API's limit."""
+    nested, rest = N.nest_ledger(V.ledger(spark, sf_dir), limit)
+    over = rest.select("applicant_id").distinct()
+    a = V.applicants(spark, sf_dir).join(over, "applicant_id", "left_anti")
     empty = F.array().cast(NESTED_APPLICATION["sms_transactions"].dataType)
     rec = a.join(nested, "applicant_id", "left").withColumn(
         "sms_transactions", F.coalesce("sms_transactions", empty))
-    return rec.select(*NESTED_APPLICATION.fieldNames())
+    return rec.select(*NESTED_APPLICATION.fieldNames()), over
 
 
-def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_score(spark: SparkSession, sf_dir: str, limit: int = N.NESTED_LIMIT, fmt: str = "parquet") -> DataFrame:
     """Record -> 45 features -> rule score -> decision + confidence, per
-    record and stateless (the transactions travel inside the record)."""
+    record and stateless (the transactions travel inside the record).
+
+    Applicants over the record limit can't be sent as one record; they are
+    scored in full by the flat plan, over their own ledger rows."""
+    from ..plans.q_scoring import score_of
     base = run_dir(spark, "score")
-    src = stage_files(nested_records(spark, sf_dir), base + "/in", parts=4)
-    scored = N.score_records(read_stream(spark, src, NESTED_APPLICATION))
+    records, over = nested_records(spark, sf_dir, limit)
+    write(records, base + "/in", fmt)
+    scored = N.score_records(read_stream(spark, base + "/in", NESTED_APPLICATION, fmt=fmt))
     run_to_files(scored, base + "/out", base + "/chk")
-    return spark.read.parquet(base + "/out")
+    flat = score_of(V.ledger(spark, sf_dir).join(over, "applicant_id", "left_semi"),
+                    V.applicants(spark, sf_dir).join(over, "applicant_id", "left_semi"))
+    return spark.read.schema(scored.schema).parquet(base + "/out").unionByName(flat)
 
 
 # ---------------------------------------------------------------- T2
@@ -45,9 +55,7 @@ def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     violation list) to quarantine; each micro-batch writes both sinks under
     its batch id, so a replayed batch overwrites instead of duplicating."""
     base = run_dir(spark, "validate")
-    apps = V.loan_applications(spark, sf_dir)
-    src = stage_files(apps, base + "/in", parts=4)
-    stream = read_stream(spark, src, apps.schema)
+    stream = V.loan_applications(spark, sf_dir, table_stream(spark, sf_dir, "orders"))
 
     def route(batch: DataFrame, batch_id: int):
         v = Q.with_violations(batch, RU.ALL_APPLICATION_RULES).persist()
@@ -62,12 +70,11 @@ def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- T3 / T4
 def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly prediction metrics with a 1 h watermark (append mode emits
-    a window once the watermark passes its end; later rows are dropped)."""
+    """Hourly prediction metrics with a 1 h watermark, which lets state of
+    closed hours go; updates are upserted, so the last hours are there too."""
     base = run_dir(spark, "tumbling")
-    p = V.predictions(spark, sf_dir)
-    src = stage_files(p, base + "/in", order_col="prediction_timestamp", parts=6)
-    s = read_stream(spark, src, p.schema).withWatermark("prediction_timestamp", "1 hour")
+    p = V.predictions(spark, sf_dir, table_stream(spark, sf_dir, "events"))
+    s = p.withWatermark("prediction_timestamp", "1 hour")
     agg = s.groupBy(F.window("prediction_timestamp", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.count_if(F.col("decision") == "approve").alias("total_approvals"),
@@ -76,22 +83,19 @@ def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("hourly").alias("period_type"), "total_predictions", "total_approvals",
                      rnd(F.col("avg_profitability_score"), 6).alias("avg_profitability_score"),
                      rnd(F.col("avg_latency_ms"), 6).alias("avg_latency_ms"))
-    run_to_files(out, base + "/out", base + "/chk")
-    return spark.read.parquet(base + "/out")
+    return run_upserts(out, ["period_start"], base)
 
 
 def stream_sliding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: requests per client in 15-minute windows sliding by 1 minute."""
     base = run_dir(spark, "sliding")
-    r = V.request_log(spark, sf_dir).select("request_id", "client", "ts")
-    src = stage_files(r, base + "/in", order_col="ts", parts=6)
-    s = read_stream(spark, src, r.schema).withWatermark("ts", "15 minutes")
+    r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events")).select("request_id", "client", "ts")
+    s = r.withWatermark("ts", "15 minutes")
     agg = s.groupBy("client", F.window("ts", "15 minutes", "1 minute").alias("w")).agg(
         F.count(F.lit(1)).alias("n_requests"))
     out = agg.select("client", to_ntz("w.start").alias("window_start"), to_ntz("w.end").alias("window_end"),
                      "n_requests")
-    run_to_files(out, base + "/out", base + "/chk")
-    return spark.read.parquet(base + "/out")
+    return run_upserts(out, ["client", "window_start"], base)
 
 
 # ---------------------------------------------------------------- T5
@@ -105,12 +109,14 @@ def _limiter_fn(limit: int, window_us: int):
             state.remove()
             return
         acc = list(state.get[0]) if state.exists else []
-        frames = [p for p in pdfs]
-        if not frames:
+        # two numbers a request; a micro-batch is bounded by the files of its trigger
+        parts = [p[["ts_us", "request_id"]].to_numpy() for p in pdfs]
+        if not parts:
             return
-        pdf = pd.concat(frames).sort_values(["ts_us", "request_id"], kind="mergesort")
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))].tolist()
         out = {"request_id": [], "client": [], "ts_us": [], "accepted": [], "remaining": [], "retry_after": []}
-        for rid, t in zip(pdf["request_id"].tolist(), pdf["ts_us"].tolist()):
+        for t, rid in rows:
             acc = [a for a in acc if a > t - window_us]
             ok = len(acc) < limit
             if ok:
@@ -132,9 +138,8 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int, window_s: in
     """T5: the W1 limiter as a stateful stream operator.  State per client is
     at most ``limit`` accepted timestamps, cleared by an event-time timeout."""
     base = run_dir(spark, "ratelimit")
-    r = V.request_log(spark, sf_dir).select("request_id", "client", "ts")
-    src = stage_files(r, base + "/in", order_col="ts", parts=8)
-    s = read_stream(spark, src, r.schema).withWatermark("ts", f"{window_s} seconds")
+    r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events")).select("request_id", "client", "ts")
+    s = r.withWatermark("ts", f"{window_s} seconds")
     s = s.select("request_id", "client", "ts", F.unix_micros("ts").alias("ts_us"))
     out = s.groupBy("client").applyInPandasWithState(
         _limiter_fn(limit, window_s * 1_000_000), LIMIT_OUT, LIMIT_STATE, "append",
@@ -146,16 +151,25 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int, window_s: in
 
 
 # ---------------------------------------------------------------- T6
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique prediction ids from a source that delivers every row twice."""
+def dedup_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """Unique predictions from a source that delivers every row twice, both
+    copies within the watermark; also the duplicates that the operator dropped,
+    and the rows that it dropped as late."""
     base = run_dir(spark, "dedup")
-    p = V.predictions(spark, sf_dir)
-    stage_files(p, base + "/in", order_col="prediction_timestamp", parts=4)
-    stage_files(p, base + "/in", order_col="prediction_timestamp", parts=4)   # the second copy
-    s = read_stream(spark, base + "/in", p.schema).withWatermark("prediction_timestamp", "1 hour")
+    twice = table_stream(spark, sf_dir, "events").unionAll(table_stream(spark, sf_dir, "events"))
+    s = V.predictions(spark, sf_dir, twice).withWatermark("prediction_timestamp", "1 hour")
     out = s.dropDuplicatesWithinWatermark(["prediction_id"])
-    run_to_files(out, base + "/out", base + "/chk")
-    return spark.read.parquet(base + "/out").select("prediction_id", "application_id", "score", "decision")
+    progress = run_to_files(out, base + "/out", base + "/chk")
+    ops = [o for p in progress for o in p.get("stateOperators", [])]
+    dropped = sum(o.get("customMetrics", {}).get("numDroppedDuplicateRows", 0) for o in ops)
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for o in ops)
+    rows = spark.read.schema(out.schema).parquet(base + "/out")
+    return rows.select("prediction_id", "application_id", "score", "decision"), dropped, late
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique prediction ids from a source that delivers every row twice."""
+    return dedup_run(spark, sf_dir)[0]
 
 
 # ---------------------------------------------------------------- T7
@@ -164,33 +178,23 @@ STATUS_OF_EVENT = """CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error
 
 
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status changes applied in order, micro-batch by micro-batch.
+    """Status changes applied in order, whatever order they arrive in.
 
-    The state is a table version per batch id (``v=<id>``): batch ``b`` reads
-    version ``b-1`` (or the base table) and writes ``b``, so a replayed batch
-    rewrites the same version and every version cuts the lineage."""
+    The state store holds one row per application that had a change: its
+    latest status and latest processing time.  A micro-batch writes only the
+    rows it changed; they are laid over the applications at the end."""
     base = run_dir(spark, "status")
+    aud = V.audit_logs(spark, sf_dir, table_stream(spark, sf_dir, "events"))
+    order = F.struct(F.col("created_at"), F.col("audit_id"))
+    done = F.when(F.col("event_type").isin("purchase", "error"), order)
+    last = aud.groupBy("application_id").agg(
+        F.max(order).alias("at"), F.max_by(F.expr(STATUS_OF_EVENT), order).alias("status"), F.max(done).alias("done"))
+    changes = run_upserts(last, ["application_id"], base).select(
+        "application_id", F.col("at.created_at").alias("updated_at"), F.col("at.audit_id").alias("seq"), "status",
+        F.col("done.created_at").alias("processed_at"))
     apps = V.applications(spark, sf_dir).select(
         "application_id", F.col("submitted_at").alias("updated_at"), "status",
         F.lit(None).cast("timestamp").alias("processed_at"))
-    apps.write.mode("overwrite").parquet(base + "/state/base")
-    aud = V.audit_logs(spark, sf_dir)
-    changes = aud.select("application_id", F.col("created_at").alias("updated_at"),
-                         F.col("audit_id").alias("seq"), F.expr(STATUS_OF_EVENT).alias("status"),
-                         F.when(F.col("event_type").isin("purchase", "error"), F.col("created_at"))
-                         .alias("processed_at"))
-    src = stage_files(changes, base + "/in", order_col="updated_at", parts=4)
-    last = {"v": None}
-
-    def apply(batch: DataFrame, batch_id: int):
-        prev = base + (f"/state/v={batch_id - 1:08d}" if batch_id > 0 else "/state/base")
-        state = spark.read.parquet(prev)
-        new = PF.apply_updates(state, batch, "application_id", "updated_at", "seq", ["status", "processed_at"])
-        new.write.mode("overwrite").parquet(f"{base}/state/v={batch_id:08d}")
-        last["v"] = batch_id
-
-    run_foreach_batch(read_stream(spark, src, changes.schema), apply, base + "/chk")
-    final = base + (f"/state/v={last['v']:08d}" if last["v"] is not None else "/state/base")
-    out = spark.read.parquet(final)
+    out = PF.apply_updates(apps, changes, "application_id", "updated_at", "seq", ["status", "processed_at"])
     return out.select("application_id", to_ntz("updated_at").alias("updated_at"), "status",
                       to_ntz("processed_at").alias("processed_at"))
