@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, staged
+from .common import arrow_batches, staged, worker_state
 from .components import components
 
 SHINGLE = 4                 # words
 DISTANCE = 4                # bits
 SEED = 42                   # of XXH64
 NODES = 1 << 22             # fingerprints that one bucket may hold (32 MB)
-VARIANTS = 1 << 21          # variants that a task makes at a time (16 MB)
+VARIANTS = 1 << 19          # variants that a task makes at a time (4 MB)
 LEAST_BITS = 7              # 128 buckets at least
 HASHES = 1 << 16            # shingles hashed at a time
 
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     @F.pandas_udf("long")
     def of(text: pd.Series) -> pd.Series:
+        worker_state("simhash")
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in text], dtype=np.uint64).view(np.int64))
 
     return docs.select("doc_id", of(F.col("text").cast("string")).alias("fp"))
@@ -229,6 +230,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     stay = d.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = staged(stay.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "dedup-stay")
     same = docs["doc_id"].eqNullSafe(F.col("__id"))
-    once = docs.join(stay.where("__n = 1"), same, "left_semi")
-    more = docs.join(stay.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    # always a sort-merge join: the ids grow with the corpus, so broadcasting them would only do on small inputs
+    once = docs.join(stay.where("__n = 1").hint("merge"), same, "left_semi")
+    more = docs.join(stay.where("__n > 1").hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(more)
