@@ -53,3 +53,26 @@ def test_hot_client_sliding_count_matches_brute_force(spark):
         for rid, ti in zip(g.id, t):
             expected = int(((t > ti - 900 * 1_000_000) & (t <= ti)).sum()) - 1
             assert got[rid] == expected
+
+
+def test_busy_client_rate_limit_matches_brute_force(spark):
+    """One client holds most rows and pauses now and then; work is dealt out by burst."""
+    from altscore.operators.requests import bursts, rate_limit
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(6)
+    t, rows = 0, []
+    for i in range(3000):
+        t += int(rng.integers(1, 6)) if rng.random() > 0.02 else int(rng.integers(100, 900))
+        rows.append((i, "hot" if i % 8 else f"c{i % 5}", T0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "request_id long, client string, ts timestamp")
+    got = {r["request_id"]: (r["accepted"], r["remaining"], r["retry_after"]) for r in rate_limit(df, limit=10, window_s=60).collect()}
+    accepted = {}
+    for rid, client, ts in rows:
+        live = [a for a in accepted.get(client, []) if (ts - a).total_seconds() < 60]
+        ok = len(live) < 10
+        retry = 0 if ok else int(live[0].timestamp() + 60 - ts.timestamp())
+        live += [ts] * ok
+        accepted[client] = live
+        assert got[rid] == (ok, 10 - len(live), retry)
+    b = bursts(df.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), 60_000_000)
+    assert b.where("client = 'hot'").select("burst").distinct().count() > 20

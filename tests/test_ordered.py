@@ -53,8 +53,7 @@ def test_keyed_quantiles_match_numpy_including_a_hot_key(spark):
     for k in range(1, 40):
         rows += [(k, float(np.round(v, 1))) for v in rng.normal(size=int(rng.integers(1, 30)))]
     df = spark.createDataFrame(rows, "k long, x double")
-    got = {r["k"]: r for r in keyed_exact_quantiles(df, "k", "x", [0.25, 0.75], ["q1", "q3"],
-                                                    num_partitions=9).collect()}
+    got = {r["k"]: r for r in keyed_exact_quantiles(df, "k", "x", [0.25, 0.75], ["q1", "q3"]).collect()}
     for k in range(40):
         xs = np.array([x for kk, x in rows if kk == k])
         assert got[k]["q1"] == pytest.approx(float(np.percentile(xs, 25)), abs=1e-12)
@@ -83,3 +82,33 @@ def test_heavy_applicant_route_gives_identical_features(spark):
     b = L.features_from_aggregates(L.raw_aggregates(led, heavy_rows=0)).collect()
     key = lambda r: r["applicant_id"]
     assert sorted(a, key=key) == sorted(b, key=key)
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_many_distinct_keys_over_several_ranges(spark, reuse, coalesce):
+    """200,000 distinct scores: sampled range bounds, merged partitions and
+    exchanges that aren't reused must not change a sum."""
+    confs = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.coalescePartitions.enabled": coalesce,
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "100k"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        n = 200_000
+        df = spark.range(n).selectExpr("id", "((id * 48271) % 200003) / 200003.0D AS y_pred",
+                                       "CASE WHEN (id * 69621) % 1000 < (id * 48271) % 200003 / 400 THEN 1.0D ELSE 0.0D END AS y_true")
+        pdf = df.toPandas().sort_values("y_pred")
+        pos = pdf.y_true.to_numpy() > 0.6
+        ranks = np.arange(1, n + 1)
+        auc = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+        assert EV.roc_auc(df).collect()[0][0] == pytest.approx(auc, abs=1e-6)
+        got = exact_quantiles(df, "y_pred", [0.1, 0.5, 0.95]).collect()[0]
+        assert list(got) == pytest.approx(np.percentile(pdf.y_pred, [10, 50, 95]).tolist(), abs=1e-12)
+        from altscore.operators.ordered import keyed_cumsum
+        keyed = keyed_cumsum(df.selectExpr("id % 3 AS k", "id AS o", "id % 7 AS v"), "k", ["o"], "v", "cum", num_partitions=16)
+        last = {r["k"]: r["m"] for r in keyed.groupBy("k").agg(F.max("cum").alias("m")).collect()}
+        assert last == {k: sum(i % 7 for i in range(k, n, 3)) for k in range(3)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
