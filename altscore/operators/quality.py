@@ -107,8 +107,8 @@ def narrow_type_profile(df: DataFrame, columns=None) -> DataFrame:
     """Per numeric column min / max and the narrowest type holding them;
     per string column the distinct share (low-cardinality when < 0.5).
 
-    One aggregate over all columns.  Distinct counts use HyperLogLog
-    (``approx_count_distinct``), which is what scales to wide tables.
+    One aggregate over all columns; distinct values are counted exactly
+    (values are deduplicated where they are before they are shuffled).
     """
     from pyspark.sql import types as T
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -118,7 +118,7 @@ def narrow_type_profile(df: DataFrame, columns=None) -> DataFrame:
             aggs += [F.min(f.name).cast("double").alias(f"{f.name}__min"),
                      F.max(f.name).cast("double").alias(f"{f.name}__max")]
         elif isinstance(f.dataType, T.StringType):
-            aggs += [F.approx_count_distinct(f.name, 0.01).alias(f"{f.name}__nd")]
+            aggs += [F.count_distinct(f.name).alias(f"{f.name}__nd")]
     row = df.agg(*aggs)
     parts = []
     for f in fields:
@@ -140,3 +140,21 @@ def narrow_type_profile(df: DataFrame, columns=None) -> DataFrame:
                                   F.when(share < 0.5, "category").otherwise("string").alias("narrow_type"),
                                   (share < 0.5).alias("low_cardinality")))
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+
+
+def narrowed(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """``df`` with the types of ``narrow_type_profile`` (a row per column);
+    low-cardinality strings stay strings, which Parquet stores as dictionaries."""
+    types = {r["column_name"]: r["narrow_type"] for r in profile.collect()}
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if types.get(c) not in (None, "category", "string") else F.col(c)
+                       for c in df.columns])
+
+
+def duplicate_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column, the values that occur more than once (NULL is no value)."""
+    out = None
+    for c in columns:
+        n = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        part = n.agg(F.count(F.lit(1)).alias("n_duplicated")).select(F.lit(c).alias("column_name"), "n_duplicated")
+        out = part if out is None else out.unionByName(part)
+    return out

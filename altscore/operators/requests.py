@@ -162,12 +162,12 @@ def score_buckets(df: DataFrame, score_col: str, bounds=K.SCORE_BUCKET_BOUNDS) -
                       .otherwise(F.regexp_replace("bucket", "le_", "")).alias("le"), "count")
 
 
-def labelled_counters(requests: DataFrame) -> DataFrame:
-    """Request counter and latency histogram by (method, endpoint, status)."""
+def labelled_counters(requests: DataFrame, labels=("method", "endpoint", "status")) -> DataFrame:
+    """Request counter and latency histogram by the given labels."""
     sec = F.col("latency_ms") / 1000.0
     aggs = [F.count(F.lit(1)).alias("requests"), rnd(F.sum(sec), 9).alias("latency_sum_s")]
     aggs += [F.count_if(sec <= b).alias("le_" + str(b).replace(".", "_")) for b in LATENCY_BUCKETS_S]
-    return requests.groupBy("method", "endpoint", "status").agg(*aggs)
+    return requests.groupBy(*labels).agg(*aggs)
 
 
 def uptime_window(requests: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -111,6 +111,44 @@ def q_model_io(spark, sf_dir):
                                          F.count_if(F.col("a") != F.col("b")).alias("n_mismatch"))
 
 
+@register("train_pipeline", cte("applicants") + """
+SELECT count(*) AS n_applicants, count(*) FILTER (WHERE ((applicant_id * 37 + 11) % 100) < 80) AS n_train,
+       count(*) FILTER (WHERE ((applicant_id * 37 + 11) % 100) >= 80) AS n_test, count(*) AS n_scored,
+       count(*) FILTER (WHERE applicant_id IS NULL) AS n_score_outside, count(*) FILTER (WHERE applicant_id IS NULL) AS n_wrong_decision,
+       count(*) FILTER (WHERE applicant_id IS NULL) AS n_changed_by_reload, count(*) FILTER (WHERE applicant_id IS NULL) AS n_not_additive,
+       true AS importance_sums_to_one, true AS better_than_the_mean FROM applicants""")
+def q_train_pipeline(spark, sf_dir):
+    """Load, features, split, train, evaluate, importance, save, load,
+    score and explain in one run; each step leaves a fact that can be checked
+    against a second computation."""
+    from ..operators import treeshap as TS
+    tf = training_frame(spark, sf_dir)
+    model = trained_model(tf)
+    path = ML.model_path(spark, f"pipeline-{uuid.uuid4().hex}")
+    ML.save_model(model, path, FEATURE_NAMES)
+    again = ML.load_model(path)
+    raw = model.transform(tf.select("applicant_id", "split", "label", *FEATURE_NAMES)).drop("features")
+    test = raw.filter(F.col("split") == "test")
+    facts = EV.regression_metrics(test.select(F.col("label").alias("y_true"), F.col("raw_prediction").alias("y_pred")))
+    facts = facts.select((F.col("r2") > 0).alias("better_than_the_mean"),
+                         F.lit(abs(sum(ML.importances(model, FEATURE_NAMES).values()) - 1) < 1e-9).alias("importance_sums_to_one"))
+    a = ML.score(model, tf, FEATURE_NAMES, keep=["applicant_id"])
+    b = ML.score(again, tf, FEATURE_NAMES, keep=["applicant_id"]).select("applicant_id", F.col("score").alias("again"))
+    # the decision once more, from the raw prediction by plain arithmetic
+    plain = raw.select("applicant_id", "split", (F.least(F.greatest(F.col("raw_prediction"), F.lit(0.0)), F.lit(1.0)) > 0.6).alias("yes"))
+    scored = a.join(b, "applicant_id").join(plain, "applicant_id").agg(
+        F.count(F.lit(1)).alias("n_applicants"), F.count_if(F.col("split") == "train").alias("n_train"),
+        F.count_if(F.col("split") == "test").alias("n_test"), F.count("score").alias("n_scored"),
+        F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("n_score_outside"),
+        F.count_if((F.col("decision") == "approve") != F.col("yes")).alias("n_wrong_decision"),
+        F.count_if(F.col("score") != F.col("again")).alias("n_changed_by_reload"))
+    explained = TS.explain(raw.drop("split", "label"), FEATURE_NAMES, TS.extract_trees(model.stages[-1]), "applicant_id",
+                           raw_col="raw_prediction").agg(F.count_if(F.col("additivity_error") > 1e-6).alias("n_not_additive"))
+    # one row each, joined on a constant key
+    one = [x.withColumn("_k", F.lit(1)) for x in (scored, facts, explained)]
+    return one[0].join(one[1], "_k").join(one[2], "_k").drop("_k")
+
+
 # ---------------------------------------------------------------- M6, M8-M10
 _VALID = " AND ".join(f"coalesce({r}, false)" for r in R.ALL_APPLICATION_RULES.values())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import to_ntz
 from ..operators import portfolio as PF
 from ..sources import views as V
+from ..sources.schemas import declared
 from ..sources.tables import load
 from .oracle_views import cte
 from .registry import register
@@ -128,6 +129,14 @@ def _rollups(spark, sf_dir, types=("hourly", "daily", "weekly")):
     return PF.period_rollups(preds, apps, reqs, types)
 
 
+def table(spark, sf_dir, name):
+    """One of the six tables, in its declared schema."""
+    made = {"model_metrics": lambda: _rollups(spark, sf_dir),
+            "cache_metrics": lambda: PF.cache_rollup(V.request_log(spark, sf_dir), 60)}
+    df = made[name]() if name in made else getattr(V, name)(spark, sf_dir)
+    return declared(df, name)
+
+
 @register("period_rollup", ROLLUP_SQL)
 def q_period_rollup(spark, sf_dir):
     """Q19: model_metrics rows for hourly, daily and weekly periods."""

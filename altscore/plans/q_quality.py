@@ -9,6 +9,7 @@ from ..operators import quality as Q
 from ..sources import views as V
 from ..sources.tables import load
 from .oracle_views import cte
+from .q_portfolio import CACHE_BODY, _rollup_sql, table
 from .registry import register
 
 # FIXED VALUES: column length limits of the stored tables.
@@ -140,6 +141,22 @@ def q_check_unique(spark, sf_dir):
     return Q.duplicate_keys(li, ["l_orderkey", "l_linenumber"])
 
 
+_IDS = {"users": "user_id", "applications": "application_id", "predictions": "prediction_id"}
+UNIQUE_ID_SQL = cte(*_IDS) + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_duplicated FROM "
+    f"(SELECT {c} FROM {t} GROUP BY {c} HAVING count(*) > 1)" for t, c in _IDS.items())
+
+
+@register("check_unique_ids", UNIQUE_ID_SQL)
+def q_check_unique_ids(spark, sf_dir):
+    """Ids of users, applications and predictions that occur more than once."""
+    out = None
+    for t, c in _IDS.items():
+        part = Q.duplicate_counts(getattr(V, t)(spark, sf_dir), [c]).select(F.lit(t).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 FK_SQL = cte("applications", "users", "predictions", "audit_logs") + """
 SELECT 'applications->users' AS relation, count(*) AS n_orphans FROM applications a
   WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = a.user_id)
@@ -169,9 +186,13 @@ def q_check_foreign_keys(spark, sf_dir):
 
 
 _NN = {"applications": ["application_id", "user_id", "loan_amount", "loan_purpose", "status", "submitted_at"],
-       "users": ["user_id"], "predictions": ["prediction_id", "application_id", "score", "decision"]}
+       "users": ["user_id"], "predictions": ["prediction_id", "application_id", "score", "confidence", "decision",
+                                             "prediction_timestamp"],
+       "audit_logs": ["audit_id", "event_type", "created_at"], "model_metrics": ["period_start", "period_end"],
+       "cache_metrics": ["timestamp"]}
+_METRICS = [("model_metrics", "\nUNION ALL\n".join(_rollup_sql(p) for p in R.PERIOD_VALUES)), ("cache_metrics", CACHE_BODY)]
 
-NOT_NULL_SQL = cte(*_NN) + "\nUNION ALL\n".join(
+NOT_NULL_SQL = cte("applications", "users", "predictions", "audit_logs", "request_log", extra=_METRICS) + "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, column_name, n_null FROM (UNPIVOT (SELECT "
     + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in cols)
     + f" FROM {t}) ON {', '.join(cols)} INTO NAME column_name VALUE n_null)"
@@ -181,33 +202,40 @@ NOT_NULL_SQL = cte(*_NN) + "\nUNION ALL\n".join(
 @register("check_not_null", NOT_NULL_SQL)
 def q_check_not_null(spark, sf_dir):
     """NULLs in NOT NULL columns."""
-    srcs = {"applications": V.applications, "users": V.users, "predictions": V.predictions}
     out = None
     for t, cols in _NN.items():
-        part = Q.null_counts(srcs[t](spark, sf_dir), cols).select(F.lit(t).alias("table_name"), "*")
+        part = Q.null_counts(table(spark, sf_dir, t), cols).select(F.lit(t).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-LENGTH_SQL = cte("users", "applications") + "\nUNION ALL\n".join(
+# FIXED VALUES: limits of the other tables' columns.
+OTHER_LENGTHS = [("predictions", "decision", 50), ("audit_logs", "event_type", 100), ("model_metrics", "period_type", 20)]
+LENGTH_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log", extra=_METRICS) + "\nUNION ALL\n".join(
     [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE length({c}) > {n}) AS n_too_long FROM users"
      for c, n in USER_LENGTHS.items()] +
     [f"SELECT '{c}', count(*) FILTER (WHERE length({c}) > {n}) FROM applications"
-     for c, n in APPLICATION_LENGTHS.items()])
+     for c, n in APPLICATION_LENGTHS.items()] +
+    [f"SELECT '{c}', count(*) FILTER (WHERE length({c}) > {n}) FROM {t}" for t, c, n in OTHER_LENGTHS])
 
 
 @register("check_string_length", LENGTH_SQL)
 def q_check_string_length(spark, sf_dir):
     """Values over the column length limits."""
-    return Q.too_long(V.users(spark, sf_dir), USER_LENGTHS).unionByName(
+    out = Q.too_long(V.users(spark, sf_dir), USER_LENGTHS).unionByName(
         Q.too_long(V.applications(spark, sf_dir), APPLICATION_LENGTHS))
+    for t, c, n in OTHER_LENGTHS:
+        out = out.unionByName(Q.too_long(table(spark, sf_dir, t), {c: n}))
+    return out
 
 
 def _in_list(vals):
     return "(" + ", ".join(f"'{v}'" for v in vals) + ")"
 
 
-ENUM_SQL = cte("applications", "predictions") + f"""
+ENUM_SQL = cte("applications", "predictions", "request_log", extra=_METRICS) + f"""
+SELECT 'period_type' AS column_name, count(*) FILTER (WHERE period_type IS NOT NULL AND period_type NOT IN {_in_list(R.PERIOD_VALUES)}) AS n_invalid FROM model_metrics
+UNION ALL
 SELECT 'status' AS column_name, count(*) FILTER (WHERE status IS NOT NULL AND status NOT IN {_in_list(R.STATUS_VALUES)}) AS n_invalid FROM applications
 UNION ALL
 SELECT 'decision', count(*) FILTER (WHERE decision IS NOT NULL AND decision NOT IN {_in_list(R.DECISION_VALUES)}) FROM predictions"""
@@ -217,7 +245,8 @@ SELECT 'decision', count(*) FILTER (WHERE decision IS NOT NULL AND decision NOT
 def q_check_status_enum(spark, sf_dir):
     """Enumerated columns."""
     return Q.bad_enum(V.applications(spark, sf_dir), {"status": R.STATUS_VALUES}).unionByName(
-        Q.bad_enum(V.predictions(spark, sf_dir), {"decision": R.DECISION_VALUES}))
+        Q.bad_enum(V.predictions(spark, sf_dir), {"decision": R.DECISION_VALUES})).unionByName(
+        Q.bad_enum(table(spark, sf_dir, "model_metrics"), {"period_type": R.PERIOD_VALUES}))
 
 
 # Line-item columns with the driver's Parquet types (Spark simple names).
@@ -247,7 +276,19 @@ def _profile_sql() -> str:
 
 @register("profile_narrow_types", _profile_sql())
 def q_profile_narrow_types(spark, sf_dir):
-    """Narrowest type per column of the line items.  Strings use the
-    HLL distinct share (what scales to wide tables); the oracle uses exact
-    distinct counts, which agree unless a share sits within ~1 % of 0.5."""
+    """Narrowest type per column of the line items."""
     return Q.narrow_type_profile(load(spark, sf_dir, "lineitem"))
+
+
+@register("narrow_types_applied", """
+SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS orderkeys, sum(l_suppkey)::BIGINT AS suppkeys, sum(l_linenumber)::BIGINT AS linenumbers,
+       sum(CAST(l_quantity AS FLOAT)::DOUBLE) AS quantity, max(l_returnflag) AS flag
+FROM lineitem""")
+def q_narrow_types_applied(spark, sf_dir):
+    """The casts themselves; no integer changes, doubles become floats."""
+    li = load(spark, sf_dir, "lineitem")
+    n = Q.narrowed(li, Q.narrow_type_profile(li))
+    return n.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_orderkey").cast("long")).alias("orderkeys"),
+                 F.sum(F.col("l_suppkey").cast("long")).alias("suppkeys"),
+                 F.sum(F.col("l_linenumber").cast("long")).alias("linenumbers"),
+                 F.sum(F.col("l_quantity").cast("double")).alias("quantity"), F.max("l_returnflag").alias("flag"))

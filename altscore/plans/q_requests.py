@@ -101,20 +101,39 @@ def q_score_buckets(spark, sf_dir):
     return RQ.score_buckets(p, "score100")
 
 
-def _counters_sql() -> str:
+def _counters_sql(source: str = "request_log", labels: str = "method, endpoint, status") -> str:
     b = ", ".join(f"count(*) FILTER (WHERE latency_ms / 1000.0 <= {x}) AS le_{str(x).replace('.', '_')}"
                   for x in RQ.LATENCY_BUCKETS_S)
-    return cte("request_log") + f"""
-SELECT method, endpoint, status, count(*) AS requests, round(sum(latency_ms / 1000.0), 9) AS latency_sum_s, {b}
-FROM request_log GROUP BY method, endpoint, status"""
+    return f"""
+SELECT {labels}, count(*) AS requests, round(sum(latency_ms / 1000.0), 9) AS latency_sum_s, {b}
+FROM {source} GROUP BY {labels}"""
 
 
-@register("labelled_counters", _counters_sql())
+@register("labelled_counters", cte("request_log") + _counters_sql())
 def q_labelled_counters(spark, sf_dir):
     """W8."""
     return RQ.labelled_counters(V.request_log(spark, sf_dir))
 
 
+# The given data names neither; versions follow the prediction's id, query types the endpoint.
+_VERSIONED = "(SELECT *, concat('v', prediction_id % 3) AS model_version FROM predictions)"
+_TYPED = "(SELECT *, split_part(endpoint, '/', 4) AS query_type FROM request_log)"
+
+
+@register("labelled_model_counters", cte("predictions") + _counters_sql(_VERSIONED, "model_version"))
+def q_labelled_model_counters(spark, sf_dir):
+    """W8 by model version: predictions and their latency."""
+    p = V.predictions(spark, sf_dir).withColumn("model_version", F.expr("concat('v', prediction_id % 3)"))
+    return RQ.labelled_counters(p, ["model_version"])
+
+
+@register("labelled_query_counters", cte("request_log") + _counters_sql(_TYPED, "query_type"))
+def q_labelled_query_counters(spark, sf_dir):
+    """W8 by query type: requests and their latency."""
+    r = V.request_log(spark, sf_dir).withColumn("query_type", F.split_part("endpoint", F.lit("/"), F.lit(4)))
+    return RQ.labelled_counters(r, ["query_type"])
+
+
 @register("uptime_window", cte("request_log", "predictions", extra=[("lm", _LAT_SQL)]) + """
 SELECT lm.total_requests AS total_predictions,
        (SELECT count(*) FROM request_log WHERE ts >= (SELECT max(ts) FROM request_log) - INTERVAL 1 HOUR)

@@ -14,6 +14,8 @@ from ..sources import io as IO
 from ..sources import views as V
 from ..sources.tables import load
 from .oracle_views import cte
+from .q_portfolio import table
+from .q_quality import _METRICS
 from .q_scoring import _SCORE_SQL, _SUBSCORE_SQL
 from .registry import register
 
@@ -149,22 +151,17 @@ def _features(df, extract):
     return extract(df) if IO.detect_input_kind(df) == "applications" else df
 
 
-TABLE_COUNTS_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log") + """
-SELECT 'users' AS table_name, count(*) AS n_rows FROM users
-UNION ALL SELECT 'applications', count(*) FROM applications
-UNION ALL SELECT 'predictions', count(*) FROM predictions
-UNION ALL SELECT 'audit_logs', count(*) FROM audit_logs
-UNION ALL SELECT 'request_log', count(*) FROM request_log"""
+_TABLES = ("users", "applications", "predictions", "audit_logs", "model_metrics", "cache_metrics")
+TABLE_COUNTS_SQL = cte("users", "applications", "predictions", "audit_logs", "request_log", extra=_METRICS) + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES)
 
 
 @register("table_sources", TABLE_COUNTS_SQL)
 def q_table_sources(spark, sf_dir):
-    """The typed tables over the driver data, with their row counts."""
-    srcs = {"users": V.users, "applications": V.applications, "predictions": V.predictions,
-            "audit_logs": V.audit_logs, "request_log": V.request_log}
+    """The six tables over the given data in their declared schemas, with their row counts."""
     out = None
-    for name, fn in srcs.items():
-        part = fn(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows")).select(
+    for name in _TABLES:
+        part = table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out

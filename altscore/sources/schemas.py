@@ -78,3 +78,23 @@ def api_transactions(df: DataFrame, key: str = "application_id") -> DataFrame:
                     F.col("t.amount").cast("decimal(18,2)").alias("amount"),
                     F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("message"),
                     F.col("t.merchant_category").alias("category"))
+
+
+# The six tables as they are kept, in the columns that the given data has.
+TABLE_SCHEMAS = {
+    "users": "user_id long, full_name string, monthly_income double, employment_type string, nation_id long",
+    "applications": "application_id long, user_id long, loan_amount double, submitted_at timestamp, status string, loan_purpose string",
+    "predictions": "prediction_id long, application_id long, score double, confidence double, decision string, "
+                   "prediction_timestamp timestamp, latency_ms double",
+    "audit_logs": "audit_id long, application_id long, actor_id long, event_type string, event_data string, created_at timestamp",
+    "model_metrics": "period_start timestamp_ntz, period_end timestamp_ntz, period_type string, total_predictions long, "
+                     "total_approvals long, total_rejections long, approval_rate double, avg_profitability_score double, "
+                     "avg_confidence double, avg_latency_ms double, p95_latency_ms double, p99_latency_ms double, "
+                     "total_errors long, error_rate double, total_loan_amount double, avg_loan_amount double",
+    "cache_metrics": "timestamp timestamp_ntz, period_minutes int, total_requests long, cache_hits long, cache_misses long, hit_rate double",
+}
+
+
+def declared(df: DataFrame, table: str) -> DataFrame:
+    """``df`` in the declared columns and types of a table; a missing column is an error."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(TABLE_SCHEMAS[table])])
