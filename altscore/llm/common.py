@@ -19,6 +19,21 @@ ARROW_CONFS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256",
                "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make=dict):
+    """What a Python worker keeps between tasks (caches, loaded files).
+
+    Workers outlive operators, so there is one slot: an operator that asks for
+    its state drops that of the operator before.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the size of the Arrow batches sent to Python workers."""
     for k, v in ARROW_CONFS.items():

@@ -14,12 +14,13 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
-PIECES = 800_000          # pieces kept by one worker, about 160 MB
-WORDS = 400_000           # words kept by one worker, about 70 MB
+from .common import worker_state
+
+PIECES = 400_000          # pieces and words that one worker keeps: up to
+WORDS = 200_000           # twice as many of each, about 200 MB in all
 
 # Fixed value: the split pattern of byte-level tokenizers that name none.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,8 +28,6 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 FIRST = "\udfff"          # marks a text's first piece; no text holds half a surrogate pair
 
-_ENCODERS: dict = {}
-
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file on this machine."""
@@ -49,6 +48,18 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces; one that isn't there is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece):
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -65,8 +76,8 @@ class PieceEncoder:
         self.model = self.tok.model
         self.normalize = self.tok.normalizer.normalize_str if self.tok.normalizer else None
         self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
-        self.cache: dict = {}
-        self.words: dict = {}
+        # two generations of each: what is asked for again stays
+        self.cache, self.old, self.words, self.old_words = _Pieces(self._piece), {}, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -81,49 +92,59 @@ class PieceEncoder:
         return pieces
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word[1:].isalpha():        # byte-level symbols of letters are the letters
-            symbols = "\u0120" + word[1:] if word[0] == " " else word
-        else:
-            symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
-        ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        """Ids of one word of the split pattern."""
+        ids = self.old_words.get(word)
+        if ids is None:
+            if word.isascii() and word[1:].isalpha():    # byte-level symbols of letters are the letters
+                symbols = "\u0120" + word[1:] if word[0] == " " else word
+            else:
+                symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+            ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        self.words[word] = ids
         return ids
 
-    def _learn(self, new) -> None:
-        cache, words, split, unsafe = self.cache, self.words, self.split, self.unsafe
-        if len(words) > WORDS:
-            words.clear()
-        for p in new:
-            if unsafe(p):
-                cache[p] = None
-                continue
-            if self.normalize:
-                body = text = self.normalize(p)
-            elif p[:1] == FIRST:
-                body = text = p[1:]
-            elif p[:1] == "\n":
-                body, text = p[1:], p
-            else:
-                body, text = p, " " + p
-            if not self.normalize and (not body or body[0].isspace() or body[-1].isspace()):
-                cache[p] = None
-            elif body.isalpha() and text[0] != "\n":     # letters are one word, as the pattern has it
-                cache[p] = words.get(text) or self._word(text)
-            elif body[-1:] in (".", ",") and body[:-1].isalpha() and text[0] != "\n":
-                cache[p] = (words.get(text[:-1]) or self._word(text[:-1])) + (words.get(text[-1]) or self._word(text[-1]))
-            else:
-                cache[p] = b"".join([words.get(w) or self._word(w) for w in split(text)])
+    def _odd(self, p: str) -> bytes | None:
+        """Ids of a piece that is more than a word; None if it can't stand alone."""
+        if self.unsafe(p):
+            return None
+        if self.normalize:
+            text = self.normalize(p)
+        else:
+            text = p[1:] if p[:1] == FIRST else p if p[:1] == "\n" else " " + p
+            body = p[1:] if p[:1] in ("\n", FIRST) else p
+            if not body or body[0].isspace() or body[-1].isspace():
+                return None
+        words = self.words
+        return b"".join([words.get(w) or self._word(w) for w in self.split(text)])
+
+    def _piece(self, p: str) -> bytes | None:
+        """Ids of a piece that the young generation doesn't have."""
+        old = self.old
+        if p in old:
+            return old[p]
+        words = self.words
+        if p.isalpha():                                  # letters are one word, as the pattern has it
+            if not self.normalize:
+                p = " " + p
+                return words.get(p) or self._word(p)
+            if p.isascii():
+                p = p.lower()
+                return words.get(p) or self._word(p)
+        elif p[-1:] in (".", ",") and not self.normalize and p[:-1].isalpha():
+            w, end = " " + p[:-1], p[-1]
+            return (words.get(w) or self._word(w)) + (words.get(end) or self._word(end))
+        return self._odd(p)
 
     def encode(self, texts: list) -> list:
         """The ids of each text (null: none) as bytes."""
-        cache = self.cache
-        if len(cache) > PIECES:
-            cache.clear()
-        cut = [self._pieces(t) if t else [] for t in texts]
-        self._learn(set(chain.from_iterable(cut)).difference(cache))
-        out = []
-        for t, pieces in zip(texts, cut):
+        if len(self.cache) > PIECES:
+            self.cache, self.old = _Pieces(self._piece), self.cache
+        if len(self.words) > WORDS:
+            self.words, self.old_words = {}, self.words
+        get, out = self.cache.__getitem__, []
+        for t in texts:
             try:
-                out.append(b"".join(map(cache.__getitem__, pieces)))
+                out.append(b"".join(map(get, self._pieces(t))) if t else b"")
             except TypeError:        # a piece that can't stand alone
                 out.append(self.whole(t))
         return out
@@ -131,6 +152,4 @@ class PieceEncoder:
 
 def encoder(name: str) -> PieceEncoder:
     """This worker's encoder (kept between tasks)."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = PieceEncoder(name)
-    return _ENCODERS[name]
+    return worker_state(("pieces", name), lambda: PieceEncoder(name))
