@@ -30,11 +30,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from .tokens import tokenizer_path
+from .common import worker_state
+from .tokens import byte_symbols, tokenizer_path
 
 CHUNK = 1 << 20            # characters of a text worked on at a time
-WORDS = 200_000            # counts of words that a worker keeps
-STATES = 150_000           # compiled states that a worker keeps, about 100 MB
+WORDS = 150_000            # counts of words that a worker keeps
+STATES = 100_000           # compiled states that a worker keeps, about 70 MB
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 
@@ -92,20 +93,13 @@ def word_starts(text: str) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _bytes_of_symbols() -> dict[str, int]:
-    """The printable symbol that byte-level vocabularies write for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class CountTransducer:
     """Deterministic transducer from the bytes of a word to its token count."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        byte = _bytes_of_symbols()
+        byte = {s: b for b, s in byte_symbols().items()}
         # tokens by number: 0 stands for "none", then the single bytes, then
         # the merged ones in order of rank, so that a rank compares as a number
         number: dict[bytes, int] = {bytes([b]): b + 1 for b in range(256)}
@@ -330,14 +324,13 @@ class TokenCounter:
         return extra
 
 
-_COUNTERS: dict = {}
+def _load(name: str) -> TokenCounter:
+    path = name if "/" in name else tokenizer_path(name)
+    with open(path, encoding="utf-8") as f:
+        special = tuple(t["content"] for t in json.load(f)["added_tokens"])
+    return TokenCounter(path, special)
 
 
 def counter(name: str) -> TokenCounter:
     """This worker's counter (kept between tasks)."""
-    if name not in _COUNTERS:
-        path = name if "/" in name else tokenizer_path(name)
-        with open(path, encoding="utf-8") as f:
-            special = tuple(t["content"] for t in json.load(f)["added_tokens"])
-        _COUNTERS[name] = TokenCounter(path, special)
-    return _COUNTERS[name]
+    return worker_state(("counter", name), lambda: _load(name))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_hash, labelled_sample, staged
+from .common import arrow_batches, id_hash, labelled_sample, staged, worker_state
 
 SAMPLE = 20_000            # labelled documents in the sample, at most
 THRESHOLD = 0.7
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable=None) -
 
     @F.pandas_udf("array<string>")
     def of(text: pd.Series) -> pd.Series:
+        worker_state("toxicity")
         return pd.Series([sorted(terms(t)) for t in text])
 
     rows = labelled_sample(docs, labels, "toxic", sample, usable).select("doc_id", "label", of("text").alias("terms"))
