@@ -112,36 +112,40 @@ class Reader(Lanes):
 
 
 class Model:
-    """Predictions of ``n`` lanes."""
+    """Predictions of ``n`` lanes.
+
+    Tables of all lanes are flat; the two hashed tables lie one after the other,
+    and so do the three of probabilities, so that one access serves all.
+    """
 
     def __init__(self, n: int):
-        self.lane = np.arange(n, dtype=np.int32)
         self.one, self.two = np.zeros(n, np.int32), np.zeros(n, np.int32)
         # an entry: the id predicted, above it the times it was right (4 bits)
-        self.table1, self.table2 = np.zeros(n << SLOTS, np.int32), np.zeros(n << SLOTS, np.int32)
-        self.base = np.arange(n) << SLOTS
+        self.table = np.zeros(2 * n << SLOTS, np.int32)
+        self.base = np.arange(2 * n).reshape(2, n) << SLOTS
         # probabilities (16 bits) by context, and the weights (16 bits after the point) that mix them
-        self.p = [np.full(n * k, 32768, np.int32) for k in (16, 32, 16)]
-        self.k = [None] * 3
-        self.x = np.zeros((3, n), np.int32)
+        lane = np.arange(n)
+        self.p = np.full(n * 64, 32768, np.int32)
+        self.first = np.stack([lane * 16, n * 16 + lane * 32, n * 48 + lane * 16])
         self.w = np.full((3, n), 26000, np.int32)
         self.hits = np.zeros(n, np.int32)
-        # cumulative frequencies (12 bits) of each digit, by those before it
-        self.digits = [np.tile(np.arange(0, 4096, 256, dtype=np.int16), (n << 4 * d, 1)) for d in range(3)]
+        # cumulative frequencies (12 bits) of each digit, by those before it: 1, 16 and 256 rows a lane
+        self.digits = np.tile(np.arange(0, 4096, 256, dtype=np.int16), (n * 273, 1))
+        self.start = np.array([0, n, n * 17])
 
     def candidate(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of each lane and the probability (16 bits) that it is right."""
-        slots, h = (1 << SLOTS) - 1, self.one * 40503
-        self.at1 = self.base + ((h >> 4) & slots)
-        self.at2 = self.base + ((h ^ self.two * 24859) >> 5 & slots)
-        self.e1, self.e2 = e1, e2 = self.table1[self.at1], self.table2[self.at2]
+        h = self.one * 40503
+        self.at = self.base + (np.stack([h >> 4, (h ^ self.two * 24859) >> 5]) & ((1 << SLOTS) - 1))
+        self.e = e = self.table[self.at]
         # confidence and id at once: entries without a past are zero
-        best = np.where(e2 > 0xFFFF, e2, e1)
+        best = np.where(e[1] > 0xFFFF, e[1], e[0])
         cand = best & 0xFFFF
-        self.k = [self.lane * 16 + (e2 >> 16), self.lane * 32 + (e1 >> 16) + ((e1 ^ best) & 0xFFFF == 0) * np.int32(16),
-                  self.lane * 16 + self.hits]
-        for x, p, k in zip(self.x, self.p, self.k):
-            x[:] = STRETCH[p[k] >> 4]
+        times = e >> 16
+        agree = ((e[0] ^ best) & 0xFFFF == 0) * np.int32(16)
+        self.k = self.first + np.stack([times[1], times[0] + agree, self.hits])
+        self.old = self.p[self.k]
+        self.x = STRETCH[self.old >> 4]
         # weights in steps of 1/4096 here, so that 32 bits are enough
         mixed = ((self.w >> 4) * self.x).sum(axis=0, dtype=np.int32) >> 12
         self.mixed = SQUASH[np.clip(mixed + 2048, 0, 4095)]
@@ -149,30 +153,31 @@ class Model:
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
         goal = hit * np.int32(65535)
-        self.w += (self.x * ((goal - self.mixed) >> 3)) >> 10
-        np.clip(self.w, -500000, 500000, out=self.w)
-        for p, k, rate in zip(self.p, self.k, (4, 4, 5)):
-            old = p[k]
-            p[k] = old + ((goal - old) >> rate)
+        self.w = np.clip(self.w + ((self.x * ((goal - self.mixed) >> 3)) >> 10), -500000, 500000)
+        self.p[self.k] = self.old + ((goal - self.old) >> RATES)
         self.hits = (self.hits << 1 | hit) & 15
-        for table, at, e in ((self.table1, self.at1, self.e1), (self.table2, self.at2, self.e2)):
-            conf = e >> 16
-            right = (e ^ ids) & 0xFFFF == 0
-            # right: surer; wrong: half as sure, and replaced when nothing is left
-            conf = np.where(right, np.minimum(conf + 1, 15), conf >> 1)
-            table[at] = np.where(right | (conf > 0), e & 0xFFFF, ids) | np.maximum(conf, 1) << 16
+        e = self.e
+        right = (e ^ ids) & 0xFFFF == 0
+        # right: surer; wrong: half as sure, and replaced when nothing is left
+        times = np.where(right, np.minimum((e >> 16) + 1, 15), e >> 17)
+        self.table[self.at] = np.where(right | (times > 0), e & 0xFFFF, ids) | np.maximum(times, 1) << 16
         self.two, self.one = self.one, ids
 
-    def frequency(self, depth: int, row: np.ndarray, cdf: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of a digit; its frequency grows."""
-        pick = np.arange(len(row))
+    def rows(self, depth, lanes: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Rows of digits at a depth (0 to 2), given the digits above."""
+        return self.start[depth] + (lanes << 4 * depth) + above
+
+    def frequency(self, rows: np.ndarray, cdf: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of digits; their frequencies grow."""
+        pick = np.arange(len(rows))
         start = cdf[pick, digit].astype(np.int64)
         size = np.where(digit < 15, cdf[pick, np.minimum(digit + 1, 15)], 4096) - start
         # every start moves towards where it were if all was this digit; no size falls below 1
-        self.digits[depth][row] = cdf + ((GOALS[digit] - cdf) >> RATE)
+        self.digits[rows] = cdf + ((GOALS[digit] - cdf) >> RATE)
         return start, size
 
 
+RATES = np.array([[4], [4], [5]], np.int32)
 # start of each digit, by the digit that was seen, if it had all but the least frequency
 GOALS = np.where(np.arange(16) > np.arange(16)[:, None], 4096 - 16, 0).astype(np.int16) + np.arange(16, dtype=np.int16)
 
@@ -189,11 +194,11 @@ def encode(blocks: np.ndarray) -> list[bytes]:
         k = np.flatnonzero(~hit)
         if len(k):
             own = ids[k].astype(np.int64)
-            part = []
-            for depth in range(3):
-                row = (k << 4 * depth) + (own >> 16 - 4 * depth)
-                part.append(model.frequency(depth, row, model.digits[depth][row], own >> 12 - 4 * depth & 15))
-            (s0, z0), (s1, z1), (s2, z2) = part
+            # all three digits at once: their rows are different ones
+            rows = np.concatenate([model.rows(d, k, own >> 16 - 4 * d) for d in range(3)])
+            digit = np.concatenate([own >> 12, own >> 8 & 15, own >> 4 & 15])
+            start, size = model.frequency(rows, model.digits[rows], digit)
+            (s0, s1, s2), (z0, z1, z2) = start.reshape(3, -1), size.reshape(3, -1)
             start = (s0 << 28) + z0 * ((s1 << 16) + z1 * ((s2 << 4) + z2 * (own & 15)))
             out.narrow(k, start, z0 * z1 * z2, ID_BITS)
         model.learn(hit, ids)
@@ -214,10 +219,10 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
         if len(k):
             rest, own, start, scale = src.peek(k, ID_BITS), np.zeros(len(k), np.int64), 0, 1
             for depth, shift in enumerate((28, 16, 4)):
-                row = (k << 4 * depth) + own
-                cdf = model.digits[depth][row]
-                digit = (cdf <= (rest >> shift)[:, None]).sum(axis=1) - 1
-                s, z = model.frequency(depth, row, cdf, digit)
+                rows = model.rows(depth, k, own)
+                cdf = model.digits[rows]
+                digit = (cdf <= (rest >> shift).astype(np.int16)[:, None]).sum(axis=1) - 1
+                s, z = model.frequency(rows, cdf, digit)
                 start = start + scale * (s << shift)
                 scale = scale * z
                 rest = (rest - (s << shift)) // z

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import stored
 
 # Words everywhere in this package: maximal runs of anything but the ASCII
 # blanks.  ``bytes.split()`` splits on exactly these six characters.
@@ -45,16 +43,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor re-reads files instead of repeating
-    the work, every later branch sees the same rows, and Spark knows the
-    real size of the table when it chooses a join.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``stored``, in a folder that tells whose table it is."""
+    return stored(df, f"llm-{name}")
 
 
 def md5_uniform(key: Column) -> Column:

@@ -34,7 +34,7 @@ from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BLOCKS = 1024              # blocks coded at a time: lanes of the coder
+BLOCKS = 2048              # blocks coded at a time: lanes of the coder
 
 DOCS = "array<struct<doc_id:{kind},start:long,piece:int,n:int>>"
 ROW = "part int, block long, first long, n_ids int, steps int, crc32 long, payload binary, docs " + DOCS
