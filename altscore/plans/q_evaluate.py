@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..operators import scoring as S
+from ..session import stored
 from ..sources import views as V
 from . import oracle_features as O
 from .features import feature_matrix
@@ -26,13 +27,11 @@ def _pairs(spark, sf_dir):
 
 
 def rule_pairs(spark, sf_dir):
-    ledger, apps = V.ledger(spark, sf_dir), V.applicants(spark, sf_dir)
-    fm = feature_matrix(apps, ledger)
-    target = S.feature_target(fm, scaled=True).select(
-        F.col("applicant_id").alias("id"), F.col("profitability_score").alias("y_true"))
-    score = S.profitability_score(ledger, apps).select(
-        F.col("applicant_id").alias("id"), (F.col("profitability_score") / 100.0).alias("y_pred"))
-    return target.join(score, "id")
+    """(id, y_true, y_pred): target and rule score of one pass over the ledger."""
+    fm = feature_matrix(V.applicants(spark, sf_dir), V.ledger(spark, sf_dir), keep=S.SCORE_INPUTS, keep_raw=S.TOTALS)
+    fm = S.feature_target(fm, scaled=True).withColumnRenamed("profitability_score", "y_true")
+    sc = S.weighted(S.subscores_from_totals(fm, keep=["y_true"]))
+    return sc.select(F.col("applicant_id").alias("id"), "y_true", (F.col("profitability_score") / 100.0).alias("y_pred"))
 
 
 def _rule_pairs_with(extra=(), views=()) -> str:
@@ -206,9 +205,11 @@ SELECT 'rule_model', reg_r.rmse, reg_r.r2, cls_r.f1, NULL, bus_r.approval_rate F
 
 @register("compare_models", COMPARE_SQL)
 def q_compare_models(spark, sf_dir):
-    """EV7: two models x metrics; a metric no group provides stays NULL."""
-    long_df = EV.metrics_long(_pairs(spark, sf_dir), "events_model").unionByName(
-        EV.metrics_long(rule_pairs(spark, sf_dir), "rule_model"))
+    """EV7: two models x metrics; a metric no group provides stays NULL.
+
+    The pairs of each model are stored: three groups of metrics read them."""
+    long_df = EV.metrics_long(stored(_pairs(spark, sf_dir), "pairs"), "events_model").unionByName(
+        EV.metrics_long(stored(rule_pairs(spark, sf_dir), "pairs"), "rule_model"))
     return EV.compare_models(long_df, COMPARE_METRICS)
 
 

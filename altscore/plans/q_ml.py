@@ -210,7 +210,7 @@ FROM sd"""
 def q_batch_summary(spark, sf_dir):
     """M9: counts by decision, approval %, mean score / confidence, min / max
     and exact quartiles of the score."""
-    sd = scored_applicants(spark, sf_dir)
+    sd = stored(scored_applicants(spark, sf_dir), "scored")       # read for the counts, the ranks and the total
     agg = sd.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "approve").alias("approvals"),
                  F.count_if(F.col("decision") == "reject").alias("rejections"),
                  rnd(F.count_if(F.col("decision") == "approve") / F.count(F.lit(1)) * 100, 9).alias("approval_pct"),
