@@ -13,6 +13,7 @@ from ..operators import evaluate as EV
 from ..operators import scoring as S
 from ..session import stored
 from ..sources import views as V
+from ..sources.tables import load
 from . import oracle_features as O
 from .features import feature_matrix
 from .oracle_views import cte
@@ -110,6 +111,17 @@ def q_eval_roc_auc_rule(spark, sf_dir):
     return EV.roc_auc(rule_pairs(spark, sf_dir))
 
 
+# Nearly as many distinct scores as rows: the line items' prices against their discounts.
+LINE_PAIRS = """SELECT l_orderkey * 8 + l_linenumber AS id, l_discount * 10 AS y_true, l_extendedprice AS y_pred FROM lineitem"""
+
+
+@register("eval_roc_auc_lines", f"WITH line_pairs AS ({LINE_PAIRS}) " + _auc_sql("line_pairs"))
+def q_eval_roc_auc_lines(spark, sf_dir):
+    """EV3 on a continuous score."""
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_discount", "l_extendedprice"])
+    return EV.roc_auc(li.selectExpr("l_orderkey * 8 + l_linenumber AS id", "l_discount * 10 AS y_true", "l_extendedprice AS y_pred"))
+
+
 ROC_SQL = cte(P) + """
 SELECT score AS threshold,
        round(CASE WHEN sum(neg) OVER () > 0 THEN sum(neg) OVER (ORDER BY score DESC) / sum(neg) OVER () ELSE 0.0 END, 9) AS fpr,
