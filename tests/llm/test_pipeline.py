@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as C
 from altscore.llm import pii, simhash
 from altscore.llm.common import staged
+from fixtures import edge_docs, no_docs
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,20 @@ def test_run_equals_the_stages(spark, steps):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     a, b = C.run(spark, SF).select(key).collect(), steps["best_fit_packing"].select(key).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("kind", ["edges", "empty"])
+def test_stages_on_odd_and_empty_tables(spark, tmp_path, kind):
+    """Nulls, empty and very long texts, repeated rows, clashing column names, no rows."""
+    made = edge_docs(spark) if kind == "edges" else no_docs(spark)
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1), (None, 0), (7, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in C.STAGES[:-1]:
+        out = staged(stage(spark, d, str(tmp_path)), f"odd-{name}")
+        assert out.columns == d.columns and out.dtypes == d.dtypes
+        if name == "toxicity":
+            assert out.count() == d.count()
+        d = out
+    packed = C.STAGES[-1][1](spark, d, str(tmp_path))
+    assert packed.where("piece = 0").count() == d.count() and (d.count() > 0) == (kind == "edges")
