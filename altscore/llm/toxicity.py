@@ -31,7 +31,7 @@ from .common import arrow_batches, id_hash, labelled_sample, staged, worker_stat
 SAMPLE = 20_000            # labelled documents in the sample, at most
 THRESHOLD = 0.7
 TERMS = 4_000              # terms of the model, at most: those with the largest G
-LEAST_G = 30.0             # about one chance in ten million for an unrelated term
+LEAST_G = 12.0             # about one chance in two thousand for an unrelated term
 STEM = 5                   # letters of a word that count beside the word
 
 # Neutral terms for groups of people, by kind; terms of a kind are swapped for each other.
@@ -88,7 +88,7 @@ def g_values(present: np.ndarray, positive: np.ndarray, n: int, n_pos: int) -> n
     return g
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple], k: int, ridge: float = 1e-4,
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple], k: int, ridge: float = 1e-5,
                  fairness: float = 1.0, steps: int = 600, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias; ``rows`` hold the terms of each document, ``pairs``
     the (document, removed, added) of each counterfactual.  Adam, full batch."""
