@@ -78,7 +78,9 @@ def index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
                          "links": pa.array([[x.tobytes() for x in g.links]], pa.list_(pa.binary())),
                          "sizes": pa.array([[len(x) for x in g.links]], pa.list_(pa.int64()))})
 
-    out = nodes.select("dim", "shard", "v", "ids").groupBy("dim", "shard").applyInArrow(
+    # building a graph is work, not data: AQE would put small shards into one task
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = nodes.select("dim", "shard", "v", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(
         graph, "dim long, shard long, ids binary, n_ids binary, vectors binary, links array<binary>, sizes array<long>")
     return staged(out, "ann-index")
 
@@ -127,8 +129,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, beam: int = BEAM,
 
     q = q.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(
         bundle, "dim long, block long, q_ids binary, q_vectors binary")
-    # a block per shard: one row each, so that searches spread over tasks
-    visits = idx.select("dim", "shard").join(q, "dim").repartition("dim", "shard", "block")
+    # every block visits every shard: one row each, beside the shard's graph
+    visits = idx.select("dim", "shard").join(q, "dim")
 
     def search(batches):
         for b in batches:
