@@ -20,6 +20,7 @@ wide enough to code a whole id at once.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -104,10 +105,12 @@ class Reader(Lanes):
         self.code[lanes] = (self.code[lanes] << 16) & MASK | both >> 2
         self.spare[lanes] = both & 3
 
+    def below(self, bound: np.ndarray, bits: int) -> np.ndarray:
+        """Whether each lane stands below ``bound`` of 2^bits."""
+        return self.code - self.low < (self.range >> bits) * bound
+
     def peek(self, k, bits: int) -> np.ndarray:
-        """Where in 2^bits lanes ``k`` (None: all) stand."""
-        if k is None:
-            return np.minimum((self.code - self.low) // (self.range >> bits), (1 << bits) - 1)
+        """Where in 2^bits lanes ``k`` stand."""
         return np.minimum((self.code[k] - self.low[k]) // (self.range[k] >> bits), (1 << bits) - 1)
 
 
@@ -212,7 +215,7 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
     columns = np.empty((length, n), "<u2")
     for t in range(length):
         cand, p = model.candidate()
-        hit = src.peek(None, 16) < p
+        hit = src.below(p, 16)
         src.narrow(None, np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16)
         ids = np.where(hit, cand, np.int32(0))
         k = np.flatnonzero(~hit)
@@ -221,11 +224,14 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
             for depth, shift in enumerate((28, 16, 4)):
                 rows = model.rows(depth, k, own)
                 cdf = model.digits[rows]
-                digit = (cdf <= (rest >> shift).astype(np.int16)[:, None]).sum(axis=1) - 1
+                # starts rise, so the digit is the number of them that are not above, less one
+                under = np.packbits(cdf <= (rest >> shift).astype(np.int16)[:, None], axis=1).view(np.uint16)[:, 0]
+                digit = np.bitwise_count(under).astype(np.int64) - 1
                 s, z = model.frequency(rows, cdf, digit)
                 start = start + scale * (s << shift)
                 scale = scale * z
-                rest = (rest - (s << shift)) // z
+                # at most 40 bits by at most 12: the quotient of doubles, cut, is exact
+                rest = ((rest - (s << shift)) / z).astype(np.int64)
                 own = own << 4 | digit
             src.narrow(k, start + scale * rest, scale, ID_BITS)
             ids[k] = own << 4 | rest
@@ -239,30 +245,38 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4"))
 
 
+def _apply(m: list[int], v: int) -> int:
+    """Product of a bit matrix (a row for each bit of ``v``) and ``v``."""
+    out, k = 0, 0
+    while v:
+        if v & 1:
+            out ^= m[k]
+        v >>= 1
+        k += 1
+    return out
+
+
+@lru_cache(maxsize=64)
+def _zero_bytes(k: int) -> list[int]:
+    """Matrix that appends 2^k zero bytes to a crc32."""
+    if k == 0:
+        m = [0xEDB88320] + [1 << i for i in range(31)]          # one zero bit
+        for _ in range(3):
+            m = [_apply(m, r) for r in m]
+        return m
+    half = _zero_bytes(k - 1)
+    return [_apply(half, r) for r in half]
+
+
 def crc_join(a: int, b: int, size: int) -> int:
     """crc32 of two strings together from theirs and the size of the second.
 
-    A crc is linear over bits: appending zero bytes multiplies by a matrix,
-    raised to the number of bytes by repeated squaring.
+    A crc is linear over bits: appending zero bytes multiplies by a matrix.
     """
-    def times(m, v):
-        out = 0
-        for row in m:
-            if not v:
-                break
-            if v & 1:
-                out ^= row
-            v >>= 1
-        return out
-
-    # one zero bit
-    m = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
-        m = [times(m, r) for r in m]
+    k = 0
     while size:
         if size & 1:
-            a = times(m, a)
+            a = _apply(_zero_bytes(k), a)
         size >>= 1
-        if size:
-            m = [times(m, r) for r in m]
+        k += 1
     return a ^ b

@@ -185,7 +185,7 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
         out = []
         for row in parts:
             crc = 0
-            for k, x in enumerate(row):
+            for k, x in enumerate(() if row is None else row):
                 crc = x["crc"] if k == 0 else codec.crc_join(crc, x["crc"], 4 * x["n"])
             out.append(crc)
         return pd.Series(out, dtype="int64")
@@ -197,5 +197,7 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)     # a row per part
     before = per.select("part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
     d = d.join(before, "part")
-    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces"))
+    # Python sees the pieces of long documents only
+    several = F.when(F.size("pieces") > 1, F.col("pieces"))
+    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined(several))
     return d.select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
