@@ -34,8 +34,8 @@ from .common import worker_state
 from .tokens import byte_symbols, tokenizer_path
 
 CHUNK = 1 << 20            # characters of a text worked on at a time
-WORDS = 150_000            # counts of words that a worker keeps
-STATES = 100_000           # compiled states that a worker keeps, about 70 MB
+WORDS = 300_000            # counts of words that a worker keeps, about 45 MB
+STATES = 300_000           # compiled states that a worker keeps, about 200 MB
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 
