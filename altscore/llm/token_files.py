@@ -34,7 +34,7 @@ from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BLOCKS = 2048              # blocks coded at a time: lanes of the coder
+BLOCKS = 1024              # blocks coded at a time: lanes of the coder
 
 DOCS = "array<struct<doc_id:{kind},start:long,piece:int,n:int>>"
 ROW = "part int, block long, first long, n_ids int, steps int, crc32 long, payload binary, docs " + DOCS
@@ -84,9 +84,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
     spark = docs.sparkSession
     arrow_batches(spark)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # as many ranges as Spark's shuffles have; AQE must not merge them afterwards, for parts are numbered by task
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # parts are numbered by task; where AQE merges small ranges, tasks still follow the ids
+    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end, batch_ids = np.array([end_id], "<u4").tobytes(), blocks * size
 
     def run(batches):

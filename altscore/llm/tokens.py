@@ -19,8 +19,8 @@ import numpy as np
 
 from .common import worker_state
 
-PIECES = 400_000          # pieces and words that one worker keeps: up to
-WORDS = 200_000           # twice as many of each, about 200 MB in all
+PIECES = 320_000          # pieces and words that one worker keeps: up to
+WORDS = 160_000           # twice as many of each, about 160 MB in all
 
 # Fixed value: the split pattern of byte-level tokenizers that name none.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
