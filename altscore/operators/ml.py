@@ -47,9 +47,11 @@ def fit(train: DataFrame, features: list[str], label: str = "label", key: str =
         max_iter: int | None = None, **overrides) -> PipelineModel:
     """Fit on rows dealt out by a hash of ``key`` and sorted within: GBT draws
     its samples per partition in row order, so the model depends on the rows
-    and the number of partitions, and not on how the input was laid out."""
+    and the number of partitions, and not on how the input was laid out.
+    Boosting runs several jobs per tree level, so there are no more partitions
+    than cores."""
     spark = train.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     held = F.pmod(F.xxhash64(key), F.lit(100)) < VALIDATION_PCT
     data = (train.select(key, *features, F.col(label).cast("double").alias("label"), held.alias("validation"))
             .repartition(n, key).sortWithinPartitions(key))
