@@ -35,7 +35,7 @@ SAMPLE = 20_000            # documents of the training sample, at most
 GRAMS = 60_000             # trigrams of the model, at most: the most frequent
 SWITCH = 8.0               # cost of a change of language, in nats
 WORDS = 300_000            # scored words that a worker keeps
-LONGEST = 40               # letters of a word beyond which its score grows no more
+LONGEST = 40               # letters of a word; a longer run of letters is several
 
 # First and last code point of the letters of each script.
 SCRIPTS = {
@@ -62,11 +62,26 @@ def script(letter: str) -> str:
     return next((name for name, ranges in SCRIPTS.items() if any(a <= c <= b for a, b in ranges)), OTHER)
 
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+def _letters(ranges) -> str:
+    """The letters of code point ranges, as the inside of a character class."""
+    is_letter = re.compile(r"[^\W\d_]").match
+    codes = [c for a, b in ranges for c in range(a, b + 1) if is_letter(chr(c))]
+    first = [c for c, before in zip(codes, [-1, *codes]) if c != before + 1]
+    last = [c for c, after in zip(codes, [*codes[1:], -1]) if c != after - 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+_OF_SCRIPTS = [_letters(r) for r in SCRIPTS.values()]
+_WORDS = re.compile(r"(?=[^\W\d_])(?:" + "".join(f"[{x}]{{1,{LONGEST}}}|" for x in _OF_SCRIPTS)
+                    + rf"(?:(?![{''.join(_OF_SCRIPTS)}])[^\W\d_]){{1,{LONGEST}}})").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words of letters (and odd numerals, which score nothing), lower-cased, in order."""
+    """Words of letters (and odd numerals, which score nothing), lower-cased, in order.
+
+    A run of letters is cut where its script changes and after every
+    ``LONGEST`` letters, so text without blanks is many words, too.
+    """
     return _WORDS(text.lower()) if text else []
 
 
@@ -97,7 +112,7 @@ class Model:
             self.scores, self.letters = np.zeros((0, m)), np.zeros(0)
         get, rows, sizes = self.grams.get, [], []
         for w in words:
-            g = [get(x, other) for x in grams(w[:LONGEST])]
+            g = [get(x, other) for x in grams(w)]
             rows += g
             sizes.append(len(g))
         first = np.cumsum([0, *sizes[:-1]])
@@ -219,7 +234,7 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE, n_grams: int = GRAMS
             for lang, text in zip(b["lang"], b["text"]):
                 for w, n in Counter(words_of(text)).items():
                     scr[lang, script(w[0])] += n * len(w)
-                    for g in grams(w[:LONGEST]):
+                    for g in grams(w):
                         tri[lang, g] += n
             yield pd.DataFrame([(k, lang, x, n) for k, c in ((0, tri), (1, scr)) for (lang, x), n in c.items()],
                                columns=["kind", "lang", "key", "n"])

@@ -45,3 +45,17 @@ def test_edges_and_empty(spark):
     model = L.fit(no_docs(spark))
     assert {r.lang_pred for r in L.identified(d, model).collect()} == {"und"}
     assert L.identified(no_docs(spark), model).count() == 0
+
+
+def test_runs_without_blanks_are_read_to_their_end(spark):
+    r = random.Random(7)
+    rows = [(i, _text(lang, 40, r), lang) for i, lang in enumerate(random.Random(2).choices("aa bb cc".split(), k=300))]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    run = {lang: _text(lang, n, r).replace(" ", "") for lang, n in (("aa", 30), ("bb", 300), ("cc", 20))}
+    text = run["aa"] + run["bb"]
+    assert "".join(L.words_of(text)) == text and max(map(len, L.words_of(text))) == L.LONGEST
+    lang, share, n_spans = model.predict([text])[0]
+    assert lang == "bb" and abs(share - len(run["bb"]) / len(text)) < 0.05 and n_spans == 2
+    # a change of script cuts, too
+    assert L.words_of("the" + "привет" + "ung½x_y9z漢字かな") == ["the", "привет", "ung½x", "y", "z", "漢字", "かな"]
+    assert [s[0] for s in model.spans(run["aa"] + run["cc"])] == ["aa", "cc"]
