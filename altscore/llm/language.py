@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, id_hash, staged
 
 SAMPLE = 20_000            # documents of the training sample, at most
-GRAMS = 60_000             # trigrams of the model, at most: the most frequent
 SWITCH = 8.0               # cost of a change of language, in nats
 WORDS = 300_000            # scored words that a worker keeps
 LONGEST = 40               # letters of a word; a longer run of letters is several
@@ -212,12 +211,13 @@ def train(counts: list[tuple], script_counts: list[tuple]) -> Model:
     return Model(langs, names, logs, {s: n >= 0.01 * np.maximum(letters, 1) for s, n in used.items() if s != OTHER})
 
 
-def fit(docs: DataFrame, usable=None, sample: int = SAMPLE, n_grams: int = GRAMS) -> Model:
+def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
     """Model from the text and non-null lang of documents for which ``usable`` holds.
 
     The sample is the ``sample`` documents with the smallest hash of the id;
-    their trigrams are counted where they are, and the ``n_grams`` most
-    frequent (language, trigram) counts come to the driver.
+    their trigrams are counted where they are, and all (language, trigram)
+    counts come to the driver: the sample bounds them.  Every language with a
+    letter in the sample can be predicted.
     """
     arrow_batches(docs.sparkSession)
     d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -241,8 +241,8 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE, n_grams: int = GRAMS
 
     counted = rows.select("lang", "text").mapInPandas(count, "kind int, lang string, key string, n long")
     counted = staged(counted.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")), "trigrams")
-    tri = counted.where("kind = 0").orderBy(F.desc("n"), "lang", "key").limit(n_grams).collect()
-    scr = counted.where("kind = 1").orderBy(F.desc("n"), "lang", "key").limit(n_grams).collect()
+    tri = counted.where("kind = 0").collect()
+    scr = counted.where("kind = 1").collect()
     return train([(r.lang, r.key, r.n) for r in tri], [(r.lang, r.key, r.n) for r in scr])
 
 

@@ -59,3 +59,14 @@ def test_runs_without_blanks_are_read_to_their_end(spark):
     # a change of script cuts, too
     assert L.words_of("the" + "привет" + "ung½x_y9z漢字かな") == ["the", "привет", "ung½x", "y", "z", "漢字", "かな"]
     assert [s[0] for s in model.spans(run["aa"] + run["cc"])] == ["aa", "cc"]
+
+
+def test_a_rare_language_beside_one_of_many_trigrams(spark):
+    r = random.Random(8)
+    han = [" ".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(8)) for _ in range(300)) for _ in range(40)]
+    rows = [(i, t, "aa") for i, t in enumerate(han * 2)] + [(100, "zoo quiz fjord", "zz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(d)
+    assert len(model.grams) > 60_000 and model.langs == ["aa", "zz"]
+    assert {"^zo", "fjo", "rd$"} <= set(model.grams)
+    assert [p[0] for p in model.predict(["fjord zoo", han[0]])] == ["zz", "aa"]
