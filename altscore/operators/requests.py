@@ -25,7 +25,8 @@ def _limiter(limit: int, window_us: int):
 
     The state is the deque of accepted request times still inside the window
     (at most ``limit`` entries), so memory is O(limit) whatever the volume; the
-    partition is consumed as a stream of Arrow batches.
+    partition is consumed as a stream of Arrow batches.  Rows that are
+    ``carried`` were accepted earlier: they fill the deque and are not returned.
     """
     def run(batches):
         key, acc = None, deque()
@@ -35,7 +36,7 @@ def _limiter(limit: int, window_us: int):
             remaining = [0] * n
             retry = [0] * n
             keys = list(zip(pdf["client"].tolist(), pdf["burst"].tolist()))
-            times = pdf["ts_us"].tolist()
+            times, carried = pdf["ts_us"].tolist(), pdf["carried"].tolist()
             for i in range(n):
                 t = times[i]
                 if keys[i] != key:
@@ -43,15 +44,18 @@ def _limiter(limit: int, window_us: int):
                 cutoff = t - window_us
                 while acc and acc[0] <= cutoff:      # strictly newer than the cutoff survive
                     acc.popleft()
-                if len(acc) >= limit:
+                if carried[i]:
+                    acc.append(t)
+                elif len(acc) >= limit:
                     retry[i] = max(0, (acc[0] + window_us - t) // 1_000_000)
                     remaining[i] = max(0, limit - len(acc))
                 else:
                     acc.append(t)
                     accepted[i] = True
                     remaining[i] = max(0, limit - len(acc))
-            yield pd.DataFrame({"request_id": pdf["request_id"], "client": pdf["client"], "ts_us": pdf["ts_us"],
+            out = pd.DataFrame({"request_id": pdf["request_id"], "client": pdf["client"], "ts_us": pdf["ts_us"],
                                 "accepted": accepted, "remaining": remaining, "retry_after": retry})
+            yield out[~pdf["carried"]] if any(carried) else out
     return run
 
 
@@ -71,6 +75,13 @@ def bursts(requests: DataFrame, window_us: int) -> DataFrame:
         "_client", "_c", "_cell")
 
 
+def limited(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """RATE_LIMIT_SCHEMA of request_id, client, ts_us and carried (see _limiter)."""
+    r = bursts(requests, window_us)
+    r = r.repartition("client", "burst").sortWithinPartitions("client", "burst", "ts_us", "request_id")
+    return r.select("request_id", "client", "burst", "ts_us", "carried").mapInPandas(_limiter(limit, window_us), RATE_LIMIT_SCHEMA)
+
+
 def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
                window_s: int = K.RATE_LIMIT_WINDOW_S) -> DataFrame:
     """W1 + W2: accept a request iff fewer than ``limit`` *accepted* requests
@@ -78,10 +89,8 @@ def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
     not recorded); remaining quota and retry-after per request.
 
     Work is dealt out by (client, burst), so a busy client is many keys."""
-    window_us = window_s * 1_000_000
-    r = bursts(requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), window_us)
-    r = r.repartition("client", "burst").sortWithinPartitions("client", "burst", "ts_us", "request_id")
-    out = r.select("request_id", "client", "burst", "ts_us").mapInPandas(_limiter(limit, window_us), RATE_LIMIT_SCHEMA)
+    out = limited(requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us"), F.lit(False).alias("carried")),
+                  limit, window_s * 1_000_000)
     return out.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"),
                       "accepted", "remaining", "retry_after")
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import rules as RU
 from ..functions.expr import rnd, to_ntz
 from ..operators import nested as N
 from ..operators import portfolio as PF
 from ..operators import quality as Q
+from ..operators import requests as R
 from ..sources import views as V
 from ..sources.schemas import NESTED_APPLICATION
 from ..sources.io import write
@@ -99,53 +97,44 @@ def stream_sliding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T5
-LIMIT_OUT = "request_id long, client string, ts_us long, accepted boolean, remaining long, retry_after long"
-LIMIT_STATE = "acc array<long>"
-
-
-def _limiter_fn(limit: int, window_us: int):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        acc = list(state.get[0]) if state.exists else []
-        # two numbers a request; a micro-batch is bounded by the files of its trigger
-        parts = [p[["ts_us", "request_id"]].to_numpy() for p in pdfs]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))].tolist()
-        out = {"request_id": [], "client": [], "ts_us": [], "accepted": [], "remaining": [], "retry_after": []}
-        for t, rid in rows:
-            acc = [a for a in acc if a > t - window_us]
-            ok = len(acc) < limit
-            if ok:
-                acc.append(t)
-            out["request_id"].append(rid)
-            out["client"].append(key[0])
-            out["ts_us"].append(t)
-            out["accepted"].append(ok)
-            out["remaining"].append(max(0, limit - len(acc)))
-            out["retry_after"].append(0 if ok else max(0, (acc[0] + window_us - t) // 1_000_000))
-        state.update((acc,))
-        if acc:   # forget the client once its newest accepted request leaves the window
-            state.setTimeoutTimestamp(acc[-1] // 1000 + window_us // 1000)
-        yield pd.DataFrame(out)
-    return fn
+LIMIT_STATE = "client string, ts_us long"
+
+
+def limit_stream(stream: DataFrame, base: str, limit: int, window_us: int) -> DataFrame:
+    """RATE_LIMIT_SCHEMA of a stream of request_id, client, ts_us.
+
+    A micro-batch is limited as the batch form does it, dealt out by (client,
+    burst) and sorted by Spark, so no worker holds the requests of a client.
+    The state is a table: the accepted times of each client's last window, until
+    the client is a window behind the watermark.  They are carried into the next
+    micro-batch as rows.  Output and state lie under the batch id, so a
+    replayed micro-batch overwrites itself."""
+    def run(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        rows = batch.select("request_id", "client", "ts_us", F.lit(False).alias("carried"))
+        if batch_id > 0:
+            state = spark.read.schema(LIMIT_STATE).parquet(f"{base}/state/batch={batch_id - 1}")
+            rows = rows.unionByName(state.select(F.lit(None).cast("long").alias("request_id"), "client", "ts_us", F.lit(True).alias("carried")))
+        R.limited(rows, limit, window_us).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        done = spark.read.schema(R.RATE_LIMIT_SCHEMA).parquet(f"{base}/out/batch={batch_id}")
+        times = done.select("client", "ts_us", "accepted")
+        if batch_id > 0:
+            times = times.unionByName(state.withColumn("accepted", F.lit(True)))
+        last = times.groupBy(F.col("client").alias("_client")).agg(F.max("ts_us").alias("_last"))
+        now = last.agg(F.max("_last")).first()[0]
+        kept = times.where(F.col("accepted") & (F.col("ts_us") + 2 * window_us >= F.lit(now).cast("long"))).join(
+            last, F.col("client").eqNullSafe(F.col("_client")) & (F.col("ts_us") > F.col("_last") - window_us))
+        kept.select("client", "ts_us").write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
+
+    run_foreach_batch(stream, run, base + "/chk")
+    return stream.sparkSession.read.schema(R.RATE_LIMIT_SCHEMA).parquet(base + "/out")
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int, window_s: int) -> DataFrame:
-    """T5: the W1 limiter as a stateful stream operator.  State per client is
-    at most ``limit`` accepted timestamps, cleared by an event-time timeout."""
-    base = run_dir(spark, "ratelimit")
-    r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events")).select("request_id", "client", "ts")
-    s = r.withWatermark("ts", f"{window_s} seconds")
-    s = s.select("request_id", "client", "ts", F.unix_micros("ts").alias("ts_us"))
-    out = s.groupBy("client").applyInPandasWithState(
-        _limiter_fn(limit, window_s * 1_000_000), LIMIT_OUT, LIMIT_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    run_to_files(out, base + "/out", base + "/chk")
-    res = spark.read.parquet(base + "/out")
+    """T5: the W1 limiter over a stream, with its state between micro-batches in a table."""
+    r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events"))
+    res = limit_stream(r.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), run_dir(spark, "ratelimit"),
+                       limit, window_s * 1_000_000)
     return res.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"), "accepted",
                       "remaining", "retry_after")
 

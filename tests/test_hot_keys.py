@@ -76,3 +76,38 @@ def test_busy_client_rate_limit_matches_brute_force(spark):
         assert got[rid] == (ok, 10 - len(live), retry)
     b = bursts(df.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), 60_000_000)
     assert b.where("client = 'hot'").select("burst").distinct().count() > 20
+
+
+def test_busy_client_stream_limit_over_micro_batches(spark, tmp_path):
+    """State goes from micro-batch to micro-batch, and a busy client is many tasks."""
+    import os
+    import random
+
+    from altscore.streaming.jobs import limit_stream
+    r = random.Random(12)
+    window, t, rows = 60_000_000, 0, []
+    for i in range(1500):
+        t += r.choice([100_000, 1_000_000, 5_000_000, 70_000_000 if i % 50 == 0 else 300_000])
+        rows.append((i, r.choice(["hot", "hot", "hot", "cold", None]), t))
+    for k in range(3):
+        spark.createDataFrame(rows[500 * k:500 * k + 500], "request_id long, client string, ts_us long").coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        part = next(f for f in os.listdir(f"{tmp_path}/w{k}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.link(f"{tmp_path}/w{k}/{part}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema("request_id long, client string, ts_us long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # so that tasks show in the files
+    try:
+        got = {x.request_id: (x.accepted, x.remaining, x.retry_after) for x in limit_stream(stream, f"{tmp_path}/run", 10, window).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, acc = {}, {}
+    for rid, c, t in rows:
+        a = acc[c] = [x for x in acc.get(c, []) if x > t - window]
+        ok = len(a) < 10
+        if ok:
+            a.append(t)
+        want[rid] = (ok, 10 - len(a), 0 if ok else (a[0] + window - t) // 1_000_000)
+    assert got == want and len(os.listdir(f"{tmp_path}/run/state")) == 3
+    files = [spark.read.parquet(f"{tmp_path}/run/out/batch=0/{f}") for f in os.listdir(f"{tmp_path}/run/out/batch=0") if f.endswith(".parquet")]
+    assert sum(not f.where("client = 'hot'").isEmpty() for f in files) > 1
