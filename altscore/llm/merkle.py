@@ -54,8 +54,9 @@ def leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     if tampered is not None:
         other = F.when(tampered & F.col("n_chars").isNotNull(), digest(changed))
     d = docs.select("doc_id", "lang", key_of(F.col("lang")).alias("key"), digest(columns).alias("leaf"), other.alias("other"))
-    # the last key tells rows apart that are equal in all that counts
-    d = d.withColumn("tie", F.monotonically_increasing_id())
+    # stored first: ranges are sampled, which would read the texts twice.
+    # The last key tells rows apart that are equal in all that counts.
+    d = staged(d.withColumn("tie", F.monotonically_increasing_id()), "merkle-digests")
     return ranked(d, ["doc_id", "leaf", "tie"]).drop("tie")
 
 
