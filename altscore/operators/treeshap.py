@@ -48,6 +48,30 @@ def extract_trees(gbt_model) -> list:
     return out
 
 
+def saved_trees(spark, stage_path: str, weights: list[float]) -> list:
+    """``extract_trees`` from the folder of a saved ensemble: one read of its nodes (a few thousand rows)."""
+    nodes: dict[int, dict] = {}
+    for r in spark.read.parquet(stage_path + "/data").select("treeID", "nodeData.*").collect():
+        nodes.setdefault(r.treeID, {})[r.id] = r
+    out = []
+    for tree in sorted(nodes):
+        leaves, own = [], nodes[tree]
+
+        def walk(at, path):
+            node = own[at]
+            if node.leftChild < 0:
+                leaves.append((float(node.prediction), path))
+                return
+            n = node.impurityStats[0]
+            for child, left in ((node.leftChild, True), (node.rightChild, False)):
+                share = own[child].impurityStats[0] / n if n else 0.5
+                walk(child, path + [(node.split.featureIndex, float(node.split.leftCategoriesOrThreshold[0]), left, share)])
+
+        walk(0, [])
+        out.append((float(weights[tree]), leaves))
+    return out
+
+
 def base_value(trees) -> float:
     """Expected model output under the covers (v of the empty coalition)."""
     total = 0.0

@@ -34,9 +34,13 @@ def training_frame(spark, sf_dir):
                              ML.split_flag("applicant_id").alias("split")), "training")
 
 
+def registered_model(tf):
+    """M2: the GBT of the train split, fitted once for all queries."""
+    return ML.fit_once(tf.filter(F.col("split") == "train"), FEATURE_NAMES, "label")
+
+
 def trained_model(tf):
-    """M2: GBT fitted on the train split."""
-    return ML.fit(tf.filter(F.col("split") == "train"), FEATURE_NAMES, "label")
+    return registered_model(tf).model
 
 
 @register("train_test_split", cte("applicants") + """
@@ -49,9 +53,20 @@ def q_train_test_split(spark, sf_dir):
 
 @register("gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """M2 + M11: fit on the train split; model summary row."""
-    model = trained_model(training_frame(spark, sf_dir))
-    return ML.model_info(spark, model, FEATURE_NAMES, {"label": "profitability_score/100", "split": "80/20"})
+    """M2 + M11: fit on the train split; model summary row with the trees
+    fitted and kept, and the validation error after each tree."""
+    r = registered_model(training_frame(spark, sf_dir))
+    curve = r.curve().agg(F.array_sort(F.collect_list(F.struct("tree", "validation_rmse"))).alias("c"))     # a row per tree
+    info = ML.model_info(spark, r.model, FEATURE_NAMES, {"label": "profitability_score/100", "split": "80/20"})
+    return info.withColumn("trees_fitted", F.lit(r.notes["n_fitted"])).withColumn("_k", F.lit(1)).join(
+        curve.select(F.col("c.validation_rmse").alias("validation_curve"), F.lit(1).alias("_k")), "_k").drop("_k")
+
+
+@register("training_curve")
+def q_training_curve(spark, sf_dir):
+    """M2: the stored validation error after each tree, and whether the tree is kept."""
+    r = registered_model(training_frame(spark, sf_dir))
+    return r.curve().withColumn("kept", F.col("tree") <= r.notes["n_kept"])
 
 
 @register("feature_importance")
@@ -123,7 +138,8 @@ def q_train_pipeline(spark, sf_dir):
     against a second computation."""
     from ..operators import treeshap as TS
     tf = training_frame(spark, sf_dir)
-    model = trained_model(tf)
+    fitted = registered_model(tf)
+    model = fitted.model
     path = ML.model_path(spark, f"pipeline-{uuid.uuid4().hex}")
     ML.save_model(model, path, FEATURE_NAMES)
     again = ML.load_model(path)
@@ -142,7 +158,7 @@ def q_train_pipeline(spark, sf_dir):
         F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("n_score_outside"),
         F.count_if((F.col("decision") == "approve") != F.col("yes")).alias("n_wrong_decision"),
         F.count_if(F.col("score") != F.col("again")).alias("n_changed_by_reload"))
-    explained = TS.explain(raw.drop("split", "label"), FEATURE_NAMES, TS.extract_trees(model.stages[-1]), "applicant_id",
+    explained = TS.explain(raw.drop("split", "label"), FEATURE_NAMES, fitted.trees(), "applicant_id",
                            raw_col="raw_prediction").agg(F.count_if(F.col("additivity_error") > 1e-6).alias("n_not_additive"))
     # one row each, joined on a constant key
     one = [x.withColumn("_k", F.lit(1)) for x in (scored, facts, explained)]
@@ -308,10 +324,10 @@ def q_waterfall_rows(spark, sf_dir):
 def _tree_explain(spark, sf_dir, top_n=None, with_raw=False):
     from ..operators import treeshap as TS
     tf = training_frame(spark, sf_dir)
-    model = trained_model(tf)
-    trees = TS.extract_trees(model.stages[-1])
+    fitted = registered_model(tf)
+    trees = fitted.trees()
     if with_raw:
-        tf = model.transform(tf.select("applicant_id", *FEATURE_NAMES)).drop("features")
+        tf = fitted.model.transform(tf.select("applicant_id", *FEATURE_NAMES)).drop("features")
     return TS.explain(tf, FEATURE_NAMES, trees, "applicant_id", top_n=top_n,
                       raw_col="raw_prediction" if with_raw else None)
 

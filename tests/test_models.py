@@ -78,3 +78,74 @@ def test_contributions_are_row_local(spark):
     top = S.top_contributions(d, {"a": 1.0, "b": 1.0, "c": 5.0}, FEATURES, top_n=2)
     assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
     assert [(r.applicant_id, r["rank"], r.feature) for r in top.collect()] == [(1, 1, "b"), (1, 2, "a"), (2, 1, "c"), (2, 2, "b")]
+
+
+def test_boosting_stops_with_patience_and_keeps_the_best(frame, monkeypatch):
+    """The curve is the plain error of the running predictions; a pause of ``patience`` trees ends boosting."""
+    noisy = frame.withColumn("label", F.col("label") + F.sin(F.col("applicant_id") * 12.9898) / 2)
+    monkeypatch.setattr(ML, "STAGES", (12, 24, 36))
+    got = ML.fit_staged(noisy, FEATURES, patience=4, max_iter=60, stepSize=0.4, minInstancesPerNode=1)
+    assert got.n_fitted in (12, 24, 36) and len(got.curve) == got.n_fitted
+    best = min(range(got.n_fitted), key=lambda i: got.curve[i]) + 1
+    assert got.n_kept == best == got.model.stages[-1].getNumTrees and best + 4 <= got.n_fitted
+    held = noisy.where(F.pmod(F.xxhash64("applicant_id"), F.lit(100)) < ML.VALIDATION_PCT).toPandas()
+    x, y = held[FEATURES].to_numpy(), held["label"].to_numpy()
+    total = np.zeros(len(held))
+    for i, (w, leaves) in enumerate(TS.extract_trees(got.model.stages[-1])):
+        for value, path in leaves:
+            total += w * value * np.prod([(x[:, f] <= t) == left for f, t, left, _ in path], axis=0)
+        assert got.curve[i] == pytest.approx(np.sqrt(np.mean((total - y) ** 2)), abs=1e-9)
+    whole = ML.gbt_pipeline(FEATURES, max_iter=best, stepSize=0.4, minInstancesPerNode=1)
+    assert whole.getStages()[-1].getMaxIter() == best
+    assert np.allclose(held.assign(p=total)["p"], [r.raw_prediction for r in got.model.transform(
+        frame.sparkSession.createDataFrame(held)).select("raw_prediction").collect()], atol=1e-9)
+
+
+def test_no_rows_and_no_labels(spark, frame, tmp_path):
+    """Nothing to learn from: a model that predicts 0, is saved, loaded, described and explained."""
+    for d in (frame.limit(0), frame.withColumn("label", F.lit(None).cast("double"))):
+        got = ML.fit_once(d, FEATURES, path=str(tmp_path / "none"))
+        assert got.curve().count() == 0 and got.trees() == [] and got.notes["n_fitted"] == 0
+        assert [(r.score, r.decision) for r in ML.score(got.model, frame.limit(2), FEATURES).collect()] == [(0.0, "reject")] * 2
+        assert ML.model_info(spark, got.model, FEATURES).first().n_trees == 0 and set(ML.importances(got.model, FEATURES).values()) == {0.0}
+    one = frame.where("applicant_id = 5")
+    assert ML.fit_staged(one, FEATURES, max_iter=2).n_kept == 2
+
+
+def test_a_model_is_fitted_once(frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "registry")
+    a = ML.fit_once(frame, FEATURES, path=path, max_iter=3)
+    other = ML.fit_once(frame.where("applicant_id < 900"), FEATURES, path=path, max_iter=3)
+    more = ML.fit_once(frame, FEATURES, path=path, max_iter=4)
+    monkeypatch.setattr(ML, "fit_staged", None)                # nothing is fitted from here on
+    ML._LOADED.clear()
+    again = ML.fit_once(frame.orderBy(F.desc("b")).repartition(5), FEATURES, path=path, max_iter=3)
+    assert again.path == a.path and len({a.path, other.path, more.path}) == 3
+    x, y = (sorted(map(tuple, m.model.transform(frame).select("applicant_id", "raw_prediction").collect())) for m in (a, again))
+    assert x == y
+    assert again.curve().count() == again.notes["n_fitted"] == 3
+    slow, fast = TS.extract_trees(again.model.stages[-1]), again.trees()
+    assert slow == fast
+
+
+def test_a_crash_before_the_commit_leaves_the_version_before(spark, frame, model, tmp_path, monkeypatch):
+    """Saved but not committed, and a number that was taken and left empty: readers see the old version."""
+    from altscore.operators.model_store import ModelStore
+    path = str(tmp_path / "m")
+    ML.save_model(model, path, FEATURES)
+    other = ML.fit(frame, FEATURES, max_iter=2)
+
+    def crash(*args, **more):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(ModelStore, "commit", crash)
+        with pytest.raises(RuntimeError):
+            ML.save_model(other, path, FEATURES)
+    open(f"{path}/_versions/00000002", "w").close()
+    assert ML.load_model(path).stages[-1].getNumTrees == model.stages[-1].getNumTrees
+    ML.save_model(other, path, FEATURES)
+    store = ModelStore(spark, path)
+    assert ML.load_model(path).stages[-1].getNumTrees == 2 and [v["version"] for v in store.versions()] == [1, 3]
+    assert not store._put(3, "late") and store.commit("x") == 4
+    with pytest.raises(FileNotFoundError):
+        ML.load_model(str(tmp_path / "nothing"))
