@@ -4,6 +4,8 @@ client keys, latency percentiles, counters and histograms.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections import deque
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import rnd, to_ntz
+from ..session import scratch_path, stored
 
 # FIXED VALUES: default latency histogram bucket bounds (seconds).
 LATENCY_BUCKETS_S = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -20,32 +23,51 @@ RATE_LIMIT_SCHEMA = ("request_id long, client string, ts_us long, accepted boole
                      "remaining long, retry_after long")
 
 
+# What a range of the log gives: the accepted times it was handed (kind 0), its requests
+# judged (1), and the accepted times that it hands on (2), for the client it ends with.
+_RANGE_SCHEMA = "_pid int, kind int, " + RATE_LIMIT_SCHEMA
+_CARRIED, _REQUEST, _STATE = range(3)
+EAGER_ROUNDS = 3           # rounds in which all ranges with a new state run again, and not only the first of a row of them
+
+
 def _limiter(limit: int, window_us: int):
-    """State machine over rows sorted by (client, burst, ts, id).
+    """State machine over rows sorted by (_pid, client, ts, carried first, id).
 
     The state is the deque of accepted request times still inside the window
     (at most ``limit`` entries), so memory is O(limit) whatever the volume; the
-    partition is consumed as a stream of Arrow batches.  Rows that are
-    ``carried`` were accepted earlier: they fill the deque and are not returned.
+    partition is consumed as a stream of Arrow batches.  Carried rows were
+    accepted earlier: they fill the deque and are not judged.
     """
     def run(batches):
-        key, acc = None, deque()
+        pid, client, acc = None, None, deque()
+
+        def handed_on():
+            n = len(acc) if pid is not None else 0
+            return pd.DataFrame({"_pid": [pid] * n, "kind": _STATE, "request_id": pd.array([None] * n, dtype="Int64"),
+                                 "client": pd.array([client] * n, dtype="object"), "ts_us": list(acc) if n else [],
+                                 "accepted": True, "remaining": 0, "retry_after": 0})
+
         for pdf in batches:
             n = len(pdf)
             accepted = [False] * n
             remaining = [0] * n
             retry = [0] * n
-            keys = list(zip(pdf["client"].tolist(), pdf["burst"].tolist()))
-            times, carried = pdf["ts_us"].tolist(), pdf["carried"].tolist()
+            pids, clients = pdf["_pid"].tolist(), pdf["client"].tolist()
+            times, kinds = pdf["ts_us"].tolist(), pdf["kind"].tolist()
             for i in range(n):
                 t = times[i]
-                if keys[i] != key:
-                    key, acc = keys[i], deque()
+                if pids[i] != pid:
+                    if acc:
+                        yield handed_on()
+                    pid, client, acc = pids[i], clients[i], deque()
+                elif clients[i] != client:
+                    client, acc = clients[i], deque()
                 cutoff = t - window_us
                 while acc and acc[0] <= cutoff:      # strictly newer than the cutoff survive
                     acc.popleft()
-                if carried[i]:
+                if kinds[i] == _CARRIED:
                     acc.append(t)
+                    accepted[i] = True
                 elif len(acc) >= limit:
                     retry[i] = max(0, (acc[0] + window_us - t) // 1_000_000)
                     remaining[i] = max(0, limit - len(acc))
@@ -53,33 +75,86 @@ def _limiter(limit: int, window_us: int):
                     acc.append(t)
                     accepted[i] = True
                     remaining[i] = max(0, limit - len(acc))
-            out = pd.DataFrame({"request_id": pdf["request_id"], "client": pdf["client"], "ts_us": pdf["ts_us"],
-                                "accepted": accepted, "remaining": remaining, "retry_after": retry})
-            yield out[~pdf["carried"]] if any(carried) else out
+            yield pdf[["_pid", "kind", "request_id", "client", "ts_us"]].assign(accepted=accepted, remaining=remaining, retry_after=retry)
+        if acc:
+            yield handed_on()
     return run
 
 
-def bursts(requests: DataFrame, window_us: int) -> DataFrame:
-    """Add ``burst``: requests of a client in different bursts are more than a
-    window apart, so the limiter's state is empty between them.
+_SORT = ["_pid", "client", "ts_us", "kind", "request_id"]
 
-    Time is cut into cells of one window's length; a burst is a run of cells
-    without an empty one.  Runs are found on the table of occupied cells, which
-    is bounded by time and not by the number of requests.
-    """
-    r = requests.withColumn("_cell", F.floor(F.col("ts_us") / F.lit(window_us)).cast("long"))
-    cells = r.select("client", "_cell").distinct()
-    row = F.row_number().over(Window.partitionBy("client").orderBy("_cell"))
-    cells = cells.select(F.col("client").alias("_client"), F.col("_cell").alias("_c"), (F.col("_cell") - row).alias("burst"))
-    return r.join(cells, F.col("client").eqNullSafe(F.col("_client")) & (F.col("_cell") == F.col("_c"))).drop(
-        "_client", "_c", "_cell")
 
+def limited(requests: DataFrame, limit: int, window_us: int, carried: DataFrame | None = None) -> DataFrame:
+    """RATE_LIMIT_SCHEMA of request_id, client, ts_us; ``carried`` (client, ts_us)
+    are times that were accepted earlier.
 
-def limited(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """RATE_LIMIT_SCHEMA of request_id, client, ts_us and carried (see _limiter)."""
-    r = bursts(requests, window_us)
-    r = r.repartition("client", "burst").sortWithinPartitions("client", "burst", "ts_us", "request_id")
-    return r.select("request_id", "client", "burst", "ts_us", "carried").mapInPandas(_limiter(limit, window_us), RATE_LIMIT_SCHEMA)
+    The log is sorted into ranges of (client, time), each one task, so a client that never
+    pauses is many tasks.  Every range first runs from an empty state and hands on the
+    accepted times of the last window for the client it ends with.  A range that begins with
+    that client and was given another state than this one runs again; so until nothing
+    changes, which is exactly the answer of one pass.  A range forgets what is a window old: where clients
+    stay below the limit or pause, the second round settles all.  A client beyond the limit for a long
+    time may need a round for each of its ranges; after a few rounds only the first of
+    neighbouring changed ranges runs, so all rows are judged a few times at most.
+    """
+    spark = requests.sparkSession
+    base = scratch_path(spark, f"limited-{uuid.uuid4().hex}")
+    rows = requests.select("request_id", "client", "ts_us", F.lit(_REQUEST).alias("kind"))
+    if carried is not None:
+        rows = rows.unionByName(carried.select(F.lit(None).cast("long").alias("request_id"), "client", "ts_us", F.lit(_CARRIED).alias("kind")))
+    run = _limiter(limit, window_us)
+    ranges = rows.repartitionByRange("client", "ts_us", "kind", "request_id").withColumn("_pid", F.spark_partition_id())
+    columns = ["_pid", "kind", "request_id", "client", "ts_us"]
+    ranges = ranges.select(*columns).sortWithinPartitions(*_SORT)
+    # a folder for each range: later rounds read those they run
+    ranges.mapInPandas(run, _RANGE_SCHEMA).write.partitionBy("_pid").parquet(f"{base}/round=0")
+
+    def judged(n: int) -> DataFrame:
+        return spark.read.schema(_RANGE_SCHEMA).parquet(f"{base}/round={n}")
+
+    first = judged(0)
+    ends = first.where(F.col("kind") != _STATE).groupBy("_pid").agg(
+        F.min(F.struct("client", "ts_us")).alias("first"), F.max(F.struct("client")).alias("last"))
+    order = Window.orderBy("_pid")                             # one row per range
+    ends = ends.select("_pid", F.col("last.client").alias("_last"), F.lead("_pid").over(order).alias("_next"), F.lead("first").over(order).alias("_then"))
+    # client that goes on in the next range, and from when its times matter there
+    ends = stored(ends.where(F.col("_last").eqNullSafe(F.col("_then.client")) & F.col("_next").isNotNull())
+                  .select("_pid", "_next", F.col("_then.ts_us").alias("_from")), "limited-ends")
+    latest: dict[int, int] = {}                                # range -> its last round, where it is not 0
+    used = None                                                # states that ranges were given, by range
+
+    def newest() -> DataFrame:
+        out = first.where(~F.col("_pid").isin(list(latest))) if latest else first
+        for n in sorted(set(latest.values())):
+            out = out.unionByName(judged(n).where(F.col("_pid").isin([p for p, m in latest.items() if m == n])))
+        return out
+
+    for n in itertools.count(1):
+        state = newest().where(F.col("kind") == _STATE).select("_pid", "client", "ts_us").join(ends, "_pid")
+        state = stored(state.where(F.col("ts_us") > F.col("_from") - window_us).select(F.col("_next").alias("_pid"), "client", "ts_us"), "limited-states")
+
+        def times(d):
+            return d.groupBy("_pid").agg(F.array_sort(F.collect_list("ts_us")).alias("t"))       # ``limit`` times at most
+        if used is None:
+            changed = [r._pid for r in state.select("_pid").distinct().collect()]
+        else:
+            both = times(state).join(times(used).withColumnRenamed("t", "u"), "_pid", "full")
+            changed = [r._pid for r in both.where(~F.col("t").eqNullSafe(F.col("u"))).select("_pid").collect()]
+        if not changed:
+            break
+        follows = {r._next: r._pid for r in ends.collect()}
+        again = set(changed)
+        if n > EAGER_ROUNDS:
+            again = {p for p in changed if follows[p] not in again}
+        again = sorted(again)
+        given = state.where(F.col("_pid").isin(again))
+        rows = first.where(F.col("_pid").isin(again) & (F.col("kind") != _STATE)).select(*columns)
+        rows = rows.unionByName(given.select("_pid", F.lit(_CARRIED).alias("kind"), F.lit(None).cast("long").alias("request_id"), "client", "ts_us"))
+        rows = rows.repartition("_pid").sortWithinPartitions(*_SORT)
+        rows.mapInPandas(run, _RANGE_SCHEMA).write.partitionBy("_pid").parquet(f"{base}/round={n}")
+        used = given if used is None else used.where(~F.col("_pid").isin(again)).unionByName(given)
+        latest |= dict.fromkeys(again, n)
+    return newest().where(F.col("kind") == _REQUEST).select("request_id", "client", "ts_us", "accepted", "remaining", "retry_after")
 
 
 def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
@@ -88,9 +163,8 @@ def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT_REQUESTS,
     of the same client lie in the last ``window_s`` seconds (rejected ones are
     not recorded); remaining quota and retry-after per request.
 
-    Work is dealt out by (client, burst), so a busy client is many keys."""
-    out = limited(requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us"), F.lit(False).alias("carried")),
-                  limit, window_s * 1_000_000)
+    Work is dealt out by ranges of (client, time), so a busy client is many tasks."""
+    out = limited(requests.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), limit, window_s * 1_000_000)
     return out.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"),
                       "accepted", "remaining", "retry_after")
 

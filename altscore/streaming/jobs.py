@@ -13,7 +13,9 @@ from ..operators import quality as Q
 from ..operators import requests as R
 from ..sources import views as V
 from ..sources.schemas import NESTED_APPLICATION
+from ..session import stored
 from ..sources.io import write
+from ..sources.tables import normalise_timestamps, table_path
 from .common import read_stream, run_dir, run_foreach_batch, run_to_files, run_upserts, table_stream
 
 
@@ -97,46 +99,95 @@ def stream_sliding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T5
-LIMIT_STATE = "client string, ts_us long"
+TIMES, REQUESTS = "client string, ts_us long", "request_id long, client string, ts_us long"
+LIMIT_OUT = R.RATE_LIMIT_SCHEMA + ", late boolean"
+
+
+def limit_stream(stream: DataFrame, base: str, limit: int, window_us: int, delay_us: int) -> None:
+    """Judges a stream of request_id, client, ts_us; ``limit_results`` reads what came of it.
+
+    Requests arrive in any order, up to ``delay_us`` late.  A request waits until
+    the watermark (the newest time seen less the delay) has passed it; then all that it has passed
+    are judged in the order of time, by the batch form, which spreads a busy client
+    over many tasks.  A request that the watermark had passed before its micro-batch came is
+    late: others after it were judged already, so it is rejected and marked, and takes
+    no quota; so is one without a time.  (Spark's own stateful operators drop late rows unseen
+    and hold a client in one task.)
+
+    The state is three tables: requests that wait, accepted times inside the
+    window before the watermark, and the watermark.  Output and state lie under the batch id, and a
+    micro-batch reads only the state of the one before, so a replayed micro-batch overwrites itself.
+    """
+    spark = stream.sparkSession
+    # so that both are there if no micro-batch ever comes
+    spark.createDataFrame([], LIMIT_OUT).write.mode("ignore").parquet(base + "/out/batch=-1")
+    spark.createDataFrame([], "watermark long").write.mode("ignore").parquet(base + "/watermark/batch=-1")
 
-
-def limit_stream(stream: DataFrame, base: str, limit: int, window_us: int) -> DataFrame:
-    """RATE_LIMIT_SCHEMA of a stream of request_id, client, ts_us.
-
-    A micro-batch is limited as the batch form does it, dealt out by (client,
-    burst) and sorted by Spark, so no worker holds the requests of a client.
-    The state is a table: the accepted times of each client's last window, until
-    the client is a window behind the watermark.  They are carried into the next
-    micro-batch as rows.  Output and state lie under the batch id, so a
-    replayed micro-batch overwrites itself."""
     def run(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        rows = batch.select("request_id", "client", "ts_us", F.lit(False).alias("carried"))
-        if batch_id > 0:
-            state = spark.read.schema(LIMIT_STATE).parquet(f"{base}/state/batch={batch_id - 1}")
-            rows = rows.unionByName(state.select(F.lit(None).cast("long").alias("request_id"), "client", "ts_us", F.lit(True).alias("carried")))
-        R.limited(rows, limit, window_us).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-        done = spark.read.schema(R.RATE_LIMIT_SCHEMA).parquet(f"{base}/out/batch={batch_id}")
-        times = done.select("client", "ts_us", "accepted")
-        if batch_id > 0:
-            times = times.unionByName(state.withColumn("accepted", F.lit(True)))
-        last = times.groupBy(F.col("client").alias("_client")).agg(F.max("ts_us").alias("_last"))
-        now = last.agg(F.max("_last")).first()[0]
-        kept = times.where(F.col("accepted") & (F.col("ts_us") + 2 * window_us >= F.lit(now).cast("long"))).join(
-            last, F.col("client").eqNullSafe(F.col("_client")) & (F.col("ts_us") > F.col("_last") - window_us))
-        kept.select("client", "ts_us").write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
+        out = f"{base}/out/batch={batch_id}"
+        rows = batch.select("request_id", "client", "ts_us")
+        waiting, carried, clock = _limit_state(spark, base, batch_id - 1)
+        late = rows.where(F.col("ts_us").isNull() | (F.col("ts_us") <= F.lit(clock).cast("long")))
+        rows = rows.where(F.coalesce(F.col("ts_us") > F.lit(clock).cast("long"), F.col("ts_us").isNotNull()))
+        rows = stored(rows.unionByName(waiting), "limit-pool")
+        newest = rows.agg(F.max("ts_us")).first()[0]
+        known = [t for t in (clock, newest - delay_us if newest is not None else None) if t is not None]
+        mark = F.lit(max(known, default=None)).cast("long")
+        judged = R.limited(rows.where(F.col("ts_us") <= mark), limit, window_us, carried).withColumn("late", F.lit(False))
+        none = F.lit(0).cast("long")
+        judged = judged.unionByName(late.select("*", F.lit(False).alias("accepted"), none.alias("remaining"), none.alias("retry_after"),
+                                                F.lit(True).alias("late")))
+        judged.write.mode("overwrite").parquet(out)
+        times = spark.read.schema(LIMIT_OUT).parquet(out).where("accepted").select("client", "ts_us").unionByName(carried)
+        times.where(F.col("ts_us") > mark - window_us).write.mode("overwrite").parquet(f"{base}/accepted/batch={batch_id}")
+        rows.where(F.col("ts_us") > mark).write.mode("overwrite").parquet(f"{base}/waiting/batch={batch_id}")
+        spark.range(1).select(mark.alias("watermark")).write.mode("overwrite").parquet(f"{base}/watermark/batch={batch_id}")
 
     run_foreach_batch(stream, run, base + "/chk")
-    return stream.sparkSession.read.schema(R.RATE_LIMIT_SCHEMA).parquet(base + "/out")
+
+
+def _limit_state(spark: SparkSession, base: str, batch_id: int) -> tuple[DataFrame, DataFrame, int | None]:
+    """Requests that wait, accepted times, and watermark after a micro-batch."""
+    if batch_id < 0:
+        return spark.createDataFrame([], REQUESTS), spark.createDataFrame([], TIMES), None
+    mark = spark.read.schema("watermark long").parquet(f"{base}/watermark/batch={batch_id}").first()[0]
+    return (spark.read.schema(REQUESTS).parquet(f"{base}/waiting/batch={batch_id}"),
+            spark.read.schema(TIMES).parquet(f"{base}/accepted/batch={batch_id}"), mark)
+
+
+def limit_results(spark: SparkSession, base: str, limit: int, window_us: int) -> DataFrame:
+    """LIMIT_OUT of all requests so far: those judged, and those that still wait, as
+    they would be judged if nothing else came."""
+    out = spark.read.schema(LIMIT_OUT + ", batch long").parquet(base + "/out").drop("batch")
+    last = spark.read.schema("watermark long, batch long").parquet(base + "/watermark").agg(F.max("batch")).first()[0]
+    waiting, carried, _ = _limit_state(spark, base, -1 if last is None else last)
+    return out.unionByName(R.limited(waiting, limit, window_us, carried).withColumn("late", F.lit(False)))
+
+
+LIMIT_PARTS = 4            # deliveries of the log
+LIMIT_DELAY_S = 24 * 3600  # by which a request arrives late, at most
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int, window_s: int) -> DataFrame:
-    """T5: the W1 limiter over a stream, with its state between micro-batches in a table."""
-    r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events"))
-    res = limit_stream(r.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), run_dir(spark, "ratelimit"),
-                       limit, window_s * 1_000_000)
-    return res.select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"), "accepted",
-                      "remaining", "retry_after")
+    """T5: the W1 limiter over the request log as it arrives, up to a day late: four
+    deliveries that overlap in time, each at least one micro-batch, the stream
+    stopped and resumed in between."""
+    base, window_us = run_dir(spark, "ratelimit"), window_s * 1_000_000
+    events = spark.read.parquet(table_path(sf_dir, "events"))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LIMIT_DELAY_S)) * 1_000_000
+    low, high = events.agg(F.min(arrival), F.max(arrival)).first()
+    if low is not None:
+        part = F.floor((arrival - low) * LIMIT_PARTS / (high - low + 1))
+        events = events.withColumn("_part", F.coalesce(part, F.lit(0).cast("long")))
+    for k in range(LIMIT_PARTS):
+        (events.where(F.col("_part") == k).drop("_part") if low is not None else events).write.parquet(f"{base}/in/{k}")
+        stream = normalise_timestamps(read_stream(spark, f"{base}/in/*", spark.read.parquet(table_path(sf_dir, "events")).schema))
+        r = V.request_log(spark, sf_dir, stream).select("request_id", "client", F.unix_micros("ts").alias("ts_us"))
+        limit_stream(r, base, limit, window_us, LIMIT_DELAY_S * 1_000_000)
+        if low is None:
+            break
+    return limit_results(spark, base, limit, window_us).select("request_id", "client", to_ntz(F.timestamp_micros("ts_us")).alias("ts"),
+                                                               "accepted", "remaining", "retry_after")
 
 
 # ---------------------------------------------------------------- T6

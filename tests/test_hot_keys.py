@@ -1,11 +1,13 @@
 """Skew paths against brute force: one applicant / client holds most rows."""
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from altscore.operators import ledger_features as L
 from altscore.operators.requests import sliding_request_count
@@ -57,8 +59,7 @@ def test_hot_client_sliding_count_matches_brute_force(spark):
 
 def test_busy_client_rate_limit_matches_brute_force(spark):
     """One client holds most rows and pauses now and then; work is dealt out by burst."""
-    from altscore.operators.requests import bursts, rate_limit
-    from pyspark.sql import functions as F
+    from altscore.operators.requests import rate_limit
     rng = np.random.default_rng(6)
     t, rows = 0, []
     for i in range(3000):
@@ -74,40 +75,140 @@ def test_busy_client_rate_limit_matches_brute_force(spark):
         live += [ts] * ok
         accepted[client] = live
         assert got[rid] == (ok, 10 - len(live), retry)
-    b = bursts(df.select("request_id", "client", F.unix_micros("ts").alias("ts_us")), 60_000_000)
-    assert b.where("client = 'hot'").select("burst").distinct().count() > 20
 
 
-def test_busy_client_stream_limit_over_micro_batches(spark, tmp_path):
-    """State goes from micro-batch to micro-batch, and a busy client is many tasks."""
-    import os
+def _sequential(rows, limit, window):
+    """Plain answers for rows (id, client, time in microseconds)."""
+    want, acc = {}, {}
+    for rid, c, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        a = acc[c] = [x for x in acc.get(c, []) if x > t - window]
+        ok = len(a) < limit
+        if ok:
+            a.append(t)
+        want[rid] = (ok, limit - len(a), 0 if ok else (a[0] + window - t) // 1_000_000)
+    return want
+
+
+def _answers(df):
+    return {x.request_id: (x.accepted, x.remaining, x.retry_after) for x in df.collect()}
+
+
+SCHEMA = "request_id long, client string, ts_us long"
+
+
+@pytest.mark.parametrize("step,eager", [(40_000, 3), (40_000, 0), (900_000, 3), (7_000_000, 3)])
+def test_a_client_that_never_pauses_is_many_tasks(spark, monkeypatch, step, eager):
+    """Far beyond the limit, a little beyond, and below it; other clients, a null one and equal times beside it."""
     import random
 
+    from altscore.operators import requests as R
+    monkeypatch.setattr(R, "EAGER_ROUNDS", eager)
+    r, t, rows = random.Random(step), 0, []
+    for i in range(12_000):
+        t += r.choice([0, step, 2 * step])
+        rows.append((i, "hot" if i % 10 else r.choice(["a", "z", None]), t))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.limited(df, 20, 60_000_000)
+        assert _answers(got) == _sequential(rows, 20, 60_000_000)
+        sizes = [x["count"] for x in df.repartitionByRange("client", "ts_us", "request_id").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < len(rows) / 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_two_million_requests_without_a_pause(spark):
+    """One client, seven requests a second for days; a range holds less than a tenth of them."""
+    from altscore.operators import requests as R
+    n, limit, window = 2_000_000, 100, 900_000_000
+    df = spark.range(n).select(F.col("id").alias("request_id"), F.lit("one").alias("client"),
+                               (F.col("id") * 140_000 + F.pmod(F.xxhash64("id"), F.lit(90_000))).alias("ts_us"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = R.limited(df, limit, window).select("ts_us", "accepted").toPandas().sort_values("ts_us")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    from collections import deque
+    acc, want = deque(), []
+    for t in got.ts_us.tolist():
+        while acc and acc[0] <= t - window:
+            acc.popleft()
+        want.append(len(acc) < limit)
+        if want[-1]:
+            acc.append(t)
+    assert got.accepted.tolist() == want and len(want) == n
+
+
+def _deliver(spark, tmp_path, parts, base, limit, window, delay):
+    """Runs the stream once for each delivery; the schema of a part is SCHEMA."""
     from altscore.streaming.jobs import limit_stream
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).write.parquet(f"{tmp_path}/in/{k}")
+        limit_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*"), base, limit, window, delay)
+
+
+def test_micro_batches_that_overlap_equal_the_batch_limiter(spark, tmp_path):
+    """Three clients over four windows, in random order, in three deliveries; a busy client and a null one."""
+    import random
+
+    from altscore.operators.requests import limited
+    from altscore.streaming.jobs import limit_results
+    r, window = random.Random(3), 60_000_000
+    rows = [(i, r.choice(["hot", "hot", "hot", "cold", None]), r.randrange(4 * window)) for i in range(3000)]
+    r.shuffle(rows)
+    base = f"{tmp_path}/run"
+    _deliver(spark, tmp_path, [rows[k::3] for k in range(3)], base, 10, window, 4 * window)
+    got = limit_results(spark, base, 10, window)
+    assert got.where("late").isEmpty()
+    want = _sequential(rows, 10, window)
+    assert _answers(got) == want == _answers(limited(spark.createDataFrame(rows, SCHEMA), 10, window))
+
+
+def test_state_goes_from_micro_batch_to_micro_batch(spark, tmp_path):
+    """Bounded delay: most requests are judged along the way; nothing is late, nothing is judged twice."""
+    import random
+
+    from altscore.streaming.jobs import limit_results
     r = random.Random(12)
     window, t, rows = 60_000_000, 0, []
     for i in range(1500):
         t += r.choice([100_000, 1_000_000, 5_000_000, 70_000_000 if i % 50 == 0 else 300_000])
         rows.append((i, r.choice(["hot", "hot", "hot", "cold", None]), t))
-    for k in range(3):
-        spark.createDataFrame(rows[500 * k:500 * k + 500], "request_id long, client string, ts_us long").coalesce(1).write.parquet(f"{tmp_path}/w{k}")
-        part = next(f for f in os.listdir(f"{tmp_path}/w{k}") if f.endswith(".parquet"))
-        os.makedirs(f"{tmp_path}/in", exist_ok=True)
-        os.link(f"{tmp_path}/w{k}/{part}", f"{tmp_path}/in/{k}.parquet")
-        os.utime(f"{tmp_path}/in/{k}.parquet", (1_000_000 + k, 1_000_000 + k))
-    stream = spark.readStream.schema("request_id long, client string, ts_us long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # so that tasks show in the files
-    try:
-        got = {x.request_id: (x.accepted, x.remaining, x.retry_after) for x in limit_stream(stream, f"{tmp_path}/run", 10, window).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    want, acc = {}, {}
-    for rid, c, t in rows:
-        a = acc[c] = [x for x in acc.get(c, []) if x > t - window]
-        ok = len(a) < 10
-        if ok:
-            a.append(t)
-        want[rid] = (ok, 10 - len(a), 0 if ok else (a[0] + window - t) // 1_000_000)
-    assert got == want and len(os.listdir(f"{tmp_path}/run/state")) == 3
-    files = [spark.read.parquet(f"{tmp_path}/run/out/batch=0/{f}") for f in os.listdir(f"{tmp_path}/run/out/batch=0") if f.endswith(".parquet")]
-    assert sum(not f.where("client = 'hot'").isEmpty() for f in files) > 1
+    came = sorted(rows, key=lambda x: x[2] + r.randrange(30_000_000))
+    base = f"{tmp_path}/run"
+    _deliver(spark, tmp_path, [came[500 * k:500 * k + 500] for k in range(3)], base, 10, window, 30_000_000)
+    out = limit_results(spark, base, 10, window)
+    assert out.where("late").isEmpty() and out.count() == 1500
+    assert _answers(out) == _sequential(rows, 10, window)
+    assert spark.read.parquet(base + "/out").count() > 1300
+
+
+def test_late_requests_are_rejected_and_marked(spark, tmp_path):
+    """Behind the watermark of the deliveries before, or without a time; they take no quota."""
+    from altscore.streaming.jobs import limit_results
+    first = [(i, "a", i * 1_000_000) for i in range(100)]
+    second = [(200, "a", 5_000_000), (201, "b", 89_000_000), (202, "a", None), (203, "a", 89_000_001), (204, "a", 400_000_000)]
+    base = f"{tmp_path}/run"
+    _deliver(spark, tmp_path, [first, second], base, 5, 20_000_000, 10_000_000)
+    out = limit_results(spark, base, 5, 20_000_000)
+    assert sorted(x.request_id for x in out.where("late").collect()) == [200, 201, 202]
+    assert not out.where("late AND (accepted OR remaining <> 0)").count()
+    assert _answers(out.where("not late")) == _sequential(first + [second[3], second[4]], 5, 20_000_000)
+
+
+def test_a_replayed_micro_batch_and_an_empty_stream(spark, tmp_path):
+    from altscore.streaming.jobs import limit_results, limit_stream
+    rows = [(i, "a", i * 1_000_000) for i in range(60)]
+    base = f"{tmp_path}/run"
+    _deliver(spark, tmp_path, [rows[:30], rows[30:]], base, 5, 20_000_000, 10_000_000)
+    before = _answers(limit_results(spark, base, 5, 20_000_000))
+    for name in ("1", ".1.crc"):                               # as if the driver had died before the commit
+        os.remove(f"{base}/chk/commits/{name}")
+    limit_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*"), base, 5, 20_000_000, 10_000_000)
+    assert _answers(limit_results(spark, base, 5, 20_000_000)) == before == _sequential(rows, 5, 20_000_000)
+    os.makedirs(f"{tmp_path}/none/in")
+    limit_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/none/in"), f"{tmp_path}/none/run", 5, 20_000_000, 0)
+    assert limit_results(spark, f"{tmp_path}/none/run", 5, 20_000_000).count() == 0
