@@ -29,8 +29,9 @@ from .scoring import clip_score, confidence, decide
 from .treeshap import saved_trees
 
 VALIDATION_PCT = 20        # of the training rows, by key
-PATIENCE = 50              # trees without a lower validation error that end boosting
-STAGES = (128, 256)        # trees fitted before the validation error is looked at
+PATIENCE = 50              # trees that must lower the validation error
+TOLERANCE = 0.05           # by this share of it, or boosting ends
+STAGES = (192, 384)        # trees fitted before the validation error is looked at
 PARTITION_ROWS = 50_000    # training rows of a partition, about
 CURVE = "tree int, validation_rmse double"
 
@@ -87,9 +88,9 @@ def _first_trees(model: PipelineModel, n: int) -> PipelineModel:
 
 
 def fit_staged(train: DataFrame, features: list[str], label: str = "label", key: str = "applicant_id", max_iter: int | None = None,
-               patience: int = PATIENCE, **overrides) -> Fitted:
-    """M2: boosting that ends when no tree of the last ``patience`` lowered the
-    validation error; the model keeps the trees up to the best one.
+               patience: int = PATIENCE, tolerance: float = TOLERANCE, **overrides) -> Fitted:
+    """M2: boosting that ends when ``patience`` trees lowered the validation error by
+    less than ``tolerance`` of it (0: not at all); the model keeps the trees up to the best one.
 
     Trees are fitted in stages of growing number (Spark's learner has no warm start; its seeds make a
     shorter fit the beginning of a longer one).  After a stage, one pass over the held-out rows
@@ -116,7 +117,8 @@ def fit_staged(train: DataFrame, features: list[str], label: str = "label", key:
             return Fitted(model, [], stage, stage)
         errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(data.where("held")), "squared")
         best = min(range(stage), key=lambda i: errors[i]) + 1
-        if best + patience <= stage:
+        # errors are squared
+        if any(min(errors[i:i + patience]) >= min(errors[:i]) * (1.0 - tolerance) ** 2 for i in range(1, stage - patience + 1)):
             break
     kept = model if best == stage else _first_trees(model, best)
     return Fitted(kept, [math.sqrt(e) for e in errors], stage, best)
@@ -193,7 +195,9 @@ def load_model(path: str, version: str | None = None) -> PipelineModel:
 
 
 def model_path(spark, name: str) -> str:
-    return scratch_path(spark, os.path.join("models", name))
+    """Below the folder that ``altscore.models`` names, else in the shared folder."""
+    root = spark.conf.get("altscore.models", "")
+    return f"{root.rstrip('/')}/{name}" if root else scratch_path(spark, os.path.join("models", name))
 
 
 @dataclass

@@ -84,10 +84,14 @@ def test_boosting_stops_with_patience_and_keeps_the_best(frame, monkeypatch):
     """The curve is the plain error of the running predictions; a pause of ``patience`` trees ends boosting."""
     noisy = frame.withColumn("label", F.col("label") + F.sin(F.col("applicant_id") * 12.9898) / 2)
     monkeypatch.setattr(ML, "STAGES", (12, 24, 36))
-    got = ML.fit_staged(noisy, FEATURES, patience=4, max_iter=60, stepSize=0.4, minInstancesPerNode=1)
+    got = ML.fit_staged(noisy, FEATURES, patience=4, tolerance=0.0, max_iter=60, stepSize=0.4, minInstancesPerNode=1)
     assert got.n_fitted in (12, 24, 36) and len(got.curve) == got.n_fitted
     best = min(range(got.n_fitted), key=lambda i: got.curve[i]) + 1
-    assert got.n_kept == best == got.model.stages[-1].getNumTrees and best + 4 <= got.n_fitted
+    assert got.n_kept == best == got.model.stages[-1].getNumTrees
+    stalls = [i for i in range(1, got.n_fitted - 3) if min(got.curve[i:i + 4]) >= min(got.curve[:i])]
+    assert stalls and stalls[0] + 4 > got.n_fitted - 12         # not before the last stage
+    early = ML.fit_staged(noisy, FEATURES, patience=4, tolerance=0.9, max_iter=60, stepSize=0.4, minInstancesPerNode=1)
+    assert early.n_fitted == 12 and early.curve == got.curve[:12]
     held = noisy.where(F.pmod(F.xxhash64("applicant_id"), F.lit(100)) < ML.VALIDATION_PCT).toPandas()
     x, y = held[FEATURES].to_numpy(), held["label"].to_numpy()
     total = np.zeros(len(held))
