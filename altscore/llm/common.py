@@ -59,15 +59,22 @@ def id_hash(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column | None = None) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents.
+    """doc_id, text and label of at most ``rows`` labelled documents, one row each.
 
     The sample is the ``rows`` ids with the smallest hash among those for which
     ``usable`` (a condition on doc_id) holds; all of them if there are fewer.
-    The bound makes the sample's ids safe to broadcast.
+    The bound makes the sample's ids safe to broadcast.  Of several rows with one id the
+    text with the smallest hash counts, so what comes of the sample is bounded whatever repeats.
     """
     own = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     if usable is not None:
         own = own.where(usable)
     own = own.groupBy("doc_id").agg(F.min("label").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    return found.groupBy("doc_id").agg(one_text("text").alias("text"), F.first("label").alias("label"))
+
+
+def one_text(text: str) -> Column:
+    """Of a group's texts, the one with the smallest hash (null only if all are)."""
+    return F.min_by(text, F.when(F.col(text).isNotNull(), F.xxhash64(text)))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, id_hash, staged
+from .common import arrow_batches, id_hash, one_text, staged
 
 SAMPLE = 20_000            # documents of the training sample, at most
 SWITCH = 8.0               # cost of a change of language, in nats
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, usable=None, sample: int = SAMPLE) -> Model:
     ids = d.orderBy(F.xxhash64("id", F.lit(2)), "id", "lang").limit(sample).distinct()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("l")) \
         .join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang")))
+    rows = rows.groupBy("doc_id", "lang").agg(one_text("text").alias("text")).where(F.col("text").isNotNull())     # one row each
 
     def count(batches):
         for b in batches:

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, staged, worker_state
@@ -64,16 +64,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    arrow_batches(docs.sparkSession)
-
+def fingerprint_of(shingle: int = SHINGLE, seed: int = SEED):
+    """Column function: the fingerprint of a text as a signed long."""
     @F.pandas_udf("long")
     def of(text: pd.Series) -> pd.Series:
         worker_state("simhash")
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in text], dtype=np.uint64).view(np.int64))
+    return of
 
-    return docs.select("doc_id", of(F.col("text").cast("string")).alias("fp"))
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and the fingerprint as a signed long."""
+    arrow_batches(docs.sparkSession)
+    return docs.select("doc_id", fingerprint_of(shingle, seed)(F.col("text").cast("string")).alias("fp"))
 
 
 @lru_cache(maxsize=4)
@@ -208,29 +211,44 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    d = staged(fingerprints(docs, shingle), "fingerprints")
+def _classes(d: DataFrame, distance: int) -> DataFrame:
+    """fp, root (one fingerprint of its component) and component_id of all fingerprints of ``d`` (doc_id, fp); stored."""
     classes = staged(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-classes")
     roots = components(links(classes.select("fp"), distance)).toDF("fp", "root")
     linked = roots.join(classes, "fp")
     name = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(name, "root").select("fp", "component_id")
-    every = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return d.join(staged(every, "fp-components"), "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(name, "root").select("fp", "root", "component_id")
+    every = classes.join(named, "fp", "left")
+    return staged(every.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")),
+                  "fp-components")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    d = staged(fingerprints(docs, shingle), "fingerprints")
+    return d.join(_classes(d, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents with the smallest id of their component.
+    """One row of each component, columns unchanged.
 
-    Rows that share id and text count as one document; a row without id stays
-    only in a component that has no ids.  Columns are those of ``docs``.
+    It is the one with the smallest id (a row without id only where none has one);
+    of several rows with that id, the one with the smallest fingerprint, then the
+    smallest text.  An id that occurs in several components stays once in each that it leads.
     """
-    d = near_duplicates(docs, shingle, distance)
-    stay = d.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = staged(stay.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "dedup-stay")
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    d = staged(fingerprints(docs, shingle), "fingerprints")
+    lead = d.join(_classes(d, distance), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("m"))
+    lead = lead.select(F.col("m.doc_id").alias("__id"), F.col("m.fp").alias("__fp"))
+    rows = d.groupBy(F.col("doc_id").alias("__row")).agg(F.count(F.lit(1)).alias("__n"))
+    lead = staged(lead.join(rows, F.col("__id").eqNullSafe(F.col("__row"))).drop("__row"), "dedup-lead")
     # always a sort-merge join: the ids grow with the corpus, so broadcasting them would only do on small inputs
-    once = docs.join(stay.where("__n = 1").hint("merge"), same, "left_semi")
-    more = docs.join(stay.where("__n > 1").hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(more)
+    own, shared = lead.where("__n = 1").hint("merge"), lead.where("__n > 1").select("__id").distinct().hint("merge")
+    once = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
+    # rows whose id others bear as well: known by their fingerprint
+    more = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__id"]), "left_semi")
+    again = more.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__kept"), fingerprint_of(shingle)(F.col("text").cast("string")).alias("__f"))
+    again = again.join(lead.where("__n > 1"), F.col("__kept.doc_id").eqNullSafe(F.col("__id")) & (F.col("__f") == F.col("__fp")))
+    first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(F.col("__kept.text").cast("string")))
+    again = again.withColumn("__r", first).where("__r = 1").select(*[F.col(f"__kept.`{c}`").alias(c) for c in docs.columns])
+    return once.union(again)

@@ -99,3 +99,43 @@ def test_copies_and_clean_documents(spark):
 
 def test_empty(spark):
     assert S.near_duplicates(no_docs(spark)).count() == 0 and S.deduplicated(no_docs(spark)).count() == 0
+
+
+def _plain_groups(rows):
+    """Components of (id, text) rows by pairwise distances: lists of row numbers."""
+    fps = [S.fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 4 and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return [[i for i in range(len(rows)) if group[i] == g] for g in sorted(set(group))]
+
+
+def test_one_row_a_component_whatever_repeats(spark):
+    """Ids that repeat with equal texts, with nearly equal ones and with different ones, and rows without id."""
+    t = " ".join(f"w{i}" for i in range(60))
+    u = " ".join(f"v{i * 7 % 50}" for i in range(60))
+    rows = [(1, t), (1, t + " "), (2, t), (1, u), (3, u), (3, u), (None, t), (None, "only here and without an id"), (None, "only here and without an id"),
+            (4, "alone"), (4, "another one"), (5, None), (5, ""), (6, " ")]
+    d = spark.createDataFrame([(i, x, "k", 1) for i, x in rows], "doc_id long, text string, __id string, fp int").repartition(3)
+    got = S.deduplicated(d)
+    assert got.columns == d.columns
+    want = []
+    for g in _plain_groups(rows):
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in g)
+        lead = [i for i in g if (rows[i][0] is None, rows[i][0] or 0) == least]
+        want.append(min((S.fingerprint(rows[i][1]) - (1 << 64) * (S.fingerprint(rows[i][1]) >> 63), rows[i][1] is not None, rows[i][1] or "", i) for i in lead)[3])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()) == \
+        sorted((rows[i][0] is None, rows[i][0] or 0, rows[i][1] or "") for i in want)
+
+
+def test_samples_hold_one_row_an_id(spark):
+    from altscore.llm.common import labelled_sample
+    d = spark.createDataFrame([(1, f"text {i % 5}") for i in range(500)] + [(2, None), (2, "b"), (3, None), (None, "c"), (4, "d")],
+                              "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1), (4, None), (9, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.text, r.label) for r in labelled_sample(d, labels, "toxic", 10).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == ("b", 1) and got[3] == (None, 0) and got[1][1] == 0
+    assert labelled_sample(d, labels, "toxic", 10).count() == 3 and labelled_sample(d, labels, "toxic", 1).count() <= 1
