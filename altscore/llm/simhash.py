@@ -245,8 +245,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     # always a sort-merge join: the ids grow with the corpus, so broadcasting them would only do on small inputs
     own, shared = lead.where("__n = 1").hint("merge"), lead.where("__n > 1").select("__id").distinct().hint("merge")
     once = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
-    # rows whose id others bear as well: known by their fingerprint
-    more = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__id"]), "left_semi")
+    # rows whose id others bear as well: known by their fingerprint, which is made of these rows alone because they are stored
+    more = staged(docs.join(shared, docs["doc_id"].eqNullSafe(shared["__id"]), "left_semi"), "dedup-shared")
     again = more.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__kept"), fingerprint_of(shingle)(F.col("text").cast("string")).alias("__f"))
     again = again.join(lead.where("__n > 1"), F.col("__kept.doc_id").eqNullSafe(F.col("__id")) & (F.col("__f") == F.col("__fp")))
     first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(F.col("__kept.text").cast("string")))
