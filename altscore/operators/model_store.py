@@ -66,11 +66,21 @@ class ModelStore:
     def commit(self, artefact: str, key: str | None = None, **notes) -> int:
         """Makes an artefact that is wholly saved the newest version."""
         number = (self._numbers() or [0])[-1] + 1
-        text = json.dumps({"artefact": artefact, "key": key, **notes}, sort_keys=True)
-        while not self._put(number, text):
+        while not self.commit_at(number, {"artefact": artefact, "key": key, **notes}):
             number += 1
         return number
 
+    def commit_at(self, number: int, notes: dict) -> bool:
+        """Whether this writer got the number."""
+        return self._put(number, json.dumps(notes, sort_keys=True))
+
+    def folders(self, below: str) -> list[str]:
+        path = self._hadoop.fs.Path(f"{self.root}/{below}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._hadoop.fs.Path(f"{self.root}/{name}"), True)
+
     def _put(self, number: int, text: str) -> bool:
         """Writes the number's file if it is not there."""
         path = self._path(number)

@@ -11,11 +11,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from ..sources.tables import normalise_timestamps, table_path
+from .keyed_log import KeyedLog
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -58,14 +58,10 @@ def run_foreach_batch(stream_df: DataFrame, fn, checkpoint: str, mode: str = "ap
 def run_upserts(stream_df: DataFrame, keys: list[str], base: str) -> DataFrame:
     """Run an aggregation in update mode and return the newest row of each key.
 
-    Every micro-batch writes the rows it changed, and only those, under its
-    batch id (a replayed batch overwrites itself); groups that the watermark
-    has not closed yet are there with their value so far.
+    Every micro-batch appends the rows it changed, and only those, to a log that is compacted as it
+    grows (``KeyedLog``); groups that the watermark has not closed yet are there
+    with their value so far.
     """
-    def upsert(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
-
-    run_foreach_batch(stream_df, upsert, base + "/chk", mode="update")
-    changes = stream_df.sparkSession.read.schema(stream_df.schema.add("batch", "long")).parquet(base + "/changes")
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
-    return changes.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")
+    log = KeyedLog(stream_df.sparkSession, base + "/log", keys, stream_df.schema)
+    run_foreach_batch(stream_df, log.append, base + "/chk", mode="update")
+    return log.read()
