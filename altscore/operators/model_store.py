@@ -37,6 +37,10 @@ class ModelStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._folder)]
         return sorted(int(n) for n in names if n.isdigit())
 
+    def highest(self) -> int:
+        """The highest number that was taken, committed or not."""
+        return (self._numbers() or [0])[-1]
+
     def _read(self, number: int) -> dict | None:
         stream = self._fs.open(self._path(number))
         try:
@@ -65,7 +69,7 @@ class ModelStore:
 
     def commit(self, artefact: str, key: str | None = None, **notes) -> int:
         """Makes an artefact that is wholly saved the newest version."""
-        number = (self._numbers() or [0])[-1] + 1
+        number = self.highest() + 1
         while not self.commit_at(number, {"artefact": artefact, "key": key, **notes}):
             number += 1
         return number

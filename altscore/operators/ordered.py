@@ -95,16 +95,18 @@ def _cell(v):
     return F.when(F.isnan(v), F.lit(1_000_000).cast("long")).when(v == 0, F.lit(0).cast("long")).when(v > 0, mag).otherwise(-mag)
 
 
-def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Per-key linear-interpolated quantiles without holding a key in one task.
+def keyed_exact_quantiles(df: DataFrame, key: str, col: str, probs: list[float], names: list[str], times: str | None = None) -> DataFrame:
+    """Per-key linear-interpolated quantiles without holding a key in one task
+    (of values that stand ``times`` times each, if that column is given).
 
     Distinct ``(key, value)`` pairs with counts (partial aggregation) fall into
     cells of values; the running count over a key's cells (a few thousand at
     most) tells in which cells the wanted ranks lie, and only the values of
     those are ranked, cell by cell.  Returns ``(key, names...)``.
     """
-    v = df.select(key, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    counts = v.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c")).withColumn("cell", _cell(F.col("v")))
+    weight = F.lit(1).cast("long") if times is None else F.col(times)
+    v = df.select(key, F.col(col).cast("double").alias("v"), weight.alias("_w")).filter(F.col("v").isNotNull())
+    counts = v.groupBy(key, "v").agg(F.sum("_w").alias("c")).withColumn("cell", _cell(F.col("v")))
     cells = counts.groupBy(key, "cell").agg(F.sum("c").alias("cc"))
     upto = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_upto", F.sum("cc").over(upto)).withColumn("_n", F.sum("cc").over(Window.partitionBy(key)))

@@ -25,7 +25,11 @@ def feature_matrix(applicants: DataFrame, ledger: DataFrame, keep=(), keep_raw=(
     """One row per applicant: ``applicant_id``, ``keep`` applicant columns,
     ``keep_raw`` ledger aggregates (e.g. ``n_cr``, ``sum_cr``, ``sum_dr``; NULL
     without ledger rows) and the 45 features."""
-    lf = ledger_features(ledger, keep_raw)
+    return with_attributes(applicants, ledger_features(ledger, keep_raw), keep, keep_raw)
+
+
+def with_attributes(applicants: DataFrame, lf: DataFrame, keep=(), keep_raw=()) -> DataFrame:
+    """The matrix from ledger features that are there already."""
     attrs = attribute_features(applicants, keep=keep)
     joined = attrs.join(lf, KEY, "left")
     return joined.select(

@@ -16,6 +16,7 @@ are deleted by ``vacuum`` only.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,17 @@ class KeyedLog:
 
     def _commit(self, change) -> dict:
         """Puts the manifest that ``change`` makes of the newest one; again if another came first."""
+        patience = 50
         while True:
-            m = self.manifest()
+            taken, m = self._store.highest(), self.manifest()
+            if taken > m["version"] and patience:              # a number whose manifest is still being written, or never will be
+                patience -= 1
+                time.sleep(0.1)
+                continue
             new = change(dict(m, deltas=dict(m["deltas"])))
             if new is None:
                 return m
-            if self._store.commit_at(m["version"] + 1, {k: new[k] for k in ("snapshot", "upto", "deltas")}):
+            if self._store.commit_at(max(taken, m["version"]) + 1, {k: new[k] for k in ("snapshot", "upto", "deltas")}):
                 return new
 
     def _write(self, df: DataFrame, name: str) -> str:
@@ -100,9 +106,13 @@ class KeyedLog:
         rows = rows.groupBy(*self.keys).agg(newest.alias("_newest")).select(*self.keys, "_newest.*")
         return rows.select(*self.schema.fieldNames())
 
-    def read(self) -> DataFrame:
-        """The table as of the newest manifest."""
-        return self._state(self.manifest()).drop("_batch")
+    def read(self, before: int | None = None) -> DataFrame:
+        """The table as of the newest manifest, or (for the replay of a batch) without the
+        deltas from batch ``before`` on."""
+        m = self.manifest()
+        if before is not None:
+            m = dict(m, deltas={k: v for k, v in m["deltas"].items() if int(k) < before})
+        return self._state(m).drop("_batch")
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Deletes the folders that none of the last ``keep`` manifests names; readers of older ones must be done."""

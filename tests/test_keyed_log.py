@@ -108,3 +108,10 @@ def test_a_crash_between_write_and_commit_changes_nothing(spark, log, monkeypatc
         with pytest.raises(RuntimeError):
             log.compact()
     assert _rows(log.read()) == _want([[("a", 1, "x")]])
+
+
+def test_a_number_that_was_taken_and_left_empty_stops_nobody(spark, log):
+    log.append(spark.createDataFrame([("a", 1, "x")], SCHEMA), 0)
+    open(f"{log.root}/_versions/00000002", "w").close()
+    log.append(spark.createDataFrame([("a", 2, "y")], SCHEMA), 1)
+    assert _rows(log.read()) == _want([[("a", 2, "y")]]) and log.manifest()["version"] == 3
