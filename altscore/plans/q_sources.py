@@ -96,6 +96,33 @@ def q_scan_by_suffix(spark, sf_dir):
     return out
 
 
+BROKEN_SQL = "\nUNION ALL\n".join(f"""
+SELECT '{fmt}' AS format, count(*) FILTER (WHERE c_custkey % 10 NOT IN (3, 5)) AS n_rows,
+       sum(c_acctbal) FILTER (WHERE c_custkey % 10 NOT IN (3, 5)) AS balance,
+       count(*) FILTER (WHERE c_custkey % 10 = 3) AS n_wrong_type, count(*) FILTER (WHERE c_custkey % 10 = 5) AS n_cut FROM customer""" for fmt in ("csv", "json"))
+
+
+@register("scan_quarantine", f"SELECT format, n_rows, round(balance::DOUBLE, 2) AS balance, n_wrong_type, n_cut FROM ({BROKEN_SQL})")
+def q_scan_quarantine(spark, sf_dir):
+    """Customers as CSV and JSON lines of which some hold no number where one belongs
+    and some are cut off: good lines are rows, bad ones are kept with file and reason."""
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"]).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    row, out = F.struct("c_custkey", "c_name", "c_acctbal"), None
+    for fmt, line, cut in (("csv", F.to_csv(row), F.to_csv(F.struct("c_custkey", "c_name"))), ("json", F.to_json(row), F.substring(F.to_json(row), 1, 20))):
+        wrong = F.regexp_replace(line, "-?[0-9]+[.][0-9]+", "n/a" if fmt == "csv" else '"n/a"')
+        path = scratch_path(spark, f"broken/{uuid.uuid4().hex}.{fmt}")
+        c.select(F.when(F.col("c_custkey") % 10 == 3, wrong).when(F.col("c_custkey") % 10 == 5, cut).otherwise(line)).write.text(path)
+        rows, bad = IO.scan_checked(spark, path, c.schema, fmt, header=False)
+        kept = scratch_path(spark, f"quarantine/{uuid.uuid4().hex}")
+        bad.write.parquet(kept)
+        bad = spark.read.schema(IO.QUARANTINE).parquet(kept).agg(F.count_if(F.col("reason").startswith("c_acctbal is not")).alias("n_wrong_type"),
+                                                              F.count_if(F.col("reason").isin("wrong number of fields", "not a JSON object")).alias("n_cut"))
+        part = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.bround(F.sum("c_acctbal").cast("double"), 2).alias("balance"))
+        part = part.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k").select(F.lit(fmt).alias("format"), "n_rows", "balance", "n_wrong_type", "n_cut")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("sink_csv", cte("applicants") + "SELECT * FROM applicants")
 def q_sink_csv(spark, sf_dir):
     """S5 + S2: CSV with header, read back with the declared schema."""

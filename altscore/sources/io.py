@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..session import stored
 
 FORMATS = ("parquet", "csv", "json")
 
@@ -24,6 +27,37 @@ def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.csv(path)
 
 
+CORRUPT = "_corrupt_record"
+QUARANTINE = "file string, line string, reason string"
+
+
+def scan_checked(spark: SparkSession, path: str, schema: StructType, fmt: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """CSV or JSON lines as (rows, QUARANTINE).
+
+    A line that does not fit the schema is in no row: neither it nor a field of it
+    becomes NULL unseen.  It is kept with its file and the reason: the fields that are
+    not of their type, or that the line has too few or too many of them, or is no JSON object.  An
+    empty field of a CSV file and a missing one of a JSON record are NULL, as ever.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"Unsupported format: {fmt}")
+    r = spark.read.schema(StructType(list(schema.fields)).add(CORRUPT, "string")).option("mode", "PERMISSIVE")
+    r = r.option("columnNameOfCorruptRecord", CORRUPT)
+    raw = r.option("header", header).csv(path) if fmt == "csv" else r.json(path)
+    # stored: Spark reads the corrupt column only beside all others
+    raw = stored(raw.withColumn("_file", F.col("_metadata.file_path")), "scan-checked")
+    names = schema.fieldNames()
+    text = StructType([StructField(n, StringType()) for n in names])
+    line = F.from_csv(CORRUPT, text.simpleString()[7:-1].replace(":", " ")) if fmt == "csv" else F.from_json(CORRUPT, text)
+    bad = raw.where(F.col(CORRUPT).isNotNull()).withColumn("_text", line)
+    wrong = F.array_compact(F.array(*[
+        F.when(F.col(f"`{n}`").isNull() & (F.length(F.col(f"_text.`{n}`")) > 0), F.lit(f"{n} is not {schema[n].dataType.simpleString()}")) for n in names]))
+    other = F.lit("wrong number of fields" if fmt == "csv" else "not a JSON object")
+    bad = bad.select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line"),
+                     F.when(F.size(wrong) > 0, F.concat_ws("; ", wrong)).otherwise(other).alias("reason"))
+    return raw.where(F.col(CORRUPT).isNull()).select(*[F.col(f"`{n}`") for n in names]), bad
+
+
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Parquet (snappy), CSV with header or JSON lines; other
     format names raise ``ValueError``."""
