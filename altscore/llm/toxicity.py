@@ -9,6 +9,13 @@ squared change of the score's logit under such swaps is penalised.  So the
 weights that a group's name could pick up from an unbalanced sample are pushed
 to be equal, and a neutral mention of a group says as little as that of another.
 
+Where texts name no group there is nothing to swap.  So of the sampled documents
+that name none, one in ``MENTION_EVERY`` of either label is learnt from a second
+time with an identity term inserted, its label kept: every term of the list in
+turn, the same ones for both labels, and its swaps are penalised like natural
+ones.  A mention thereby tells nothing of the label, whichever group it is of,
+also where a term shares its stem with a word that does (``black``, ``blackmail``).
+
 Defined results: null texts and texts without letters get the score of an empty
 document; without labels of both kinds every score is 0; repeated rows come
 back as often as they occur; empty tables give empty results; further columns
@@ -33,6 +40,7 @@ THRESHOLD = 0.7
 TERMS = 4_000              # terms of the model, at most: those with the largest G
 LEAST_G = 12.0             # about one chance in two thousand for an unrelated term
 STEM = 5                   # letters of a word that count beside the word
+MENTION_EVERY = 4          # one in so many documents without a mention is learnt again with one
 
 # Neutral terms for groups of people, by kind; terms of a kind are swapped for each other.
 IDENTITY_TERMS = (
@@ -69,6 +77,23 @@ def swaps(found: set[str], kinds=IDENTITY_TERMS) -> list[tuple[set[str], set[str
     return out
 
 
+def with_mentions(found: list[set[str]], y, kinds=IDENTITY_TERMS, every: int = MENTION_EVERY) -> list[tuple[set[str], float]]:
+    """(terms, label) of the copies with an inserted identity term (0: none).
+
+    Of the documents of a label that name no group, in their order, numbers 0,
+    ``every``, 2 ``every`` ... get the terms of ``kinds`` in turn.
+    """
+    listed = [t for kind in kinds for t in kind]
+    out, seen = [], Counter()
+    for s, label in zip(found, y):
+        if every and listed and s.isdisjoint(listed):
+            turn, rest = divmod(seen[label], every)
+            seen[label] += 1
+            if not rest:
+                out.append((s | terms(listed[turn % len(listed)]), label))
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -114,7 +139,8 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple], k: i
     return w, bias
 
 
-def learn(found: list[set[str]], y: np.ndarray, kinds=IDENTITY_TERMS, fairness: float = 1.0) -> Model:
+def learn(found: list[set[str]], y: np.ndarray, kinds=IDENTITY_TERMS, fairness: float = 1.0,
+          mention_every: int = MENTION_EVERY) -> Model:
     """Model from the terms and labels of the sampled documents."""
     n, n_pos = len(y), int(y.sum())
     if not 0 < n_pos < n:
@@ -127,6 +153,9 @@ def learn(found: list[set[str]], y: np.ndarray, kinds=IDENTITY_TERMS, fairness:
     names = sorted(every)
     g = g_values(np.array([every[t] for t in names], float), np.array([positive[t] for t in names], float), n, n_pos)
     chosen = [names[i] for i in sorted(range(len(names)), key=lambda i: (-g[i], names[i]))[:TERMS] if g[i] >= LEAST_G]
+    # documents with an inserted mention; the terms were chosen without them
+    copies = with_mentions(found, y, kinds, mention_every)
+    found, y = [*found, *(s for s, _ in copies)], np.r_[np.asarray(y, float), [label for _, label in copies]]
     # identity terms are always in the model, so that swaps are seen
     named = [(i, a, b) for i, s in enumerate(found) for a, b in swaps(s, kinds)]
     at = {t: i for i, t in enumerate(dict.fromkeys([*chosen, *sorted(set().union(*(a | b for _, a, b in named)))]))}
@@ -134,7 +163,7 @@ def learn(found: list[set[str]], y: np.ndarray, kinds=IDENTITY_TERMS, fairness:
     def index(s):
         return np.array(sorted(at[t] for t in s if t in at), dtype=np.int64)
 
-    w, bias = fit_logistic([index(s) for s in found], np.asarray(y, float), [(i, index(a), index(b)) for i, a, b in named],
+    w, bias = fit_logistic([index(s) for s in found], y, [(i, index(a), index(b)) for i, a, b in named],
                            len(at), fairness=fairness)
     return Model({t: float(w[i]) for t, i in at.items() if abs(w[i]) > 1e-6}, float(bias))
 
