@@ -12,9 +12,10 @@ to be equal, and a neutral mention of a group says as little as that of another.
 Where texts name no group there is nothing to swap.  So of the sampled documents
 that name none, one in ``MENTION_EVERY`` of either label is learnt from a second
 time with an identity term inserted, its label kept: every term of the list in
-turn, the same ones for both labels, and its swaps are penalised like natural
-ones.  A mention thereby tells nothing of the label, whichever group it is of,
-also where a term shares its stem with a word that does (``black``, ``blackmail``).
+turn, the same ones for both labels.  Its swaps are penalised like natural
+ones, and so is the change that the inserted term makes to the document's logit.
+A mention thereby tells nothing of the label, whichever group it is of, also where
+a term shares its stem with a word that does (``black``, ``blackmail``).
 
 Defined results: null texts and texts without letters get the score of an empty
 document; without labels of both kinds every score is 0; repeated rows come
@@ -70,15 +71,15 @@ def swaps(found: set[str], kinds=IDENTITY_TERMS) -> list[tuple[set[str], set[str
         own = [t for t in kind if t in found]
         for k, t in enumerate(own):
             others = [o for o in kind if o not in own]
-            # two others for each, evenly spread over the list
+            # two others for each: the next one, so that swaps join the whole list, and one half the list on
             for j in range(min(2, len(others))):
-                o = others[(kind.index(t) + 1 + j * (len(others) // 2)) % len(others)]
+                o = others[(kind.index(t) + j * (len(others) // 2)) % len(others)]
                 out.append((terms(t), terms(o)))
     return out
 
 
-def with_mentions(found: list[set[str]], y, kinds=IDENTITY_TERMS, every: int = MENTION_EVERY) -> list[tuple[set[str], float]]:
-    """(terms, label) of the copies with an inserted identity term (0: none).
+def with_mentions(found: list[set[str]], y, kinds=IDENTITY_TERMS, every: int = MENTION_EVERY) -> list[tuple[set[str], float, set[str]]]:
+    """(terms, label, those inserted) of the copies with an identity term (``every`` 0: none).
 
     Of the documents of a label that name no group, in their order, numbers 0,
     ``every``, 2 ``every`` ... get the terms of ``kinds`` in turn.
@@ -90,7 +91,8 @@ def with_mentions(found: list[set[str]], y, kinds=IDENTITY_TERMS, every: int = M
             turn, rest = divmod(seen[label], every)
             seen[label] += 1
             if not rest:
-                out.append((s | terms(listed[turn % len(listed)]), label))
+                new = terms(listed[turn % len(listed)]) - s
+                out.append((s | new, label, new))
     return out
 
 
@@ -155,9 +157,10 @@ def learn(found: list[set[str]], y: np.ndarray, kinds=IDENTITY_TERMS, fairness:
     chosen = [names[i] for i in sorted(range(len(names)), key=lambda i: (-g[i], names[i]))[:TERMS] if g[i] >= LEAST_G]
     # documents with an inserted mention; the terms were chosen without them
     copies = with_mentions(found, y, kinds, mention_every)
-    found, y = [*found, *(s for s, _ in copies)], np.r_[np.asarray(y, float), [label for _, label in copies]]
+    inserted = [(len(found) + i, set(), new) for i, (_, _, new) in enumerate(copies)]
+    found, y = [*found, *(s for s, _, _ in copies)], np.r_[np.asarray(y, float), [label for _, label, _ in copies]]
     # identity terms are always in the model, so that swaps are seen
-    named = [(i, a, b) for i, s in enumerate(found) for a, b in swaps(s, kinds)]
+    named = [(i, a, b) for i, s in enumerate(found) for a, b in swaps(s, kinds)] + inserted
     at = {t: i for i, t in enumerate(dict.fromkeys([*chosen, *sorted(set().union(*(a | b for _, a, b in named)))]))}
 
     def index(s):

@@ -55,7 +55,7 @@ def test_mentions_are_inserted_evenly():
     copies = T.with_mentions(found, y)
     for label in (0, 1):
         own = sum(n and v == label for n, v in zip(none, y))
-        got = [s for s, v in copies if v == label]
+        got = [s for s, v, _ in copies if v == label]
         assert len(got) == -(-own // T.MENTION_EVERY)
         if len(got) >= 60:      # all kinds had their turn
             assert all(any(set(kind) & s for s in got) for kind in T.IDENTITY_TERMS)
@@ -77,6 +77,14 @@ def test_swaps_count_where_no_text_names_a_group():
     logit = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
     change = lambda m: max(abs(logit(m, h + " black") - logit(m, h + " white")) for h in held)
     assert change(free) > 1.0 and change(fair) < 0.25 * change(free)
+    # nor does a mention itself say much
+    assert max(abs(logit(fair, h + " " + t) - logit(fair, h)) for h in held[:5] for kind in T.IDENTITY_TERMS for t in kind) < 0.3
+    # swaps join all terms of a list
+    for kind in T.IDENTITY_TERMS:
+        reached = {kind[0]}
+        for _ in kind:
+            reached |= {t for t in kind for s in list(reached) for _, b in T.swaps({s}) if b == T.terms(t)}
+        assert reached == set(kind)
     # stated figure: a swap of any two terms of a kind moves a held-out sentence's score by less than 0.05
     for kind in T.IDENTITY_TERMS:
         for h in held[:5]:
