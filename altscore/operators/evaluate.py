@@ -192,17 +192,47 @@ def compare_models(long_df: DataFrame, metrics: list[str]) -> DataFrame:
     return long_df.groupBy("model").pivot("metric", metrics).agg(F.first("value"))
 
 
-def evaluation_report(reg: DataFrame, cls: DataFrame, bus: DataFrame) -> DataFrame:
-    """EV8: one-row text report from the three metric rows."""
-    j = (reg.withColumn("_k", F.lit(1)).join(cls.withColumn("_k", F.lit(1)), "_k")
-         .join(bus.withColumn("_k", F.lit(1)), "_k"))
-    lines = [F.lit("MODEL EVALUATION REPORT"),
-             F.concat(F.lit("RMSE: "), F.format_number("rmse", 4)),
-             F.concat(F.lit("MAE: "), F.format_number("mae", 4)),
-             F.concat(F.lit("R2: "), F.format_number("r2", 4)),
-             F.concat(F.lit("Precision: "), F.format_number("precision", 4)),
-             F.concat(F.lit("Recall: "), F.format_number("recall", 4)),
-             F.concat(F.lit("F1: "), F.format_number("f1", 4)),
-             F.concat(F.lit("Approval rate: "), F.format_number("approval_rate", 4)),
-             F.concat(F.lit("Net profit (INR): "), F.format_number("estimated_net_profit_inr", 2))]
-    return j.select(F.concat_ws("\n", *lines).alias("report"))
+# EV8: the report's sections, each with (label, column, decimals; None for counts).
+REPORT = (
+    ("REGRESSION", (
+        ("RMSE", "rmse", 4), ("MAE", "mae", 4), ("R2", "r2", 4), ("MAPE (%)", "mape", 2), ("Max error", "max_error", 4),
+        ("Mean prediction", "mean_prediction", 4), ("Std prediction", "std_prediction", 4))),
+    ("CLASSIFICATION", (
+        ("Precision", "precision", 4), ("Recall", "recall", 4), ("F1", "f1", 4), ("Accuracy", "accuracy", 4),
+        ("Specificity", "specificity", 4), ("NPV", "npv", 4), ("ROC AUC", "roc_auc", 4),
+        ("TP", "tp", None), ("FP", "fp", None), ("FN", "fn", None), ("TN", "tn", None))),
+    ("DISTRIBUTION", (
+        ("Residual mean", "residual_mean", 4), ("Residual std", "residual_std", 4),
+        ("Residual skewness", "residual_skewness", 4), ("Residual kurtosis", "residual_kurtosis", 4),
+        ("True mean", "true_mean", 4), ("True std", "true_std", 4), ("Predicted mean", "pred_mean", 4),
+        ("Predicted std", "pred_std", 4), ("P10", "p10", 4), ("P25", "p25", 4), ("P50", "p50", 4), ("P75", "p75", 4), ("P90", "p90", 4))),
+    ("BUSINESS", (
+        ("Approval rate", "approval_rate", 4), ("Profitable approved", "profitable_loans_approved", None),
+        ("Unprofitable approved", "unprofitable_loans_approved", None), ("Profitable rejected", "profitable_loans_rejected", None),
+        ("Unprofitable rejected", "unprofitable_loans_rejected", None), ("Total profit (INR)", "estimated_total_profit_inr", 2),
+        ("Total cost (INR)", "estimated_total_cost_inr", 2), ("Net profit (INR)", "estimated_net_profit_inr", 2),
+        ("Profit per application (INR)", "profit_per_application_inr", 2), ("False positive rate", "false_positive_rate", 4),
+        ("False negative rate", "false_negative_rate", 4))),
+)
+
+
+def evaluation_report(pairs: DataFrame, t: str = "y_true", p: str = "y_pred",
+                      threshold: float = K.DECISION_THRESHOLD) -> DataFrame:
+    """EV8: every figure of the four groups (EV1, EV2 with EV3, EV5, EV6) as
+    columns, rounded as they are shown, and the text report made of them: one row.
+
+    A figure that is undefined (no pairs, too few for a moment) reads ``n/a``.
+    """
+    pairs = stored(pairs.select(t, p), "evaluated")        # five aggregates read it
+    row = regression_metrics(pairs, t, p).withColumn("_k", F.lit(1))
+    for group in (classification_metrics(pairs, t, p, threshold), roc_auc(pairs, t, p, threshold),
+                  distribution_metrics(pairs, t, p), business_metrics(pairs, t, p, threshold)):
+        row = row.join(group.withColumn("_k", F.lit(1)), "_k")       # single rows
+    lines = [F.lit("MODEL EVALUATION REPORT")]
+    for title, figures in REPORT:
+        lines.append(F.lit(title))
+        for label, c, digits in figures:
+            text = F.col(c).cast("string") if digits is None else F.format_number(c, digits)
+            lines.append(F.concat(F.lit(f"  {label}: "), F.coalesce(text, F.lit("n/a"))))
+    shown = [F.col(c) if digits is None else rnd(F.col(c), digits).alias(c) for _, figures in REPORT for _, c, digits in figures]
+    return row.select(*shown, F.concat_ws("\n", *lines).alias("report"))

@@ -226,20 +226,47 @@ def q_compare_models(spark, sf_dir):
 
 
 def _report_sql() -> str:
-    return cte(P, extra=[("reg", _reg_sql(P)), ("cls", _cls_sql(P)), ("bus", _bus_sql(P))]) + r"""
-SELECT concat_ws(chr(10), 'MODEL EVALUATION REPORT',
-                 'RMSE: ' || format('{:,.4f}', reg.rmse), 'MAE: ' || format('{:,.4f}', reg.mae),
-                 'R2: ' || format('{:,.4f}', reg.r2), 'Precision: ' || format('{:,.4f}', cls.precision),
-                 'Recall: ' || format('{:,.4f}', cls.recall), 'F1: ' || format('{:,.4f}', cls.f1),
-                 'Approval rate: ' || format('{:,.4f}', bus.approval_rate),
-                 'Net profit (INR): ' || format('{:,.2f}', bus.estimated_net_profit_inr)) AS report
-FROM reg, cls, bus"""
+    def f(label, c, digits=4):
+        return f"'  {label}: ' || coalesce(format('{{:,.{digits}f}}', {c}), 'n/a')"
+
+    def n(label, c):
+        return f"'  {label}: ' || {c}"
+
+    lines = ["'MODEL EVALUATION REPORT'", "'REGRESSION'", f("RMSE", "rmse"), f("MAE", "mae"), f("R2", "r2"), f("MAPE (%)", "mape", 2),
+             f("Max error", "max_error"), f("Mean prediction", "mean_prediction"), f("Std prediction", "std_prediction"),
+             "'CLASSIFICATION'", f("Precision", "precision"), f("Recall", "recall"), f("F1", "f1"), f("Accuracy", "accuracy"),
+             f("Specificity", "specificity"), f("NPV", "npv"), f("ROC AUC", "roc_auc"),
+             n("TP", "tp"), n("FP", "fp"), n("FN", "fn"), n("TN", "tn"),
+             "'DISTRIBUTION'", f("Residual mean", "residual_mean"), f("Residual std", "residual_std"),
+             f("Residual skewness", "residual_skewness"), f("Residual kurtosis", "residual_kurtosis"), f("True mean", "true_mean"),
+             f("True std", "true_std"), f("Predicted mean", "pred_mean"), f("Predicted std", "pred_std"),
+             *[f(x.upper(), x) for x in ("p10", "p25", "p50", "p75", "p90")],
+             "'BUSINESS'", f("Approval rate", "approval_rate"), n("Profitable approved", "profitable_loans_approved"),
+             n("Unprofitable approved", "unprofitable_loans_approved"), n("Profitable rejected", "profitable_loans_rejected"),
+             n("Unprofitable rejected", "unprofitable_loans_rejected"), f("Total profit (INR)", "estimated_total_profit_inr", 2),
+             f("Total cost (INR)", "estimated_total_cost_inr", 2), f("Net profit (INR)", "estimated_net_profit_inr", 2),
+             f("Profit per application (INR)", "profit_per_application_inr", 2), f("False positive rate", "false_positive_rate"),
+             f("False negative rate", "false_negative_rate")]
+    return cte(P, extra=[("reg", _reg_sql(P)), ("cls", _cls_sql(P)), ("auc", _auc_sql(P)), ("dist", _dist_sql(P)),
+                         ("bus", _bus_sql(P))]) + f"""
+SELECT round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2, round(mape, 2) AS mape, round(max_error, 4) AS max_error,
+       round(mean_prediction, 4) AS mean_prediction, round(std_prediction, 4) AS std_prediction,
+       round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(accuracy, 4) AS accuracy,
+       round(specificity, 4) AS specificity, round(npv, 4) AS npv, round(roc_auc, 4) AS roc_auc, tp, fp, fn, tn,
+       round(residual_mean, 4) AS residual_mean, round(residual_std, 4) AS residual_std,
+       round(residual_skewness, 4) AS residual_skewness, round(residual_kurtosis, 4) AS residual_kurtosis,
+       round(true_mean, 4) AS true_mean, round(true_std, 4) AS true_std, round(pred_mean, 4) AS pred_mean, round(pred_std, 4) AS pred_std,
+       round(p10, 4) AS p10, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, round(p90, 4) AS p90,
+       round(approval_rate, 4) AS approval_rate, profitable_loans_approved, unprofitable_loans_approved, profitable_loans_rejected,
+       unprofitable_loans_rejected, round(estimated_total_profit_inr, 2) AS estimated_total_profit_inr,
+       round(estimated_total_cost_inr, 2) AS estimated_total_cost_inr, round(estimated_net_profit_inr, 2) AS estimated_net_profit_inr,
+       round(profit_per_application_inr, 2) AS profit_per_application_inr,
+       round(false_positive_rate, 4) AS false_positive_rate, round(false_negative_rate, 4) AS false_negative_rate,
+       concat_ws(chr(10), {", ".join(lines)}) AS report
+FROM reg, cls, auc, dist, bus"""
 
 
 @register("evaluation_report", _report_sql())
 def q_evaluation_report(spark, sf_dir):
-    """EV8: one-row text report of the regression, classification and business metrics."""
-    p = _pairs(spark, sf_dir)
-    return EV.evaluation_report(EV.regression_metrics(p), EV.classification_metrics(p),
-                                EV.business_metrics(p))
-
+    """EV8: every figure of the four groups and the text report of them, one row."""
+    return EV.evaluation_report(_pairs(spark, sf_dir))
