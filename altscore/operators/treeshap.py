@@ -1,4 +1,4 @@
-"""Path-dependent TreeSHAP for Spark ML tree ensembles.
+"""Path-dependent TreeSHAP for Spark ML tree ensembles (X1 / X2), and interactions.
 
 For one tree, the path-dependent value function (Lundberg et al., 2018) is
 ``v(S) = sum_leaf value * prod_{splits on the leaf's path} g(split, S)``,
@@ -23,6 +23,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def extract_trees(gbt_model) -> list:
@@ -118,6 +119,89 @@ def shap_matrix(X: np.ndarray, trees) -> np.ndarray:
     return phi
 
 
+def interaction_matrix(X: np.ndarray, trees, feature: int) -> np.ndarray:
+    """Shapley interaction values of one feature with every other, a row each.
+
+    Per leaf they follow, as the values themselves, from the polynomial of the
+    path's other features; the pair's joint effect is split in halves.  Column
+    ``feature`` holds the main effect: its SHAP value less all interactions, so
+    a row adds up to the SHAP value.
+    """
+    n, d = X.shape
+    out = np.zeros((n, d))
+    for w, leaves in trees:
+        for value, path in leaves:
+            game: dict = {}
+            for f, thr, left, ratio in path:
+                a, b = game.get(f, (np.ones(n), 1.0))
+                game[f] = (a * ((X[:, f] <= thr) if left else (X[:, f] > thr)), b * ratio)
+            m = len(game)
+            if feature not in game:
+                continue
+            own = game[feature][0] - game[feature][1]
+            if m == 1:
+                out[:, feature] += w * value * own
+                continue
+            pair = [factorial(k) * factorial(m - k - 2) / factorial(m - 1) for k in range(m - 1)]
+            single = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+            out[:, feature] += w * value * own * _weighted(game, (feature,), single)
+            for j, (a, b) in game.items():
+                if j != feature:
+                    half = 0.5 * w * value * own * (a - b) * _weighted(game, (feature, j), pair)
+                    out[:, j] += half
+                    out[:, feature] -= half
+    return out
+
+
+def _weighted(game: dict, without: tuple, weights: list[float]):
+    """Sum of the coefficients of the product of (b + a t) over the other features, weighted by degree."""
+    coeffs = [1.0]
+    for u, (a, b) in game.items():
+        if u not in without:
+            coeffs = [x * b + y * a for x, y in zip([*coeffs, 0.0], [0.0, *coeffs])]
+    return sum(c * k for c, k in zip(coeffs, weights))
+
+
+def interaction_strengths(df: DataFrame, features: list[str], trees, feature: str) -> DataFrame:
+    """(partner, strength): mean |interaction| of ``feature`` with each other one.
+
+    Batches are summed where they are; one row a partner and batch is shuffled.
+    """
+    if feature not in features:
+        raise ValueError(f"unknown feature {feature!r}")
+    at = features.index(feature)
+    others = [f for f in features if f != feature]
+
+    def run(batches):
+        for pdf in batches:
+            v = np.abs(interaction_matrix(pdf[features].to_numpy(dtype="float64"), trees, at)).sum(axis=0)
+            yield pd.DataFrame({"partner": others, "total": np.delete(v, at), "n": len(pdf)})
+
+    sums = df.select(*features).mapInPandas(run, "partner string, total double, n long").groupBy("partner")
+    return sums.agg(F.round(F.sum("total") / F.sum("n"), 9).alias("strength"))
+
+
+def dependence(df: DataFrame, features: list[str], trees, key: str, feature: str, partner: str | None = None) -> DataFrame:
+    """Points of one feature, and its interaction with ``partner``; if none is
+    named, with the strongest one (ties: the first by name).  An empty table gives no points."""
+    if feature not in features or partner not in (None, *features):
+        raise ValueError(f"unknown feature {feature!r} or {partner!r}")
+    if partner is None:      # one row of at most as many as there are features
+        best = interaction_strengths(df, features, trees, feature).orderBy(F.desc("strength"), "partner").first()
+        partner = best.partner if best else next((f for f in features if f != feature), feature)
+    at, other = features.index(feature), features.index(partner)
+
+    def run(batches):
+        for pdf in batches:
+            X = pdf[features].to_numpy(dtype="float64")
+            v = interaction_matrix(X, trees, at)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "value": X[:, at], "shap": v.sum(axis=1), "main_effect": v[:, at],
+                                "partner": partner, "interaction_value": X[:, other], "interaction": v[:, other]})
+
+    return df.select(key, *features).mapInPandas(
+        run, f"{key} long, value double, shap double, main_effect double, partner string, interaction_value double, interaction double")
+
+
 def explain(df: DataFrame, features: list[str], trees, key: str, top_n: int | None = None,
             raw_col: str | None = None) -> DataFrame:
     """X2 (``top_n`` None): one row per input row with the SHAP vector,

@@ -5,7 +5,7 @@ from math import factorial
 
 import numpy as np
 
-from altscore.operators.treeshap import base_value, shap_matrix
+from altscore.operators.treeshap import base_value, dependence, interaction_matrix, interaction_strengths, shap_matrix
 
 # Two small trees over 3 features; paths carry (feature, threshold, goes_left, cover ratio).
 TREES = [
@@ -53,3 +53,38 @@ def test_matches_brute_force_and_adds_up():
         assert np.allclose(phi[r], brute(X[r]), atol=1e-12)
         full = value(X[r], {0, 1, 2})
         assert abs(base_value(TREES) + phi[r].sum() - full) < 1e-12
+
+
+def brute_pair(x, i, j, d=3):
+    """Half of the pair's Shapley interaction index, over all coalitions of the others."""
+    others = [u for u in range(d) if u not in (i, j)]
+    total = 0.0
+    for k in range(len(others) + 1):
+        for S in map(set, combinations(others, k)):
+            change = value(x, S | {i, j}) - value(x, S | {i}) - value(x, S | {j}) + value(x, S)
+            total += factorial(k) * factorial(d - k - 2) / factorial(d - 1) * change
+    return total / 2
+
+
+def test_interactions_match_brute_force_and_add_up():
+    X = np.random.default_rng(1).uniform(-0.5, 1.5, size=(40, 3))
+    phi = shap_matrix(X, TREES)
+    for i in range(3):
+        got = interaction_matrix(X, TREES, i)
+        assert np.allclose(got.sum(axis=1), phi[:, i], atol=1e-12)
+        for r in range(len(X)):
+            assert all(abs(got[r, j] - brute_pair(X[r], i, j)) < 1e-12 for j in range(3) if j != i)
+
+
+def test_the_strongest_partner_is_found(spark):
+    X = np.random.default_rng(2).uniform(-0.5, 1.5, size=(200, 3))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id long, a double, b double, c double").repartition(5)
+    mean = np.abs(interaction_matrix(X, TREES, 0)).mean(axis=0)
+    strengths = {r.partner: r.strength for r in interaction_strengths(df, ["a", "b", "c"], TREES, "a").collect()}
+    assert set(strengths) == {"b", "c"} and all(abs(strengths["abc"[j]] - mean[j]) < 1e-8 for j in (1, 2))
+    rows = dependence(df, ["a", "b", "c"], TREES, "id", "a").collect()
+    best = max(strengths, key=strengths.get)
+    phi = shap_matrix(X, TREES)
+    assert len(rows) == 200 and {r.partner for r in rows} == {best}
+    assert all(abs(r.shap - phi[r.id, 0]) < 1e-12 and r.interaction_value == X[r.id, "abc".index(best)] for r in rows)
+    assert dependence(df.limit(0), ["a", "b", "c"], TREES, "id", "a").count() == 0
