@@ -340,6 +340,15 @@ def q_explain_model_rows(spark, sf_dir):
     return r.withColumn("decision", S.decide(S.clip_score(F.col("prediction"))))
 
 
+@register("dependence_model")
+def q_dependence_model(spark, sf_dir):
+    """X5 on the GBT: the expense ratio's SHAP value at every applicant, its main
+    effect, and the interaction with the partner that the data show to be strongest."""
+    from ..operators import treeshap as TS
+    tf = training_frame(spark, sf_dir)
+    return TS.dependence(tf, FEATURE_NAMES, registered_model(tf).trees(), "applicant_id", "expense_to_income_ratio")
+
+
 @register("explain_model_batch")
 def q_explain_model_batch(spark, sf_dir):
     """Full SHAP matrix rows with the additivity error against the
