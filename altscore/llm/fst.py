@@ -15,8 +15,9 @@ character classes: whether a word starts at a character depends on a few
 neighbours, never on what came long before.  So the state map of a chunk of
 text is constant but for its open ends, ``ChunkMap``: the characters before its
 first certain boundary, the count between the first and the last, and the
-characters after.  Maps compose associatively; the prefix scan over the chunks
-of a text gives its count, and a text of any length takes bounded memory.
+characters after.  Maps compose associatively.  The chunks of a text are folded in
+their order by the task that holds the text, not by a parallel scan; the text's memory
+is that of the row, and an open end grows where a text has no certain boundary.
 """
 
 from __future__ import annotations
