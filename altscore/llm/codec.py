@@ -8,10 +8,11 @@ integers, so what one machine writes any other reads.
 a hashed table each; an entry predicts one id and knows how often it was right.
 The order-2 prediction, or the order-1 prediction where there is none, is the
 candidate.  Three probabilities that it is right (by the confidence at order 2,
-by that at order 1 and agreement, by the last hits) are mixed in the logistic
-domain with weights learned on the way.  An id that isn't the candidate is
-coded by order-0 frequencies: its first three hexadecimal digits adaptively,
-each given those before, the last one evenly.
+by that at order 1 and agreement, by how often order 0 saw ids like it and the
+last hits) are mixed in the logistic domain with weights learned on the way.  An
+id that isn't the candidate is coded by order-0 frequencies: its four hexadecimal
+digits, each given those before (the last one by a hash of them).  A row of
+frequencies moves fast at first and slowly once it is known.
 
 *Coder.*  A carry-less range coder with 62-bit state and 16-bit output words;
 wide enough to code a whole id at once.
@@ -26,8 +27,12 @@ import numpy as np
 
 BLOCK = 4096               # ids of a block
 SLOTS = 11                 # bits of the hashed tables
-RATE = 4                   # digits: a frequency moves by 1/16 of the way
-ID_BITS = 40               # three digits of 12 bits each and the last one
+DIGITS = 4                 # hexadecimal digits of an id
+DIGIT_BITS = 10            # coded frequencies of a digit add up to 2^10, kept ones to 2^15
+ID_BITS = DIGITS * DIGIT_BITS
+LAST = 10                  # bits of the hashed table of the last digits' rows
+ROWS = 1 + 16 + 256 + (1 << LAST)   # rows of digits a lane
+SLOWEST = 6                # a well-known row's frequencies move by 1/64 of the way
 
 TOP_BIT = 46
 MASK, TOP, BOT = (1 << 62) - 1, 1 << TOP_BIT, 1 << 42
@@ -114,6 +119,11 @@ class Reader(Lanes):
         return np.minimum((self.code[k] - self.low[k]) // (self.range[k] >> bits), (1 << bits) - 1)
 
 
+def hashed(above: np.ndarray) -> np.ndarray:
+    """Row of the last digit, by the three above it."""
+    return (above * 2531 & 4095) >> 12 - LAST
+
+
 class Model:
     """Predictions of ``n`` lanes.
 
@@ -128,37 +138,42 @@ class Model:
         self.base = np.arange(2 * n).reshape(2, n) << SLOTS
         # probabilities (16 bits) by context, and the weights (16 bits after the point) that mix them
         lane = np.arange(n)
-        self.p = np.full(n * 64, 32768, np.int32)
-        self.first = np.stack([lane * 16, n * 16 + lane * 32, n * 48 + lane * 16])
+        self.p = np.full(n * 112, 32768, np.int32)
+        self.first = np.stack([lane * 16, n * 16 + lane * 32, n * 48 + lane * 64])
         self.w = np.full((3, n), 26000, np.int32)
         self.hits = np.zeros(n, np.int32)
-        # cumulative frequencies (12 bits) of each digit, by those before it: 1, 16 and 256 rows a lane
-        self.digits = np.tile(np.arange(0, 4096, 256, dtype=np.int16), (n * 273, 1))
-        self.start = np.array([0, n, n * 17])
+        # cumulative frequencies (15 bits) of each digit by those before it, and how often a row was used
+        self.digits = np.tile(np.arange(0, 32768, 2048, dtype=np.int16), n * ROWS).view(ROW)
+        self.seen = np.zeros(n * ROWS, np.uint8)
+        self.start = [0, n, n * 17, n * 273]
+        self.last = (lane << LAST) + n * 273
+        self.sixteens = np.arange(0, 16 * DIGITS * n, 16)
 
     def candidate(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of each lane and the probability (16 bits) that it is right."""
         h = self.one * 40503
         self.at = self.base + (np.stack([h >> 4, (h ^ self.two * 24859) >> 5]) & ((1 << SLOTS) - 1))
-        self.e = e = self.table[self.at]
+        self.e = e = self.table.take(self.at)
         # confidence and id at once: entries without a past are zero
         best = np.where(e[1] > 0xFFFF, e[1], e[0])
         cand = best & 0xFFFF
         times = e >> 16
         agree = ((e[0] ^ best) & 0xFFFF == 0) * np.int32(16)
-        self.k = self.first + np.stack([times[1], times[0] + agree, self.hits])
-        self.old = self.p[self.k]
-        self.x = STRETCH[self.old >> 4]
+        # order 0: how often ids like the candidate came so far
+        often = OFTEN.take(self.seen.take(self.last + hashed(cand >> 4)))
+        self.k = self.first + np.stack([times[1], times[0] + agree, often + self.hits])
+        self.old = self.p.take(self.k)
+        self.x = STRETCH.take(self.old >> 4)
         # weights in steps of 1/4096 here, so that 32 bits are enough
         mixed = ((self.w >> 4) * self.x).sum(axis=0, dtype=np.int32) >> 12
-        self.mixed = SQUASH[np.clip(mixed + 2048, 0, 4095)]
+        self.mixed = SQUASH.take(mixed + 2048, mode="clip")
         return cand, self.mixed
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
         goal = hit * np.int32(65535)
         self.w = np.clip(self.w + ((self.x * ((goal - self.mixed) >> 3)) >> 10), -500000, 500000)
         self.p[self.k] = self.old + ((goal - self.old) >> RATES)
-        self.hits = (self.hits << 1 | hit) & 15
+        self.hits = (self.hits << 1 | hit) & 3
         e = self.e
         right = (e ^ ids) & 0xFFFF == 0
         # right: surer; wrong: half as sure, and replaced when nothing is left
@@ -166,23 +181,41 @@ class Model:
         self.table[self.at] = np.where(right | (times > 0), e & 0xFFFF, ids) | np.maximum(times, 1) << 16
         self.two, self.one = self.one, ids
 
-    def rows(self, depth, lanes: np.ndarray, above: np.ndarray) -> np.ndarray:
-        """Rows of digits at a depth (0 to 2), given the digits above."""
+    def rows(self, depth: int, lanes: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Rows of digits at a depth (0 to 3), given the digits above."""
+        if depth == 3:
+            return self.last.take(lanes) + hashed(above)
         return self.start[depth] + (lanes << 4 * depth) + above
 
+    def cumulative(self, rows: np.ndarray) -> np.ndarray:
+        return self.digits.take(rows).view(np.int16).reshape(-1, 16)
+
     def frequency(self, rows: np.ndarray, cdf: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of digits; their frequencies grow."""
-        pick = np.arange(len(rows))
-        start = cdf[pick, digit].astype(np.int64)
-        size = np.where(digit < 15, cdf[pick, np.minimum(digit + 1, 15)], 4096) - start
-        # every start moves towards where it were if all was this digit; no size falls below 1
-        self.digits[rows] = cdf + ((GOALS[digit] - cdf) >> RATE)
+        at = self.sixteens[:len(rows)] + digit
+        flat = cdf.reshape(-1)
+        start = flat.take(at).astype(np.int64) >> CUT
+        size = np.where(digit < 15, flat.take(at + 1, mode="clip") >> CUT, 1 << DIGIT_BITS) - start
+        # every start moves towards where it were if all was this digit; no size falls below 2^CUT
+        n = self.seen.take(rows)
+        step = GOALS.take(digit, axis=0)
+        step -= cdf
+        step >>= RATE.take(n, axis=0)
+        step += cdf
+        self.digits[rows] = step.reshape(-1).view(ROW)
+        self.seen[rows] = n + (n < 255)
         return start, size
 
 
 RATES = np.array([[4], [4], [5]], np.int32)
+CUT = 15 - DIGIT_BITS
+ROW = np.dtype("V32")      # 16 frequencies as one item
 # start of each digit, by the digit that was seen, if it had all but the least frequency
-GOALS = np.where(np.arange(16) > np.arange(16)[:, None], 4096 - 16, 0).astype(np.int16) + np.arange(16, dtype=np.int16)
+GOALS = (np.where(np.arange(16) > np.arange(16)[:, None], 32768 - (16 << CUT), 0) + (np.arange(16) << CUT)).astype(np.int16)
+# a row's first digits move its frequencies most: by 1/2, 1/4, ... of the way (16 times, for the row's entries)
+RATE = np.repeat(np.minimum([(2 * k // 3 + 2).bit_length() - 1 for k in range(256)], SLOWEST).astype(np.int16), 16).reshape(256, 16)
+# contexts by the times a row was used
+OFTEN = np.minimum([((k + 1) ** 2).bit_length() - 1 for k in range(256)], 15).astype(np.int32) * 4
 
 
 def encode(blocks: np.ndarray) -> list[bytes]:
@@ -197,13 +230,16 @@ def encode(blocks: np.ndarray) -> list[bytes]:
         k = np.flatnonzero(~hit)
         if len(k):
             own = ids[k].astype(np.int64)
-            # all three digits at once: their rows are different ones
-            rows = np.concatenate([model.rows(d, k, own >> 16 - 4 * d) for d in range(3)])
-            digit = np.concatenate([own >> 12, own >> 8 & 15, own >> 4 & 15])
-            start, size = model.frequency(rows, model.digits[rows], digit)
-            (s0, s1, s2), (z0, z1, z2) = start.reshape(3, -1), size.reshape(3, -1)
-            start = (s0 << 28) + z0 * ((s1 << 16) + z1 * ((s2 << 4) + z2 * (own & 15)))
-            out.narrow(k, start, z0 * z1 * z2, ID_BITS)
+            # all digits at once: their rows are different ones
+            rows = np.concatenate([model.rows(d, k, own >> 16 - 4 * d) for d in range(DIGITS)])
+            digit = np.concatenate([own >> 12 - 4 * d & 15 for d in range(DIGITS)])
+            starts, sizes = model.frequency(rows, model.cumulative(rows), digit)
+            start, scale, shift = 0, 1, ID_BITS
+            for s, z in zip(starts.reshape(DIGITS, -1), sizes.reshape(DIGITS, -1)):
+                shift -= DIGIT_BITS
+                start = start + scale * (s << shift)
+                scale = scale * z
+            out.narrow(k, start, scale, ID_BITS)
         model.learn(hit, ids)
     return out.finish()
 
@@ -221,20 +257,22 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
         k = np.flatnonzero(~hit)
         if len(k):
             rest, own, start, scale = src.peek(k, ID_BITS), np.zeros(len(k), np.int64), 0, 1
-            for depth, shift in enumerate((28, 16, 4)):
+            for depth in range(DIGITS):
+                shift = ID_BITS - DIGIT_BITS * (depth + 1)
                 rows = model.rows(depth, k, own)
-                cdf = model.digits[rows]
+                cdf = model.cumulative(rows)
                 # starts rise, so the digit is the number of them that are not above, less one
-                under = np.packbits(cdf <= (rest >> shift).astype(np.int16)[:, None], axis=1).view(np.uint16)[:, 0]
-                digit = np.bitwise_count(under).astype(np.int64) - 1
+                stand = np.repeat((rest >> shift << CUT | (1 << CUT) - 1).astype(np.int16), 16).reshape(-1, 16)
+                under = np.bitwise_count((cdf <= stand).view(np.uint64))
+                digit = (under[:, 0] + under[:, 1]).astype(np.int64) - 1
                 s, z = model.frequency(rows, cdf, digit)
                 start = start + scale * (s << shift)
                 scale = scale * z
-                # at most 40 bits by at most 12: the quotient of doubles, cut, is exact
+                # at most 40 bits by at most 10: the quotient of doubles, cut, is exact
                 rest = ((rest - (s << shift)) / z).astype(np.int64)
                 own = own << 4 | digit
-            src.narrow(k, start + scale * rest, scale, ID_BITS)
-            ids[k] = own << 4 | rest
+            src.narrow(k, start, scale, ID_BITS)
+            ids[k] = own
         columns[t] = ids
         model.learn(hit, ids)
     return np.ascontiguousarray(columns.T)

@@ -34,7 +34,7 @@ from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BLOCKS = 1024              # blocks coded at a time: lanes of the coder
+BLOCKS = 2048              # blocks coded at a time: lanes of the coder
 
 DOCS = "array<struct<doc_id:{kind},start:long,piece:int,n:int>>"
 ROW = "part int, block long, first long, n_ids int, steps int, crc32 long, payload binary, docs " + DOCS
@@ -79,13 +79,17 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
           blocks: int = BLOCKS) -> None:
     """Write the ids of all documents to a new token file at ``path``.
 
-    ``size``: ids of a block; ``blocks``: blocks coded at a time.
+    ``size``: ids of a block; ``blocks``: blocks coded at a time.  The vocabulary
+    must not pass 65,536 ids.
     """
+    largest = max([end_id, *encoder(tokenizer).tok.get_vocab(with_added_tokens=True).values()])
+    if largest > 0xFFFF:
+        raise ValueError(f"{tokenizer}: id {largest} has more than 16 bits")
     spark = docs.sparkSession
     arrow_batches(spark)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # parts are numbered by task; where AQE merges small ranges, tasks still follow the ids
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     end, batch_ids = np.array([end_id], "<u4").tobytes(), blocks * size
 
     def run(batches):

@@ -26,6 +26,35 @@ def test_repetition_is_cheap():
     assert sum(map(len, C.encode(ids))) * 8 / ids.size < 4
 
 
+def _library_ids(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    return np.frombuffer(b"\1\0\0\0".join(K.PieceEncoder(T.TOKENIZER).encode(texts)), "<u4").astype("<u2")
+
+
+def test_smaller_than_deflate_and_static_frequencies(spark):
+    ids = _library_ids(spark)
+    blocks = ids[:len(ids) // C.BLOCK * C.BLOCK].reshape(-1, C.BLOCK)
+    coded = C.encode(blocks)
+    assert np.array_equal(C.decode(coded, C.BLOCK), blocks)
+    bits = sum(map(len, coded)) * 8 / blocks.size
+    deflated = sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks) * 8 / blocks.size
+    share = np.bincount(blocks.ravel()) / blocks.size
+    static = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert bits < 0.85 * deflated and bits < static
+
+
+def test_frequencies_never_reach_zero():
+    """A digit after any number of others has a place left."""
+    a, b = np.full(6000, 65535, "<u2"), np.full(6000, 0, "<u2")
+    ids = np.stack([np.r_[a, b, a[:5]], np.r_[b, a, b[:5]], np.resize(np.r_[a[:1], b[:1]], 12005)])
+    assert np.array_equal(C.decode(C.encode(ids), ids.shape[1]), ids)
+
+
+def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="16 bits"):
+        T.write(no_docs(spark), str(tmp_path / "ids"), end_id=70000)
+
+
 def test_crc_join():
     r = np.random.default_rng(1)
     for n in (0, 1, 7, 4000):
