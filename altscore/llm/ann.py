@@ -4,8 +4,9 @@ Equal vectors are one node that knows its ``k + 1`` smallest ids (enough for
 the k nearest of any query, itself included), so a vector that a third of all
 rows share costs no more than any other.  Distinct vectors are spread over
 shards of bounded size by a hash; each shard's graph (``hnsw``) is one stored
-row of flat arrays.  Queries visit every shard in blocks of bounded size, and
-the shards' best are merged per query.  The graphs propose; what they propose
+row of flat arrays.  Queries visit every shard in blocks of bounded size: a task
+reads a shard's graph once, then the blocks one after the other; the shards' best
+are merged per query.  The graphs propose; what they propose
 is scored exactly, with the cosine in double precision of the vectors as given.
 
 Defined results: rows without an id, and vectors that are null, empty, zero or
@@ -29,6 +30,7 @@ K = 5
 BEAM = 160                 # beam of a search
 SHARD = 16_384             # distinct vectors of a shard, about
 BLOCK = 2_048              # queries that visit a shard at a time
+GRAPH = -1                 # block number of a shard's graph: sorted before all blocks
 
 
 def usable(v: Column) -> Column:
@@ -85,15 +87,21 @@ def index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     return staged(out, "ann-index")
 
 
-def _answers(row: dict, k: int, beam: int):
+class _Shard:
+    """One shard's graph, its vectors and the ids of its nodes."""
+
+    def __init__(self, row: dict, k: int):
+        self.raw = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+        self.ids = np.frombuffer(row["ids"], np.int64).reshape(len(self.raw), k + 1)
+        self.n_ids = np.frombuffer(row["n_ids"], np.int64)
+        self.graph = Graph(_unit(self.raw), [np.frombuffer(x, np.int32).reshape(n, -1) for x, n in zip(row["links"], row["sizes"])])
+
+
+def _answers(at: _Shard, row: dict, k: int, beam: int):
     """Query, id and cosine of the k best rows of one shard for each query of a block."""
-    dim = row["dim"]
-    raw = np.frombuffer(row["vectors"]).reshape(-1, dim)
-    ids = np.frombuffer(row["ids"], np.int64).reshape(len(raw), k + 1)
-    n_ids = np.frombuffer(row["n_ids"], np.int64)
-    links = [np.frombuffer(x, np.int32).reshape(n, -1) for x, n in zip(row["links"], row["sizes"])]
-    q_id, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, dim)
-    nodes, _ = Graph(_unit(raw), links).search(_unit(q), min(beam, 2 * k + 6), beam)
+    raw, ids, n_ids = at.raw, at.ids, at.n_ids
+    q_id, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+    nodes, _ = at.graph.search(_unit(q), min(beam, 2 * k + 6), beam)
     owner, col = np.nonzero(nodes >= 0)
     node = nodes[owner, col]
     score = cosine(q[owner], raw[node])
@@ -124,23 +132,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, beam: int = BEAM,
 
     def bundle(key, t):
         return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()],
-                         "q_ids": [np.asarray(t.column("id"), dtype=np.int64).tobytes()],
-                         "q_vectors": [np.stack([np.asarray(x, dtype=np.float64) for x in t.column("v").to_pylist()]).tobytes()]})
+                         "ids": [np.asarray(t.column("id"), dtype=np.int64).tobytes()],
+                         "vectors": [np.stack([np.asarray(x, dtype=np.float64) for x in t.column("v").to_pylist()]).tobytes()]})
 
     q = q.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(
-        bundle, "dim long, block long, q_ids binary, q_vectors binary")
-    # every block visits every shard: one row each, beside the shard's graph
-    visits = idx.select("dim", "shard").join(q, "dim")
+        bundle, "dim long, block long, ids binary, vectors binary")
+    # every block visits every shard, behind the shard's graph
+    per = idx.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
+    visits = q.join(per, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    rows = idx.withColumn("block", F.lit(GRAPH)).unionByName(visits, allowMissingColumns=True)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def search(batches):
+        key, at = None, None
         for b in batches:
             for row in b.to_pylist():
-                qid, vec, score = _answers(row, k, beam)
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+                if row["block"] == GRAPH:
+                    key, at = (row["dim"], row["shard"]), _Shard(row, k)
+                elif key == (row["dim"], row["shard"]):         # else a shard without vectors
+                    qid, vec, score = _answers(at, row, k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    # a row holds a graph and a block: few of them in one Arrow batch
+    # a row holds a graph or a block: few of them in one Arrow batch
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    hits = staged(visits.join(idx, ["dim", "shard"]).mapInArrow(search, "query_id long, vec_id long, score double"), "ann-hits")
+    hits = staged(rows.mapInArrow(search, "query_id long, vec_id long, score double"), "ann-hits")
     arrow_batches(spark)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (hits.distinct().withColumn("rank", rank).where(F.col("rank") <= k)

@@ -34,6 +34,15 @@ def test_recall_over_several_shards(spark):
             assert abs(s - x[v] @ x[i] / np.linalg.norm(x[v]) / np.linalg.norm(x[i])) < 1e-12
 
 
+def test_shards_without_vectors_and_lengths_without_queries(spark):
+    """Three vectors in up to three shards; vectors of length 3 that no query has."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2).tolist()) for i in (0, 50, 7)] + [(i, rng.normal(size=3).tolist()) for i in (1, 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in A.nearest(d, F.col("vec_id") % 50 == 0, shard=1, block=1).collect()]
+    assert sorted(got) == [(0, 7), (0, 50), (50, 0), (50, 7)]
+
+
 def test_copies_ties_and_few_candidates(spark):
     x = np.array([[1.0, 0.0]] * 900 + [[0.0, 1.0]] * 3)
     got = [tuple(r)[:3] for r in _run(spark, np.arange(903), x)]
