@@ -36,13 +36,14 @@ def _stage1(col: str) -> list[str]:
 
 
 def _stage2() -> list[str]:
-    """Per-list scalars the later lambdas read: counts, means, first credit."""
+    """Per-list scalars the later lambdas read: counts, means (null without
+    rows: dividing by the size of an empty list is an error), first credit."""
     amt = "CAST(t.amount AS DOUBLE)"
     return [
         KEY, "n_all", "n_failed", "_cr", "_dr",
         "CAST(size(_cr) AS BIGINT) AS n_cr", "CAST(size(_dr) AS BIGINT) AS n_dr",
-        f"aggregate(_cr, 0D, (a, t) -> a + {amt}) / size(_cr) AS _cr_mean",
-        f"aggregate(_dr, 0D, (a, t) -> a + {amt}) / size(_dr) AS _dr_mean",
+        f"aggregate(_cr, 0D, (a, t) -> a + {amt}) / nullif(size(_cr), 0) AS _cr_mean",
+        f"aggregate(_dr, 0D, (a, t) -> a + {amt}) / nullif(size(_dr), 0) AS _dr_mean",
         "array_min(transform(_cr, t -> t.ts)) AS cr_t0",
         "array_sort(transform(_cr, t -> CAST(t.amount AS DOUBLE))) AS _cr_sorted",
     ]
@@ -72,7 +73,7 @@ def _stage3() -> dict[str, str]:
                 f"(element_at(_cr_sorted, least({lo} + 2, size(_cr))) - element_at(_cr_sorted, {lo} + 1)) END")
 
     day = "CAST(timestampdiff(DAY, cr_t0, t.ts) AS DOUBLE)"
-    xbar = f"(aggregate(_cr, 0D, (a, t) -> a + {day}) / size(_cr))"
+    xbar = f"(aggregate(_cr, 0D, (a, t) -> a + {day}) / nullif(size(_cr), 0))"
     bill2 = f"filter(_dr, t -> coalesce(t.source IN {_in(K.BILLS2)}, false))"
     bill3 = f"filter(_dr, t -> coalesce(t.source IN {_in(K.BILLS3)}, false))"
     emi = f"filter(_dr, t -> coalesce(t.source = '{K.EMI_SOURCE}', false))"

@@ -64,6 +64,30 @@ def test_long_records_are_scored_in_full(spark):
         assert r.score == pytest.approx(want[r.applicant_id].score, abs=1e-9) and r.decision == want[r.applicant_id].decision
 
 
+def _one_sided(spark, folder):
+    """Tables of three customers: with items, with an order without items, and without orders."""
+    at = "timestamp '2024-01-0{} 00:00:00'"
+    for name, rows in {
+            "customer": "VALUES (1L), (2L), (3L) AS t(c_custkey)",
+            "orders": f"VALUES (10L, 1L, 100.0D, {at.format(1)}), (11L, 1L, 50.0D, {at.format(3)}), (12L, 2L, 70.0D, {at.format(2)}) "
+                      "AS t(o_orderkey, o_custkey, o_totalprice, o_orderdate)",
+            "lineitem": f"VALUES (10L, 5L, 30.0D, {at.format(4)}), (11L, 6L, 20.0D, {at.format(5)}) "
+                        "AS t(l_orderkey, l_partkey, l_extendedprice, l_shipdate)"}.items():
+        spark.sql(f"SELECT * FROM {rows}").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_stream_scores_applicants_without_transactions(spark, tmp_path):
+    from altscore.plans.q_scoring import scored_applicants
+    from altscore.streaming.jobs import stream_score
+    sf = _one_sided(spark, tmp_path)
+    want = {r.applicant_id: r for r in scored_applicants(spark, sf).collect()}
+    got = {r.applicant_id: r for r in stream_score(spark, sf).collect()}
+    assert set(got) == set(want) == {1, 2, 3}
+    for k, r in got.items():
+        assert r.score == pytest.approx(want[k].score, abs=1e-9) and r.decision == want[k].decision
+
+
 def test_stream_drops_duplicates_and_nothing_late(spark):
     from altscore.sources.tables import load
     from altscore.streaming.jobs import dedup_run
