@@ -100,6 +100,18 @@ def test_detect_input_kind_takes_credits_without_debits(spark, tmp_path):
         assert [r[f] for f in LEDGER_FEATURES] == pytest.approx([want[k][f] for f in LEDGER_FEATURES], abs=1e-9)
 
 
+def test_features_nested_takes_credits_without_debits(spark, tmp_path):
+    from altscore.operators.ledger_features import LEDGER_FEATURES, ledger_features
+    from altscore.plans import q_features as Q
+    from altscore.sources import views as V
+    sf = _one_sided(spark, tmp_path)
+    want = {r.applicant_id: r for r in ledger_features(V.ledger(spark, sf)).collect()}
+    got = {r.applicant_id: r for r in Q.q_features_nested(spark, sf).collect()}
+    assert set(got) == set(want) == {1, 2}
+    for k, r in got.items():
+        assert [r[f] for f in LEDGER_FEATURES] == pytest.approx([want[k][f] for f in LEDGER_FEATURES], abs=1e-9)
+
+
 def test_stream_drops_duplicates_and_nothing_late(spark):
     from altscore.sources.tables import load
     from altscore.streaming.jobs import dedup_run
