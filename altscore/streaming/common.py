@@ -8,6 +8,7 @@ checkpoint folder, so a restarted driver or lost executor resumes exactly once.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 
@@ -18,6 +19,23 @@ from ..sources.tables import normalise_timestamps, table_path
 from .keyed_log import KeyedLog
 
 
+STATE_CONFS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+
+
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries that are run in here keep their state in RocksDB instead of the heap of the executors."""
+    before = {k: spark.conf.get(k, None) for k in STATE_CONFS}
+    for k, v in STATE_CONFS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream/{name}-{uuid.uuid4().hex[:12]}")
 

@@ -16,7 +16,7 @@ from ..sources.schemas import NESTED_APPLICATION
 from ..session import stored
 from ..sources.io import write
 from ..sources.tables import normalise_timestamps, table_path
-from .common import read_stream, run_dir, run_foreach_batch, run_to_files, run_upserts, table_stream
+from .common import read_stream, run_dir, run_foreach_batch, run_to_files, run_upserts, state_on_disk, table_stream
 
 
 # ---------------------------------------------------------------- T1
@@ -86,16 +86,35 @@ def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_upserts(out, ["period_start"], base)
 
 
+WINDOW_MIN = 15            # minutes of a window, which slides by one
+
+
 def stream_sliding_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: requests per client in 15-minute windows sliding by 1 minute."""
+    """T4: requests per client in 15-minute windows sliding by 1 minute.
+
+    The state holds one count a client and minute, not one for each of the 15 windows
+    that a request is in, and lies on disk; a window is the sum of its minutes.  The watermark
+    waits 14 minutes more, for a minute counts until its last window has closed."""
     base = run_dir(spark, "sliding")
     r = V.request_log(spark, sf_dir, table_stream(spark, sf_dir, "events")).select("request_id", "client", "ts")
-    s = r.withWatermark("ts", "15 minutes")
-    agg = s.groupBy("client", F.window("ts", "15 minutes", "1 minute").alias("w")).agg(
-        F.count(F.lit(1)).alias("n_requests"))
-    out = agg.select("client", to_ntz("w.start").alias("window_start"), to_ntz("w.end").alias("window_end"),
-                     "n_requests")
-    return run_upserts(out, ["client", "window_start"], base)
+    s = r.withWatermark("ts", f"{2 * WINDOW_MIN - 1} minutes")
+    agg = s.groupBy("client", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    out = agg.select("client", F.col("w.start").alias("minute"), "n")
+    with state_on_disk(spark):
+        minutes = run_upserts(out, ["client", "minute"], base)
+    return windows_of(minutes)
+
+
+def windows_of(minutes: DataFrame) -> DataFrame:
+    """Windows from counts of client and minute.  Rows are dealt by client, at most one a
+    minute each, before they multiply: what is shuffled grows with the minutes, not the windows."""
+    parts = int(minutes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = F.sequence(F.lit(0), F.lit(WINDOW_MIN - 1))
+    rows = minutes.repartition(parts, "client").select("client", "minute", "n", F.explode(ends).alias("k"))
+    rows = rows.select("client", (F.col("minute") - F.make_dt_interval(mins=F.col("k"))).alias("start"), "n")
+    agg = rows.groupBy("client", "start").agg(F.sum("n").alias("n_requests"))
+    return agg.select("client", to_ntz("start").alias("window_start"),
+                      to_ntz(F.col("start") + F.expr(f"INTERVAL {WINDOW_MIN} MINUTES")).alias("window_end"), "n_requests")
 
 
 # ---------------------------------------------------------------- T5

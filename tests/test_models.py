@@ -112,6 +112,25 @@ def test_features_nested_takes_credits_without_debits(spark, tmp_path):
         assert [r[f] for f in LEDGER_FEATURES] == pytest.approx([want[k][f] for f in LEDGER_FEATURES], abs=1e-9)
 
 
+def test_sliding_windows_keep_one_count_a_minute(spark, tmp_path, monkeypatch):
+    from collections import Counter
+    from datetime import datetime, timedelta
+    from altscore.streaming import jobs as J
+    kept, run_upserts = [], J.run_upserts
+    monkeypatch.setattr(J, "run_upserts", lambda *a: kept.append(run_upserts(*a)) or kept[-1])
+    spark.sql("""SELECT id AS event_id, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 37 % 4000) AS ts, id % 3 AS user_id,
+                 'view' AS event_type, 1.0D AS value, '{"k": 4}' AS props FROM range(200)""").write.parquet(f"{tmp_path}/events.parquet")
+    want, minutes = Counter(), set()
+    for i in range(200):
+        m = datetime(2024, 1, 1) + timedelta(minutes=i * 37 % 4000 // 60)
+        minutes.add((i % 3, m))
+        want.update((str(i % 3), m - timedelta(minutes=k)) for k in range(15))
+    got = J.stream_sliding_requests(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.client, r.window_start): r.n_requests for r in got} == want
+    assert all(r.window_end - r.window_start == timedelta(minutes=15) for r in got)
+    assert kept[0].count() == len(minutes)
+
+
 def test_stream_drops_duplicates_and_nothing_late(spark):
     from altscore.sources.tables import load
     from altscore.streaming.jobs import dedup_run
