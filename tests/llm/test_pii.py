@@ -137,3 +137,12 @@ def test_a_valid_span_wins_over_invalid_ones_that_overlap_it(spark):
     assert got == {i: want for i, want in enumerate(texts.values())}
     clean = {r.doc_id: r.text for r in P.redacted(d, trees).collect()}
     assert clean[0] == "on 2024-05-17 [card] paid" and clean[3] == list(texts)[3]
+
+
+def test_all_candidates_are_fitted_on(spark):
+    """6,000 numbers of one kind, more than the trees once took; a true one counts in both spellings."""
+    d = docs(spark, ["ref " + "; ".join(f"{100 + i}.{300 + j}.{i}.{j}" for j in range(60)) for i in range(100)]
+             + [f"server 10 . 0 . {i} . 7" for i in range(100)])
+    n = {(r.k, r.y): r.n for r in P.vectors(P.found(d)).groupBy("k", "y").agg(F.sum("n").alias("n")).collect()}
+    ip = P.KINDS.index("ip")
+    assert n[ip, False] >= 6000 and n[ip, True] == 200
