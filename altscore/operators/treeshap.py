@@ -12,8 +12,9 @@ values follow from the polynomial ``prod_{u != i} (b_u + a_u t)``:
 with ``a_u`` the row's 0/1 "follows every split on u", ``b_u`` the product of
 the cover ratios of those splits and ``m`` the number of distinct features.
 Shapley values are linear in the game, so the leaf terms add up per tree and
-the trees add up with their ensemble weights.  Everything is vectorised over
-the rows of an Arrow batch; the model description is a few thousand numbers.
+the trees add up with their ensemble weights.  A leaf's term takes one of ``2**m``
+values a feature, so these are formed once a task, and the rows of an Arrow batch
+look theirs up (``LeafTables``); the model description is a few thousand numbers.
 """
 
 from __future__ import annotations
@@ -85,41 +86,74 @@ def base_value(trees) -> float:
     return total
 
 
+class LeafTables:
+    """What each leaf adds to a row's values, for each of its at most ``2 ** depth`` patterns.
+
+    A leaf's term depends on the row only through the features of its path whose splits the row all follows: one bit a
+    feature.  ``terms`` gives a leaf's additions for all patterns at once, in order; a batch then takes
+    one number a row and term from a short table.
+    """
+
+    def __init__(self, trees, terms):
+        self.trees = []
+        for w, leaves in trees:
+            tables = []
+            for value, path in leaves:
+                covers: dict = {}
+                for f, _, _, ratio in path:
+                    covers[f] = covers.get(f, 1.0) * ratio
+                patterns = np.arange(1 << len(covers))
+                game = {f: ((patterns >> k & 1).astype("float64"), b) for k, (f, b) in enumerate(covers.items())}
+                added = terms(w * value, game) if game else []
+                tables.append((tuple(path), [(f, np.ascontiguousarray(v)) for f, v in added]))
+            self.trees.append(tables)
+
+    def sums(self, X: np.ndarray, rows: int = 8192) -> np.ndarray:
+        out = np.zeros((X.shape[1], len(X)))
+        for at in range(0, len(X), rows):
+            columns, part = np.ascontiguousarray(X[at:at + rows].T), out[:, at:at + rows]
+            for tables in self.trees:
+                seen = {(): (np.zeros(part.shape[1], dtype="int64"), {})}
+                for path, added in tables:
+                    if added:
+                        pattern = _pattern(columns, path, seen)
+                        for f, table in added:
+                            part[f] += table.take(pattern)
+        return out.T
+
+
+def _pattern(columns: np.ndarray, path: tuple, seen: dict) -> np.ndarray:
+    """Bit k of a row: it follows every split of ``path`` on the path's k-th feature.  ``seen`` keeps the nodes above."""
+    for depth in range(1, len(path) + 1):
+        if path[:depth] not in seen:
+            above, bits = seen[path[:depth - 1]]
+            f, thr, left, _ = path[depth - 1]
+            follow = (columns[f] <= thr) if left else (columns[f] > thr)
+            if f in bits:
+                pattern = above & ~(~follow * np.int64(1 << bits[f]))
+            else:
+                bits = {**bits, f: len(bits)}
+                pattern = above | follow * np.int64(1 << bits[f])
+            seen[path[:depth]] = (pattern, bits)
+    return seen[path][0]
+
+
+def _shap_terms(scale: float, game: dict):
+    """Per feature of a leaf's game, its Shapley value."""
+    m = len(game)
+    weights = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+    return [(i, scale * _weighted(game, (i,), weights) * (a - b)) for i, (a, b) in game.items()]
+
+
+def shap_tables(trees) -> LeafTables:
+    return LeafTables(trees, _shap_terms)
+
+
 def shap_matrix(X: np.ndarray, trees) -> np.ndarray:
-    n, d = X.shape
-    phi = np.zeros((n, d))
-    ones = np.ones(n)
-    for w, leaves in trees:
-        for value, path in leaves:
-            feats: dict = {}
-            for f, thr, left, ratio in path:
-                follow = (X[:, f] <= thr) if left else (X[:, f] > thr)
-                a, b = feats.get(f, (ones, 1.0))
-                feats[f] = (a * follow, b * ratio)
-            m = len(feats)
-            if m == 0:
-                continue
-            weights = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-            for i, (a_i, b_i) in feats.items():
-                coeffs = [ones]
-                for u, (a_u, b_u) in feats.items():
-                    if u == i:
-                        continue
-                    nxt = []
-                    for k in range(len(coeffs) + 1):
-                        term = 0.0
-                        if k < len(coeffs):
-                            term = term + coeffs[k] * b_u
-                        if k >= 1:
-                            term = term + coeffs[k - 1] * a_u
-                        nxt.append(term)
-                    coeffs = nxt
-                s = sum(c * wt for c, wt in zip(coeffs, weights))
-                phi[:, i] += w * value * s * (a_i - b_i)
-    return phi
+    return shap_tables(trees).sums(X)
 
 
-def interaction_matrix(X: np.ndarray, trees, feature: int) -> np.ndarray:
+def interaction_tables(trees, feature: int) -> LeafTables:
     """Shapley interaction values of one feature with every other, a row each.
 
     Per leaf they follow, as the values themselves, from the polynomial of the
@@ -127,30 +161,28 @@ def interaction_matrix(X: np.ndarray, trees, feature: int) -> np.ndarray:
     ``feature`` holds the main effect: its SHAP value less all interactions, so
     a row adds up to the SHAP value.
     """
-    n, d = X.shape
-    out = np.zeros((n, d))
-    for w, leaves in trees:
-        for value, path in leaves:
-            game: dict = {}
-            for f, thr, left, ratio in path:
-                a, b = game.get(f, (np.ones(n), 1.0))
-                game[f] = (a * ((X[:, f] <= thr) if left else (X[:, f] > thr)), b * ratio)
-            m = len(game)
-            if feature not in game:
-                continue
-            own = game[feature][0] - game[feature][1]
-            if m == 1:
-                out[:, feature] += w * value * own
-                continue
-            pair = [factorial(k) * factorial(m - k - 2) / factorial(m - 1) for k in range(m - 1)]
-            single = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-            out[:, feature] += w * value * own * _weighted(game, (feature,), single)
-            for j, (a, b) in game.items():
-                if j != feature:
-                    half = 0.5 * w * value * own * (a - b) * _weighted(game, (feature, j), pair)
-                    out[:, j] += half
-                    out[:, feature] -= half
-    return out
+    def terms(scale, game):
+        m = len(game)
+        if feature not in game:
+            return []
+        own = game[feature][0] - game[feature][1]
+        if m == 1:
+            return [(feature, scale * own)]
+        pair = [factorial(k) * factorial(m - k - 2) / factorial(m - 1) for k in range(m - 1)]
+        single = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+        main, halves = scale * own * _weighted(game, (feature,), single), []
+        for j, (a, b) in game.items():
+            if j != feature:
+                half = 0.5 * scale * own * (a - b) * _weighted(game, (feature, j), pair)
+                halves.append((j, half))
+                main = main - half
+        return [(feature, main), *halves]
+
+    return LeafTables(trees, terms)
+
+
+def interaction_matrix(X: np.ndarray, trees, feature: int) -> np.ndarray:
+    return interaction_tables(trees, feature).sums(X)
 
 
 def _weighted(game: dict, without: tuple, weights: list[float]):
@@ -173,8 +205,9 @@ def interaction_strengths(df: DataFrame, features: list[str], trees, feature: st
     others = [f for f in features if f != feature]
 
     def run(batches):
+        tables = interaction_tables(trees, at)
         for pdf in batches:
-            v = np.abs(interaction_matrix(pdf[features].to_numpy(dtype="float64"), trees, at)).sum(axis=0)
+            v = np.abs(tables.sums(pdf[features].to_numpy(dtype="float64"))).sum(axis=0)
             yield pd.DataFrame({"partner": others, "total": np.delete(v, at), "n": len(pdf)})
 
     sums = df.select(*features).mapInPandas(run, "partner string, total double, n long").groupBy("partner")
@@ -192,9 +225,10 @@ def dependence(df: DataFrame, features: list[str], trees, key: str, feature: str
     at, other = features.index(feature), features.index(partner)
 
     def run(batches):
+        tables = interaction_tables(trees, at)
         for pdf in batches:
             X = pdf[features].to_numpy(dtype="float64")
-            v = interaction_matrix(X, trees, at)
+            v = tables.sums(X)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "value": X[:, at], "shap": v.sum(axis=1), "main_effect": v[:, at],
                                 "partner": partner, "interaction_value": X[:, other], "interaction": v[:, other]})
 
@@ -217,9 +251,10 @@ def explain(df: DataFrame, features: list[str], trees, key: str, top_n: int | No
         schema = f"{key} long, rank int, feature string, value double, shap double, base_value double, prediction double"
 
     def run(batches):
+        tables = shap_tables(trees)
         for pdf in batches:
             X = pdf[features].to_numpy(dtype="float64")
-            phi = shap_matrix(X, trees)
+            phi = tables.sums(X)
             pred = base + phi.sum(axis=1)
             if top_n is None:
                 out = {key: pdf[key].to_numpy(), "shap_values": list(phi), "base_value": np.full(len(pdf), base),
