@@ -32,6 +32,7 @@ VALIDATION_PCT = 20        # of the training rows, by key
 PATIENCE = 50              # trees that must lower the validation error
 TOLERANCE = 0.05           # by this share of it, or boosting ends
 STAGES = (192, 384)        # trees fitted before the validation error is looked at
+STAGED_ROWS = 50_000       # training rows beyond which all trees are fitted at once
 PARTITION_ROWS = 50_000    # training rows of a partition, about
 CURVE = "tree int, validation_rmse double"
 
@@ -55,7 +56,7 @@ def gbt_pipeline(features: list[str], label: str = "label", max_iter: int | None
 @dataclass
 class Fitted:
     """A model and how it came about: root mean squared validation error after each tree
-    (empty without held-out rows), trees fitted, and trees kept."""
+    (empty without held-out rows), trees of the stage at which boosting ended, and trees kept."""
 
     model: PipelineModel
     curve: list[float]
@@ -87,6 +88,11 @@ def _first_trees(model: PipelineModel, n: int) -> PipelineModel:
     return PipelineModel([assembler, cut])
 
 
+def _stalled(errors: list[float], patience: int, tolerance: float) -> bool:
+    """Whether any ``patience`` trees lowered the error (squared) by less than ``tolerance`` of its root."""
+    return any(min(errors[i:i + patience]) >= min(errors[:i]) * (1.0 - tolerance) ** 2 for i in range(1, len(errors) - patience + 1))
+
+
 def fit_staged(train: DataFrame, features: list[str], label: str = "label", key: str = "applicant_id", max_iter: int | None = None,
                patience: int = PATIENCE, tolerance: float = TOLERANCE, **overrides) -> Fitted:
     """M2: boosting that ends when ``patience`` trees lowered the validation error by
@@ -94,7 +100,9 @@ def fit_staged(train: DataFrame, features: list[str], label: str = "label", key:
 
     Trees are fitted in stages of growing number (Spark's learner has no warm start; its seeds make a
     shorter fit the beginning of a longer one).  After a stage, one pass over the held-out rows
-    sums the errors of all its trees' running predictions.  Rows are dealt into ranges of hash and
+    sums the errors of all its trees' running predictions.  Few rows stall early; with more than
+    ``STAGED_ROWS`` the largest number is fitted right away, for earlier stages would be fitted again, and boosting ends at
+    the same stage, looked up in the curve.  Rows are dealt into ranges of hash and
     sorted within, and their number sets that of the partitions: the model depends on the rows, and not
     on their layout or on the number of cores.  Rows without a label don't count; no rows give a model that predicts 0,
     and without held-out rows all trees stay.
@@ -111,16 +119,17 @@ def fit_staged(train: DataFrame, features: list[str], label: str = "label", key:
     data = data.repartition(max(2, math.ceil(sum(n.values()) / PARTITION_ROWS)), key).sortWithinPartitions(key).checkpoint()
     learn = data.where("not held") if both else data
     stages = [s for s in STAGES if s < most] + [most] if both else [most]
-    for stage in stages:
-        model = gbt_pipeline(features, "label", stage, **overrides).fit(learn)
+    for fitted in stages if sum(n.values()) <= STAGED_ROWS else stages[-1:]:
+        model = gbt_pipeline(features, "label", fitted, **overrides).fit(learn)
         if not both:
-            return Fitted(model, [], stage, stage)
+            return Fitted(model, [], fitted, fitted)
         errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(data.where("held")), "squared")
-        best = min(range(stage), key=lambda i: errors[i]) + 1
-        # errors are squared
-        if any(min(errors[i:i + patience]) >= min(errors[:i]) * (1.0 - tolerance) ** 2 for i in range(1, stage - patience + 1)):
+        stage = next((s for s in stages if s < fitted and _stalled(errors[:s], patience, tolerance)), fitted)
+        if stage < fitted or _stalled(errors, patience, tolerance):
             break
-    kept = model if best == stage else _first_trees(model, best)
+    errors = errors[:stage]
+    best = min(range(stage), key=lambda i: errors[i]) + 1
+    kept = model if best == fitted else _first_trees(model, best)
     return Fitted(kept, [math.sqrt(e) for e in errors], stage, best)
 
 

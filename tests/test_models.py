@@ -172,6 +172,26 @@ def test_boosting_stops_with_patience_and_keeps_the_best(frame, monkeypatch):
         frame.sparkSession.createDataFrame(held)).select("raw_prediction").collect()], atol=1e-9)
 
 
+def test_many_rows_are_fitted_once_and_end_at_the_same_stage(frame, monkeypatch):
+    """Beyond ``STAGED_ROWS`` no stage is fitted again; curve, stage and model stay."""
+    noisy = frame.withColumn("label", F.col("label") + F.sin(F.col("applicant_id") * 12.9898) / 2)
+    monkeypatch.setattr(ML, "STAGES", (8, 16))
+    how = dict(patience=4, max_iter=24, stepSize=0.4, minInstancesPerNode=1)
+    plain, sizes = ML.gbt_pipeline, []
+    monkeypatch.setattr(ML, "gbt_pipeline", lambda *a, **k: sizes.append(a[2]) or plain(*a, **k))
+    for tolerance, end in ((0.9, 8), (0.0, None), (-1.0, 24)):
+        sizes.clear()
+        monkeypatch.setattr(ML, "STAGED_ROWS", 10_000)
+        staged = ML.fit_staged(noisy, FEATURES, tolerance=tolerance, **how)
+        assert sizes == [s for s in (8, 16, 24) if s <= staged.n_fitted]
+        sizes.clear()
+        monkeypatch.setattr(ML, "STAGED_ROWS", 1_000)
+        once = ML.fit_staged(noisy, FEATURES, tolerance=tolerance, **how)
+        assert sizes == [24] and end in (None, once.n_fitted)
+        assert (once.n_fitted, once.n_kept, once.curve) == (staged.n_fitted, staged.n_kept, staged.curve)
+        assert TS.extract_trees(once.model.stages[-1]) == TS.extract_trees(staged.model.stages[-1])
+
+
 def test_no_rows_and_no_labels(spark, frame, tmp_path):
     """Nothing to learn from: a model that predicts 0, is saved, loaded, described and explained."""
     for d in (frame.limit(0), frame.withColumn("label", F.lit(None).cast("double"))):
