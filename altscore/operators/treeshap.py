@@ -119,7 +119,7 @@ class LeafTables:
                         pattern = _pattern(columns, path, seen)
                         for f, table in added:
                             part[f] += table.take(pattern)
-        return out.T
+        return np.ascontiguousarray(out.T)
 
 
 def _pattern(columns: np.ndarray, path: tuple, seen: dict) -> np.ndarray:
