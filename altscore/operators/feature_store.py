@@ -28,7 +28,7 @@ from ..functions import constants as K
 from ..functions.expr import sql_in
 from ..session import stored
 from ..streaming.keyed_log import KeyedLog
-from .ledger_features import CR, DR, KEY, LEDGER_FEATURES, features_from_aggregates
+from .ledger_features import CR, DR, HEAVY_KEY_ROWS, KEY, LEDGER_FEATURES, features_from_aggregates
 from .ordered import keyed_exact_quantiles
 
 RAW = ("n_cr", "sum_cr", "sum_dr")
@@ -146,22 +146,25 @@ class FeatureStore:
 
     def _features(self, merged: DataFrame) -> DataFrame:
         """RAW and the features of the applicants in ``merged``."""
-        own = stored(self.values.read().join(merged.select(KEY), KEY, "left_semi"), "feature-values")
         moments = merged.withColumn("cr_sd", F.expr(_deviation("n_cr_amount", "sum_cr", "sq_cr"))) \
                         .withColumn("dr_sd", F.expr(_deviation("n_dr_amount", "sum_dr", "sq_dr")))
-        amount = F.col("item").cast("double")
-        quartiles = keyed_exact_quantiles(own.where("kind = 'cr'").withColumn("v_", amount), KEY, "v_", [0.25, 0.75], ["q1", "q3"], times="n")
-        sources = own.where("kind = 'src'").groupBy(KEY).agg(F.count(F.lit(1)).cast("int").alias("cr_sources"))
+        heavy = F.col("n_cr_amount") > HEAVY_KEY_ROWS
+        known = merged.select(KEY, F.expr("CAST(n_dr_amount AS DECIMAL(19,0))").alias("m"), "sum_dr", "sq_dr", heavy.alias("heavy"))
+        own = self.values.read().join(known, KEY).withColumn("amount", F.when(F.col("kind") != "src", F.col("item")))
         # more than two deviations above the mean, without dividing: equal amounts are none above
-        debits = merged.select(KEY, F.expr("CAST(n_dr_amount AS DECIMAL(19,0))").alias("m"), "sum_dr", "sq_dr")
-        debits = own.where("kind = 'dr'").join(debits, KEY).withColumn("above", F.expr("CAST(m * CAST(item AS DECIMAL(18,2)) - sum_dr AS DOUBLE)"))
-        spikes = debits.where("m > 1 AND above > 0 AND above * above * CAST(m - 1 AS DOUBLE) > 4.0D * CAST(m AS DOUBLE) * CAST(m * sq_dr - sum_dr * sum_dr AS DOUBLE)")
-        spikes = spikes.groupBy(KEY).agg(F.sum("n").alias("n_spike"))
+        above = "CAST(m * CAST(amount AS DECIMAL(18,2)) - sum_dr AS DOUBLE)"
+        spike = f"kind = 'dr' AND m > 1 AND {above} > 0 AND {above} * {above} * CAST(m - 1 AS DOUBLE) > 4.0D * CAST(m AS DOUBLE) * CAST(m * sq_dr - sum_dr * sum_dr AS DOUBLE)"
+        counted = own.groupBy(KEY).agg(
+            F.expr(f"percentile({_when("kind = 'cr' AND NOT heavy", 'CAST(amount AS DOUBLE)')}, array(0.25D, 0.75D), n) AS cr_q"),
+            F.expr("CAST(count_if(kind = 'src') AS INT) AS cr_sources"), F.expr(f"sum({_when(spike, 'n')}) AS n_spike"))
+        if not merged.where(heavy).isEmpty():        # too many amounts for one task's buffer
+            spread = keyed_exact_quantiles(own.where("kind = 'cr' AND heavy").withColumn("v_", F.col("amount").cast("double")), KEY, "v_",
+                                           [0.25, 0.75], ["q1", "q3"], times="n")
+            counted = counted.join(spread, KEY, "left").withColumn("cr_q", F.coalesce("cr_q", F.array("q1", "q3"))).drop("q1", "q3")
         n = "CAST(n_cr_amount AS DECIMAL(19,0))"
         across = f"CAST({n} * days2 - days * days AS DOUBLE)"
         slope = _when(f"{across} <> 0.0D", f"CAST({n} * days_cr - days * sum_cr AS DOUBLE) / {across}")
-        agg = (moments.join(quartiles, KEY, "left").join(sources, KEY, "left").join(spikes, KEY, "left")
-               .withColumn("cr_q", F.array("q1", "q3")).withColumn("cr_sources", F.coalesce("cr_sources", F.lit(0)))
+        agg = (moments.join(counted, KEY, "left").withColumn("cr_sources", F.coalesce("cr_sources", F.lit(0)))
                .withColumn("n_spike", F.coalesce("n_spike", F.lit(0).cast("long"))).withColumn("cr_slope", F.expr(slope))
                .withColumn("cr_max", F.col("cr_max").cast("double")).withColumn("cr_min", F.col("cr_min").cast("double")))
         return features_from_aggregates(agg, RAW)

@@ -102,7 +102,11 @@ class KeyedLog:
         if len(names) == 1:
             return self._folder(names[0])
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{n}" for n in names])
-        newest = F.max_by(F.struct(*[c for c in self.schema.fieldNames() if c not in self.keys]), "_batch")
+        own = [c for c in self.columns if c not in self.keys]
+        if len(own) == 1:                  # plain buffers, which are hashed; those of structs are sorted
+            rows = rows.groupBy(*self.keys).agg(F.max_by(own[0], "_batch").alias(own[0]), F.max("_batch").alias("_batch"))
+            return rows.select(*self.schema.fieldNames())
+        newest = F.max_by(F.struct(*own, "_batch"), "_batch")
         rows = rows.groupBy(*self.keys).agg(newest.alias("_newest")).select(*self.keys, "_newest.*")
         return rows.select(*self.schema.fieldNames())
 

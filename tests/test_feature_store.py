@@ -90,3 +90,22 @@ def test_nothing(spark, tmp_path):
     assert store.read().count() == 0
     store.add(_df(spark, _rows(40, 3)), 1)
     _same(store.read(), ledger_features(_df(spark, _rows(40, 3)).where(F.col("applicant_id").isNotNull())))
+
+
+def test_quartiles_of_heavy_applicants_are_spread(spark, tmp_path, monkeypatch):
+    """Beyond ``HEAVY_KEY_ROWS`` credits the amounts leave the task's buffer; nobody else's do, and the features stay."""
+    from altscore.operators import feature_store as FS
+    rows, spread, plain = _rows(600, 4), [], FS.keyed_exact_quantiles
+    monkeypatch.setattr(FS, "keyed_exact_quantiles", lambda d, *a, **k: spread.append(d.select("applicant_id").distinct().collect()) or plain(d, *a, **k))
+    store = FeatureStore(spark, str(tmp_path / "light"))
+    store.add(_df(spark, rows), 0)
+    _same(store.read(), ledger_features(_df(spark, rows)))
+    assert not spread
+    monkeypatch.setattr(FS, "HEAVY_KEY_ROWS", 30)
+    store = FeatureStore(spark, str(tmp_path / "heavy"))
+    store.add(_df(spark, rows[:300]), 0)
+    store.add(_df(spark, rows[300:]), 1)
+    _same(store.read(), ledger_features(_df(spark, rows)))
+    assert {r.applicant_id for r in spread[-1]} == {1}
+    plan = store.values.read()._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
