@@ -8,7 +8,8 @@ Plan (two aggregation rounds, both with map-side partial aggregation):
    the spike count compares every debit with mean + 2 sd).
 2. The ledger is joined with those statistics on ``applicant_id`` (sort-merge
    join; AQE splits a skewed applicant's partition) and one ``groupBy`` with
-   conditional aggregates yields every raw input of the 24 features.
+   conditional aggregates yields the raw inputs of the 24 features; quartiles
+   and distinct sources come from the credits alone.
 3. A projection turns the raw aggregates into the features with the band
    rules and per-group zero defaults.
 
@@ -57,23 +58,23 @@ HEAVY_KEY_ROWS = 1_000_000
 CR = "txn_type = 'credit'"
 DR = "txn_type = 'debit'"
 AMT = "CAST(amount AS DOUBLE)"
+MESSAGE_FLAGS = [f"coalesce(message RLIKE '(?i){pattern}', false) AS {flag}"
+                 for flag, pattern in (("_failed", K.FAILED_PATTERN), ("_card", K.CARD_PATTERN))]
 
 
 def applicant_stats(ledger: DataFrame) -> DataFrame:
     """Per-applicant statistics needed before the row-level pass."""
     return ledger.groupBy(KEY).agg(*[F.expr(e) for e in (
-        f"count_if({CR}) AS _n_cr",
         f"min(CASE WHEN {CR} THEN ts END) AS _cr_first_ts",
         f"avg(CASE WHEN {DR} THEN {AMT} END) AS _dr_mean",
         f"stddev_samp(CASE WHEN {DR} THEN {AMT} END) AS _dr_sd")])
 
 
-def _raw_aggregate_exprs(heavy_rows: int) -> list[str]:
+def _raw_aggregate_exprs() -> list[str]:
     ess5, ess6 = sql_in("source", K.ESSENTIAL5), sql_in("source", K.ESSENTIAL6)
     bill2 = f"{DR} AND {sql_in('source', K.BILLS2)}"
     bill3 = f"{DR} AND {sql_in('source', K.BILLS3)}"
     emi = f"{DR} AND coalesce(source = '{K.EMI_SOURCE}', false)"
-    card = f"coalesce(message RLIKE '(?i){K.CARD_PATTERN}', false)"
     day = "CAST(timestampdiff(DAY, _cr_first_ts, ts) AS DOUBLE)"
 
     def when(cond, val):
@@ -85,12 +86,8 @@ def _raw_aggregate_exprs(heavy_rows: int) -> list[str]:
         f"sum({when(CR, 'amount')}) AS sum_cr",
         f"min({when(CR, 'ts')}) AS cr_t0", f"max({when(CR, 'ts')}) AS cr_t1",
         f"stddev_samp({when(CR, AMT)}) AS cr_sd",
-        # distinct sources: a set bounded by the source vocabulary; avoids the
-        # distinct-aggregate rewrite (four aggregation operators)
-        f"size(collect_set({when(f'{CR} AND _n_cr <= {int(heavy_rows)}', 'source')})) AS cr_sources",
         f"regr_slope({when(CR, AMT)}, {when(CR, day)}) AS cr_slope",
         f"max({when(CR, AMT)}) AS cr_max", f"min({when(CR, AMT)}) AS cr_min",
-        f"percentile({when(f'{CR} AND _n_cr <= {int(heavy_rows)}', AMT)}, array(0.25D, 0.75D)) AS cr_q",
         # expense inputs
         f"count_if({DR}) AS n_dr",
         f"sum({when(DR, 'amount')}) AS sum_dr",
@@ -106,31 +103,38 @@ def _raw_aggregate_exprs(heavy_rows: int) -> list[str]:
         f"min({when(emi, 'ts')}) AS emi_t0", f"max({when(emi, 'ts')}) AS emi_t1",
         f"count_if({bill3}) AS n_bill3",
         f"min({when(bill3, 'ts')}) AS bill3_t0", f"max({when(bill3, 'ts')}) AS bill3_t1",
-        f"count_if(coalesce(message RLIKE '(?i){K.FAILED_PATTERN}', false)) AS n_failed",
-        f"count_if({card} AND {DR}) AS n_card_dr",
-        f"count_if({card} AND {CR}) AS n_card_cr",
+        "count_if(_failed) AS n_failed",
+        f"count_if(_card AND {DR}) AS n_card_dr",
+        f"count_if(_card AND {CR}) AS n_card_cr",
     ]
 
 
 def raw_aggregates(ledger: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
     """One row per applicant with every raw input of the 24 features."""
-    stats = applicant_stats(ledger)
-    rows = ledger.join(stats, KEY)
-    agg = rows.groupBy(KEY).agg(*[F.expr(e) for e in _raw_aggregate_exprs(heavy_rows)])
+    # the message is matched once a row, and two flags are shuffled in its place
+    rows = ledger.selectExpr(KEY, "ts", "txn_type", "amount", "source", *MESSAGE_FLAGS).join(applicant_stats(ledger), KEY)
+    agg = rows.groupBy(KEY).agg(*[F.expr(e) for e in _raw_aggregate_exprs()])
+    # Quartiles and distinct sources have objects for buffers.  On their own, over
+    # the credits alone, they leave all other aggregates to generated code.
     # Heavy applicants (normally none): exact quartiles distributed per key,
     # and distinct sources as a two-level count (pairs spread by source).
     # Their keys number at most rows / heavy_rows, a proven bound, so they are
-    # broadcast into a semi join with the ledger; with no heavy applicant the
+    # broadcast into a semi join with the credits; with no heavy applicant the
     # branch is empty and never re-reads the shuffled ledger.
     from .ordered import keyed_exact_quantiles
-    heavy_keys = stats.filter(F.col("_n_cr") > heavy_rows).select(KEY)
-    heavy_cr = ledger.join(F.broadcast(heavy_keys), KEY, "left_semi").filter(F.expr(CR))
+    credits = ledger.filter(F.expr(CR)).select(KEY, "amount", "source")
+    heavy_keys = F.broadcast(credits.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows).select(KEY))
+    # a set is bounded by the source vocabulary; it avoids the distinct-aggregate
+    # rewrite (four aggregation operators)
+    light = credits.join(heavy_keys, KEY, "left_anti").groupBy(KEY).agg(
+        F.size(F.collect_set("source")).alias("cr_sources"), F.expr(f"percentile({AMT}, array(0.25D, 0.75D))").alias("cr_q"))
+    heavy_cr = credits.join(heavy_keys, KEY, "left_semi")
     heavy = keyed_exact_quantiles(heavy_cr, KEY, "amount", [0.25, 0.75], ["_hq1", "_hq3"])
     hsrc = (heavy_cr.filter(F.col("source").isNotNull()).select(KEY, "source").distinct()
             .groupBy(KEY).agg(F.count(F.lit(1)).alias("_hsrc")))
-    return (agg.join(heavy, KEY, "left").join(hsrc, KEY, "left")
+    return (agg.join(light, KEY, "left").join(heavy, KEY, "left").join(hsrc, KEY, "left")
             .withColumn("cr_q", F.coalesce("cr_q", F.array("_hq1", "_hq3")))
-            .withColumn("cr_sources", F.coalesce(F.col("_hsrc").cast("int"), F.col("cr_sources")))
+            .withColumn("cr_sources", F.coalesce(F.col("_hsrc").cast("int"), F.col("cr_sources"), F.lit(0)))
             .drop("_hq1", "_hq3", "_hsrc"))
 
 

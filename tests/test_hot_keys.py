@@ -212,3 +212,20 @@ def test_a_replayed_micro_batch_and_an_empty_stream(spark, tmp_path):
     os.makedirs(f"{tmp_path}/none/in")
     limit_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/none/in"), f"{tmp_path}/none/run", 5, 20_000_000, 0)
     assert limit_results(spark, f"{tmp_path}/none/run", 5, 20_000_000).count() == 0
+
+
+def test_objects_are_aggregated_apart_and_messages_matched_before_the_shuffle(spark, tmp_path):
+    """Quartiles and sets don't share an aggregate with the rest, no message is joined, and odd rows count as before."""
+    rows = [(1, T0, "credit", Decimal("10.00"), "UPI", "Credit card refund", "x"), (1, T0, "credit", None, None, None, "x"),
+            (1, T0, "debit", Decimal("3.00"), "Fuel", "Card payment FAILED", "x"), (2, T0, "debit", Decimal("5.00"), None, None, "x"),
+            (3, T0, None, Decimal("7.00"), "UPI", "payment rejected", "x"), (4, T0, "credit", None, None, "ok", "x"),
+            (None, T0, "credit", Decimal("1.00"), "UPI", "ok", "x")]
+    spark.createDataFrame(rows, "applicant_id long, ts timestamp, txn_type string, amount decimal(18,2), source string, "
+                                "message string, category string").write.parquet(f"{tmp_path}/ledger")
+    raw = L.raw_aggregates(spark.read.parquet(f"{tmp_path}/ledger"))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("regr_slope" in line and ("percentile" in line or "collect_set" in line) for line in plan)
+    assert any("RLIKE" in line for line in plan) and not any("RLIKE" in line for line in plan if "Aggregate" in line)
+    got = {r.applicant_id: (r.n_all, r.n_cr, r.cr_sources, r.cr_q, r.n_failed, r.n_card_dr, r.n_card_cr) for r in raw.collect()}
+    assert got == {1: (3, 2, 1, [10.0, 10.0], 1, 1, 1), 2: (1, 0, 0, [None, None], 0, 0, 0),
+                   3: (1, 0, 0, [None, None], 1, 0, 0), 4: (1, 1, 0, [None, None], 0, 0, 0)}
